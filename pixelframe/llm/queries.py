@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import decontaminate, line_dedup, minhash_dedup, quality_rules, sentencepiece_codec
+from pixelframe.llm import decontaminate, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, token_counts
 from pixelframe.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
+
+
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.code_digest(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.find_near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -60,6 +68,28 @@ a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (ex) AS n_exact, count
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN a USING (doc_id)
 """
 
+def _op5_sql() -> str:
+    """Spans by the pieces between matches; RE2 needs the letters in both cases spelt out, as its (?i) goes beyond ASCII."""
+    import re
+
+    parts = []
+    for k, r in enumerate(secret_scan.RULES):
+        p = r.pattern.replace("(?i)", "")
+        if p != r.pattern:
+            head, tail = p.split(")", 1)
+            p = re.sub("[a-z]", lambda m: f"[{m[0].upper()}{m[0]}]", head) + ")" + tail
+        p = p.replace("'", "''")
+        parts.append(f"""SELECT doc_id, {k} AS rank, '{r.kind}' AS kind, CAST(sum(gap + n) OVER w - n AS BIGINT) AS a, CAST(sum(gap + n) OVER w AS BIGINT) AS z, g >= {r.min_length} AS ok FROM (
+  SELECT doc_id, i, length(p[i]) AS gap, length(m[i]) AS n, length(j[i]) AS g FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (
+    SELECT doc_id, string_split_regex(t, '{p}') AS p, regexp_extract_all(t, '{p}', 0) AS m, regexp_extract_all(t, '{p}', {r.group}) AS j FROM d))) WINDOW w AS (PARTITION BY doc_id ORDER BY i)""")
+    return f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+every AS ({" UNION ALL ".join(parts)}),
+s AS (SELECT *, kind || ':' || a || ':' || z AS s FROM every WHERE ok),
+a AS (SELECT doc_id, count(*) FILTER (rank = 0) AS n_assign, count(*) FILTER (rank = 1) AS n_access, count(*) FILTER (rank = 2) AS n_hex,
+  string_agg(s, ',' ORDER BY a, rank) FILTER (rank < 3) AS base, string_agg(s, ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN a USING (doc_id)"""
+
+
 OP8_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
@@ -84,5 +114,5 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op6_sentencepiece, op8_decontaminate, op10_minhash_dedup)}
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op8_decontaminate": OP8_SQL, "op10_minhash_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op5_secret_scan, op6_sentencepiece, op8_decontaminate, op9_token_counts, op10_minhash_dedup)}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_secret_scan": _op5_sql(), "op8_decontaminate": OP8_SQL, "op10_minhash_dedup": OP10_SQL}
