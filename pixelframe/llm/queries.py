@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import decontaminate, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, token_counts
+from pixelframe.llm import decontaminate, html_extract, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, token_counts
 from pixelframe.llm.common import table
 
 
@@ -12,6 +12,10 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_digest(table(spark, sf_dir, "documents"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -24,6 +28,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.code_digest(table(spark, sf_dir, "documents"))
 
 
+def op7_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -114,5 +122,5 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_line_dedup, op5_secret_scan, op6_sentencepiece, op8_decontaminate, op9_token_counts, op10_minhash_dedup)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_line_dedup, op5_secret_scan, op6_sentencepiece, op7_html_extract, op8_decontaminate, op9_token_counts, op10_minhash_dedup)}
 ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_secret_scan": _op5_sql(), "op8_decontaminate": OP8_SQL, "op10_minhash_dedup": OP10_SQL}
