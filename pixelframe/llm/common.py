@@ -49,11 +49,12 @@ def smallest_labels(edges: DataFrame, ids: str = "long") -> DataFrame:
     """
     both = edges.where("a <> b").select("a", "b")
     both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
+    labels = cut(labels)
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("id").alias("label"), F.col("label").alias("up"))
+        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
         new = cut(step.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
         if new.where("label < old").isEmpty():
             return new.select("id", "label")

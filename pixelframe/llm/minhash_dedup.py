@@ -102,48 +102,48 @@ def _sets(p: NearDup):
     return sets
 
 
-def _confirm(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs (a, b) of nodes whose full sets are similar enough. nodes: set_id, doc_id of one document that has the set."""
-    ends = pairs.select(F.col("a").alias("set_id")).union(pairs.select(F.col("b").alias("set_id"))).distinct()
-    wanted = nodes.join(ends, "set_id").select(F.col("set_id").alias("_set"), F.col("doc_id").alias("_doc"))
+def _full_sets(members: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
+    """(set_id, shingles) of the members of buckets, from one document that has the set each. nodes: set_id, doc_id."""
+    wanted = nodes.join(members.select("set_id").distinct(), "set_id").select(F.col("set_id").alias("_set"), F.col("doc_id").alias("_doc"))
     texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("_set", _sets(p)("text").alias("s"))
-    sets = cut(texts.where("s.set_id = _set").select("_set", "s.shingles").dropDuplicates(["_set"]))
+    return texts.where("s.set_id = _set").select(F.col("_set").alias("set_id"), "s.shingles").dropDuplicates(["set_id"])
+
+
+def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
+    """The pairs (a, b) of sets that are similar enough."""
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return joined.where(100 * shared >= p.similarity_pct * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
 
 def link_nodes(docs: DataFrame, signed: DataFrame, p: NearDup) -> DataFrame:
-    """(id, label) of the sets that link to another one; label: the least set of the component."""
-    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"))
-    banded = sets.select("set_id", F.explode("bands").alias("bucket"))
+    """(set_id, label) of the sets in buckets with others; label: the least set of the component."""
+    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    banded = sets.select("set_id", "size", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = banded.join(shared, "bucket")
     members = cut(members.withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("set_id")) - 1))
-    nodes = sets.select("set_id", "doc_id")
-    links = tested = labels = None
-    low, width = 0, 1
+    full = cut(_full_sets(members, sets.select("set_id", "doc_id"), docs, p))
+    labels = members.select("set_id").distinct().withColumn("label", F.col("set_id"))
+    tested, low, width = None, 0, 1
     while True:
-        # Centres: the members of ranks low to low + width - 1. Each meets the later members of its bucket that are in other components.
-        now = members if labels is None else members.join(labels.toDF("set_id", "label"), "set_id", "left")
-        now = now.withColumn("label", F.col("set_id") if labels is None else F.coalesce("label", "set_id"))
-        if labels is not None:
-            open_ = now.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l <> h").select("bucket")
-            now = now.where(F.col("n") > low + 1).join(open_, "bucket")
-        centres = now.where((F.col("rank") >= low) & (F.col("rank") < low + width)).select("bucket", F.col("set_id").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la"))
-        pairs = now.join(centres, "bucket").where("rank > ra and label <> la").select("a", F.col("set_id").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = cut(pairs)
-        if not pairs.isEmpty():
-            found = cut(_confirm(pairs, nodes, docs, p))
-            links, tested = (found, pairs) if links is None else (links.union(found), tested.union(pairs))
-            labels = smallest_labels(links)
-        elif labels is None:
-            return smallest_labels(pairs)
-        low, width = low + width, 2 * width
-        if members.where(F.col("n") > low + 1).join(labels.toDF("set_id", "label"), "set_id", "left").groupBy("bucket").agg(F.min(F.coalesce("label", "set_id")).alias("l"), F.max(F.coalesce("label", "set_id")).alias("h")).where("l <> h").isEmpty():
+        # Buckets that hold several components and members that haven't been centres. The members of ranks low
+        # to low + width - 1 become centres, and meet the later members that are in other components.
+        now = members.where(F.col("n") > low + 1).join(labels, "set_id")
+        several = now.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("bucket")
+        now = cut(now.join(several, "bucket"))
+        if now.isEmpty():
             return labels
+        centres = now.where((F.col("rank") >= low) & (F.col("rank") < low + width)).select("bucket", F.col("set_id").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la"), F.col("size").alias("sa"))
+        alike = 100 * F.least("size", "sa") >= p.similarity_pct * F.greatest("size", "sa")
+        pairs = now.join(centres, "bucket").where((F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la")) & alike).select("a", F.col("set_id").alias("b"), "la", F.col("label").alias("lb")).distinct()
+        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
+        links = cut(pairs.join(_confirm(pairs.select("a", "b"), full, p), ["a", "b"]).select("la", "lb").distinct())
+        if not links.isEmpty():
+            joined = smallest_labels(links.toDF("a", "b")).toDF("label", "new")
+            labels = cut(labels.join(joined, "label", "left").select("set_id", F.coalesce("new", "label").alias("label")))
+        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
+        low, width = low + width, 8 * width
 
 
 def find_near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
