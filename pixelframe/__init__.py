@@ -1,0 +1 @@
+"""Analytics and bulk processing over image collections as Spark DataFrames."""
