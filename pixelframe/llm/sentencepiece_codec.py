@@ -21,7 +21,7 @@ from pixelframe.llm.common import small_batches
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-CACHED = 500_000
+CACHED = 1_000_000
 PAIRS = 1_000_000
 
 
@@ -50,13 +50,19 @@ class Codec:
         # No piece goes on after a space that follows something else: every path has a boundary there.
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.id_of)
         self.segment = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
         self.pairs: dict[tuple[str, str], bool] = {}
         self.halves = {x: h for x in self.id_of if len(x) > 1 and (h := self._last_merge(x))}
+        # By the three characters that end a longer piece: the lengths it can have, longest first.
         ends: dict[str, set[int]] = {}
+        self.lengths: dict[str, tuple[int, ...]] = {}
         for x in self.halves:
-            ends.setdefault(x[-2:], set()).add(len(x))
-        self.lengths = {k: sorted(v, reverse=True) for k, v in ends.items()}
+            if len(x) > 2:
+                ends.setdefault(x[-3:], set()).add(len(x))
+            else:
+                self.lengths[x] = (2,)
+        for k, v in ends.items():
+            self.lengths[k] = (*sorted(v, reverse=True), *self.lengths.get(k[1:], ()))
 
     def _last_merge(self, piece: str) -> tuple[str, str] | None:
         """The two parts of a piece's last merge; None if the merges of its characters don't give it.
@@ -78,25 +84,23 @@ class Codec:
         The merges of both are taken back, latest first; at each step, the parts that touch must not be
         mergeable with a better score than what was undone last.
         """
-        ok = self.pairs.get((left, right))
-        if ok is None:
-            if len(self.pairs) > PAIRS:
-                self.pairs.clear()
-            ok, a, b, score = True, left, right, self.score
-            undone, last = None, 0  # score of the last merge taken back; 1 if it was left's, which goes first on ties
-            while True:
-                s = score.get(a + b)
-                if s is not None and (undone is None or s > undone or s == undone and not last):
-                    ok = False
-                    break
-                x, y = self.halves.get(a), self.halves.get(b)
-                if x and (not y or score[a] < score[b]):
-                    undone, last, a = score[a], 1, x[1]
-                elif y:
-                    undone, last, b = score[b], 0, y[0]
-                else:
-                    break
-            self.pairs[left, right] = ok
+        if len(self.pairs) > PAIRS:
+            self.pairs.clear()
+        a, b, score, halves = left, right, self.score, self.halves
+        ok, undone, last = True, None, 0  # score of the last merge taken back; last: 1 if it was left's, which goes first on ties
+        while True:
+            s = score.get(a + b)
+            if s is not None and (undone is None or s > undone or s == undone and not last):
+                ok = False
+                break
+            x, y = halves.get(a), halves.get(b)
+            if x and (not y or score[a] < score[b]):
+                undone, last, a = score[a], 1, x[1]
+            elif y:
+                undone, last, b = score[b], 0, y[0]
+            else:
+                break
+        self.pairs[left, right] = ok
         return ok
 
     def _ids(self, piece: str) -> list[int]:
@@ -106,15 +110,19 @@ class Codec:
     def stream(self, text: str):
         """Lists of final ids, as the search commits them."""
         last: list[str] = [""]  # by boundary from base on: the piece that ends there
-        base, every, lengths = 0, 4 * self.max_piece, self.lengths
+        base, every, lengths, halves, pairs = 0, 4 * self.max_piece, self.lengths, self.halves, self.pairs
         for end in range(1, len(text) + 1):
-            for size in lengths.get(text[end - 2 : end], ()) if end > 1 else ():
+            for size in lengths.get(text[max(0, end - 3) : end]) or lengths.get(text[max(0, end - 2) : end], ()):
                 start = end - size
-                if start < base or (piece := text[start:end]) not in self.halves:
+                if start < base or (piece := text[start:end]) not in halves:
                     continue
-                if start == 0 or self._follows(last[start - base], piece):
-                    last.append(piece)
-                    break
+                if start:
+                    left = last[start - base]
+                    ok = pairs.get((left, piece))
+                    if not (self._follows(left, piece) if ok is None else ok):
+                        continue
+                last.append(piece)
+                break
             else:
                 last.append(text[end - 1])
             if end - base >= every and end % self.max_piece == 0:
@@ -145,7 +153,7 @@ class Codec:
         for part in self.segment.findall(text) if self.cuts else [text]:
             found = known.get(part)
             if found is None:
-                found = [i for some in self.stream(part) for i in some]
+                found = tuple(i for some in self.stream(part) for i in some)
                 if len(part) <= 64:
                     if len(known) > CACHED:
                         known.clear()
@@ -189,7 +197,7 @@ def decoder(model_file: str):
 
     def run(each: pd.Series) -> pd.Series:
         c = codec(model_file)
-        return pd.Series([None if ids is None else c.decode(ids) for ids in each], dtype=object)
+        return pd.Series([None if ids is None else c.decode(ids.tolist()) for ids in each], dtype=object)
 
     return F.pandas_udf(run, "string", F.PandasUDFType.SCALAR)
 
