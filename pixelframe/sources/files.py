@@ -63,7 +63,7 @@ def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
 
 def scan_presets(spark: SparkSession, folder: str) -> DataFrame:
     """path and preset (PRESET) of each file; one that is no JSON object becomes an empty preset."""
-    return presets_of(spark.read.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("path"), "value")).drop("value")
+    return presets_of(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")).drop("value")
 
 
 def presets_of(texts: DataFrame) -> DataFrame:
@@ -96,7 +96,7 @@ def scan_jobs_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_luts(spark: SparkSession, folder: str) -> DataFrame:
     """lut_id, size, ri, gi, bi, r, g, b of .cube files; red's index runs fastest; lut_id is the title, or the file's stem. Files that aren't 3-D or lack rows are left out."""
-    text = spark.read.option("wholetext", True).text(folder).select(F.coalesce(F.nullif(F.regexp_extract("value", r'(?m)^\s*TITLE\s+"([^"]*)"', 1), F.lit("")), stem(F.col("_metadata.file_path"))).alias("lut_id"), "value")
+    text = spark.read.text(folder, wholetext=True).select(F.coalesce(F.nullif(F.regexp_extract("value", r'(?m)^\s*TITLE\s+"([^"]*)"', 1), F.lit("")), stem(F.col("_metadata.file_path"))).alias("lut_id"), "value")
     text = text.withColumn("size", F.regexp_extract("value", r"(?m)^\s*LUT_3D_SIZE\s+(\d+)", 1).try_cast("int"))
     rows = F.filter(F.transform(F.split("value", r"\r?\n"), lambda s: F.trim(s)), lambda s: s.rlike(r"^[-+.\d]\S*\s+\S+\s+\S+$"))
     text = text.withColumn("rows", rows).where((F.col("size") > 1) & (F.size("rows") == F.col("size") * F.col("size") * F.col("size")) & ~F.col("value").rlike(r"(?m)^\s*LUT_1D_SIZE"))
@@ -112,7 +112,7 @@ def pack_plane(plane: np.ndarray) -> dict:
 
 def scan_saved_masks(spark: SparkSession, folder: str) -> DataFrame:
     """image_id, face_id, layer, y, x, v of the masks in project files: image_path, and faces, a list of packed planes by layer."""
-    files = spark.read.option("wholetext", True).text(folder)
+    files = spark.read.text(folder, wholetext=True)
 
     def unpack(batches):
         for batch in batches:
