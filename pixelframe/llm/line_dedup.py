@@ -29,30 +29,40 @@ class LineRules:
 
 def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
     """0-based start and length of segment i of a line of length code points; the last segments are the longer ones."""
-    short = F.floor(length / parts)
-    longer = length - short * parts
-    first_long = F.lit(parts) - longer
-    return i * short + F.greatest(F.lit(0), i - first_long), short + F.when(F.lit(i) >= first_long, 1).otherwise(0)
+    short = F.call_function("div", length, F.lit(parts)).cast("int")
+    spare = parts - F.pmod(length, F.lit(parts)).cast("int")
+    return i * short + F.greatest(F.lit(0), i - spare), short + F.when(spare <= i, 1).otherwise(0)
 
 
-def _keys(text: Column, length: Column, rules: LineRules) -> Column:
-    """array<struct<key, probe>>: the hashes of the line's segments, and of the substrings it looks up.
+def _key(text: Column, length: Column, i: int, at: Column, n: Column) -> Column:
+    return F.xxhash64(length, F.lit(i), F.substring(text, at + 1, n))
+
+
+def _index_keys(text: Column, length: Column, rules: LineRules) -> Column:
+    """The hashes of a line's segments, by (length, number, text)."""
+    parts = rules.max_edits + 1
+    return F.array(*[_key(text, length, i, *_segment(length, i, parts)) for i in range(parts)])
+
+
+def _probe_keys(text: Column, length: Column, rules: LineRules) -> Column:
+    """The hashes of the substrings that a line looks up; null for places outside the line.
 
     For an indexed length shorter by d, segment i (from 0) can only match at places that leave both what
     stands before and what stands after it within the edits that the other segments may have.
     """
-    t = rules.max_edits
-    found = []
+    t, found = rules.max_edits, []
     for i in range(t + 1):
-        at, n = _segment(length, i, t + 1)
-        found.append(F.struct(F.xxhash64(length, F.lit(i), F.substring(text, (at + 1).cast("int"), n.cast("int"))).alias("key"), F.lit(False).alias("probe")))
         for d in range(t + 1):
             at, n = _segment(length - d, i, t + 1)
             for move in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
-                hashed = F.xxhash64(length - d, F.lit(i), F.substring(text, (at + 1 + move).cast("int"), n.cast("int")))
                 inside = (at + move >= 0) & (at + move + n <= length) & (length - d >= rules.min_chars)
-                found.append(F.when(inside, F.struct(hashed.alias("key"), F.lit(True).alias("probe"))))
-    return F.array_compact(F.array(*found))
+                found.append(F.when(inside, _key(text, length - d, i, at + move, n)))
+    return F.array(*found)
+
+
+def let(value: Column, f) -> Column:
+    """f of a value that is computed once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
 
 
 def edit_distance_at_most(a: Column, b: Column, most: int) -> Column:
@@ -63,37 +73,39 @@ def edit_distance_at_most(a: Column, b: Column, most: int) -> Column:
     """
     width = 2 * most + 1
     full, one = (1 << width) - 1, F.lit(1).cast("long")
-    p, m, n = F.split(a, ""), F.char_length(a), F.char_length(b)
-
-    def at(chars: Column, rows: Column, j: Column, c: Column) -> Column:
-        bits = [F.when(F.get(chars, j + (k - most)) == c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long")) for k in range(width)]
-        out = bits[0]
-        for x in bits[1:]:
-            out = out.bitwiseOR(x)
-        return out
-
-    def step(s: Column, c: Column, j: Column) -> Column:
-        match = at(p, m, j, c)
-        d0 = (((match.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp)).bitwiseOR(match).bitwiseOR(s.vn)).bitwiseAND(F.lit(full))
-        return F.struct(s.vp.alias("vp"), s.vn.alias("vn"), s.score.alias("score"), d0.alias("d0"), j.alias("j"))
-
-    def advance(s: Column) -> Column:
-        hp = s.vn.bitwiseOR(F.bitwise_not(s.d0.bitwiseOR(s.vp))).bitwiseAND(F.lit(full))
-        hn = s.d0.bitwiseAND(s.vp)
-        bit = lambda x, k: F.call_function("shiftright", x, k).bitwiseAND(one)
-        row = F.greatest(F.lit(0), 2 * most - 1 - (s.j - (m - most))).cast("int")
-        score = s.score + F.when(s.j < m - most, one - bit(s.d0, F.lit(2 * most))).otherwise(bit(hp, row) - bit(hn, row))
-        x = F.shiftright(s.d0, 1)
-        vp = hn.bitwiseOR(F.bitwise_not(x.bitwiseOR(hp))).bitwiseAND(F.lit(full))
-        return F.struct(vp.alias("vp"), x.bitwiseAND(hp).alias("vn"), score.alias("score"))
-
-    start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(most).cast("long").alias("score"))
-    places = F.transform(F.split(b, ""), lambda c, j: F.struct(c.alias("c"), j.alias("j")))
-    # A lambda of one element binds a value that is used several times.
-    def both(s: Column, x: Column) -> Column:
-        return F.element_at(F.transform(F.array(step(s, x.c, x.j)), advance), 1)
-
-    score = F.aggregate(places, start, both, lambda s: s.score)
+    bit = lambda x, k: F.call_function("shiftright", x, k).bitwiseAND(one)
+
+    def distance(given: Column) -> Column:
+        p, m = given.p, given.m
+
+        def matches(c: Column, j: Column) -> Column:
+            out = F.lit(0).cast("long")
+            for k in range(width):
+                out = out + F.when(F.get(p, j + (k - most)) == c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+            return out
+
+        def advance(s: Column, match: Column, j: Column) -> Column:
+            def vertical(x: Column) -> Column:
+                d0 = x.d0
+                hp = s.vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(s.vp))).bitwiseAND(F.lit(full))
+                return F.struct(d0.alias("d0"), hp.alias("hp"), d0.bitwiseAND(s.vp).alias("hn"))
+
+            def slide(x: Column) -> Column:
+                row = F.greatest(F.lit(0), 2 * most - 1 - (j - (m - most))).cast("int")
+                score = s.score + F.when(j < m - most, one - bit(x.d0, F.lit(2 * most))).otherwise(bit(x.hp, row) - bit(x.hn, row))
+                low = F.shiftright(x.d0, 1)
+                vp = x.hn.bitwiseOR(F.bitwise_not(low.bitwiseOR(x.hp))).bitwiseAND(F.lit(full))
+                return F.struct(vp.alias("vp"), low.bitwiseAND(x.hp).alias("vn"), score.alias("score"))
+
+            d0 = (((match.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp)).bitwiseOR(match).bitwiseOR(s.vn)).bitwiseAND(F.lit(full))
+            return let(let(F.struct(d0.alias("d0")), vertical), slide)
+
+        start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(most).cast("long").alias("score"))
+        columns = F.transform(given.t, lambda c, j: F.struct(matches(c, j).alias("match"), j.alias("j")))
+        return F.aggregate(columns, start, lambda s, x: advance(s, x.match, x.j), lambda s: s.score)
+
+    m, n = F.char_length(a), F.char_length(b)
+    score = let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t"), m.alias("m")), distance)
     return F.when(F.abs(m - n) > most, False).when((m <= most) | (n <= most), F.levenshtein(a, b) <= most).otherwise(score <= most)
 
 
@@ -108,13 +120,12 @@ def find_kept_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[Da
     distinct = taking.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).agg(F.min(F.struct("doc_id", "pos")).alias("at"))
     first = cut(distinct.groupBy("at.doc_id").agg(F.collect_list("at.pos").alias("first")))
     pick = docs.join(first.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    lines = F.split("text", "\n", -1)
-    each = pick.select("doc_id", F.explode(F.transform("first", lambda k: F.struct(k.alias("pos"), F.get(lines, k).alias("line")))).alias("x"))
+    both = F.struct(F.split("text", "\n", -1).alias("lines"), "first")
+    each = pick.select("doc_id", F.explode(let(both, lambda s: F.transform(s.first, lambda k: F.struct(k.alias("pos"), F.get(s.lines, k).alias("line"))))).alias("x"))
     texts = cut(each.select("doc_id", "x.*", F.char_length("x.line").alias("n")).dropDuplicates(["doc_id", "pos"]))
-    keys = texts.select("doc_id", "pos", F.explode(_keys(F.col("line"), F.col("n"), rules)).alias("k")).select("doc_id", "pos", "k.*")
     at = F.struct("doc_id", "pos")
-    index = keys.where("not probe").select("key", at.alias("a"))
-    probes = keys.where("probe").select("key", at.alias("b"))
+    index = texts.select(at.alias("a"), F.explode(_index_keys(F.col("line"), F.col("n"), rules)).alias("key"))
+    probes = texts.select(at.alias("b"), F.explode(_probe_keys(F.col("line"), F.col("n"), rules)).alias("key")).where("key IS NOT NULL")
     pairs = index.join(probes, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     pairs = cut(pairs)
     ends = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.*")
@@ -140,15 +151,20 @@ def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     gone = near.groupBy("doc_id").agg(F.collect_list("pos").alias("near"))
     plan = first.alias("f").join(gone.alias("g"), F.col("f.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select(F.col("f.doc_id").alias("_doc"), F.col("first").alias("_first"), F.coalesce("near", F.array().cast("array<int>")).alias("_near"))
     out = docs.drop("n_lines", "n_exact", "n_near").join(plan, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+
+    def judged(s: Column) -> Column:
+        places = F.sequence(F.lit(0), F.size(s.lines) - 1)
+        short = F.filter(places, lambda k: F.char_length(F.get(s.lines, k)) < rules.min_chars)
+        kept = F.array_sort(F.concat(short, F.array_except(s.first, s.near)))
+        text = F.array_join(F.transform(kept, lambda k: F.get(s.lines, k)), "\n")
+        n = F.size(s.lines)
+        return F.struct(text.alias("text"), n.cast("long").alias("n_lines"), (n - F.size(short) - F.size(s.first)).cast("long").alias("n_exact"), F.size(s.near).cast("long").alias("n_near"))
+
     none = F.array().cast("array<int>")
-    lines = F.transform(F.split("text", "\n", -1), lambda x, k: F.struct(x.alias("x"), k.alias("k")))
-    takes = lambda s: F.char_length(s.x) >= rules.min_chars
-    out = out.withColumn("_first", F.coalesce("_first", none)).withColumn("_near", F.coalesce("_near", none)).withColumn("_lines", F.coalesce(lines, F.array().cast("array<struct<x:string,k:int>>")))
-    kept = F.filter("_lines", lambda s: ~takes(s) | (F.array_contains("_first", s.k) & ~F.array_contains("_near", s.k)))
-    out = out.withColumn("_kept", kept)
-    counts = [F.size("_lines").cast("long").alias("n_lines"), F.size(F.filter("_lines", lambda s: takes(s) & ~F.array_contains("_first", s.k))).cast("long").alias("n_exact"), F.size("_near").cast("long").alias("n_near")]
-    text = F.when(F.col("text").isNotNull(), F.array_join(F.transform("_kept", lambda s: s.x), "\n")).alias("text")
-    return out.select(*[text if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")], *counts)
+    given = F.struct(F.split("text", "\n", -1).alias("lines"), F.coalesce("_first", none).alias("first"), F.coalesce("_near", none).alias("near"))
+    out = out.withColumn("_j", F.when(F.col("text").isNotNull(), let(given, judged)))
+    counts = [F.coalesce(f"_j.{c}", F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_exact", "n_near")]
+    return out.select(*[F.col("_j.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")], *counts)
 
 
 def line_digest(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
