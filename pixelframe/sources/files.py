@@ -112,7 +112,11 @@ def pack_plane(plane: np.ndarray) -> dict:
 
 def scan_saved_masks(spark: SparkSession, folder: str) -> DataFrame:
     """image_id, face_id, layer, y, x, v of the masks in project files: image_path, and faces, a list of packed planes by layer."""
-    files = spark.read.text(folder, wholetext=True)
+    return masks_of(spark.read.text(folder, wholetext=True))
+
+
+def masks_of(projects: DataFrame) -> DataFrame:
+    """The masks of project texts (value); texts that aren't JSON have none."""
 
     def unpack(batches):
         for batch in batches:
@@ -127,7 +131,7 @@ def scan_saved_masks(spark: SparkSession, folder: str) -> DataFrame:
                         h, w = m.shape
                         yield pd.DataFrame({"image_id": project.get("image_path"), "face_id": face, "layer": layer, "y": np.repeat(np.arange(h), w), "x": np.tile(np.arange(w), h), "v": m.ravel().astype(float)})
 
-    return files.mapInPandas(unpack, "image_id string, face_id int, layer string, y int, x int, v double")
+    return projects.mapInPandas(unpack, "image_id string, face_id int, layer string, y int, x int, v double")
 
 
 def store_pixels(pixels: DataFrame, path: str, buckets: int = 64) -> None:
