@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import decontaminate, html_extract, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, token_counts
+from pixelframe.llm import decontaminate, html_extract, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, token_counts
 from pixelframe.llm.common import table
 
 
@@ -20,6 +20,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.line_digest(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.find_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digest(table(spark, sf_dir, "documents"))
 
@@ -76,6 +80,18 @@ a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (ex) AS n_exact, count
 SELECT doc_id, coalesce(n_lines, 0) AS n_lines, coalesce(n_exact, 0) AS n_exact, coalesce(n_near, 0) AS n_near, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN a USING (doc_id)
 """
 
+OP4_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT doc_id, i, substr(x, 2 * i + 1, 100) AS s FROM (SELECT doc_id, x, unnest(range(0, length(x) // 2 - 49)) AS i FROM d WHERE length(x) >= 100)),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY s) AS least FROM w) WHERE least < doc_id),
+g AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM r)),
+sp AS (SELECT doc_id, min(i) AS a, max(i) + 50 AS z FROM g GROUP BY doc_id, g.g),
+k AS (SELECT sp.doc_id, a, z, substr(x, 2 * coalesce(lag(z) OVER w, 0) + 1, 2 * (a - coalesce(lag(z) OVER w, 0))) AS gap, lead(a) OVER w IS NULL AS final, x FROM sp JOIN d USING (doc_id) WINDOW w AS (PARTITION BY doc_id ORDER BY a)),
+o AS (SELECT doc_id, CAST(sum(z - a) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(gap, '' ORDER BY a) || any_value(substr(x, 2 * z + 1)) FILTER (final) AS kept FROM k GROUP BY doc_id)
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256 FROM d LEFT JOIN o USING (doc_id)
+"""
+
+
 def _op5_sql() -> str:
     """Spans by the pieces between matches; RE2 needs the letters in both cases spelt out, as its (?i) goes beyond ASCII."""
     import re
@@ -122,5 +138,5 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_line_dedup, op5_secret_scan, op6_sentencepiece, op7_html_extract, op8_decontaminate, op9_token_counts, op10_minhash_dedup)}
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op5_secret_scan": _op5_sql(), "op8_decontaminate": OP8_SQL, "op10_minhash_dedup": OP10_SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_line_dedup, op4_suffix_dedup, op5_secret_scan, op6_sentencepiece, op7_html_extract, op8_decontaminate, op9_token_counts, op10_minhash_dedup)}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_secret_scan": _op5_sql(), "op8_decontaminate": OP8_SQL, "op10_minhash_dedup": OP10_SQL}
