@@ -59,9 +59,9 @@ def normalize_meta(spark, sf_dir):
     return _meta(spark, sf_dir).select("preset_id", "name", "category", F.array_join("tags", "|").alias("tags"))
 
 
-@query(with_("ps", META + " SELECT preset_id, name FROM meta WHERE contains(lower(name || ' ' || category || ' ' || array_to_string(tags, ' ') || ' ' || regexp_extract(path, '([^/]*)$', 1)), 'brass')"))
+@query(with_("ps", META + " SELECT preset_id, name FROM meta WHERE contains(lower(name || ' ' || category || ' ' || array_to_string(tags, ' ') || ' ' || regexp_extract(path, '([^/]*)$', 1)), 'widget')"))
 def search_presets(spark, sf_dir):
-    return catalogue.search_presets(_meta(spark, sf_dir), " BRASS ").select("preset_id", "name")
+    return catalogue.search_presets(_meta(spark, sf_dir), " WIDGET ").select("preset_id", "name")
 
 
 @query(with_("ps", f"""o AS (SELECT preset_id, list_filter([CASE WHEN preset_id % 2 = 0 THEN 'eyes' ELSE 'sky' END, 'fog', CASE WHEN preset_id % 3 = 0 THEN 'eyes' ELSE 'tree' END], lambda x: list_contains({ORDER}, x)) AS k FROM ps)
