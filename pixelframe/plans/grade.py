@@ -122,7 +122,7 @@ def batch_run(spark: SparkSession, folder: str, out: str, log: str, preset_hash:
     graded = grade_global(files.read_pixels(spark, folder).join(todo, "image_id", "left_semi"), p)
     store = f"{out}/pixels"
     graded.withColumn("bucket", F.pmod(F.hash("image_id"), F.lit(64))).write.mode("append").partitionBy("bucket").parquet(store)
-    good = spark.read.parquet(store).select(F.col("image_id").alias("source_path"), F.lit(True).alias("ok")).distinct()
+    good = spark.read.schema("image_id string").parquet(store).select(F.col("image_id").alias("source_path"), F.lit(True).alias("ok")).distinct()
     judged = work.join(good, "source_path", "left")
     status = F.when(F.col("status") == "skipped", "skipped").when(F.col("ok"), "success").otherwise("error")
     have = {"batch_key": F.col("batch_key"), "error": F.when(status == "error", "cannot read image"), "job_id": F.lit(job_id), "output_format": F.lit(output_format), "output_path": F.col("output_path"), "preset_hash": F.lit(preset_hash), "reason": F.when(status == "skipped", "already completed"), "source_path": F.col("source_path"), "status": status, "suffix": F.lit(suffix), "ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")}

@@ -49,8 +49,8 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """image_id (path), y, x, r, g, b in [0, 1] of each pixel; grey is repeated, alpha dropped, unreadable files left out."""
-    images = spark.read.format("image").option("dropInvalid", True).load(folder).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    """image_id (the path, as list_images has it), y, x, r, g, b in [0, 1] of each pixel; grey is repeated, alpha dropped, unreadable files left out."""
+    images = spark.read.format("image").option("dropInvalid", True).load(folder).select(F.regexp_replace("image.origin", "^(\\w+):///", "$1:/").alias("origin"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def unpack(batches):
         for batch in batches:
