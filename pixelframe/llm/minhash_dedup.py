@@ -117,14 +117,15 @@ def _sets(p: NearDup):
 
 
 def _full_sets(members: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """(set_id, shingles) of the members of buckets, from one document that has the set each. nodes: set_id, doc_id."""
-    wanted = nodes.join(members.select("set_id").distinct(), "set_id").select(F.col("set_id").alias("_set"), F.col("doc_id").alias("_doc"))
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("_set", _sets(p)("text").alias("s"))
-    return texts.where("s.set_id = _set").select(F.col("_set").alias("set_id"), "s.shingles").dropDuplicates(["set_id"])
+    """(set_id, bands, shingles) of the members of buckets, from one document that has the set each. nodes: set_id, doc_id, bands."""
+    wanted = nodes.join(members.select("set_id").distinct(), "set_id").select(F.col("set_id").alias("_set"), F.col("doc_id").alias("_doc"), "bands")
+    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("_set", "bands", _sets(p)("text").alias("s"))
+    return texts.where("s.set_id = _set").select(F.col("_set").alias("set_id"), "bands", "s.shingles").dropDuplicates(["set_id"])
 
 
 def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
     """The pairs (a, b) of sets that are similar enough."""
+    sets = sets.select("set_id", "shingles")
     joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
     shared = F.size(F.array_intersect("x", "y"))
     return joined.where(100 * shared >= p.similarity_pct * (F.size("x") + F.size("y") - shared)).select("a", "b")
@@ -149,7 +150,7 @@ def link_nodes(docs: DataFrame, signed: DataFrame, p: NearDup) -> DataFrame:
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = banded.join(shared, "bucket")
     members = cut(members.withColumn("common", F.col("size")).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("set_id")) - 1))
-    full = cut(_full_sets(members, sets.select("set_id", "doc_id"), docs, p))
+    full = cut(_full_sets(members, sets.select("set_id", "doc_id", "bands"), docs, p))
     labels = members.select("set_id").distinct().withColumn("label", F.col("set_id"))
     tested, low, width = None, 0, 1
     while True:
@@ -163,12 +164,14 @@ def link_nodes(docs: DataFrame, signed: DataFrame, p: NearDup) -> DataFrame:
         if low:
             members = cut(_without_own(members.drop("common"), now.select("set_id").distinct(), full, p))
             now = cut(now.drop("common").join(members.select("bucket", "set_id", "common"), ["bucket", "set_id"]))
-        centres = now.where((F.col("rank") >= low) & (F.col("rank") < low + width)).select("bucket", F.col("set_id").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("sketch").alias("ka"), F.col("common").alias("ca"))
+        now = now.join(full.select("set_id", "bands"), "set_id")
+        centres = now.where((F.col("rank") >= low) & (F.col("rank") < low + width)).select("bucket", F.col("set_id").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("sketch").alias("ka"), F.col("common").alias("ca"), F.col("bands").alias("ba"))
         differ = [F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("ka", F.lit(k)))) for k in range(4)]
         close = differ[0] + differ[1] + differ[2] + differ[3] <= p.sketch_bits
         most = F.least("common", "ca")
         alike = close & (100 * most >= p.similarity_pct * (F.col("size") + F.col("sa") - most))
-        pairs = now.join(centres, "bucket").where((F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la")) & alike).select("a", F.col("set_id").alias("b"), "la", F.col("label").alias("lb")).distinct()
+        once = F.get(F.array_intersect("bands", "ba"), F.lit(0)) == F.col("bucket")  # in the first bucket that both are in
+        pairs = now.join(centres, "bucket").where((F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la")) & alike & once).select("a", F.col("set_id").alias("b"), "la", F.col("label").alias("lb")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
         links = cut(pairs.join(_confirm(pairs.select("a", "b"), full, p), ["a", "b"]).select("la", "lb").distinct())
         if not links.isEmpty():
