@@ -191,14 +191,20 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    known = docs.where("doc_id IS NOT NULL")
+    # Copies of a whole text of an earlier document go whole; only first texts are looked into.
+    texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
+    earliest = texts.groupBy("sha").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sha", "lo")
+    copies = cut(texts.join(earliest, "sha").where("doc_id > lo").select("doc_id", "sha").distinct())
+    one_text = texts.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a < b").select("doc_id")
+    copies = cut(copies.join(one_text, "doc_id", "left_anti").select("doc_id"))  # an id with several texts is looked into
+    known = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
     anchors = known.select("doc_id", F.explode(F.pandas_udf(_anchors, "array<long>", F.PandasUDFType.SCALAR)("text")).alias("anchor"))
     w = Window.partitionBy("anchor")
     shared = anchors.withColumn("lo", F.min("doc_id").over(w)).withColumn("hi", F.max("doc_id").over(w)).where("lo < hi")
     wanted = cut(shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted")))
     cutter = F.pandas_udf(_pieces, "array<struct<start: long, piece: binary, anchor: long>>", F.PandasUDFType.SCALAR)
     pieces = known.join(wanted, "doc_id").select("doc_id", F.explode(cutter("text", "wanted")).alias("p")).select("doc_id", "p.*")
-    pieces = cut(pieces)
+    pieces = cut(pieces.withColumn("pid", F.struct(F.xxhash64("piece").alias("x"), F.xxhash64(F.lit(1), "piece").alias("y"))))
     distinct = cut(pieces.groupBy("anchor", "piece").agg(F.min("doc_id").alias("doc")))
     per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece")).alias("bytes"))
     several = per.where("n > 1")
@@ -213,13 +219,16 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     least = wide.groupBy("window").agg(F.min("doc").alias("l"))
     by_window = wide.join(least, "window").groupBy("anchor", "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "l"))), lambda s: s.l).alias("least"))
     single = distinct.join(several, "anchor", "left_anti").select("anchor", "piece", F.array_repeat("doc", F.octet_length("piece") - LENGTH + 1).alias("least"))
-    known_least = cut(sorted_.unionByName(by_window)).unionByName(single)
-    hit = pieces.join(known_least, ["anchor", "piece"])
+    pid = F.struct(F.xxhash64("piece").alias("x"), F.xxhash64(F.lit(1), "piece").alias("y"))
+    known_least = cut(sorted_.unionByName(by_window).unionByName(single).where(F.size("least") > 0).select("anchor", pid.alias("pid"), "least"))
+    hit = pieces.drop("piece").join(known_least, ["anchor", "pid"])
     places = F.transform(F.col("least"), lambda x, k: F.when(x < F.col("doc_id"), k))
     spans = F.transform(F.array_compact(places), lambda k: F.struct((F.col("start") + k).alias("a"), (F.col("start") + k + LENGTH).alias("z")))
     gone = hit.where("array_min(least) < doc_id").groupBy("doc_id").agg(F.flatten(F.collect_list(_joined(spans))).alias("hits"))
     result = F.pandas_udf(_result, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
-    return docs.join(gone, "doc_id", "left").select("doc_id", result("text", "hits").alias("r")).select("doc_id", "r.*")
+    whole = F.expr("array(named_struct('a', 0L, 'z', CAST(octet_length(text) AS BIGINT)))")
+    both = docs.join(gone, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    return both.withColumn("hits", F.when(F.col("copy"), whole).otherwise(F.col("hits"))).select("doc_id", result("text", "hits").alias("r")).select("doc_id", "r.*")
 
 
 def _joined(spans):
