@@ -1,9 +1,10 @@
 """HTML extraction by wrapper induction.
 
 Pages of a host are aligned with a reference page of it by simple tree matching. A text slot of the
-reference that holds the same text on most pages is template; slots that vary are content. What the tags
-and class names mark as navigation, notices, adverts, forms or comments is never content; an article
-element, where there is one, says where the content is.
+reference that holds the same text on most pages is template, inside an article too; slots that vary are
+content. An article or main element, where there is one, says where the content is. What the tags mark as
+navigation, forms or the like is never content. What class names mark as such isn't either, unless it holds
+the article or most of the text that varies.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 DROPPED = frozenset("nav aside footer form script style noscript template iframe head title button select textarea input menu dialog svg object canvas audio video".split())
 MARKS = frozenset("ad ads advert adverts advertisement advertising adbox banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus dialog disclaimer footer gdpr masthead menu modal nav navbar navigation newsletter notice paywall popup promo promoted reactions related replies respond search share sharing sidebar sidenav signup skyscraper social sponsor sponsored subscribe toolbar widget complementary contentinfo alert".split())
+#: Marks of what readers write: it varies from page to page, and is still no content.
+REPLIES = frozenset("comment comments commentlist disqus reactions related replies respond".split())
+#: A class name that begins so tells of the page's state, and marks nothing: has-sidebar, no-comments.
+STATES = frozenset("has had no not with without is hide hides show shows".split())
 
 TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
 MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -69,8 +74,7 @@ def parse(page: str | None) -> Node:
             _close(stack, {"p"}, {"table", "td", "th", "li", "div", "article", "section", "main", "body", "button", "blockquote"})
         if tag in SIBLINGS:
             _close(stack, SIBLINGS[tag], HOLDS[tag])
-        words = {w for x in MARKED.findall(m[4]) for w in re.split(r"[^a-z0-9]+", "".join(x).lower()) if w} if m[4] else ()
-        node = Node(tag, MARKS.intersection(words))
+        node = Node(tag, _marks(m[4]) if m[4] else frozenset())
         stack[-1].kids.append(node)
         if tag not in VOID and not m[4].rstrip().endswith("/"):
             stack.append(node)
@@ -80,6 +84,12 @@ def parse(page: str | None) -> Node:
     return root
 
 
+def _marks(attributes: str) -> frozenset:
+    names = [n for x in MARKED.findall(attributes) for n in "".join(x).lower().split()]
+    words = [[w for w in re.split(r"[^a-z0-9]+", n) if w] for n in names]
+    return MARKS.intersection(w for n in words if n and not (len(n) > 1 and n[0] in STATES) for w in n)
+
+
 def _add_text(stack: list[Node], raw: str) -> None:
     if raw:
         stack[-1].kids.append(Node("#text", text=entities.unescape(raw)))
@@ -167,10 +177,53 @@ def fill_slots(page: Node, ref: Node) -> list[tuple[int, Node]]:
     return [(y.slot, x) for x, y in match_trees(page, ref) if y.slot >= 0]
 
 
-def main_text(page: Node, template: set[int]) -> str:
-    """The blocks of the content; template: ids of text nodes that are the host's template."""
-    articles = any(n.tag == "article" and not n.marks for n in _walk(page))
-    main = any(n.tag == "main" for n in _walk(page))
+def _hides(n: Node, keep: set[int]) -> bool:
+    return n.tag in DROPPED or bool(n.marks) and n.tag not in ("html", "body") and id(n) not in keep
+
+
+def _homes(page: Node, tag: str, marked: bool) -> tuple[list[Node], set[int]]:
+    """The elements named tag that nothing hides, and the marked nodes to keep for them.
+
+    If all are hidden by marks, the marks around them are those of wrappers, and are kept. marked: elements
+    named tag count that have marks of their own.
+    """
+    free, bound, todo = [], [], [(page, (), False)]
+    while todo:
+        n, around, gone = todo.pop()
+        if n.tag == tag and not gone and (marked or not n.marks):
+            around = (*around, n) if n.marks else around
+            (bound if around else free).append((n, around))
+        elif n.marks and n.tag not in ("html", "body"):
+            around = (*around, n)
+        gone = gone or n.tag in DROPPED or bool(n.marks & REPLIES and n.tag not in ("html", "body"))
+        todo += [(k, around, gone) for k in n.kids]
+    found = free or bound
+    return [n for n, _ in found], {id(w) for _, around in found for w in around}
+
+
+def _varying_wrappers(scope: list[Node], varying: set[int]) -> set[int]:
+    """The marked nodes in scope that hold more than half of its varying text; those of replies never do."""
+    todo, order, size = [(n, False) for n in scope], [], {}
+    while todo:
+        n, gone = todo.pop()
+        gone = gone or n.tag in DROPPED or bool(n.marks & REPLIES)
+        size[id(n)] = len(n.text.strip()) if id(n) in varying and not gone else 0
+        order.append(n)
+        todo += [(k, gone) for k in n.kids]
+    for n in reversed(order):
+        size[id(n)] += sum(size[id(k)] for k in n.kids)
+    whole = sum(size[id(n)] for n in scope)
+    return {id(n) for n in order if n.marks and 2 * size[id(n)] > whole}
+
+
+def main_text(page: Node, template: set[int], varying: set[int] = frozenset()) -> str:
+    """The blocks of the content. template and varying: ids of text nodes that are the host's template, and that vary on its pages."""
+    for home, marked in (("article", False), ("main", True), ("article", True), (None, False)):
+        homes, keep = _homes(page, home, marked) if home else ([], set())
+        if homes:
+            break
+    keep |= _varying_wrappers(homes or [page], varying) if varying else set()
+    at = {id(n) for n in homes}
     blocks, line = [], []
 
     def end() -> None:
@@ -179,7 +232,6 @@ def main_text(page: Node, template: set[int]) -> str:
             blocks.append(words)
         line.clear()
 
-    home = "article" if articles else "main" if main else None
     todo = [(page, home is None, False)]
     while todo:
         n, inside, leaving = todo.pop()
@@ -187,14 +239,14 @@ def main_text(page: Node, template: set[int]) -> str:
             end()
             continue
         if n.tag == "#text":
-            if inside and (home or id(n) not in template):
+            if inside and id(n) not in template:
                 line.append(n.text)
             continue
-        if n.tag in DROPPED or n.marks and n.tag not in ("html", "body") or n.tag == "header" and not inside or n.tag == "header" and home is None:
+        if _hides(n, keep) or n.tag == "header" and not inside or n.tag == "header" and home is None:
             if n.tag not in INLINE:
                 end()
             continue
-        inside = inside or n.tag == home
+        inside = inside or id(n) in at
         if n.tag == "br":
             line.append(" ")
         if n.tag not in INLINE and n.tag != "br":
@@ -225,12 +277,12 @@ def _filled(pages: pd.Series, refs: pd.Series) -> pd.Series:
     return pd.Series(out, dtype=object)
 
 
-def _extracted(pages: pd.Series, refs: pd.Series, constant: pd.Series) -> pd.Series:
+def _extracted(pages: pd.Series, refs: pd.Series, constant: pd.Series, varying: pd.Series) -> pd.Series:
     known, out = _References(), []
-    for p, r, c in zip(pages, refs, constant):
-        page, slots = parse(p), set() if c is None else set(c)
-        template = {id(n) for slot, n in fill_slots(page, known[r or ""]) if slot in slots} if slots else set()
-        out.append(main_text(page, template))
+    for p, r, c, v in zip(pages, refs, constant, varying):
+        page, same, other = parse(p), set() if c is None else set(c), set() if v is None else set(v)
+        slots = fill_slots(page, known[r or ""]) if same or other else []
+        out.append(main_text(page, {id(n) for k, n in slots if k in same}, {id(n) for k, n in slots if k in other}))
     return pd.Series(out, dtype=object)
 
 
@@ -239,7 +291,7 @@ def host_of(url):
 
 
 def induce_wrappers(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> DataFrame:
-    """(host, ref, constant): by host, its shortest page (least html on ties) as the reference, and the slots of it that are template.
+    """(host, ref, constant, varying): by host, its shortest page (least html on ties) as the reference, and the slots of it that are template, and that aren't though enough pages fill them.
 
     pages: host, html. Each page is aligned with one reference, never with the other pages; slots are counted by text hash.
     """
@@ -248,20 +300,21 @@ def induce_wrappers(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> D
     filled = pages.where("html is not null").join(refs, "host").select("host", F.explode(F.pandas_udf(_filled, "array<struct<slot int, text long>>", F.PandasUDFType.SCALAR)("html", "ref")).alias("s"))
     same = filled.groupBy("host", "s.slot", "s.text").agg(F.count(F.lit(1)).alias("n"))
     slots = same.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"))
-    constant = slots.where((F.col("pages") >= rules.min_pages) & (F.col("most") >= rules.constant_share * F.col("pages"))).groupBy("host").agg(F.collect_list("slot").alias("constant"))
-    return cut(refs.join(constant, "host", "left"))
+    same = F.col("most") >= rules.constant_share * F.col("pages")
+    known = slots.where(F.col("pages") >= rules.min_pages).groupBy("host").agg(F.collect_list(F.when(same, F.col("slot"))).alias("constant"), F.collect_list(F.when(~same, F.col("slot"))).alias("varying"))
+    return cut(refs.join(known, "host", "left"))
 
 
 def extract_pages(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> DataFrame:
     """page_id, url, text, n_chars, one row per row of pages.
 
-    text: the blocks of the article joined by two line feeds; empty for null or empty html and for pages
+    text: the blocks of the article, without the host's template, joined by two line feeds; empty for null or empty html and for pages
     without content. Pages without host, or with a null url, share the host "". Repeated rows are extracted
     each; other columns aren't read.
     """
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
     joined = pages.join(induce_wrappers(pages.select("host", "html"), rules), "host", "left")
-    text = F.pandas_udf(_extracted, "string", F.PandasUDFType.SCALAR)("html", "ref", "constant")
+    text = F.pandas_udf(_extracted, "string", F.PandasUDFType.SCALAR)("html", "ref", "constant", "varying")
     out = joined.select("page_id", "url", text.alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

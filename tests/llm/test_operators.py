@@ -232,6 +232,15 @@ def test_pages(spark):
     assert all(got[k] == f"Body {k} text" for k in range(10, 20))
 
 
+def test_template_inside_articles(spark):
+    same = "<body class='has-sidebar'><div class='layout-sidebar'><article class='post has-banner'><h1>Head {k}</h1><p>Tell your friends today</p><div class='{c}'><p>Body number {k} of this host</p></div><div class='comments'><p>A much longer reply by reader {k}, which is not the content</p></div></article></div></body>"
+    pages = [(k, f"http://h{j}.org/{k}", same.format(k=k, c=c)) for j, c in enumerate(("no-comments", "promo")) for k in range(10 * j, 10 * j + 6)]
+    pages += [(30, "http://one.org/1", "<div class='related'><article>Other</article></div><article class='post share'>Own <p>text</p></article>")]
+    got = dict(rows(html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "text"))
+    assert got.pop(30) == "Own\n\ntext"
+    assert got == {k: f"Head {k}\n\nBody number {k} of this host" for k in got}
+
+
 def test_tree_matching_is_largest():
     a, b = html_extract.parse("<div><p>1</p><ul><li>2</li></ul><p>3</p></div>"), html_extract.reference("<div><ul><li>x</li></ul><p>y</p></div>")
     assert [(n.text, s) for s, n in sorted(html_extract.fill_slots(a, b), key=lambda x: x[0])] == [("2", 0), ("3", 1)]
