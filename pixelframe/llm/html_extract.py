@@ -1,6 +1,7 @@
 """HTML extraction by wrapper induction.
 
-Pages of a host are aligned with a reference page of it by simple tree matching. A text slot of the
+Pages of a host are aligned with a reference page of it, one for each frequent outline, by simple tree
+matching. A text slot of the
 reference that holds the same text on most pages is template, inside an article too; slots that vary are
 content. An article or main element, where there is one, says where the content is. What the tags mark as
 navigation, forms or the like is never content. What class names mark as such isn't either, unless it holds
@@ -40,17 +41,22 @@ MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>
 
 @dataclass(frozen=True)
 class WrapperRules:
-    """A slot is template if at least min_pages pages fill it and constant_share of them with the same text."""
+    """A slot is template if at least min_pages pages fill it and constant_share of them with the same text.
+
+    Repeated pages and near copies count as one page. An outline has a reference of its own if it has min_pages
+    pages and outline_share of the host's; pages of others are aligned with that of the most frequent outline.
+    """
 
     min_pages: int = 4
     constant_share: float = 0.6
+    outline_share: float = 0.05
 
 
 class Node:
-    __slots__ = ("tag", "marks", "kids", "text", "shape", "slot")
+    __slots__ = ("tag", "marks", "kids", "text", "shape", "height", "slot")
 
     def __init__(self, tag: str, marks: frozenset = frozenset(), text: str = ""):
-        self.tag, self.marks, self.kids, self.text, self.shape, self.slot = tag, marks, [], text, 0, -1
+        self.tag, self.marks, self.kids, self.text, self.shape, self.height, self.slot = tag, marks, [], text, 0, 0, -1
 
 
 def parse(page: str | None) -> Node:
@@ -116,47 +122,54 @@ def _walk(root: Node):
 def _shapes(root: Node) -> None:
     for n in reversed(list(_walk(root))):
         n.shape = hash((n.tag, tuple(k.shape for k in n.kids)))
+        n.height = 1 + max(k.height for k in n.kids) if n.kids else 0
 
 
-def match_trees(a: Node, b: Node, depth: int = 200) -> list[tuple[Node, Node]]:
+def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Simple tree matching: the largest order-keeping alignment of two trees' nodes, as pairs, from their roots down.
 
     Nodes match under matched parents and with the same tag. The size of a match depends on shapes only, so
-    each pair of shapes is solved once. Below depth levels nothing is matched.
+    each pair of shapes is solved once, the lower ones first; depth is not bounded.
     """
+    if a.tag != b.tag:
+        return []
     known: dict[tuple[int, int], int] = {}
 
-    def table(x: Node, y: Node, level: int) -> list[list[int]]:
+    def table(x: Node, y: Node) -> list[list[int]]:
         rows = [[0] * (len(y.kids) + 1)]
         for p in x.kids:
             above, row = rows[-1], [0]
             for j, q in enumerate(y.kids):
                 best = above[j + 1] if above[j + 1] > row[j] else row[j]
                 if p.tag == q.tag:
-                    w = known.get((p.shape, q.shape))
-                    w = above[j] + (size(p, q, level + 1) if w is None else w)
+                    w = above[j] + known[p.shape, q.shape]
                     best = w if w > best else best
                 row.append(best)
             rows.append(row)
         return rows
 
-    def size(x: Node, y: Node, level: int) -> int:
-        key = (x.shape, y.shape)
-        if key not in known:
-            known[key] = 1 + (table(x, y, level)[-1][-1] if x.kids and y.kids and level < depth else 0)
-        return known[key]
-
-    out, todo = [], [(a, b, 0)] if a.tag == b.tag else []
+    pairs = [(a, b)]
+    for x, y in pairs:  # grows as it is read
+        for p in x.kids:
+            for q in y.kids:
+                if p.tag == q.tag and (p.shape, q.shape) not in known:
+                    known[p.shape, q.shape] = 1
+                    if p.kids and q.kids:
+                        pairs.append((p, q))
+    for x, y in sorted(pairs[1:], key=lambda xy: xy[0].height):
+        known[x.shape, y.shape] = 1 + table(x, y)[-1][-1]
+
+    out, todo = [], [(a, b)]
     while todo:
-        x, y, level = todo.pop()
+        x, y = todo.pop()
         out.append((x, y))
-        if not x.kids or not y.kids or level >= depth:
+        if not x.kids or not y.kids:
             continue
-        rows, i, j = table(x, y, level), len(x.kids), len(y.kids)
+        rows, i, j = table(x, y), len(x.kids), len(y.kids)
         while i and j:
             p, q = x.kids[i - 1], y.kids[j - 1]
-            if p.tag == q.tag and rows[i][j] == rows[i - 1][j - 1] + size(p, q, level + 1):
-                todo.append((p, q, level + 1))
+            if p.tag == q.tag and rows[i][j] == rows[i - 1][j - 1] + known[p.shape, q.shape]:
+                todo.append((p, q))
                 i, j = i - 1, j - 1
             elif rows[i][j] == rows[i - 1][j]:
                 i -= 1
@@ -165,6 +178,22 @@ def match_trees(a: Node, b: Node, depth: int = 200) -> list[tuple[Node, Node]]:
     return out
 
 
+def outline(root: Node, depth: int = 4) -> int:
+    """A hash of which block elements are in which, in the upper levels of a page; how many there are of each doesn't matter."""
+    paths, todo = set(), [(root, "", 0)]
+    while todo:
+        n, path, level = todo.pop()
+        path = f"{path}/{n.tag}.{'.'.join(sorted(n.marks))}"
+        paths.add(path)
+        if level < depth:
+            todo += [(k, path, level + 1) for k in n.kids if k.tag not in INLINE and k.tag not in VOID]
+    return _digest("\n".join(sorted(paths)))
+
+
+def _digest(words: str) -> int:
+    return xxhash.xxh3_64_intdigest(words.encode("utf-8", "surrogatepass")) - 2**63
+
+
 def reference(page: str | None) -> Node:
     """A reference page, its texts numbered as slots."""
     root = parse(page)
@@ -265,6 +294,18 @@ class _References(dict):
         return ref
 
 
+def _outlines(pages: pd.Series) -> pd.Series:
+    return pd.Series([outline(parse(p)) for p in pages], dtype="int64")
+
+
+def _outlines_and_texts(pages: pd.Series) -> pd.DataFrame:
+    rows = []
+    for p in pages:
+        root = parse(p)
+        rows.append((outline(root), list({_digest(w) for w in (" ".join(n.text.split()) for n in _walk(root) if n.tag == "#text") if w})))
+    return pd.DataFrame(rows, columns=["outline", "texts"])
+
+
 def _filled(pages: pd.Series, refs: pd.Series) -> pd.Series:
     known, out = _References(), []
     for p, r in zip(pages, refs):
@@ -272,7 +313,7 @@ def _filled(pages: pd.Series, refs: pd.Series) -> pd.Series:
         for slot, n in fill_slots(parse(p), known[r or ""]):
             words = " ".join(n.text.split())
             if words:
-                slots[slot] = {"slot": slot, "text": xxhash.xxh3_64_intdigest(words.encode("utf-8", "surrogatepass")) - 2**63}
+                slots[slot] = {"slot": slot, "text": _digest(words), "size": len(words)}
         out.append(list(slots.values()))
     return pd.Series(out, dtype=object)
 
@@ -290,19 +331,64 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
 
 
-def induce_wrappers(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> DataFrame:
-    """(host, ref, constant, varying): by host, its shortest page (least html on ties) as the reference, and the slots of it that are template, and that aren't though enough pages fill them.
+def with_outline(pages: DataFrame) -> DataFrame:
+    return pages.withColumn("outline", F.pandas_udf(_outlines, "long", F.PandasUDFType.SCALAR)("html"))
+
 
-    pages: host, html. Each page is aligned with one reference, never with the other pages; slots are counted by text hash.
+def _choose_references(pages: DataFrame, rules: WrapperRules) -> tuple[DataFrame, DataFrame]:
+    """(host, outline, ref_outline), and (host, ref_outline, ref): the page with the most texts that recur on pages of its outline, the one with the fewest texts on ties."""
+    sign = F.pandas_udf(_outlines_and_texts, "outline long, texts array<long>", F.PandasUDFType.SCALAR)
+    signed = pages.select("host", F.xxhash64("html").alias("page"), sign("html").alias("s")).groupBy("host", "page").agg(F.first("s").alias("s"))
+    signed = cut(signed.select("host", "page", "s.outline", "s.texts"))
+    outlines = signed.groupBy("host", "outline").agg(F.count(F.lit(1)).alias("n"))
+    hosts = outlines.groupBy("host").agg(F.sum("n").alias("all"), F.max(F.struct("n", "outline")).alias("top"))
+    outlines = outlines.join(hosts, "host").withColumn("frequent", (F.col("outline") == F.col("top.outline")) | (F.col("n") >= rules.min_pages) & (F.col("n") >= rules.outline_share * F.col("all")))
+    outlines = cut(outlines.select("host", "outline", "n", F.when(F.col("frequent"), F.col("outline")).otherwise(F.col("top.outline")).alias("ref_outline")).where("outline is not null"))
+    own = signed.join(outlines.where("outline = ref_outline").select("host", "outline", "n"), ["host", "outline"])
+    texts = own.select("host", "outline", "page", "n", F.explode("texts").alias("text"))
+    common = texts.groupBy("host", "outline", "text", "n").agg(F.count(F.lit(1)).alias("k")).where((F.col("k") >= rules.min_pages) & (F.col("k") >= rules.constant_share * F.col("n"))).select("host", "outline", "text")
+    score = texts.join(common, ["host", "outline", "text"]).groupBy("host", "outline", "page").agg(F.count(F.lit(1)).alias("score"))
+    best = own.join(score, ["host", "outline", "page"], "left").groupBy("host", F.col("outline").alias("ref_outline")).agg(F.max_by("page", F.struct(F.coalesce("score", F.lit(0)), -F.size("texts"), "page")).alias("page"))
+    refs = pages.withColumn("page", F.xxhash64("html")).join(best, ["host", "page"]).groupBy("host", "ref_outline").agg(F.min("html").alias("ref"))
+    return outlines.drop("n"), cut(refs)
+
+
+def _page_keys(filled: DataFrame) -> DataFrame:
+    """(host, ref_outline, page, key): near copies have the same key.
+
+    Of a page's three longest texts in slots that aren't the same on nearly all pages, the key has the two that
+    recur most. Pages whose own texts are all short, beside what nearly all pages have, share the key 0.
+    """
+    group = ["host", "ref_outline"]
+    same = filled.groupBy(*group, "slot", "text", "size").agg(F.count(F.lit(1)).alias("n"))
+    sure = same.groupBy(*group, "slot").agg(F.sum("n").alias("pages"), F.max(F.struct("n", "size")).alias("most")).where("most.n >= 0.95 * pages")
+    longest = sure.groupBy(*group).agg(F.max("most.size").alias("longest"))
+    own = filled.join(sure.select(*group, "slot"), [*group, "slot"], "left_anti").join(same.select(*group, "slot", "text", "n"), [*group, "slot", "text"])
+    own = own.groupBy(*group, "page").agg(F.slice(F.sort_array(F.collect_list(F.struct("size", "n", "text")), False), 1, 3).alias("top"))
+    own = own.join(longest, group, "left").where(10 * F.get("top", F.lit(0))["size"] >= F.coalesce("longest", F.lit(0)))
+    two = F.slice(F.sort_array(F.transform("top", lambda t: F.struct(t["n"].alias("n"), t["text"].alias("text"))), False), 1, 2)
+    return own.select(*group, "page", F.xxhash64(F.transform(two, lambda t: t["text"])).alias("key"))
+
+
+def induce_wrappers(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> tuple[DataFrame, DataFrame]:
+    """(host, outline, ref_outline), and (host, ref_outline, ref, constant, varying): a reference, the slots of it that are template, and those that aren't though enough pages fill them.
+
+    pages: host, html. Each page is aligned with one reference, never with the other pages; slots are counted
+    by text hash, over distinct pages, near copies as one. Blank pages don't count.
     """
-    refs = pages.where("html is not null").groupBy("host").agg(F.min(F.struct(F.length("html").alias("n"), "html")).alias("r")).select("host", F.col("r.html").alias("ref"))
-    refs = cut(refs)
-    filled = pages.where("html is not null").join(refs, "host").select("host", F.explode(F.pandas_udf(_filled, "array<struct<slot int, text long>>", F.PandasUDFType.SCALAR)("html", "ref")).alias("s"))
-    same = filled.groupBy("host", "s.slot", "s.text").agg(F.count(F.lit(1)).alias("n"))
-    slots = same.groupBy("host", "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"))
+    group = ["host", "ref_outline"]
+    pages = pages.where(F.col("html").rlike(r"\S"))
+    outlines, refs = _choose_references(pages, rules)
+    fill = F.pandas_udf(_filled, "array<struct<slot int, text long, size int>>", F.PandasUDFType.SCALAR)
+    aligned = with_outline(pages).join(outlines, ["host", "outline"]).join(refs, group)
+    filled = aligned.select(*group, F.xxhash64("html").alias("page"), fill("html", "ref").alias("slots")).groupBy(*group, "page").agg(F.first("slots").alias("slots"))
+    filled = cut(filled.select(*group, "page", F.explode("slots").alias("s")).select(*group, "page", "s.*"))
+    keyed = filled.join(_page_keys(filled), [*group, "page"], "left").select(*group, "slot", "text", F.coalesce("key", F.lit(0)).alias("key")).distinct()
+    same = keyed.groupBy(*group, "slot", "text").agg(F.count(F.lit(1)).alias("n"))
+    slots = same.groupBy(*group, "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"))
     same = F.col("most") >= rules.constant_share * F.col("pages")
-    known = slots.where(F.col("pages") >= rules.min_pages).groupBy("host").agg(F.collect_list(F.when(same, F.col("slot"))).alias("constant"), F.collect_list(F.when(~same, F.col("slot"))).alias("varying"))
-    return cut(refs.join(known, "host", "left"))
+    known = slots.where(F.col("pages") >= rules.min_pages).groupBy(*group).agg(F.collect_list(F.when(same, F.col("slot"))).alias("constant"), F.collect_list(F.when(~same, F.col("slot"))).alias("varying"))
+    return outlines, cut(refs.join(known, group, "left"))
 
 
 def extract_pages(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> DataFrame:
@@ -314,7 +400,8 @@ def extract_pages(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> Dat
     """
     small_batches(pages.sparkSession)
     pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    joined = pages.join(induce_wrappers(pages.select("host", "html"), rules), "host", "left")
+    outlines, wrappers = induce_wrappers(pages.select("host", "html"), rules)
+    joined = with_outline(pages).join(outlines, ["host", "outline"], "left").join(wrappers, ["host", "ref_outline"], "left")
     text = F.pandas_udf(_extracted, "string", F.PandasUDFType.SCALAR)("html", "ref", "constant", "varying")
     out = joined.select("page_id", "url", text.alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))

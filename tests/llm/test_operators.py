@@ -241,6 +241,33 @@ def test_template_inside_articles(spark):
     assert got == {k: f"Head {k}\n\nBody number {k} of this host" for k in got}
 
 
+def test_references_of_hosts(spark):
+    page = "<body><div>Menu of {h}</div><section>{body}</section><div>All rights reserved by {h}</div></body>"
+    para = lambda *k: "".join(f"<p>Paragraph {i} of page {k} says what no other page says</p>" for i in range(3))
+    want, pages = {}, []
+
+    def add(h, text, body):
+        pages.append((len(pages), f"http://{h}/{len(pages)}", text))
+        want[len(pages) - 1] = "\n\n".join(re.findall("<p>(.*?)</p>", body))
+
+    for k in range(8):  # a stub and a blank page are the shortest
+        add("stub", page.format(h="stub", body=para(k)), para(k))
+    add("stub", "<p>Moved</p>", "<p>Moved</p>")
+    add("stub", "", "")
+    for _ in range(5):  # one page, repeated
+        add("same", page.format(h="same", body=para(0)), f"<p>Menu of same</p>{para(0)}<p>All rights reserved by same</p>")
+    for k in range(20):  # 12 of 20 are near copies
+        copy = para(min(k, 8) if k < 8 else "copy") + f"<p>Seen {k} times</p>"
+        add("near", page.format(h="near", body=copy), copy)
+    got = dict(rows(html_extract.extract_pages(spark.createDataFrame(pages, "page_id long, url string, html string")), "page_id", "text"))
+    assert got == want
+
+
+def test_deep_trees_match():
+    a, b = html_extract.parse("<b>" * 3000 + "<i>x</i>"), html_extract.reference("<b>" * 3000 + "<i>y</i>")
+    assert [(n.text, s) for s, n in html_extract.fill_slots(a, b)] == [("x", 0)]
+
+
 def test_tree_matching_is_largest():
     a, b = html_extract.parse("<div><p>1</p><ul><li>2</li></ul><p>3</p></div>"), html_extract.reference("<div><ul><li>x</li></ul><p>y</p></div>")
     assert [(n.text, s) for s, n in sorted(html_extract.fill_slots(a, b), key=lambda x: x[0])] == [("2", 0), ("3", 1)]
