@@ -27,16 +27,14 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 class NearDup:
     """Shingles of words words; links from similarity_pct. A pair just at 85 % is missed with a chance of (1 - .85^8)^36, about 1 in 100,000.
 
-    Two sketches of 256 bits, one to a bin, differ in 19 bits on average at 85 %, with a deviation of 4.2; pairs
-    that differ in more than sketch_bits (5.5 deviations more) aren't compared in full. That keeps documents
-    apart which only share a common passage and so meet in its buckets.
+    Pairs that meet in a bucket are compared in full, unless the sizes of their sets, or what others share with
+    them, rule a link out.
     """
 
     words: int = 3
     similarity_pct: int = 85
     bands: int = 36
     rows: int = 8
-    sketch_bits: int = 42
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -71,8 +69,8 @@ def _orders(bins: int) -> np.ndarray:
     return np.argsort(_mix(np.arange(bins * bins, dtype=np.uint64) + np.uint64(1)).reshape(bins, bins), axis=1)
 
 
-def band_keys(shingles: np.ndarray, p: NearDup, orders: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(a key for each band, the sketch as four longs) of a set that isn't empty."""
+def band_keys(shingles: np.ndarray, p: NearDup, orders: np.ndarray) -> np.ndarray:
+    """A key for each band of a set that isn't empty."""
     bins = p.bands * p.rows
     at = ((shingles >> np.uint64(32)) * np.uint64(bins)) >> np.uint64(32)
     full, first = np.unique(at, return_index=True)  # shingles ascend, and so do their bins: the first is a bin's minimum
@@ -90,18 +88,17 @@ def band_keys(shingles: np.ndarray, p: NearDup, orders: np.ndarray) -> tuple[np.
     key = np.arange(p.bands, dtype=np.uint64)
     for k in range(p.rows):
         key = _mix(key * ODD[k % 5] + signature[k :: p.rows])
-    bits = np.packbits((_mix(signature[:256]) & np.uint64(1)).astype(np.uint8))
-    return key.view(np.int64), bits.view(np.int64)
+    return key.view(np.int64)
 
 
 def _signer(p: NearDup):
-    @F.pandas_udf("n_shingles long, set_id binary, bands array<long>, sketch array<long>")
+    @F.pandas_udf("n_shingles long, set_id binary, bands array<long>")
     def sign(texts: pd.Series) -> pd.DataFrame:
         hashes, orders, rows = _WordHashes(), _orders(p.bands * p.rows), []
         for t in texts:
             s = shingle_set(t, hashes, p.words)
-            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), *band_keys(s, p, orders)) if len(s) else (0, None, None, None))
-        return pd.DataFrame(rows, columns=["n_shingles", "set_id", "bands", "sketch"])
+            rows.append((len(s), xxhash.xxh3_128_digest(s.tobytes()), band_keys(s, p, orders)) if len(s) else (0, None, None))
+        return pd.DataFrame(rows, columns=["n_shingles", "set_id", "bands"])
 
     return sign
 
@@ -145,8 +142,8 @@ def _without_own(members: DataFrame, active: DataFrame, full: DataFrame, p: Near
 
 def link_nodes(docs: DataFrame, signed: DataFrame, p: NearDup) -> DataFrame:
     """(set_id, label) of the sets in buckets with others; label: the least set of the component."""
-    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"), F.first("sketch").alias("sketch"))
-    banded = sets.select("set_id", "size", "sketch", F.explode("bands").alias("bucket"))
+    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
+    banded = sets.select("set_id", "size", F.explode("bands").alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     members = banded.join(shared, "bucket")
     members = cut(members.withColumn("common", F.col("size")).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("set_id")) - 1))
@@ -165,11 +162,9 @@ def link_nodes(docs: DataFrame, signed: DataFrame, p: NearDup) -> DataFrame:
             members = cut(_without_own(members.drop("common"), now.select("set_id").distinct(), full, p))
             now = cut(now.drop("common").join(members.select("bucket", "set_id", "common"), ["bucket", "set_id"]))
         now = now.join(full.select("set_id", "bands"), "set_id")
-        centres = now.where((F.col("rank") >= low) & (F.col("rank") < low + width)).select("bucket", F.col("set_id").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("sketch").alias("ka"), F.col("common").alias("ca"), F.col("bands").alias("ba"))
-        differ = [F.bit_count(F.get("sketch", F.lit(k)).bitwiseXOR(F.get("ka", F.lit(k)))) for k in range(4)]
-        close = differ[0] + differ[1] + differ[2] + differ[3] <= p.sketch_bits
+        centres = now.where((F.col("rank") >= low) & (F.col("rank") < low + width)).select("bucket", F.col("set_id").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("common").alias("ca"), F.col("bands").alias("ba"))
         most = F.least("common", "ca")
-        alike = close & (100 * most >= p.similarity_pct * (F.col("size") + F.col("sa") - most))
+        alike = 100 * most >= p.similarity_pct * (F.col("size") + F.col("sa") - most)
         once = F.get(F.array_intersect("bands", "ba"), F.lit(0)) == F.col("bucket")  # in the first bucket that both are in
         pairs = now.join(centres, "bucket").where((F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la")) & alike & once).select("a", F.col("set_id").alias("b"), "la", F.col("label").alias("lb")).distinct()
         pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
@@ -196,7 +191,7 @@ def find_near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(labels.toDF("set_id", "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
     least = sets.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = sets.join(least, "label").select("set_id", "component_id")
-    out = signed.drop("bands", "sketch").join(by_set, "set_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = signed.drop("bands").join(by_set, "set_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 

@@ -210,6 +210,12 @@ def test_near_duplicates(docs, none):
     assert minhash_dedup.find_near_duplicates(none).count() == 0
 
 
+def test_short_near_copies(spark):
+    data = [(2 * k + j, " ".join(f"{k}-{i}" for i in range(8 + j)), "en", "s", 1) for k in range(1500) for j in (0, 1)]  # 6 of 7 shingles shared
+    out = minhash_dedup.find_near_duplicates(spark.createDataFrame(data, SCHEMA))
+    assert out.where("component_id <> doc_id - doc_id % 2").count() == 0
+
+
 def test_licenses(docs, none):
     got = dict(rows(license_scan.license_digest(docs), "doc_id", "licenses"))
     assert got[15] == "CC-BY-NC-4.0,MIT" and got[3] == "" and license_scan.license_digest(none).count() == 0
