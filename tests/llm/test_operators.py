@@ -291,3 +291,14 @@ def test_pipeline(spark, tmp_path):
     # 10 and 12 repeat documents 0 and 1, 11 and 13 are too short, 5 holds the benchmark.
     assert sorted(r.doc_id for r in out.collect()) == [0, 1, 2, 3, 4]
     assert all(r.n_ids == len(r.ids) > 0 for r in out.collect())
+
+
+def test_pipeline_drops_copies_with_a_tail(spark):
+    import corpus_pipeline
+
+    words = [f"v{k}" for k in range(400)]
+    few = words[200:300]
+    some = [f"e{k}" if k in (15, 50) else w for k, w in enumerate(words[300:380])]  # 2 edits in 80 words: three-word shingles only
+    data = [(1, " ".join(words[:100])), (2, " ".join(words[:122])), (3, " ".join(few)), (4, " ".join(words[300:380])), (5, " ".join(some)), (None, " ".join(words[:100]))]
+    out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(*d, "en", "s", 1) for d in data], SCHEMA), "")
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
