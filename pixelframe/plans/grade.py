@@ -95,7 +95,11 @@ def layer_stack(df: DataFrame, masks: DataFrame, layers: list[dict]) -> DataFram
             continue
         m = F.col(f"_m_{x['layer']}")
         own, full = color.effect_mask(m, x["layer"], "blend"), color.composite_mask(m, x["layer"], x.get("mode", "normal"), x.get("opacity", 1.0))
-        df = edit_layer(_before(df), {k: v for k, v in x["params"].items() if k not in ("blur", "clarity")})
+        if x["params"].get("blur") or x["params"].get("clarity"):
+            edited = edit_layer(df.select(*PLACE, "r", "g", "b"), x["params"]).select(*PLACE, "r", "g", "b")
+            df = df.withColumnsRenamed({c: f"_{c}" for c in "rgb"}).join(edited, PLACE)
+        else:
+            df = edit_layer(_before(df), x["params"])
         df = df.withColumns({c: clip(F.col(f"_{c}") * (1 - own) + F.col(c) * own) for c in "rgb"})
         df = df.withColumns({c: clip(F.col(f"_{c}") * (1 - full) + color.blend(F.col(f"_{c}"), F.col(c), x.get("mode", "normal")) * full) for c in "rgb"}).drop("_r", "_g", "_b")
     return df.select(*PLACE, "r", "g", "b")
