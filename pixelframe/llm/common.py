@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pixelframe.sources.shared import cut
+
 #: Rows in one Arrow batch to Python. Documents can be long, so the engine's default of 10,000 is too many.
 ARROW_ROWS = 256
 
@@ -23,21 +24,22 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(ARROW_ROWS))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where it is unset (tests)."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        path = tempfile.mkdtemp(prefix="spark-pixelframe-")
-        spark.sparkContext.setCheckpointDir(path)
-    return path
+def spare_name(df: DataFrame, name: str) -> str:
+    """name, with as many underscores in front as it takes to be none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
 
+def sharing(rows: DataFrame, key: str, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows joined by key with groups(rows), which aggregates by key and keeps the groups wanted.
 
-def cut(df: DataFrame) -> DataFrame:
-    """df written as Parquet in the shared folder and read back: its lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    Rows are dealt by key once, for the aggregate and for the join, and only the groups kept are hashed: rows
+    are neither sorted nor gathered, however many share a key.
+    """
+    dealt = rows.repartition(key)
+    return dealt.join(groups(dealt).hint("shuffle_hash"), key)
 
 
 def smallest_labels(edges: DataFrame, ids: str = "long") -> DataFrame:

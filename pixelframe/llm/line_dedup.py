@@ -3,6 +3,9 @@
 A line is cut into max_edits + 1 segments. Two lines within max_edits edits share at least one of them, at
 nearly the same place: each line looks up its substrings, for every shorter length and segment, in an index
 of segments by (length, number, text). A banded bit-parallel edit distance verifies what is found.
+
+Any other max_edits + 1 disjoint pieces of a line would do as well as its segments. So lines that meet in a
+segment of very many lines are joined anew, by the rarest short pieces of each line in place of its segments.
 """
 
 from __future__ import annotations
@@ -12,12 +15,25 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut
+from pixelframe.functions.color import let
+from pixelframe.llm.common import cut, sharing
+
+#: A segment of more lines than this is hot.
+HOT = 32
+#: Copies of a line beyond this share of all lines are left out of the index; fewer than 1 / HOT_COPIES lines have as many.
+HOT_COPIES = 1e-4
+#: Rows that may be broadcast.
+BROADCAST_ROWS = 250_000
+#: Code points that the verification reads before it looks whether a pair is lost already.
+CHUNK = 32
+#: Letters by class, for the bound by letter counts.
+CLASSES = ("aiqy", "bjrz", "cks", "dlt", "emu", "fnv", "gow", "hpx")
+WORD = r"[^\x20\x09-\x0D]"
 
 
 @dataclass(frozen=True)
 class LineRules:
-    """Lines of at least min_chars code points take part; lines within max_edits edits are duplicates."""
+    """Lines of at least min_chars code points that are within max_edits edits are duplicates."""
 
     max_edits: int = 2
     min_chars: int = 20
@@ -27,144 +43,238 @@ class LineRules:
             raise ValueError("0 <= max_edits <= 30 and min_chars > max_edits are required")
 
 
-def _segment(length: Column, i: int, parts: int) -> tuple[Column, Column]:
-    """0-based start and length of segment i of a line of length code points; the last segments are the longer ones."""
-    short = F.call_function("div", length, F.lit(parts)).cast("int")
-    spare = parts - F.pmod(length, F.lit(parts)).cast("int")
-    return i * short + F.greatest(F.lit(0), i - spare), short + F.when(spare <= i, 1).otherwise(0)
-
-
-def _key(text: Column, length: Column, i: int, at: Column, n: Column) -> Column:
-    return F.xxhash64(length, F.lit(i), F.substring(text, at + 1, n))
+def _div(x: Column, by: int) -> Column:
+    return F.call_function("div", x, F.lit(by)).cast("int")
 
 
-def _index_keys(text: Column, length: Column, rules: LineRules) -> Column:
-    """The hashes of a line's segments, by (length, number, text)."""
-    parts = rules.max_edits + 1
-    return F.array(*[_key(text, length, i, *_segment(length, i, parts)) for i in range(parts)])
+def _lookups(rules: LineRules) -> Column:
+    """What each line looks up: segment i of lines that are shorter by less, at its place there plus move.
 
+    Segment i (from 0) can only match at places that leave both what stands before and what stands after it
+    within the edits that the other segments may have. Lookups with less and move 0 are the line's own segments.
+    """
+    t = rules.max_edits
+    found = [(i, d, move) for i in range(t + 1) for d in range(t + 1) for move in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1)]
+    return F.array(*[F.struct(F.lit(i).alias("i"), F.lit(d).alias("less"), F.lit(m).alias("move")) for i, d, m in found])
 
-def _probe_keys(text: Column, length: Column, rules: LineRules) -> Column:
-    """The hashes of the substrings that a line looks up; null for places outside the line.
 
-    For an indexed length shorter by d, segment i (from 0) can only match at places that leave both what
-    stands before and what stands after it within the edits that the other segments may have.
-    """
-    t, found = rules.max_edits, []
-    for i in range(t + 1):
-        for d in range(t + 1):
-            at, n = _segment(length - d, i, t + 1)
-            for move in range(max(-i, d - (t - i)), min(i, d + (t - i)) + 1):
-                inside = (at + move >= 0) & (at + move + n <= length) & (length - d >= rules.min_chars)
-                found.append(F.when(inside, _key(text, length - d, i, at + move, n)))
-    return F.array(*found)
+def _keys(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """(key, h, own) of lines (h, n, line): the hashes of what each looks up, own being 1 for its own segments."""
+    parts = rules.max_edits + 1
+    each = lines.select("h", "n", "line", F.explode(_lookups(rules)).alias("k")).withColumn("m", F.col("n") - F.col("k.less"))
+    short, spare = _div(F.col("m"), parts), parts - F.pmod("m", F.lit(parts)).cast("int")  # the last segments are the longer ones
+    at = F.col("k.i") * short + F.greatest(F.lit(0), F.col("k.i") - spare) + F.col("k.move")
+    each = each.withColumn("at", at).withColumn("size", short + F.when(spare <= F.col("k.i"), 1).otherwise(0))
+    each = each.where((F.col("m") >= rules.min_chars) & (F.col("at") >= 0) & (F.col("at") + F.col("size") <= F.col("n")))
+    own = ((F.col("k.less") == 0) & (F.col("k.move") == 0)).cast("byte")
+    return each.select(F.xxhash64("m", "k.i", F.substring("line", F.col("at") + 1, F.col("size"))).alias("key"), "h", own.alias("own"))
 
 
-def let(value: Column, f) -> Column:
-    """f of a value that is computed once, however often f uses it."""
-    return F.element_at(F.transform(F.array(value), f), 1)
+def _shared_prefix(a: Column, b: Column, most: Column, reverse: bool = False) -> Column:
+    """A number of code points, at most most, in which a and b begin (reverse: end) alike; found by halving steps."""
+    steps = F.array(*[F.lit(1 << k) for k in range(20, -1, -1)])
+    part = lambda s, at, n: F.substring(s, F.char_length(s) - at - n + 1 if reverse else at + 1, n)
+    return F.aggregate(steps, F.lit(0), lambda at, n: at + F.when((at + n <= most) & (part(a, at, n) == part(b, at, n)), n).otherwise(0))
 
 
 def edit_distance_at_most(a: Column, b: Column, most: int) -> Column:
     """Whether two strings are within most (at most 30) edits; null if one is null.
 
-    The band of 2 * most + 1 diagonals is one long of vertical differences per character of b, advanced
-    by bit operations; the score runs down the band's lower edge and then along a's last row.
+    What both begin and end with is taken off. The band of 2 * most + 1 diagonals is one long of vertical
+    differences per character of b, advanced by bit operations; the score runs down the band's lower edge and
+    then along a's last row. It never falls on the edge, and by one a character at most in the row, so a pair
+    that is too far off ends with the chunk in which that shows.
     """
     width = 2 * most + 1
-    full, one = (1 << width) - 1, F.lit(1).cast("long")
+    full, one, zero = (1 << width) - 1, F.lit(1).cast("long"), F.lit(0).cast("long")
     bit = lambda x, k: F.call_function("shiftright", x, k).bitwiseAND(one)
 
-    def distance(given: Column) -> Column:
-        p, m = given.p, given.m
-
-        def matches(c: Column, j: Column) -> Column:
-            out = F.lit(0).cast("long")
-            for k in range(width):
-                out = out + F.when(F.get(p, j + (k - most)) == c, F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
-            return out
-
-        def advance(s: Column, match: Column, j: Column) -> Column:
-            def vertical(x: Column) -> Column:
-                d0 = x.d0
-                hp = s.vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(s.vp))).bitwiseAND(F.lit(full))
-                return F.struct(d0.alias("d0"), hp.alias("hp"), d0.bitwiseAND(s.vp).alias("hn"))
-
-            def slide(x: Column) -> Column:
-                row = F.greatest(F.lit(0), 2 * most - 1 - (j - (m - most))).cast("int")
-                score = s.score + F.when(j < m - most, one - bit(x.d0, F.lit(2 * most))).otherwise(bit(x.hp, row) - bit(x.hn, row))
-                low = F.shiftright(x.d0, 1)
-                vp = x.hn.bitwiseOR(F.bitwise_not(low.bitwiseOR(x.hp))).bitwiseAND(F.lit(full))
-                return F.struct(vp.alias("vp"), low.bitwiseAND(x.hp).alias("vn"), score.alias("score"))
-
-            d0 = (((match.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp)).bitwiseOR(match).bitwiseOR(s.vn)).bitwiseAND(F.lit(full))
-            return let(let(F.struct(d0.alias("d0")), vertical), slide)
-
-        start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("vp"), F.lit(0).cast("long").alias("vn"), F.lit(most).cast("long").alias("score"))
-        columns = F.transform(given.t, lambda c, j: F.struct(matches(c, j).alias("match"), j.alias("j")))
-        return F.aggregate(columns, start, lambda s, x: advance(s, x.match, x.j), lambda s: s.score)
-
-    m, n = F.char_length(a), F.char_length(b)
-    score = let(F.struct(F.split(a, "").alias("p"), F.split(b, "").alias("t"), m.alias("m")), distance)
-    return F.when(F.abs(m - n) > most, False).when((m <= most) | (n <= most), F.levenshtein(a, b) <= most).otherwise(score <= most)
-
-
-def _lines(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
-
-
-def find_kept_lines(docs: DataFrame, rules: LineRules = LineRules()) -> tuple[DataFrame, DataFrame]:
-    """(first, near): by document, the places of lines that are the first with their text (doc_id, first array<int>);
-    and the first lines (doc_id, pos) that are within max_edits of an earlier first line."""
-    taking = _lines(docs).where(F.char_length("line") >= rules.min_chars)
-    distinct = taking.groupBy(F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")).agg(F.min(F.struct("doc_id", "pos")).alias("at"))
-    first = cut(distinct.groupBy("at.doc_id").agg(F.collect_list("at.pos").alias("first")))
-    pick = docs.join(first.withColumnRenamed("doc_id", "_doc"), F.col("doc_id").eqNullSafe(F.col("_doc")))
-    both = F.struct(F.split("text", "\n", -1).alias("lines"), "first")
-    each = pick.select("doc_id", F.explode(let(both, lambda s: F.transform(s.first, lambda k: F.struct(k.alias("pos"), F.get(s.lines, k).alias("line"))))).alias("x"))
-    texts = cut(each.select("doc_id", "x.*", F.char_length("x.line").alias("n")).dropDuplicates(["doc_id", "pos"]))
-    at = F.struct("doc_id", "pos")
-    index = texts.select(at.alias("a"), F.explode(_index_keys(F.col("line"), F.col("n"), rules)).alias("key"))
-    probes = texts.select(at.alias("b"), F.explode(_probe_keys(F.col("line"), F.col("n"), rules)).alias("key")).where("key IS NOT NULL")
-    pairs = index.join(probes, "key").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = cut(pairs)
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("at")).distinct().select("at.*")
-    same = lambda x, y: F.col(f"{x}.doc_id").eqNullSafe(F.col(f"{y}.doc_id")) & (F.col(f"{x}.pos") == F.col(f"{y}.pos"))
-    some = cut(texts.alias("t").join(ends.alias("e"), same("t", "e"), "left_semi").select(at.alias("at"), "line"))
-    x = pairs.join(some.toDF("_a", "x"), F.col("a").eqNullSafe(F.col("_a")))
-    xy = x.join(some.toDF("_b", "y"), F.col("b").eqNullSafe(F.col("_b")))
-    near = xy.where(edit_distance_at_most(F.col("x"), F.col("y"), rules.max_edits)).select("b.*").distinct()
-    return first, near
+    def matches(p: Column, c: Column, j: Column) -> Column:
+        out = zero
+        for k in range(width):
+            out = out + F.when(F.get(p, j + (k - most)) == c, F.lit(1 << k).cast("long")).otherwise(zero)
+        return out
 
+    def advance(s: Column, match: Column, j: Column, m: Column) -> Column:
+        def vertical(x: Column) -> Column:
+            d0 = x.d0
+            hp = s.vn.bitwiseOR(F.bitwise_not(d0.bitwiseOR(s.vp))).bitwiseAND(F.lit(full))
+            return F.struct(d0.alias("d0"), hp.alias("hp"), d0.bitwiseAND(s.vp).alias("hn"))
 
-def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """docs with its text less the duplicate lines, and n_lines, n_exact, n_near in place of columns of these names.
+        def slide(x: Column) -> Column:
+            row = F.greatest(F.lit(0), 2 * most - 1 - (j - (m - most))).cast("int")
+            score = s.score + F.when(j < m - most, one - bit(x.d0, F.lit(2 * most))).otherwise(bit(x.hp, row) - bit(x.hn, row))
+            low = F.shiftright(x.d0, 1)
+            vp = x.hn.bitwiseOR(F.bitwise_not(low.bitwiseOR(x.hp))).bitwiseAND(F.lit(full))
+            return F.struct(vp.alias("vp"), low.bitwiseAND(x.hp).alias("vn"), score.alias("score"))
+
+        d0 = (((match.bitwiseAND(s.vp) + s.vp).bitwiseXOR(s.vp)).bitwiseOR(match).bitwiseOR(s.vn)).bitwiseAND(F.lit(full))
+        return let(let(F.struct(d0.alias("d0")), vertical), slide)
+
+    def distance(x: Column) -> Column:
+        m, n = F.size(x.p), F.size(x.t)
+        start = F.struct(F.lit(((1 << (most + 1)) - 1) << most).cast("long").alias("vp"), zero.alias("vn"), F.lit(most).cast("long").alias("score"))
+
+        def chunk(s: Column, c: Column) -> Column:
+            columns = F.sequence(c, F.least(c + CHUNK, n) - 1)
+            return F.when(s.score > n - m + 2 * most, s).otherwise(F.aggregate(columns, s, lambda v, j: advance(v, matches(x.p, F.get(x.t, j), j), j, m)))
+
+        return F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(CHUNK)), start, chunk, lambda s: s.score)
+
+    def core(x: Column) -> Column:
+        m, n = F.char_length(x.a), F.char_length(x.b)
+        score = let(F.struct(F.split(x.a, "").alias("p"), F.split(x.b, "").alias("t")), distance)
+        return F.when((m <= most) | (n <= most), F.levenshtein(x.a, x.b) <= most).otherwise(score <= most)
+
+    def ends(x: Column) -> Column:
+        take = lambda s: F.substring(s, x.head + 1, F.char_length(s) - x.head - x.tail)
+        return let(F.struct(take(a).alias("a"), take(b).alias("b")), core)
 
-    A line is one of the pieces between line feeds. One of min_chars code points or more goes if the same
-    line stands earlier, by (doc_id, place), or if its first occurrence is within max_edits edits of a line
-    that first occurs earlier, whether that one stays or not. Shorter lines stay. A null text stays null,
-    with 0 lines; an empty text is one empty line. Rows that repeat a doc_id count as one document and lose
-    the same lines; a null id comes before all others.
+    shorter = F.least(F.char_length(a), F.char_length(b))
+    tail = lambda x: F.struct(x.head.alias("head"), _shared_prefix(a, b, shorter - x.head, True).alias("tail"))
+    near = let(let(F.struct(_shared_prefix(a, b, shorter).alias("head")), tail), ends)
+    return F.when(F.abs(F.char_length(a) - F.char_length(b)) > most, False).when(a.isNotNull() & b.isNotNull(), near)
+
+
+def _letters(line: Column) -> Column:
+    """How many letters of each class a line has, modulo 256, in one long."""
+    low, out = F.lower(line), F.lit(0).cast("long")
+    for k, letters in enumerate(CLASSES):
+        n = F.char_length(low) - F.char_length(F.translate(low, letters, ""))
+        out = out.bitwiseOR(F.shiftleft(F.pmod(n, F.lit(256)).cast("long"), 8 * k))
+    return out
+
+
+def _letters_apart(x: Column, y: Column) -> Column:
+    """By how many letters two lines differ at least; an edit makes it 2 at most."""
+    out = F.lit(0).cast("long")
+    for k in range(len(CLASSES)):
+        d = F.pmod(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255)) - F.shiftright(y, 8 * k).bitwiseAND(F.lit(255)), F.lit(256))
+        out = out + F.least(d, 256 - d)
+    return out
+
+
+def _rare_piece_pairs(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """Pairs (a, b) of lines (h, n, line), among them all within max_edits edits, by the rarest pieces of each line.
+
+    Each line has max_edits + 1 disjoint pieces of up to three code points in the index, and looks up all of
+    its pieces. So lines that are alike but for changes of their own aren't paired for what all of them share.
     """
-    slim = docs.select("doc_id", "text")
-    first, near = find_kept_lines(slim, rules)
-    gone = near.groupBy("doc_id").agg(F.collect_list("pos").alias("near"))
-    plan = first.alias("f").join(gone.alias("g"), F.col("f.doc_id").eqNullSafe(F.col("g.doc_id")), "left").select(F.col("f.doc_id").alias("_doc"), F.col("first").alias("_first"), F.coalesce("near", F.array().cast("array<int>")).alias("_near"))
-    out = docs.drop("n_lines", "n_exact", "n_near").join(plan, F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    t, span = rules.max_edits, 4 * rules.max_edits + 4
+    size = lambda n: F.greatest(F.lit(1), F.least(F.lit(3), _div(n, 2 * (t + 1))))  # noqa: E731  choosing t of them leaves room for another
+    chars = lines.select("h", "n", _letters(F.col("line")).alias("letters"), F.split("line", "").alias("c"))
+    sizes = F.array_distinct(F.array(*[size(F.col("n") + d) for d in range(-t, t + 1)]))
+    pieces = chars.select("h", "n", "letters", "c", F.explode(sizes).alias("q")).select("h", "n", "letters", "q", F.posexplode(F.arrays_zip("c", F.slice("c", 2, F.size("c")).alias("d"), F.slice("c", 3, F.size("c")).alias("e"))).alias("at", "p"))
+    piece = F.xxhash64("q", "p.c", F.when(F.col("q") > 1, F.col("p.d")), F.when(F.col("q") > 2, F.col("p.e")))
+    pieces = pieces.where(F.col("at") + F.col("q") <= F.col("n")).select("h", "n", "letters", "q", "at", piece.alias("piece"))
+    places = F.sequence(_div(F.greatest(F.lit(0), F.col("at") - t), span), _div(F.col("at") + t, span))
+    looked = pieces.select("h", "n", "letters", "at", "piece", F.explode(places).alias("place")).select("h", "n", "letters", "at", F.xxhash64("piece", "place").alias("key"))
+    often = looked.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
+    own = pieces.where(F.col("q") == size(F.col("n"))).select("h", "n", "letters", "q", "at", F.xxhash64("piece", _div(F.col("at"), span)).alias("key"))
+    ranked = own.join(often, "key").groupBy("h", "n", "letters", "q").agg(F.sort_array(F.collect_list(F.struct("k", "at", "key"))).alias("all"))
+
+    def choose(got: Column, x: Column) -> Column:
+        return F.when((F.size(got) > t) | F.exists(got, lambda g: F.abs(g["at"] - x["at"]) < F.col("q")), got).otherwise(F.array_append(got, x))
+
+    none = F.array().cast("array<struct<k:bigint,at:int,key:bigint>>")
+    chosen = ranked.select("h", "n", "letters", F.explode(F.aggregate("all", none, choose)).alias("x"))
+    chosen = chosen.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("letters").alias("la"), F.col("x.at").alias("pa"), F.col("x.key").alias("key"))
+    alike = (F.abs(F.col("n") - F.col("na")) <= t) & (F.abs(F.col("at") - F.col("pa")) <= t) & (_letters_apart(F.col("letters"), F.col("la")) <= 2 * t)
+    met = looked.join(chosen, "key").where((F.col("h") != F.col("a")) & alike)
+    return met.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
+
+
+def _rows(docs: DataFrame) -> DataFrame:
+    """docs (id, version, text) by line: id, version, pos, line."""
+    return docs.select("id", "version", F.posexplode(F.split("text", "\n", -1)).alias("pos", "line"))
+
+
+def _hashes() -> list[Column]:
+    return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has no more than BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def _same_text(x: str, y: str) -> Column:
+    return F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.version") == F.col(f"{y}.version"))
+
+
+def find_repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """By text: id, version, first array<int>, near array<int>: the places of its lines that are the first with their
+    text, and of those that are but are within max_edits edits of an earlier first line. docs: id, version, text."""
+    lines = _rows(docs).where(F.col("line").rlike(WORD))
+    distinct = cut(lines.groupBy(*_hashes()).agg(F.min(F.struct("id", "version", "pos")).alias("at"), F.count(F.lit(1)).alias("n"), F.first(F.char_length("line")).alias("size")))
+    total = distinct.agg(F.sum("n")).first()[0] or 0
+    hot = F.broadcast(distinct.where(F.col("n") > HOT_COPIES * total).select("h", "g", "at"))
+    long = lines.withColumn("n", F.char_length("line")).where(F.col("n") >= rules.min_chars).select("*", *_hashes())
+    # Repeats of the hottest lines; other repeats only meet themselves.
+    long = long.join(hot, ["h", "g"], "left").where(F.col("at").isNull() | F.struct("id", "version", "pos").eqNullSafe(F.col("at")))
+
+    def of_several(keys: DataFrame) -> DataFrame:
+        return keys.groupBy("key", "h").agg(F.max("own").alias("own")).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("k")).where("n > 1 AND k > 0").select("key", "n")
+
+    met = sharing(_keys(long.select("h", "n", "line"), rules), "key", of_several)
+    met = cut(met.groupBy("key", "h", "n").agg(F.max("own").alias("own")))
+    few = met.where(F.col("n") <= HOT)
+    pairs = few.where("own = 1").select("key", F.col("h").alias("a")).join(few.select("key", "h"), "key").where("a <> h")
+    pairs = cut(pairs.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct())
+    many = met.where(F.col("n") > HOT).select("h").distinct()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).union(many).distinct()
+    wanted = cut(distinct.where(F.col("size") >= rules.min_chars).join(wanted, "h", "left_semi").select("h", "at"))
+    places = wanted.groupBy("at.id", "at.version").agg(F.collect_list(F.struct("at.pos", "h")).alias("places"))
+    texts = docs.alias("d").join(_small(places).alias("p"), _same_text("d", "p")).select("d.id", "d.version", "places", "text")
+    taken = lambda x: F.transform(x.places, lambda p: F.struct(p.pos.alias("pos"), p.h.alias("h"), F.get(x.lines, p.pos).alias("line")))
+    texts = texts.select("id", "version", F.explode(let(F.struct("places", F.split("text", "\n", -1).alias("lines")), taken)).alias("x"))
+    texts = cut(texts.select("x.h", F.struct("id", "version", "x.pos").alias("at"), F.char_length("x.line").alias("n"), "x.line").dropDuplicates(["h", "at"]))
+    if not many.isEmpty():
+        rest = _rare_piece_pairs(texts.join(many, "h", "left_semi").select("h", "n", "line"), rules)
+        pairs = cut(pairs.union(rest).distinct())
+    ends = lambda a, at, line: texts.select(F.col("h").alias(a), F.col("at").alias(at), F.col("line").alias(line))
+    both = pairs.join(ends("a", "xat", "x"), "a").join(ends("b", "yat", "y"), "b")
+    near = both.where(edit_distance_at_most(F.col("x"), F.col("y"), rules.max_edits)).select(F.greatest("xat", "yat").alias("at")).distinct()
+    every = distinct.select("at.*", F.lit(False).alias("again")).union(near.select("at.*", F.lit(True)))
+    return every.groupBy("id", "version").agg(F.collect_list(F.when(~F.col("again"), F.col("pos"))).alias("first"), F.collect_list(F.when(F.col("again"), F.col("pos"))).alias("near"))
+
+
+def _judged(docs: DataFrame, rules: LineRules) -> DataFrame:
+    """docs as (row, j): all of a row's columns, and text, n_lines, n_exact, n_near after the dedup; j is null for a null text."""
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"))
+    plan = cut(find_repeated_lines(docs.where("text IS NOT NULL").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"), "text"), rules))
 
     def judged(s: Column) -> Column:
-        places = F.sequence(F.lit(0), F.size(s.lines) - 1)
-        short = F.filter(places, lambda k: F.char_length(F.get(s.lines, k)) < rules.min_chars)
-        kept = F.array_sort(F.concat(short, F.array_except(s.first, s.near)))
-        text = F.array_join(F.transform(kept, lambda k: F.get(s.lines, k)), "\n")
+        blank = F.filter(F.sequence(F.lit(0), F.size(s.lines) - 1), lambda k: ~F.get(s.lines, k).rlike(WORD))
+        kept = F.array_sort(F.concat(blank, F.array_except(s.first, s.near)))
         n = F.size(s.lines)
-        return F.struct(text.alias("text"), n.cast("long").alias("n_lines"), (n - F.size(short) - F.size(s.first)).cast("long").alias("n_exact"), F.size(s.near).cast("long").alias("n_near"))
+        counts = {"n_lines": n, "n_exact": n - F.size(blank) - F.size(s.first), "n_near": F.size(s.near)}
+        text = F.when(F.size(kept) == n, F.array_join(s.lines, "\n")).otherwise(F.array_join(F.transform(kept, lambda k: F.get(s.lines, k)), "\n"))
+        return F.struct(text.alias("text"), *[v.cast("long").alias(k) for k, v in counts.items()])
 
     none = F.array().cast("array<int>")
-    given = F.struct(F.split("text", "\n", -1).alias("lines"), F.coalesce("_first", none).alias("first"), F.coalesce("_near", none).alias("near"))
-    out = out.withColumn("_j", F.when(F.col("text").isNotNull(), let(given, judged)))
-    counts = [F.coalesce(f"_j.{c}", F.lit(0).cast("long")).alias(c) for c in ("n_lines", "n_exact", "n_near")]
-    return out.select(*[F.col("_j.text").alias("text") if c == "text" else F.col(c) for c in docs.columns if c not in ("n_lines", "n_exact", "n_near")], *counts)
+    given = F.struct(F.split("k.row.text", "\n", -1).alias("lines"), F.coalesce("first", none).alias("first"), F.coalesce("near", none).alias("near"))
+    out = keyed.alias("k").join(plan.alias("p"), _same_text("k", "p"), "left")
+    return out.select("row", F.when(F.col("k.row.text").isNotNull(), let(given, judged)).alias("j"))
+
+
+def _columns(docs: DataFrame, without: tuple[str, ...] = ()) -> list[Column]:
+    return [F.col("j.text").alias("text") if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns if c not in without]
+
+
+def dedup_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
+    """docs with its text less the duplicate lines, and n_lines, n_exact, n_near in place of columns of these names.
+
+    A line is one of the pieces between line feeds. A line with a word goes if the same line stands earlier,
+    by (doc_id, text, place), or if it has min_chars code points or more and its first occurrence is within
+    max_edits edits of a line that first occurs earlier, whether that one stays or not. Lines without a word
+    stay. A null text stays null, with 0 lines; an empty text is one empty line. Rows that repeat both doc_id
+    and text count as one document and lose the same lines; rows that repeat a doc_id with other texts are
+    documents of their own, in an order by the text's hash. A null id comes before all others. Texts and lines
+    may be of any length. Other columns may have any name.
+    """
+    counts = ("n_lines", "n_exact", "n_near")
+    return _judged(docs, rules).select(*_columns(docs, counts), *[F.coalesce(f"j.{c}", F.lit(0).cast("long")).alias(c) for c in counts])
 
 
 def line_digest(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
@@ -173,6 +283,8 @@ def line_digest(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
 
 
 def drop_repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
-    """docs without its duplicate lines; a document of which no character but white space stays goes, unless it had none before."""
-    out = dedup_lines(docs.withColumn("_had", F.coalesce(F.col("text").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))), rules)
-    return out.where(~F.col("_had") | F.col("text").rlike(r"[^\x20\x09-\x0D]")).select(*docs.columns)
+    """docs, with its own columns, without its duplicate lines (see dedup_lines); a document of which no word stays goes,
+    unless it had none before: null, empty and blank texts stay. Repeated rows stay or go together; an empty table gives none."""
+    out = _judged(docs, rules)
+    had = F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    return out.where(~had | F.col("j.text").rlike(WORD)).select(*_columns(docs))

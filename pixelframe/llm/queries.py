@@ -71,9 +71,10 @@ FROM b LEFT JOIN r USING (source)
 # Pairs within two edits share a third of one at nearly the same place; levenshtein decides.
 OP3_SQL = r"""
 WITH l AS (SELECT doc_id, i AS pos, w[i] AS line FROM (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL))),
-f AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS loc FROM l WHERE length(line) >= 20 GROUP BY line),
-cutup AS (SELECT line, n, loc, i, substr(line, CAST(1 + i * (n // 3) AS INT), CAST(n // 3 AS INT)) AS s FROM f, range(3) t(i)),
-probes AS (SELECT DISTINCT line, n, loc, i, n - d AS k, substr(line, CAST(1 + i * ((n - d) // 3) + mv AS INT), CAST((n - d) // 3 AS INT)) AS s FROM f, range(3) t(i), range(-2, 3) u(d), range(-2, 3) v(mv) WHERE 1 + i * ((n - d) // 3) + mv >= 1),
+f AS (SELECT line, length(line) AS n, min((doc_id, pos)) AS loc FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line),
+long AS (SELECT * FROM f WHERE n >= 20),
+cutup AS (SELECT line, n, loc, i, substr(line, CAST(1 + i * (n // 3) AS INT), CAST(n // 3 AS INT)) AS s FROM long, range(3) t(i)),
+probes AS (SELECT DISTINCT line, n, loc, i, n - d AS k, substr(line, CAST(1 + i * ((n - d) // 3) + mv AS INT), CAST((n - d) // 3 AS INT)) AS s FROM long, range(3) t(i), range(-2, 3) u(d), range(-2, 3) v(mv) WHERE 1 + i * ((n - d) // 3) + mv >= 1),
 near AS (SELECT DISTINCT p.loc FROM probes p JOIN cutup c ON c.i = p.i AND c.n = p.k AND c.s = p.s WHERE c.loc < p.loc AND levenshtein(c.line, p.line) <= 2),
 o AS (SELECT l.doc_id, l.pos, l.line, f.loc IS NOT NULL AND f.loc <> (l.doc_id, l.pos) AS ex, f.loc = (l.doc_id, l.pos) AND f.loc IN (SELECT loc FROM near) AS nr FROM l LEFT JOIN f USING (line)),
 a AS (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (ex) AS n_exact, count(*) FILTER (nr) AS n_near, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT ex AND NOT coalesce(nr, false)) AS t FROM o GROUP BY doc_id)

@@ -64,29 +64,82 @@ def test_host_prior_shrinks_small_hosts(spark):
     assert v["bad"].host_rejected and v["tiny"].host_rate < 1 and not v["h0"].host_rejected
 
 
-def test_lines(docs, none):
-    def lev(a, b):
-        d = list(range(len(b) + 1))
-        for i, x in enumerate(a):
-            p, d[0] = d[0], i + 1
-            for j, y in enumerate(b):
-                p, d[j + 1] = d[j + 1], min(d[j + 1] + 1, d[j] + 1, p + (x != y))
-        return d[-1]
+def lev(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        p, d[0] = d[0], i + 1
+        for j, y in enumerate(b):
+            p, d[j + 1] = d[j + 1], min(d[j + 1] + 1, d[j] + 1, p + (x != y))
+    return d[-1]
 
+
+def kept_lines(data):
+    """(doc_id, number of lines, text that stays) of rows whose ids have one text each, by brute force."""
     key = lambda d, k: (d is not None, d or 0, k)
+    word = lambda x: re.search(r"[^\x20\x09-\x0D]", x)
     first = {}
-    for d in sorted(HARD, key=lambda d: (d[0] is not None, d[0] or 0)):
+    for d in sorted(data, key=lambda d: (d[0] is not None, d[0] or 0)):
         for k, x in enumerate((d[1] or "").split("\n")):
-            if len(x) >= 20:
+            if word(x):
                 first.setdefault(x, key(d[0], k))
-    near = {x for x, a in first.items() for y, b in first.items() if b < a and abs(len(x) - len(y)) <= 2 and lev(x, y) <= 2}
+    long = sorted((a, x) for x, a in first.items() if len(x) >= 20)
+    near = {x for i, (_, x) in enumerate(long) if any(abs(len(x) - len(y)) <= 2 and lev(x, y) <= 2 for _, y in long[:i])}
     want = []
-    for d in HARD:
-        lines = (d[1] or "").split("\n") if d[1] is not None else []
-        keep = [x for k, x in enumerate(lines) if len(x) < 20 or first[x] == key(d[0], k) and x not in near]
+    for d in data:
+        lines = d[1].split("\n") if d[1] is not None else []
+        keep = [x for k, x in enumerate(lines) if not word(x) or first[x] == key(d[0], k) and x not in near]
         want.append((d[0], len(lines), None if d[1] is None else "\n".join(keep)))
-    assert rows(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "text") == sorted(want, key=repr)
-    assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.drop_repeated_lines(docs).columns == docs.columns
+    return sorted(want, key=repr)
+
+
+def test_lines(docs, none, monkeypatch):
+    for hot in (line_dedup.HOT, 1):
+        monkeypatch.setattr(line_dedup, "HOT", hot)
+        assert rows(line_dedup.dedup_lines(docs), "doc_id", "n_lines", "text") == kept_lines(HARD)
+    assert line_dedup.dedup_lines(none).count() == 0 and line_dedup.drop_repeated_lines(none).count() == 0
+    assert line_dedup.drop_repeated_lines(docs).columns == docs.columns
+
+
+def test_hot_segments(spark):
+    """Lines that all share most of their segments, few of them being near."""
+    r, words = random.Random(3), BASE.split()[:20]
+    data = []
+    for k in range(50):
+        w = list(words)
+        w[r.randrange(20)] = "".join(r.choice("abcdefgh") for _ in range(r.randint(1, 7)))
+        line = " ".join(w)
+        at = r.randrange(len(line))
+        data.append((2 * k, line, "en", "s", 1))
+        data.append((2 * k + 1, line[:at] + r.choice(["", "x", "yy"]) + line[at + r.randint(0, 1) :], "en", "s", 1))
+    assert rows(line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA)), "doc_id", "n_lines", "text") == kept_lines(data)
+
+
+def test_many_lines_with_one_segment(spark):
+    r = random.Random(5)
+    tail = " ".join(r.choice(WORDS) for _ in range(40))
+    data = [(k, "".join(r.choice("abcdefghij") for _ in range(60)) + tail, "en", "s", 1) for k in range(5000)]
+    data += [(10_000 + k, data[k][1][:30] + "?" + data[k][1][31:], "en", "s", 1) for k in range(0, 5000, 10)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA))
+    assert sorted(r.doc_id for r in got.where("n_near = 1").collect()) == [10_000 + k for k in range(0, 5000, 10)]
+
+
+def test_lines_of_repeated_ids_and_clashing_names(spark):
+    data = [(1, LINE, 99, "a"), (1, f"{LINE}\nother", 98, "b"), (2, LINE, 97, "c"), (2, LINE, 96, "d")]
+    df = spark.createDataFrame(data, "doc_id long, text string, n_exact long, _doc string")
+    got = line_dedup.dedup_lines(df).collect()
+    assert sum(LINE in r.text for r in got) == 1 and all(0 <= r.n_exact <= r.n_lines for r in got)
+    assert [sorted(r.n_exact for r in got if r.doc_id == k) for k in (1, 2)] == [[0, 1], [1, 1]]
+    df = df.withColumnRenamed("_doc", "n_lines")
+    left = line_dedup.drop_repeated_lines(df).collect()
+    assert sorted((r.n_exact, r.n_lines) for r in left) in ([(98, "b")], [(98, "b"), (99, "a")])
+
+
+def test_very_long_lines(spark):
+    r = random.Random(9)
+    long = "".join(r.choice("abc ") for _ in range(1_500_000))
+    data = [(1, long, "en", "s", 1), (2, long[:700_000] + "z" + long[700_001:], "en", "s", 1), (3, long[::-1], "en", "s", 1)]
+    got = line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA))
+    assert rows(got, "doc_id", "n_near") == [(1, 0), (2, 1), (3, 0)]
 
 
 def test_edit_distance(spark):
@@ -97,6 +150,12 @@ def test_edit_distance(spark):
         for _ in range(rnd.randint(0, 4)):
             b.insert(rnd.randint(0, len(b)), rnd.choice("abc")) if rnd.random() < 0.5 or not b else b.pop(rnd.randrange(len(b)))
         pairs.append((a, "".join(b)))
+    for _ in range(60):
+        a = "".join(rnd.choice("abé🙂") for _ in range(rnd.randint(60, 200)))
+        b = list(a)
+        for _ in range(rnd.randint(0, 5)):
+            b.insert(rnd.randint(0, len(b)), rnd.choice("ab🙃")) if rnd.random() < 0.5 else b.pop(rnd.randrange(len(b)))
+        pairs.append((a, "".join(b)))
     df = spark.createDataFrame(pairs, "a string, b string")
     for most in (0, 1, 2, 3):
         assert df.where((F.levenshtein("a", "b") <= most) != line_dedup.edit_distance_at_most(F.col("a"), F.col("b"), most)).count() == 0
