@@ -169,16 +169,21 @@ def _rare_piece_pairs(lines: DataFrame, rules: LineRules) -> DataFrame:
     pieces = pieces.where(F.col("at") + F.col("q") <= F.col("n")).select("h", "n", "letters", "q", "at", piece.alias("piece"))
     places = F.sequence(_div(F.greatest(F.lit(0), F.col("at") - t), span), _div(F.col("at") + t, span))
     looked = pieces.select("h", "n", "letters", "at", "piece", F.explode(places).alias("place")).select("h", "n", "letters", "at", F.xxhash64("piece", "place").alias("key"))
-    often = looked.groupBy("key").agg(F.count(F.lit(1)).alias("k"))
-    own = pieces.where(F.col("q") == size(F.col("n"))).select("h", "n", "letters", "q", "at", F.xxhash64("piece", _div(F.col("at"), span)).alias("key"))
-    ranked = own.join(often, "key").groupBy("h", "n", "letters", "q").agg(F.sort_array(F.collect_list(F.struct("k", "at", "key"))).alias("all"))
-
-    def choose(got: Column, x: Column) -> Column:
-        return F.when((F.size(got) > t) | F.exists(got, lambda g: F.abs(g["at"] - x["at"]) < F.col("q")), got).otherwise(F.array_append(got, x))
-
-    none = F.array().cast("array<struct<k:bigint,at:int,key:bigint>>")
-    chosen = ranked.select("h", "n", "letters", F.explode(F.aggregate("all", none, choose)).alias("x"))
-    chosen = chosen.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("letters").alias("la"), F.col("x.at").alias("pa"), F.col("x.key").alias("key"))
+    rare = looked.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= HOT)
+    own = pieces.where(F.col("q") == size(F.col("n"))).select("h", "at", F.xxhash64("piece", _div(F.col("at"), span)).alias("key"))
+    ranked = own.join(rare, "key").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("k", "at"))).alias("rare"))
+
+    def choose(got: Column, at: Column) -> Column:
+        return F.when((F.size(got) > t) | F.exists(got, lambda g: F.abs(g - at) < F.col("q")), got).otherwise(F.array_append(got, at))
+
+    # Where the rare pieces don't suffice, others of the line fill up.
+    filling = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("q"), F.col("q")), lambda at: at.cast("int"))
+    rarest = F.coalesce(F.transform("rare", lambda x: x["at"]), F.array().cast("array<int>"))
+    chosen = chars.withColumn("q", size(F.col("n"))).join(ranked, "h", "left")
+    chosen = chosen.select("h", "n", "letters", "q", "c", F.explode(F.aggregate(F.concat(rarest, filling), F.array().cast("array<int>"), choose)).alias("at"))
+    letter = lambda k: F.get("c", F.col("at") + k)
+    piece = F.xxhash64("q", letter(0), F.when(F.col("q") > 1, letter(1)), F.when(F.col("q") > 2, letter(2)))
+    chosen = chosen.select(F.col("h").alias("a"), F.col("n").alias("na"), F.col("letters").alias("la"), F.col("at").alias("pa"), F.xxhash64(piece, _div(F.col("at"), span)).alias("key"))
     alike = (F.abs(F.col("n") - F.col("na")) <= t) & (F.abs(F.col("at") - F.col("pa")) <= t) & (_letters_apart(F.col("letters"), F.col("la")) <= 2 * t)
     met = looked.join(chosen, "key").where((F.col("h") != F.col("a")) & alike)
     return met.select(F.least("a", "h").alias("a"), F.greatest("a", "h").alias("b")).distinct()
