@@ -11,6 +11,8 @@ from pixelframe.sources.shared import cut
 
 #: Rows in one Arrow batch to Python. Documents can be long, so the engine's default of 10,000 is too many.
 ARROW_ROWS = 256
+#: Rows that may be broadcast.
+BROADCAST_ROWS = 250_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,6 +34,11 @@ def spare_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has no more than BROADCAST_ROWS rows; joined by a shuffle otherwise."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def sharing(rows: DataFrame, key: str, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """rows joined by key with groups(rows), which aggregates by key and keeps the groups wanted.
 
@@ -49,10 +56,9 @@ def smallest_labels(edges: DataFrame, ids: str = "long") -> DataFrame:
     label (pointer jumping); it ends when nothing changes. Every round is cut, so plans don't grow.
     Null ids and self-loops are ignored; repeated edges count once.
     """
-    both = edges.where("a <> b").select("a", "b")
-    both = cut(both.union(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label"))
-    labels = cut(labels)
+    both = edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
+    both = cut(both.select("x.*").distinct())
+    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
     while True:
         near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))

@@ -16,14 +16,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.functions.color import let
-from pixelframe.llm.common import cut, sharing
+from pixelframe.llm.common import cut, sharing, small
 
 #: A segment of more lines than this is hot.
 HOT = 32
 #: Copies of a line beyond this share of all lines are left out of the index; fewer than 1 / HOT_COPIES lines have as many.
 HOT_COPIES = 1e-4
-#: Rows that may be broadcast.
-BROADCAST_ROWS = 250_000
 #: Code points that the verification reads before it looks whether a pair is lost already.
 CHUNK = 32
 #: Letters by class, for the bound by letter counts.
@@ -198,11 +196,6 @@ def _hashes() -> list[Column]:
     return [F.xxhash64("line").alias("h"), F.xxhash64(F.lit(1), "line").alias("g")]
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has no more than BROADCAST_ROWS rows."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
-
-
 def _same_text(x: str, y: str) -> Column:
     return F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.version") == F.col(f"{y}.version"))
 
@@ -230,7 +223,7 @@ def find_repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> Data
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("h")).union(many).distinct()
     wanted = cut(distinct.where(F.col("size") >= rules.min_chars).join(wanted, "h", "left_semi").select("h", "at"))
     places = wanted.groupBy("at.id", "at.version").agg(F.collect_list(F.struct("at.pos", "h")).alias("places"))
-    texts = docs.alias("d").join(_small(places).alias("p"), _same_text("d", "p")).select("d.id", "d.version", "places", "text")
+    texts = docs.alias("d").join(small(places).alias("p"), _same_text("d", "p")).select("d.id", "d.version", "places", "text")
     taken = lambda x: F.transform(x.places, lambda p: F.struct(p.pos.alias("pos"), p.h.alias("h"), F.get(x.lines, p.pos).alias("line")))
     texts = texts.select("id", "version", F.explode(let(F.struct("places", F.split("text", "\n", -1).alias("lines")), taken)).alias("x"))
     texts = cut(texts.select("x.h", F.struct("id", "version", "x.pos").alias("at"), F.char_length("x.line").alias("n"), "x.line").dropDuplicates(["h", "at"]))

@@ -1,9 +1,13 @@
 """Near-duplicates by one-permutation MinHash with optimal densification, banded buckets and star-shaped candidates.
 
 One hash of each shingle fills all bins of a signature; an empty bin takes the value of the first filled
-one in an order of its own. Documents with equal sets are one node. Nodes that share a band's key are
-compared with the bucket's least node first; only where a bucket still holds several components do
-further nodes become centres. Every candidate is confirmed on full sets.
+one in an order of its own. Documents with equal sets are one node; nodes that share a band's key belong to
+one family, a star around one of them. Each family's nodes are compared with its centre, the one that shares
+most keys with others, on full sets.
+
+For the rest, a node is known by what it differs in from the centre. The difference of two sets is that of
+their differences, so two nodes that the centre doesn't link must have a good part of theirs in common: they
+meet in the rarest elements of their differences only, not in what all of a family share.
 """
 
 from __future__ import annotations
@@ -13,11 +17,10 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pixelframe.llm.common import cut, small_batches, smallest_labels
+from pixelframe.llm.common import cut, sharing, small, small_batches, smallest_labels, spare_name
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
@@ -27,8 +30,7 @@ ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6
 class NearDup:
     """Shingles of words words; links from similarity_pct. A pair just at 85 % is missed with a chance of (1 - .85^8)^36, about 1 in 100,000.
 
-    Pairs that meet in a bucket are compared in full, unless the sizes of their sets, or what others share with
-    them, rule a link out.
+    Nodes of one family are linked if their full sets are similar enough, whether they meet in a bucket or not.
     """
 
     words: int = 3
@@ -104,76 +106,108 @@ def _signer(p: NearDup):
 
 
 def _sets(p: NearDup):
-    @F.pandas_udf("set_id binary, shingles array<long>")
-    def sets(texts: pd.Series) -> pd.DataFrame:
+    @F.pandas_udf("array<long>")
+    def sets(texts: pd.Series) -> pd.Series:
         hashes = _WordHashes()
-        found = [shingle_set(t, hashes, p.words) for t in texts]
-        return pd.DataFrame({"set_id": [xxhash.xxh3_128_digest(s.tobytes()) for s in found], "shingles": [s.view(np.int64) for s in found]})
+        return pd.Series([shingle_set(t, hashes, p.words).view(np.int64) for t in texts], dtype=object)
 
     return sets
 
 
-def _full_sets(members: DataFrame, nodes: DataFrame, docs: DataFrame, p: NearDup) -> DataFrame:
-    """(set_id, bands, shingles) of the members of buckets, from one document that has the set each. nodes: set_id, doc_id, bands."""
-    wanted = nodes.join(members.select("set_id").distinct(), "set_id").select(F.col("set_id").alias("_set"), F.col("doc_id").alias("_doc"), "bands")
-    texts = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("_doc"))).select("_set", "bands", _sets(p)("text").alias("s"))
-    return texts.where("s.set_id = _set").select(F.col("_set").alias("set_id"), "bands", "s.shingles").dropDuplicates(["set_id"])
+def _families(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(bucket, node) of the buckets with several nodes, and (node, family, score): nodes that meet, directly or by others,
+    are one family; score: how often a node meets others."""
+    several = lambda rows: rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
+    members = cut(sharing(banded, "bucket", several))
+    families = smallest_labels(members.select(F.col("hub").alias("a"), F.col("node").alias("b"))).toDF("node", "family")
+    scores = members.groupBy("node").agg(F.sum("n").alias("score"))
+    return members.select("bucket", "node"), families.join(scores, "node")
+
 
+def _similar(total: Column, apart: Column, p: NearDup) -> Column:
+    """Whether sets of total elements together, of which apart are in one of them only, are similar enough."""
+    return (100 - p.similarity_pct) * total >= (100 + p.similarity_pct) * apart
 
-def _confirm(pairs: DataFrame, sets: DataFrame, p: NearDup) -> DataFrame:
-    """The pairs (a, b) of sets that are similar enough."""
-    sets = sets.select("set_id", "shingles")
-    joined = pairs.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return joined.where(100 * shared >= p.similarity_pct * (F.size("x") + F.size("y") - shared)).select("a", "b")
 
+def _compared(active: DataFrame, p: NearDup) -> DataFrame:
+    """active (node, family, size, score, shingles) as node, family, size, centre, centre_size, apart, linked: the elements
+    that a node or its family's centre has alone, and whether the two are similar."""
+    centre = active.groupBy("family").agg(F.max(F.struct("score", "node")).alias("top")).select("top.node")
+    centres = active.join(centre, "node").select("family", F.col("node").alias("centre"), F.col("size").alias("centre_size"), F.col("shingles").alias("_c"))
+    apart = F.concat(F.array_except("shingles", "_c"), F.array_except("_c", "shingles"))
+    out = active.join(centres, "family").select("node", "family", "size", "centre", "centre_size", apart.alias("apart"))
+    return out.withColumn("linked", _similar(F.col("size") + F.col("centre_size"), F.size("apart"), p))
 
-def _without_own(members: DataFrame, active: DataFrame, full: DataFrame, p: NearDup) -> DataFrame:
-    """members with common, the number of their shingles that another active set has too, without sets that have too few to link.
 
-    Active sets are those still to be compared. What a set shares with any of them is at most common, so
-    this leaves out no link: of a large group of near copies, it leaves out those whose own edits set them apart.
+def _rarest(nodes: DataFrame, p: NearDup) -> DataFrame:
+    """(key, node, linked, size, d, rank): the elements, of all by which nodes differ from their centre, that may be the
+    first in common with a similar node; rank counts from the rarest.
+
+    With d elements apart from the centre of size c, and share = (1 - s) / (1 + s): sets x and y are similar if
+    the elements that one has alone are at most share * (|x| + |y|). One of a pair at least isn't linked to
+    the centre, so d > share * (|y| + c) there. Hence the least number of elements that the pair must have
+    in common; a common one must be among the first d - least + 1 of either.
+    """
+    share = (100 - p.similarity_pct) / (100 + p.similarity_pct)
+    d, size, c = F.size("apart"), F.col("size"), F.col("centre_size")
+    least = F.when(F.col("linked"), (d + share * (c - size)) / 2).otherwise((d - share * (c + size)) / 2)
+    least = F.greatest(F.lit(1), F.ceil(F.greatest(least, d - share * size * (1 + 100 / p.similarity_pct)) - 1e-6)).cast("int")
+    each = nodes.where(d > 0).select("node", "linked", "size", d.alias("d"), (d - least + 1).alias("first"), F.col("family"), F.explode("apart").alias("element"))
+    each = each.select("node", "linked", "size", "d", "first", F.xxhash64("family", "element").alias("key"))
+    shared = sharing(each, "key", lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    ranked = shared.groupBy("node", "linked", "size", "d", "first").agg(F.array_sort(F.collect_list(F.struct("k", "key"))).alias("keys"))
+    # Elements of one node alone are the rarest, and come before.
+    alone = F.col("d") - F.size("keys")
+    return ranked.select("node", "linked", "size", "d", "first", alone.alias("alone"), F.posexplode("keys").alias("at", "x")).select(F.col("x.key").alias("key"), "node", "linked", "size", "d", "first", (F.col("alone") + F.col("at") + 1).alias("rank")).where("rank <= first").drop("first")
+
+
+def _links(nodes: DataFrame, p: NearDup, last: bool) -> DataFrame:
+    """(a, b) of similar nodes, of which the centre links one at most; none but b, unless this is the last round."""
+    share = (100 - p.similarity_pct) / (100 + p.similarity_pct)
+    rarest = _rarest(nodes, p)
+    y = rarest.where("NOT linked")
+    x = (rarest if last else rarest.where("linked")).select("key", *[F.col(c).alias(f"{c}_x") for c in ("node", "linked", "size", "d", "rank")])
+    total = F.col("size_x") + F.col("size")
+    common = (F.col("d_x") + F.col("d") - share * total) / 2 - 1e-6  # at least
+    near = (F.abs(F.col("d_x") - F.col("d")) <= share * total + 1e-6) & (F.col("rank_x") <= F.col("d_x") - common + 1) & (F.col("rank") <= F.col("d") - common + 1)
+    pairs = y.join(x, "key").where((F.col("linked_x") | (F.col("node_x") < F.col("node"))) & near).select(F.col("node_x").alias("a"), F.col("node").alias("b")).distinct()
+    sets = nodes.select("node", "size", "apart")
+    both = pairs.join(sets.toDF("a", "na", "da"), "a").join(sets.toDF("b", "nb", "db"), "b")
+    apart = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return both.where(_similar(F.col("na") + F.col("nb"), apart, p)).select("a", "b")
+
+
+def link_nodes(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
+    """(node, label) of the nodes linked to others; label: the least node of the component. nodes: node, at, size, bands.
+
+    A round compares each family's nodes with its centre, and those linked to it with those that aren't. What
+    isn't linked makes up the next round's families. A round that links less than a quarter of its nodes is the
+    last one, and compares all.
     """
-    each = full.join(active, "set_id").select("set_id", F.explode("shingles").alias("shingle"))
-    own = each.groupBy("shingle").agg(F.count(F.lit(1)).alias("n"), F.min("set_id").alias("set_id")).where("n = 1").groupBy("set_id").agg(F.count(F.lit(1)).alias("own"))
-    counted = members.join(own, "set_id", "left").withColumn("common", F.col("size") - F.coalesce("own", F.lit(0)))
-    return counted.drop("own").where(100 * F.col("common") >= p.similarity_pct * F.col("size"))
-
-
-def link_nodes(docs: DataFrame, signed: DataFrame, p: NearDup) -> DataFrame:
-    """(set_id, label) of the sets in buckets with others; label: the least set of the component."""
-    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("bands").alias("bands"), F.first("n_shingles").alias("size"))
-    banded = sets.select("set_id", "size", F.explode("bands").alias("bucket"))
-    shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = banded.join(shared, "bucket")
-    members = cut(members.withColumn("common", F.col("size")).withColumn("rank", F.row_number().over(Window.partitionBy("bucket").orderBy("set_id")) - 1))
-    full = cut(_full_sets(members, sets.select("set_id", "doc_id", "bands"), docs, p))
-    labels = members.select("set_id").distinct().withColumn("label", F.col("set_id"))
-    tested, low, width = None, 0, 1
+    buckets, families = _families(nodes.select("node", F.explode("bands").alias("bucket")))
+    families = cut(families)
+    wanted = nodes.join(families, "node").select("node", "family", "score", "size", F.col("at.doc_id").alias("_doc"), F.col("at.version").alias("_version"))
+    texts = docs.select("doc_id", F.xxhash64("text").alias("version"), "text").join(small(wanted), F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("version") == F.col("_version")))
+    texts = texts.select("node", "family", "size", "score", "text").dropDuplicates(["node"])
+    active = cut(texts.select("node", "family", "size", "score", _sets(p)("text").alias("shingles")))
+    links = []
     while True:
-        # Buckets that hold several components and members that haven't been centres. The members of ranks low
-        # to low + width - 1 become centres, and meet the later members that are in other components.
-        now = members.where(F.col("n") > low + 1).join(labels, "set_id")
-        several = now.groupBy("bucket").agg(F.min("label").alias("l"), F.max("label").alias("h")).where("l < h").select("bucket")
-        now = cut(now.join(several, "bucket"))
-        if now.isEmpty():
-            return labels
-        if low:
-            members = cut(_without_own(members.drop("common"), now.select("set_id").distinct(), full, p))
-            now = cut(now.drop("common").join(members.select("bucket", "set_id", "common"), ["bucket", "set_id"]))
-        now = now.join(full.select("set_id", "bands"), "set_id")
-        centres = now.where((F.col("rank") >= low) & (F.col("rank") < low + width)).select("bucket", F.col("set_id").alias("a"), F.col("rank").alias("ra"), F.col("label").alias("la"), F.col("size").alias("sa"), F.col("common").alias("ca"), F.col("bands").alias("ba"))
-        most = F.least("common", "ca")
-        alike = 100 * most >= p.similarity_pct * (F.col("size") + F.col("sa") - most)
-        once = F.get(F.array_intersect("bands", "ba"), F.lit(0)) == F.col("bucket")  # in the first bucket that both are in
-        pairs = now.join(centres, "bucket").where((F.col("rank") > F.col("ra")) & (F.col("label") != F.col("la")) & alike & once).select("a", F.col("set_id").alias("b"), "la", F.col("label").alias("lb")).distinct()
-        pairs = cut(pairs if tested is None else pairs.join(tested, ["a", "b"], "left_anti"))
-        links = cut(pairs.join(_confirm(pairs.select("a", "b"), full, p), ["a", "b"]).select("la", "lb").distinct())
-        if not links.isEmpty():
-            joined = smallest_labels(links.toDF("a", "b")).toDF("label", "new")
-            labels = cut(labels.join(joined, "label", "left").select("set_id", F.coalesce("new", "label").alias("label")))
-        tested = pairs.select("a", "b") if tested is None else tested.union(pairs.select("a", "b"))
-        low, width = low + width, 8 * width
+        compared = cut(_compared(active, p))
+        links.append(compared.where("linked AND node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")))
+        n, rest = compared.agg(F.count(F.lit(1)), F.count_if(~F.col("linked"))).first()
+        if not rest:
+            break
+        last = 4 * rest > 3 * n
+        open_ = compared.where("NOT linked").select("family").distinct()
+        links.append(cut(_links(compared.join(open_, "family", "left_semi"), p, last)))
+        if last:
+            break
+        buckets, families = _families(buckets.join(compared.where("NOT linked").select("node"), "node", "left_semi"))
+        active = cut(active.drop("family", "score").join(families, "node").select("node", "family", "size", "score", "shingles"))
+    every = links[0]
+    for x in links[1:]:
+        every = every.union(x)
+    return smallest_labels(every).toDF("node", "label")
 
 
 def find_near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
@@ -182,20 +216,27 @@ def find_near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     component_id is the least doc_id among the documents linked directly or by others. Null and empty texts,
     and texts without words, have no shingles and are their own component. Documents with equal sets are
     linked. Rows that repeat a doc_id count as one document, kept or not together; a document without id is
-    kept if none of its component has one. Other columns of docs are not read.
+    kept if none of its component has one. Texts may be of any length. An empty table gives none. Other columns
+    of docs are not read.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    signed = cut(docs.select("doc_id", _signer(p)("text").alias("s")).select("doc_id", "s.*"))
-    labels = link_nodes(docs, signed, p)
-    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(labels.toDF("set_id", "label"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    signed = cut(docs.select("doc_id", F.xxhash64("text").alias("version"), _signer(p)("text").alias("s")).select("doc_id", "version", "s.*"))
+    sets = signed.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least"), F.min(F.struct("doc_id", "version")).alias("at"), F.first("n_shingles").alias("size"), F.first("bands").alias("bands"))
+    nodes = cut(sets.withColumn("node", F.monotonically_increasing_id()))
+    labels = link_nodes(docs, nodes.select("node", "at", "size", "bands"), p)
+    sets = nodes.select("set_id", "node", "least").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = sets.groupBy("label").agg(F.min("least").alias("component_id"))
     by_set = sets.join(least, "label").select("set_id", "component_id")
-    out = signed.drop("bands").join(by_set, "set_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
+    out = signed.select("doc_id", "n_shingles", "set_id").join(by_set, "set_id", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
 def keep_one_of_each(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
-    """The rows of docs, with docs' own columns, that aren't near-duplicates of a document with a smaller doc_id."""
-    gone = find_near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    """The rows of docs, with docs' own columns, that aren't near-duplicates of a document with a smaller doc_id.
+
+    Nulls, empty and repeated rows are treated as find_near_duplicates says; other columns may have any name.
+    """
+    name = spare_name(docs, "_gone")
+    gone = find_near_duplicates(docs, p).where("not kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")

@@ -361,3 +361,41 @@ def test_pipeline_drops_copies_with_a_tail(spark):
     data = [(1, " ".join(words[:100])), (2, " ".join(words[:122])), (3, " ".join(few)), (4, " ".join(words[300:380])), (5, " ".join(some)), (None, " ".join(words[:100]))]
     out = corpus_pipeline.near_duplicates(spark, spark.createDataFrame([(*d, "en", "s", 1) for d in data], SCHEMA), "")
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
+
+
+def test_large_group_of_near_copies(spark):
+    """Families whose nodes are linked to the centre, to each other, or to none, against all pairs."""
+    r, data = random.Random(11), []
+    for base in range(3):
+        words = [f"b{base}-{k}" for k in range(40 + 60 * base)]
+        for _ in range(110):
+            w = list(words)
+            for _ in range(r.choice([1, 1, 2, 3, 5, 8])):
+                at = r.randrange(len(w))
+                w[at : at + 1] = r.choice([[f"n{r.randrange(60)}"], [], [w[at], f"n{r.randrange(60)}"]])
+            data.append((len(data), " ".join(w), "en", "s", 1))
+    for p in (minhash_dedup.NearDup(), minhash_dedup.NearDup(words=5, similarity_pct=80, rows=6)):
+        sets = [{tuple(w[k : k + p.words]) for k in range(len(w) - p.words + 1)} for w in (d[1].split() for d in data)]
+        group = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if group[i] != group[j] and 100 * len(a & b) >= p.similarity_pct * len(a | b):
+                    old, new = max(group[i], group[j]), min(group[i], group[j])
+                    group = [new if g == old else g for g in group]
+        assert len(set(group)) > 30 and max(map(group.count, set(group))) > 20
+        got = minhash_dedup.find_near_duplicates(spark.createDataFrame(data, SCHEMA), p)
+        assert dict(rows(got, "doc_id", "component_id")) == dict(enumerate(group))
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of 85 to 90 %, none of them in a larger family."""
+    r, data = random.Random(13), []
+    for k in range(1200):
+        n = r.randint(6, 200)
+        w = [f"{k}-{i}" for i in range(n)]
+        v = w + [f"{k}+{i}" for i in range(max(1, (n - 2) * 3 // 20))]
+        data += [(2 * k, " ".join(w), "en", "s", 1), (2 * k + 1, " ".join(v), "en", "s", 1)]
+    links = {2 * k for k in range(1200) if 100 * (len(data[2 * k][1].split()) - 2) >= 85 * (len(data[2 * k + 1][1].split()) - 2)}
+    out = minhash_dedup.find_near_duplicates(spark.createDataFrame(data, SCHEMA))
+    found = {r.component_id for r in out.where("NOT kept").collect()}
+    assert len(links) > 900 and found <= links and len(found) >= 0.999 * len(links)
