@@ -9,6 +9,7 @@ in one boundary, the ids before it are final: they are committed and forgotten.
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import numpy as np
@@ -21,8 +22,9 @@ from pixelframe.llm.common import small_batches
 
 SPACE = "▁"
 MODEL = "piece_bpe_32k.model"
-CACHED = 1_000_000
-PAIRS = 1_000_000
+#: Encoded parts, of up to 64 characters, and pairs of pieces that a worker remembers at most; some 100 MB in all.
+CACHED = 400_000
+PAIRS = 600_000
 
 
 class Codec:
@@ -51,8 +53,11 @@ class Codec:
         self.cuts = not any(re.search(f"[^{SPACE}]{SPACE}", x) for x in self.id_of)
         self.segment = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
         self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.before: dict[str, tuple[int, ...]] = {}  # those of the last time that known was full
         self.halves = {x: h for x in self.id_of if len(x) > 1 and (h := self._last_merge(x))}
+        # By piece of several characters: whether it may follow a piece, as far as that has come up.
+        self.follows: dict[str, dict[str, bool]] = {x: {"": True} for x in self.halves}
+        self.pairs = 0
         # By the three characters that end a longer piece: the lengths it can have, longest first.
         ends: dict[str, set[int]] = {}
         self.lengths: dict[str, tuple[int, ...]] = {}
@@ -84,8 +89,12 @@ class Codec:
         The merges of both are taken back, latest first; at each step, the parts that touch must not be
         mergeable with a better score than what was undone last.
         """
-        if len(self.pairs) > PAIRS:
-            self.pairs.clear()
+        self.pairs += 1
+        if self.pairs > PAIRS:
+            self.pairs = 1
+            for known in self.follows.values():
+                known.clear()
+                known[""] = True
         a, b, score, halves = left, right, self.score, self.halves
         ok, undone, last = True, None, 0  # score of the last merge taken back; last: 1 if it was left's, which goes first on ties
         while True:
@@ -100,7 +109,7 @@ class Codec:
                 undone, last, b = score[b], 0, y[0]
             else:
                 break
-        self.pairs[left, right] = ok
+        self.follows[right][left] = ok
         return ok
 
     def _ids(self, piece: str) -> list[int]:
@@ -110,19 +119,17 @@ class Codec:
     def stream(self, text: str):
         """Lists of final ids, as the search commits them."""
         last: list[str] = [""]  # by boundary from base on: the piece that ends there
-        base, every, lengths, halves, pairs = 0, 4 * self.max_piece, self.lengths, self.halves, self.pairs
+        base, every, lengths, follows = 0, 4 * self.max_piece, self.lengths.get, self.follows.get
         for end in range(1, len(text) + 1):
-            for size in lengths.get(text[max(0, end - 3) : end]) or lengths.get(text[max(0, end - 2) : end], ()):
+            for size in lengths(text[end - 3 : end] if end > 2 else text[:end]) or lengths(text[end - 2 : end], ()):
                 start = end - size
-                if start < base or (piece := text[start:end]) not in halves:
+                if start < base or (known := follows(text[start:end])) is None:
                     continue
-                if start:
-                    left = last[start - base]
-                    ok = pairs.get((left, piece))
-                    if not (self._follows(left, piece) if ok is None else ok):
-                        continue
-                last.append(piece)
-                break
+                left = last[start - base]
+                ok = known.get(left)
+                if self._follows(left, text[start:end]) if ok is None else ok:
+                    last.append(text[start:end])
+                    break
             else:
                 last.append(text[end - 1])
             if end - base >= every and end % self.max_piece == 0:
@@ -149,19 +156,23 @@ class Codec:
         """Ids of a text; none for null and for the empty text."""
         if not text:
             return []
-        text, ids, known = SPACE + text.replace(" ", SPACE), [], self.known
+        text, ids = SPACE + text.replace(" ", SPACE), []
         for part in self.segment.findall(text) if self.cuts else [text]:
-            found = known.get(part)
-            if found is None:
-                found = tuple(i for some in self.stream(part) for i in some)
-                if len(part) <= 64:
-                    if len(known) > CACHED:
-                        known.clear()
-                    known[part] = found
-            ids += found
+            ids += self.known.get(part) or self._part(part)
         return ids
 
+    def _part(self, part: str) -> tuple[int, ...]:
+        found = self.before.get(part) or tuple(i for some in self.stream(part) for i in some)
+        if len(part) <= 64:
+            if 2 * len(self.known) >= CACHED:
+                self.before, self.known = self.known, {}
+            self.known[part] = found
+        return found
+
     def decode(self, ids) -> str:
+        """The text of ids; those outside the model raise IndexError."""
+        if len(ids) and min(ids) < 0:
+            raise IndexError("negative id")
         text = b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace")
         return text[1:] if text[:1] == " " else text
 
@@ -203,18 +214,35 @@ def decoder(model_file: str):
 
 
 def encode_documents(docs: DataFrame, model_file: str | None = None) -> DataFrame:
-    """docs with ids array<int> and n_ids long in place of columns of these names, one row per row of docs."""
+    """docs with ids array<int> and n_ids long in place of columns of these names, one row per row of docs.
+
+    Null and empty texts have no ids. Texts may be of any length: the search keeps a window of them only, besides
+    the ids. Repeated rows are encoded each; an empty table gives none; other columns may have any name.
+    """
     small_batches(docs.sparkSession)
     out = docs.drop("ids", "n_ids").withColumn("ids", encoder(model_file or model_path())("text"))
     return out.withColumn("n_ids", F.size("ids").cast("long"))
 
 
+def digester(model_file: str):
+    """Column function: text to the number of ids, the SHA-256 of the ids joined by commas, and whether decoding them gives the text back."""
+
+    def run(texts: pd.Series) -> pd.DataFrame:
+        c, rows = codec(model_file), []
+        for t in texts:
+            ids = c.encode(t)
+            shown = hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+            rows.append((len(ids), shown, c.decode(ids) == (t or "").replace(SPACE, " ")))
+        return pd.DataFrame(rows, columns=["n_ids", "ids_sha256", "round_trip"])
+
+    return F.pandas_udf(run, "n_ids long, ids_sha256 string, round_trip boolean", F.PandasUDFType.SCALAR)
+
+
 def code_digest(docs: DataFrame, model_file: str | None = None) -> DataFrame:
     """doc_id, n_ids, ids_sha256 (of the ids joined by commas), round_trip: per row of docs, whether decoding gives the text back.
 
     The model writes a space as U+2581, so that character comes back as a space; null counts as the empty text.
+    Texts may be of any length; repeated rows are encoded each; an empty table gives none; other columns aren't read.
     """
-    path = model_file or model_path()
-    coded = encode_documents(docs.select("doc_id", "text"), path)
-    back = decoder(path)("ids") == F.translate(F.coalesce("text", F.lit("")), SPACE, " ")
-    return coded.select("doc_id", "n_ids", F.sha2(F.array_join("ids", ","), 256).alias("ids_sha256"), back.alias("round_trip"))
+    small_batches(docs.sparkSession)
+    return docs.select("doc_id", digester(model_file or model_path())("text").alias("r")).select("doc_id", "r.*")
