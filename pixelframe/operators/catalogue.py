@@ -12,14 +12,87 @@ from pixelframe.sources.files import is_image, stem
 
 # Sliders by layer (key, least, most, default), layers in their order, and the ranges of settings.
 SLIDERS = {
-    "global": "exposure -200 200 0, temperature -100 100 0, tint -100 100 0, highlights -100 100 0, shadows -100 100 0, whites -100 100 0, blacks -100 100 0, midtones -100 100 0, clarity -100 100 0, sharpness 0 100 0, noise_red 0 100 0, vibrance -100 100 0, saturation -100 100 0, glow 0 100 0, vignette -100 100 0",
-    "subjects": "exposure -150 150 0, clarity -100 100 0, saturation -100 100 0, warmth -100 100 0",
-    "background": "blur 0 100 0, exposure -150 150 0, clarity -100 100 0, saturation -100 100 0, warmth -100 100 0, dehaze 0 100 0",
-    "face": "exposure -150 150 0, highlights -100 100 0, shadows -100 100 0, smile -100 100 0, eye_open -100 100 0, brow_lift -100 100 0, mouth_open -100 100 0, jaw_relax -100 100 0, refine 0 100 0, refine_fidelity 0 100 65, clarity -100 100 0, saturation -100 100 0, sharpness 0 100 0, smooth 0 100 0, glow 0 100 0",
-    "skin": "exposure -150 150 0, smooth 0 100 0, clarity -100 100 0, saturation -100 100 0, warmth -100 100 0, glow 0 100 0, blemish 0 100 0",
-    "eyes": "brightness -100 100 0, clarity -100 100 0, saturation -100 100 0, whites 0 100 0, sharpen 0 100 0, iris_pop 0 100 0",
-    "lips": "brightness -100 100 0, saturation -100 100 0, warmth -100 100 0, smooth 0 100 0, gloss 0 100 0, hue_shift -100 100 0",
-    "hair": "brightness -100 100 0, highlights -100 100 0, saturation -100 100 0, shine 0 100 0, warmth -100 100 0, clarity -100 100 0",
+    "global": (
+        ("exposure", -200, 200, 0),
+        ("temperature", -100, 100, 0),
+        ("tint", -100, 100, 0),
+        ("highlights", -100, 100, 0),
+        ("shadows", -100, 100, 0),
+        ("whites", -100, 100, 0),
+        ("blacks", -100, 100, 0),
+        ("midtones", -100, 100, 0),
+        ("clarity", -100, 100, 0),
+        ("sharpness", 0, 100, 0),
+        ("noise_red", 0, 100, 0),
+        ("vibrance", -100, 100, 0),
+        ("saturation", -100, 100, 0),
+        ("glow", 0, 100, 0),
+        ("vignette", -100, 100, 0),
+    ),
+    "subjects": (
+        ("exposure", -150, 150, 0),
+        ("clarity", -100, 100, 0),
+        ("saturation", -100, 100, 0),
+        ("warmth", -100, 100, 0),
+    ),
+    "background": (
+        ("blur", 0, 100, 0),
+        ("exposure", -150, 150, 0),
+        ("clarity", -100, 100, 0),
+        ("saturation", -100, 100, 0),
+        ("warmth", -100, 100, 0),
+        ("dehaze", 0, 100, 0),
+    ),
+    "face": (
+        ("exposure", -150, 150, 0),
+        ("highlights", -100, 100, 0),
+        ("shadows", -100, 100, 0),
+        ("smile", -100, 100, 0),
+        ("eye_open", -100, 100, 0),
+        ("brow_lift", -100, 100, 0),
+        ("mouth_open", -100, 100, 0),
+        ("jaw_relax", -100, 100, 0),
+        ("refine", 0, 100, 0),
+        ("refine_fidelity", 0, 100, 65),
+        ("clarity", -100, 100, 0),
+        ("saturation", -100, 100, 0),
+        ("sharpness", 0, 100, 0),
+        ("smooth", 0, 100, 0),
+        ("glow", 0, 100, 0),
+    ),
+    "skin": (
+        ("exposure", -150, 150, 0),
+        ("smooth", 0, 100, 0),
+        ("clarity", -100, 100, 0),
+        ("saturation", -100, 100, 0),
+        ("warmth", -100, 100, 0),
+        ("glow", 0, 100, 0),
+        ("blemish", 0, 100, 0),
+    ),
+    "eyes": (
+        ("brightness", -100, 100, 0),
+        ("clarity", -100, 100, 0),
+        ("saturation", -100, 100, 0),
+        ("whites", 0, 100, 0),
+        ("sharpen", 0, 100, 0),
+        ("iris_pop", 0, 100, 0),
+    ),
+    "lips": (
+        ("brightness", -100, 100, 0),
+        ("saturation", -100, 100, 0),
+        ("warmth", -100, 100, 0),
+        ("smooth", 0, 100, 0),
+        ("gloss", 0, 100, 0),
+        ("hue_shift", -100, 100, 0),
+    ),
+    "hair": (
+        ("brightness", -100, 100, 0),
+        ("highlights", -100, 100, 0),
+        ("saturation", -100, 100, 0),
+        ("shine", 0, 100, 0),
+        ("warmth", -100, 100, 0),
+        ("clarity", -100, 100, 0),
+    ),
 }
 LAYER_ORDER = ("background", "subjects", "hair", "skin", "face", "eyes", "lips")
 OUTPUT_EXTENSIONS = {"jpeg": ".jpg", "png": ".png", "tiff": ".tiff"}
@@ -30,7 +103,7 @@ MIN_CROP = 0.05
 
 def sliders(spark: SparkSession) -> DataFrame:
     """The dimension of sliders: layer, key, least, most, default (65 rows)."""
-    rows = [(layer, k, *map(float, v)) for layer, text in SLIDERS.items() for k, *v in (x.split() for x in text.split(", "))]
+    rows = [(layer, key, *map(float, values)) for layer, each in SLIDERS.items() for key, *values in each]
     return spark.createDataFrame(rows, "layer string, key string, least double, most double, default double")
 
 

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from pixelframe.functions.color import clip
 
 # The classes of each region, the zones of a face box (centre and radii in box units), and weights of features.
-REGIONS = {"brows": (2, 3), "eyes": (4, 5), "face": tuple(range(1, 14)), "hair": (17,), "lips": (11, 12, 13), "skin": (1,)}
+REGIONS = {"face": tuple(range(1, 14)), "skin": (1,), "brows": (2, 3), "eyes": (4, 5), "lips": (11, 12, 13), "hair": (17,)}
 ZONES = {"face": (0.5, 0.5, 0.64, 0.74), "skin": (0.5, 0.55, 0.55, 0.62), "eye_band": (0.5, 0.36, 0.52, 0.17), "left_eye": (0.33, 0.36, 0.16, 0.10), "right_eye": (0.67, 0.36, 0.16, 0.10), "lips": (0.5, 0.76, 0.24, 0.12), "hair": (0.5, 0.15, 0.95, 0.65)}
 FEATURES = {"face": 1.0, "skin": 0.9, "hair": 0.95, "eyes": 0.55, "lips": 0.55}
 
@@ -186,13 +186,11 @@ def merge_views(full: DataFrame, part: DataFrame, offset: tuple[int, int], weigh
     return both.select(*cells, F.when(F.col("part").isNull(), f).otherwise(clip(f * (1 - w) + clip(F.col("part")) * w)).alias("v"))
 
 
-def gaussian_weight(boxes: DataFrame, width: int, height: int, sx: Column, sy: Column, reach: float = 3.0) -> DataFrame:
-    """image_id, det_id, y, x, v: a bell around each box's centre, of widths sx and sy, as far as reach times them."""
-    b = boxes.select("image_id", "det_id", (F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy"), sx.alias("sx"), sy.alias("sy")).where("sx > 0 AND sy > 0")
-    span = lambda c, s, n: F.sequence(F.greatest(F.lit(0), F.ceil(F.col(c) - reach * F.col(s))), F.least(F.lit(n - 1), F.floor(F.col(c) + reach * F.col(s))))
-    some = lambda c, s, n: F.greatest(F.lit(0), F.ceil(F.col(c) - reach * F.col(s))) <= F.least(F.lit(n - 1), F.floor(F.col(c) + reach * F.col(s)))
-    b = b.where(some("cx", "sx", width) & some("cy", "sy", height))
-    g = b.withColumn("y", F.explode(span("cy", "sy", height))).withColumn("x", F.explode(span("cx", "sx", width)))
+def gaussian_weight(boxes: DataFrame, width: int, height: int, sx: Column, sy: Column) -> DataFrame:
+    """image_id, det_id, y, x, v: a bell around each box's centre, of widths sx and sy, over the whole frame."""
+    centre = [(F.col("x") + F.col("w") / 2).alias("cx"), (F.col("y") + F.col("h") / 2).alias("cy")]
+    b = boxes.select("image_id", "det_id", *centre, sx.alias("sx"), sy.alias("sy")).where("sx > 0 AND sy > 0")
+    g = b.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
     v = F.exp(-(dx * dx / (2 * F.col("sx") * F.col("sx")) + dy * dy / (2 * F.col("sy") * F.col("sy"))))
     return g.select("image_id", "det_id", "y", "x", v.alias("v"))

@@ -114,9 +114,13 @@ def color_range_mask(pixels: DataFrame, ranges=tuple(SKIN)) -> DataFrame:
     return spaces.select("image_id", "y", "x", F.when(color.in_ranges(spaces, list(ranges)), 1.0).otherwise(0.0).alias("v"))
 
 
-def apply_presets(pixels: DataFrame, presets: DataFrame) -> DataFrame:
-    """Every pixel under every preset (preset_id, exposure in %). The presets are a chosen few; they are broadcast."""
-    both = pixels.crossJoin(F.broadcast(presets.select("preset_id", F.pow(F.lit(2.0), F.col("exposure") / 100).alias("_k"))))
+def apply_presets(pixels: DataFrame, presets: DataFrame, work: DataFrame) -> DataFrame:
+    """The pixels of each image under each preset (preset_id, exposure in %) that work (preset_id, image_id) orders for it.
+
+    Presets are joined to the work list, and that to the pixels by image; how many there are doesn't matter.
+    """
+    factors = presets.select("preset_id", F.pow(F.lit(2.0), F.col("exposure") / 100).alias("_k"))
+    both = pixels.join(work.select("preset_id", "image_id").distinct().join(factors, "preset_id"), "image_id")
     return both.select("preset_id", "image_id", "y", "x", *[clip(F.col(c) * F.col("_k")).alias(c) for c in "rgb"])
 
 

@@ -11,7 +11,7 @@ from pixelframe.plans.registry import query
 from pixelframe.sources import files
 from pixelframe.sources.shared import new_path
 
-DIM = "dim(layer, key, def) AS (VALUES " + ", ".join(f"('{layer}', '{x.split()[0]}', {x.split()[3]})" for layer, t in SLIDERS.items() for x in t.split(", ")) + ")"
+DIM = "dim(layer, key, def) AS (VALUES " + ", ".join(f"('{layer}', '{key}', {default})" for layer, each in SLIDERS.items() for key, _, _, default in each) + ")"
 ORDER = "[" + ", ".join(f"'{x}'" for x in LAYER_ORDER) + "]"
 META = """meta AS (SELECT preset_id, CASE WHEN preset_id % 5 = 0 THEN CASE WHEN preset_id % 10 = 0 THEN 'p' || preset_id ELSE 'Untitled' END ELSE trim(name) END AS name,
  CASE WHEN preset_id % 7 = 0 THEN 'general' ELSE lower(trim(category)) END AS category, list_filter(list_transform(string_split(tags_csv, ','), lambda t: lower(trim(t))), lambda t: t <> '') AS tags,

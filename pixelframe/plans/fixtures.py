@@ -46,7 +46,7 @@ def lg(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def jb(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Jobs: job_id, mode, source_count."""
-    return table(spark, sf_dir, "customer").where("c_custkey < 200").select(F.col("c_custkey").alias("job_id"), F.lower("c_mktsegment").alias("mode"), (55 + F.col("c_nationkey")).alias("source_count"))
+    return table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("job_id"), F.lower("c_mktsegment").alias("mode"), (55 + F.col("c_nationkey")).alias("source_count"))
 
 
 def fl(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -74,7 +74,7 @@ SQL = {
     "scr": """scr AS (SELECT vec_id AS image_id, CAST(i AS INT) AS class_id, CAST(embedding[i + 1] AS DOUBLE) AS score FROM embeddings, range(64) t(i))""",
     "lg": """lg AS (SELECT event_id AS seq, ts, user_id AS job_id, 'k' || CAST(user_id % 20 AS VARCHAR) AS batch_key, CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'error' WHEN event_type = 'click' THEN 'skipped' ELSE 'success' END AS status,
  '/in/' || CAST(event_id % 997 AS VARCHAR) || '.jpg' AS source_path, '/out/' || CAST(event_id % 997 AS VARCHAR) || '_enhanced.jpg' AS output_path, CASE WHEN event_type = 'error' AND user_id % 3 = 0 THEN 'err ' || CAST(event_id % 7 AS VARCHAR) END AS error FROM events)""",
-    "jb": "jb AS (SELECT c_custkey AS job_id, lower(c_mktsegment) AS mode, 55 + c_nationkey AS source_count FROM customer WHERE c_custkey < 200)",
+    "jb": "jb AS (SELECT c_custkey AS job_id, lower(c_mktsegment) AS mode, 55 + c_nationkey AS source_count FROM customer)",
     "fl": """fl AS (SELECT '/in/' || replace(p_name, ' ', '_') || '_' || CAST(p_partkey AS VARCHAR) || '.' || CASE p_partkey % 8 WHEN 0 THEN 'JPG' WHEN 1 THEN 'jpg' WHEN 2 THEN 'png' WHEN 3 THEN 'cr2' WHEN 4 THEN 'txt' WHEN 5 THEN 'TIFF' WHEN 6 THEN 'webp' ELSE 'bmp' END AS path FROM part)""",
     "ps": """ps AS (SELECT p_partkey AS preset_id, p_name AS name, p_type AS category, p_brand || ', ' || upper(p_type) || ' ,' AS tags_csv, CAST(p_size - 25 AS DOUBLE) AS exposure, CAST(p_retailprice / 10 AS DOUBLE) AS opacity FROM part)""",
     "dt": """dt AS (SELECT l_orderkey AS image_id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_suppkey, l_partkey, l_extendedprice) AS det_id, CAST(l_quantity * 3.7 - 20 AS DOUBLE) AS x, CAST(l_extendedprice / 600.0 AS DOUBLE) AS y, CAST(l_linenumber * 7.3 AS DOUBLE) AS w, CAST((l_suppkey % 40) + 0.5 AS DOUBLE) AS h FROM lineitem)""",

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,6 +30,7 @@ def grade_global(df: DataFrame, p: dict[str, float], temp_k: float = 6500, tint:
     """The global chain in its order: white balance, exposure, warmth and tint, tones, curve, local contrast, saturation twice,
     mixer, sharpening, denoising, glow, vignette. What is zero adds no step; neighbours are only read for the five that need them."""
     df = df.select(*PLACE, "r", "g", "b")
+    size = pixels.sizes(df)  # of the source: what is graded isn't computed again for it
     if temp_k != 6500 or tint:
         df = color.apply_gains(df, color.gains_of(F.lit(temp_k), F.lit(tint)))
     df = color.exposure(df, p.get("exposure", 0))
@@ -47,7 +52,7 @@ def grade_global(df: DataFrame, p: dict[str, float], temp_k: float = 6500, tint:
     if p.get("glow", 0) > 0:
         df = by_channel(df, lambda v: grid.glow(v, p["glow"]))
     if p.get("vignette"):
-        dims = df.join(pixels.sizes(df), "image_id")
+        dims = df.join(size, "image_id")
         df = color.vignette(dims, p["vignette"], F.col("width"), F.col("height")).drop("width", "height")
     return df.select(*PLACE, "r", "g", "b")
 
@@ -105,31 +110,49 @@ def layer_stack(df: DataFrame, masks: DataFrame, layers: list[dict]) -> DataFram
     return df.select(*PLACE, "r", "g", "b")
 
 
+def _read(what, path: str, otherwise: DataFrame) -> DataFrame:
+    """what(path), or otherwise where nothing is at path."""
+    try:
+        df = what(path)
+        df.schema  # noqa: B018
+        return df
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return otherwise
+
+
 def batch_run(spark: SparkSession, folder: str, out: str, log: str, preset_hash: str, p: dict[str, float], suffix: str = "_enhanced", output_format: str = "jpeg", job_id: str = "") -> DataFrame:
-    """Grade a folder's images that haven't succeeded before, store their pixels, and append a record for each.
+    """Grade a folder's images that haven't succeeded before in this batch, store their pixels, and append a record for each.
 
-    An image that can't be read becomes a record with an error. Returns the records. Each output is the
-    folder of its image's pixels under out.
+    A batch is a preset, suffix and format. Pixels lie under out/pixels/batch=.../image=..., a folder for each
+    image, with the column run; an image that is graded again replaces its folder, so a run that broke off before its records were
+    written is repeated without doubling pixels. An image is skipped if a record says that it succeeded and
+    its folder is still there. One that can't be read becomes a record with an error. Returns the records.
     """
     key = f'{{"format": "{output_format}", "preset_hash": "{preset_hash}", "suffix": "{suffix}"}}'
+    batch, run = hashlib.sha256(key.encode()).hexdigest()[:16], uuid.uuid4().hex
+    store, named = f"{out}/pixels", F.substring(F.sha2("image_id", 256), 1, 32).alias("image")
     plan = catalogue.plan_outputs(files.list_images(spark, folder).select("path"), out, suffix, output_format).withColumn("batch_key", F.lit(key))
-    try:
-        done = files.scan_ledger(spark, log)
-        done.schema  # noqa: B018
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        done = spark.createDataFrame([], files.LEDGER)
-    stored = done.where("status = 'success'").select(F.col("output_path").alias("path"))
-    work = cut(ledger.pending_work(plan.select("batch_key", "source_path", "output_path"), done, stored))
+    plan = plan.select("batch_key", "source_path", "output_path")
+    done = _read(lambda x: files.scan_ledger(spark, x), log, spark.createDataFrame([], files.LEDGER))
+    there = _read(lambda x: spark.read.schema("run string, image string").parquet(x).select("image").distinct(), f"{store}/batch={batch}", spark.createDataFrame([], "image string"))
+    images = plan.select("output_path", F.col("source_path").alias("image_id")).select("output_path", named)
+    stored = images.join(there, "image", "left_semi").select(F.col("output_path").alias("path"))
+    work = cut(ledger.pending_work(plan, done, stored))
     todo = work.where("status = 'pending'").select(F.col("source_path").alias("image_id"))
     graded = grade_global(files.read_pixels(spark, folder).join(todo, "image_id", "left_semi"), p)
-    store = f"{out}/pixels"
-    graded.withColumn("bucket", F.pmod(F.hash("image_id"), F.lit(64))).write.mode("append").partitionBy("bucket").parquet(store)
-    good = spark.read.schema("image_id string").parquet(store).select(F.col("image_id").alias("source_path"), F.lit(True).alias("ok")).distinct()
-    judged = work.join(good, "source_path", "left")
+    graded = graded.select("*", F.lit(run).alias("run"), F.lit(batch).alias("batch"), named).repartition("image")
+    graded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "image").parquet(store)
+    nothing = spark.createDataFrame([], "image_id string")
+    good = _read(lambda x: spark.read.schema("image_id string, run string").parquet(x).where(F.col("run") == run).select("image_id").distinct(), f"{store}/batch={batch}", nothing)
+    judged = work.join(good.select(F.col("image_id").alias("source_path"), F.lit(True).alias("ok")), "source_path", "left")
     status = F.when(F.col("status") == "skipped", "skipped").when(F.col("ok"), "success").otherwise("error")
-    have = {"batch_key": F.col("batch_key"), "error": F.when(status == "error", "cannot read image"), "job_id": F.lit(job_id), "output_format": F.lit(output_format), "output_path": F.col("output_path"), "preset_hash": F.lit(preset_hash), "reason": F.when(status == "skipped", "already completed"), "source_path": F.col("source_path"), "status": status, "suffix": F.lit(suffix), "ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")}
+    have = {
+        "batch_key": F.col("batch_key"), "error": F.when(status == "error", "cannot read image"), "job_id": F.lit(job_id), "output_format": F.lit(output_format),
+        "output_path": F.col("output_path"), "preset_hash": F.lit(preset_hash), "reason": F.when(status == "skipped", "already completed"),
+        "source_path": F.col("source_path"), "status": status, "suffix": F.lit(suffix), "ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+    }
     records = cut(judged.select(*[have.get(c, F.lit(None).cast("string")).alias(c) for c in files.LEDGER_FIELDS]))
     files.append_ledger(records, log)
     return records

@@ -171,12 +171,14 @@ def composite_mask(spark, sf_dir):
     return rounded(_plane(spark, sf_dir).select("image_id", "y", "x", f(v, "face", "normal", 1.0).alias("face_normal"), f(v, "face", "overlay", 0.6).alias("face_overlay"), f(v, "hair", "soft_light", 0.4).alias("hair_soft")))
 
 
-@query(with_("dt", RANK + """, ct AS (SELECT image_id, det_id, x + w / 2 AS cx, y + h / 2 AS cy, w / 4 AS sx, h / 4 AS sy FROM rk WHERE place = 0)
-, dy AS (SELECT *, unnest(range(CAST(greatest(0, ceil(cy - 3 * sy)) AS BIGINT), CAST(least(159, floor(cy + 3 * sy)) AS BIGINT) + 1)) AS yy FROM ct), dx AS (SELECT *, unnest(range(CAST(greatest(0, ceil(cx - 3 * sx)) AS BIGINT), CAST(least(159, floor(cx + 3 * sx)) AS BIGINT) + 1)) AS xx FROM dy)
-SELECT image_id, det_id, count(*) AS cells, round(sum(exp(-((xx - cx) * (xx - cx) / (2 * sx * sx) + (yy - cy) * (yy - cy) / (2 * sy * sy)))), 6) AS total FROM dx GROUP BY ALL"""))
+# The boxes of a frame of 160 x 160, on a grid of an eighth of that.
+@query(with_("dt", RANK + """, ct AS (SELECT image_id, det_id, (x + w / 2) / 8 AS cx, (y + h / 2) / 8 AS cy, w / 32 AS sx, h / 32 AS sy FROM rk WHERE place = 0),
+cells AS (SELECT * FROM ct, range(20) a(xx), range(20) b(yy) WHERE sx > 0 AND sy > 0)
+SELECT image_id, det_id, count(*) AS cells, round(sum(exp(-((xx - cx) * (xx - cx) / (2 * sx * sx) + (yy - cy) * (yy - cy) / (2 * sy * sy)))), 6) AS total FROM cells GROUP BY ALL"""))
 def gaussian_weight(spark, sf_dir):
     largest = m.target_face(m.rank_detections(dt(spark, sf_dir), 160, 160), 0)
-    bells = m.gaussian_weight(largest, 160, 160, F.col("w") / 4, F.col("h") / 4)
+    largest = largest.select("image_id", "det_id", *[(F.col(c) / 8).alias(c) for c in "xywh"])
+    bells = m.gaussian_weight(largest, 20, 20, F.col("w") / 4, F.col("h") / 4)
     return bells.groupBy("image_id", "det_id").agg(F.count(F.lit(1)).alias("cells"), F.round(F.sum("v"), 6).alias("total"))
 
 

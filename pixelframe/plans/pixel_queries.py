@@ -273,12 +273,12 @@ def apply_curve(spark, sf_dir):
     return rounded(color.apply_curve(px(spark, sf_dir), CURVE))
 
 
-MANY = _curve_sql("pts AS (SELECT p_partkey AS c, k, CASE k WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.1 + (p_partkey % 7) / 20 WHEN 2 THEN 0.5 + (p_partkey % 9) / 20 ELSE 1.0 END AS x, ((p_partkey * (k + 3) * 7) % 101) / 100 AS y FROM part, range(4) r(k) WHERE p_partkey <= 200)")
+MANY = _curve_sql("pts AS (SELECT p_partkey AS c, k, CASE k WHEN 0 THEN 0.0::DOUBLE WHEN 1 THEN 0.1 + (p_partkey % 7) / 20 WHEN 2 THEN 0.5 + (p_partkey % 9) / 20 ELSE 1.0 END AS x, ((p_partkey * (k + 3) * 7) % 101) / 100 AS y FROM part, range(4) r(k))")
 
 
 @query("WITH " + MANY + " SELECT c AS curve_id, CAST(i AS INT) AS level, round(v, 9) AS v FROM lut")
 def curve_lut(spark, sf_dir):
-    part = table(spark, sf_dir, "part").where("p_partkey <= 200").select(F.col("p_partkey").alias("curve_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("curve_id"), F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k"))
     c, k = F.col("curve_id"), F.col("k")
     x = F.when(k == 0, F.lit(0.0)).when(k == 1, 0.1 + (c % 7) / 20).when(k == 2, 0.5 + (c % 9) / 20).otherwise(F.lit(1.0))
     from pixelframe.operators.curves import curve_luts
@@ -351,10 +351,13 @@ def blend_modes(spark, sf_dir):
     return rounded(px(spark, sf_dir).select("image_id", "y", "x", *[color.blend(r, g, m).alias(m) for m in ("overlay", "soft_light", "normal")]))
 
 
-@query(with_("px ps", f"few AS (SELECT preset_id, pow(2.0, exposure / 100) AS k FROM ps WHERE preset_id % 50 = 1 AND preset_id <= 200) SELECT preset_id, {PLACE}, " + ", ".join(f"round({clip_sql(f'{c} * k')}, 9) AS {c}" for c in "rgb") + " FROM px, few"))
+# Each preset of the catalogue is ordered for one image.
+@query(with_("px ps", "todo AS (SELECT preset_id, preset_id % (SELECT max(image_id) FROM px) + 1 AS image_id, pow(2.0, exposure / 100) AS k FROM ps) "
+             f"SELECT preset_id, {PLACE}, " + ", ".join(f"round({clip_sql(f'{c} * k')}, 9) AS {c}" for c in "rgb") + " FROM px JOIN todo USING (image_id)"))
 def apply_presets(spark, sf_dir):
-    """All pixels under a catalogue's chosen presets (one in fifty of the first 200 is the selection)."""
-    return rounded(p.apply_presets(px(spark, sf_dir), ps(spark, sf_dir).where("preset_id % 50 = 1 AND preset_id <= 200")))
+    presets, images = ps(spark, sf_dir), table(spark, sf_dir, "lineitem").agg(F.max("l_suppkey").alias("n"))
+    work = presets.crossJoin(F.broadcast(images)).select("preset_id", (F.col("preset_id") % F.col("n") + 1).alias("image_id"))
+    return rounded(p.apply_presets(px(spark, sf_dir), presets, work))
 
 
 @query(with_("px", shown(*[f"least(floor({clip_sql(c)} * 255) * (1 + image_id % 5) / 255, 1) AS {c}" for c in "rgb"]) + " FROM px"))

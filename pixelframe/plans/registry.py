@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 QUERIES: dict[str, Callable] = {}
@@ -14,7 +15,8 @@ def query(sql: str | None = None, name: str | None = None):
     def put(f: Callable) -> Callable:
         QUERIES[name or f.__name__] = f
         if sql:
-            ORACLE_SQL[name or f.__name__] = sql
+            # Each step is made once, however many read it.
+            ORACLE_SQL[name or f.__name__] = re.sub(r"\b(\w+) AS \((?=SELECT\b)", r"\1 AS MATERIALIZED (", sql)
         return f
 
     return put

@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# The supported extensions of image files, and the fields of ledger and job records.
-IMAGE_EXTENSIONS = ("arw", "bmp", "cr2", "dng", "jpeg", "jpg", "nef", "png", "raw", "tif", "tiff")
+# The supported extensions of image files (raw formats, then others), and the fields of ledger and job records.
+IMAGE_EXTENSIONS = ("raw", "dng", "cr2", "nef", "arw", "jpg", "jpeg", "png", "tif", "tiff", "bmp")
 LEDGER_FIELDS = ("batch_key", "error", "job_id", "job_mode", "output_format", "output_path", "preset_hash", "preset_name", "reason", "source_path", "status", "suffix", "ts")
 LEDGER = T.StructType([T.StructField(f, T.StringType()) for f in LEDGER_FIELDS])
 JOB = T.StructType([T.StructField(f, T.StringType()) for f in ("job_id", "mode", "created_at", "preset_path", "input_dir", "output_dir", "suffix", "output_format")] + [T.StructField("skip_completed", T.BooleanType()), T.StructField("source_paths", T.ArrayType(T.StringType()))])
+#: Rows of one batch of pixels.
+PIXELS_AT_ONCE = 1 << 18
 NUMBERS = T.MapType(T.StringType(), T.DoubleType())
 PRESET = T.StructType([
     T.StructField("version", T.IntegerType()), T.StructField("global_params", NUMBERS), T.StructField("color_settings", T.MapType(T.StringType(), T.StringType())),
@@ -54,9 +56,13 @@ def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
 
     def unpack(batches):
         for batch in batches:
-            for origin, h, w, n, data in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                p = np.frombuffer(data, np.uint8).reshape(h * w, n)[:, [0, 0, 0] if n == 1 else [2, 1, 0]] / 255.0
-                yield pa.RecordBatch.from_arrays([pa.array([origin] * (h * w)), pa.array(np.repeat(np.arange(h, dtype=np.int32), w)), pa.array(np.tile(np.arange(w, dtype=np.int32), h)), *(pa.array(p[:, k]) for k in range(3))], names=["image_id", "y", "x", "r", "g", "b"])
+            for i in range(batch.num_rows):
+                origin, h, w, n = (batch.column(k)[i].as_py() for k in range(4))
+                flat = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8).reshape(h * w, n)
+                for a in range(0, h * w, PIXELS_AT_ONCE):
+                    p = flat[a : a + PIXELS_AT_ONCE, [0, 0, 0] if n == 1 else [2, 1, 0]] / 255.0
+                    y, x = np.divmod(np.arange(a, a + len(p), dtype=np.int32), np.int32(w))
+                    yield pa.RecordBatch.from_arrays([pa.array([origin] * len(p)), pa.array(y), pa.array(x), *(pa.array(p[:, k]) for k in range(3))], names=["image_id", "y", "x", "r", "g", "b"])
 
     return images.mapInArrow(unpack, "image_id string, y int, x int, r double, g double, b double")
 

@@ -46,6 +46,42 @@ def test_batch_run_skips_what_is_done(spark, folder, tmp_path):
     assert again == {"a.png": "skipped", "b.PNG": "skipped", "broken.png": "error"}
 
 
+def test_batches_are_kept_apart(spark, folder, tmp_path):
+    def run(preset, exposure):
+        out = grade.batch_run(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "log"), preset, {"exposure": exposure})
+        return {r.source_path.rsplit("/", 1)[1]: r.status for r in out.collect()}
+
+    def stored():
+        return spark.read.parquet(str(tmp_path / "out" / "pixels"))
+
+    assert run("h", 10)["a.png"] == "success" == run("g", 20)["a.png"]
+    pixels = stored()
+    assert pixels.select("batch").distinct().count() == 2 and pixels.groupBy("batch", "image_id", "y", "x").count().where("count > 1").count() == 0
+    (folder / "a.png").write_bytes(b"broken since")
+    assert run("f", 30) == {"a.png": "error", "b.PNG": "success", "broken.png": "error"}  # though other batches have its pixels
+    for d in (tmp_path / "out" / "pixels").glob("batch=*"):
+        d.rename(tmp_path / d.name)  # outputs that are gone are made again
+    (tmp_path / "out" / "pixels" / "_SUCCESS").unlink(missing_ok=True)
+    assert run("g", 20)["b.PNG"] == "success"
+
+
+def test_a_run_that_broke_off_is_repeated(spark, folder, tmp_path):
+    args = (spark, str(folder), str(tmp_path / "out"), str(tmp_path / "log"), "h", {"exposure": 10})
+    grade.batch_run(*args)
+    (tmp_path / "log").rename(tmp_path / "lost")  # as if it had ended before its records were written
+    again = {r.source_path.rsplit("/", 1)[1]: r.status for r in grade.batch_run(*args).collect()}
+    assert again == {"a.png": "success", "b.PNG": "success", "broken.png": "error"}
+    assert spark.read.parquet(str(tmp_path / "out" / "pixels")).groupBy("image_id", "y", "x").count().where("count > 1").count() == 0
+
+
+def test_bell_fills_the_frame(spark):
+    import math
+
+    boxes = spark.createDataFrame([("i", 1, 2.0, 3.0, 4.0, 2.0)], "image_id string, det_id int, x double, y double, w double, h double")
+    got = {(r.y, r.x): r.v for r in masks.gaussian_weight(boxes, 30, 20, F.col("w") / 4, F.col("h") / 4).collect()}
+    assert len(got) == 600 and all(abs(v - math.exp(-((x - 4) ** 2 / 2 + (y - 4) ** 2 / 0.5))) < 1e-12 for (y, x), v in got.items())
+
+
 def test_new_images_come_once(spark, folder, tmp_path):
     work, state = str(tmp_path / "work"), str(tmp_path / "state")
     ledger_stream.new_images(spark, str(folder), work, state)
