@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, small_batches
+from pixelframe.llm.common import cut, small, small_batches
 
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -104,13 +104,19 @@ def apply_rules(docs: DataFrame, rules: HostRules = HostRules(), host: str = "so
     """
     m = cut(measure(docs.select(*carry, "text", F.col(host).alias("_host")), rules).drop("text"))
     hosts = host_verdicts(m, rules, "_host").select("_host", "host_docs", "host_failures", "host_rejected")
-    out = m.join(hosts, "_host", "left")
+    out = m.join(small(hosts), "_host", "left")
     rejected = F.coalesce("host_rejected", F.lit(False))
     return out.select(*carry, "_rules.*", F.coalesce("host_docs", F.lit(0)).alias("host_docs"), F.coalesce("host_failures", F.lit(0)).alias("host_failures"), rejected.alias("host_rejected"), (~F.col("_rules.base_failed") & ~rejected).alias("kept"))
 
 
 def keep_good(docs: DataFrame, rules: HostRules = HostRules(), host: str = "source") -> DataFrame:
-    """The rows of docs, with docs' own columns, that pass the document rules and whose host isn't rejected."""
-    slim = cut(measure(docs.select("text", F.col(host).alias("_host")), rules).drop("text"))
-    bad = host_verdicts(slim, rules, "_host").where("host_rejected").select(F.col("_host").alias(host))
-    return measure(docs, rules).where(~F.col("_rules.base_failed")).drop("_rules").join(bad, host, "left_anti").select(*docs.columns)
+    """The rows of docs, with docs' own columns, that pass the document rules and whose host isn't rejected.
+
+    A null or empty text has no words and fails. Rows without a host belong to none. Repeated rows are judged and
+    counted each. Texts may be of any length; other columns may have any name; an empty table gives none.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    measured = measure(docs.select(row, F.col(host).alias("_host"), "text"), rules).drop("text")
+    measured = cut(measured.withColumn("row", F.when(~F.col("_rules.base_failed"), F.col("row"))))
+    bad = host_verdicts(measured, rules, "_host").where("host_rejected").select("_host")
+    return measured.where("row IS NOT NULL").join(small(bad), "_host", "left_anti").select("row.*")

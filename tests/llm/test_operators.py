@@ -54,7 +54,11 @@ def test_quality(docs, none):
     out = quality_rules.apply_rules(docs)
     assert rows(out, "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed") == expected(brute)
     assert out.where("kept AND base_failed").count() == 0 and quality_rules.apply_rules(none).count() == 0
-    assert quality_rules.keep_good(docs).columns == docs.columns
+    clash = docs.withColumnsRenamed({"lang": "_rules", "n_chars": "_m"})
+    kept = rows(out.where("kept"), "doc_id")
+    for d in (docs, clash):
+        assert quality_rules.keep_good(d).columns == d.columns and rows(quality_rules.keep_good(d), "doc_id") == kept
+    assert quality_rules.keep_good(none).count() == 0
 
 
 def test_host_prior_shrinks_small_hosts(spark):
