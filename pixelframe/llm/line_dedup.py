@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from pixelframe.functions.color import let
 from pixelframe.llm.common import cut, sharing, small
 
-#: A segment of more lines than this is hot.
-HOT = 32
+#: A segment of more lines than this is hot. A line has some hundreds of pieces; up to here, comparing all is less work.
+HOT = 64
 #: Copies of a line beyond this share of all lines are left out of the index; fewer than 1 / HOT_COPIES lines have as many.
 HOT_COPIES = 1e-4
 #: Code points that the verification reads before it looks whether a pair is lost already.
