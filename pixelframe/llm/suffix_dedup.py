@@ -20,9 +20,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from pixelframe.llm.common import cut, small_batches
+from pixelframe.llm.common import cut, sharing, small_batches
 
 LENGTH, GRAM, MOST_RUN = 50, 24, 256
 #: Bytes of pieces in one block, whose suffixes are sorted together.
@@ -199,8 +198,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     copies = cut(copies.join(one_text, "doc_id", "left_anti").select("doc_id"))  # an id with several texts is looked into
     known = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
     anchors = known.select("doc_id", F.explode(F.pandas_udf(_anchors, "array<long>", F.PandasUDFType.SCALAR)("text")).alias("anchor"))
-    w = Window.partitionBy("anchor")
-    shared = anchors.withColumn("lo", F.min("doc_id").over(w)).withColumn("hi", F.max("doc_id").over(w)).where("lo < hi")
+    several = lambda rows: rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    shared = sharing(anchors, "anchor", several)
     wanted = cut(shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted")))
     cutter = F.pandas_udf(_pieces, "array<struct<start: long, piece: binary, anchor: long>>", F.PandasUDFType.SCALAR)
     pieces = known.join(wanted, "doc_id").select("doc_id", F.explode(cutter("text", "wanted")).alias("p")).select("doc_id", "p.*")
