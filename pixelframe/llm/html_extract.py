@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, small_batches
+from pixelframe.llm.common import cut, small, small_batches
 
 # Tag names of HTML, and words of class, id and role attributes.
 RAW = "script|style|textarea|title|noscript|template|iframe|xmp"
@@ -294,10 +294,6 @@ class _References(dict):
         return ref
 
 
-def _outlines(pages: pd.Series) -> pd.Series:
-    return pd.Series([outline(parse(p)) for p in pages], dtype="int64")
-
-
 def _outlines_and_texts(pages: pd.Series) -> pd.DataFrame:
     rows = []
     for p in pages:
@@ -331,14 +327,10 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#]*)", 1))
 
 
-def with_outline(pages: DataFrame) -> DataFrame:
-    return pages.withColumn("outline", F.pandas_udf(_outlines, "long", F.PandasUDFType.SCALAR)("html"))
-
-
 def _choose_references(pages: DataFrame, rules: WrapperRules) -> tuple[DataFrame, DataFrame]:
-    """(host, outline, ref_outline), and (host, ref_outline, ref): the page with the most texts that recur on pages of its outline, the one with the fewest texts on ties."""
+    """(host, page, ref_outline) by distinct page, and (host, ref_outline, ref): the page with the most texts that recur on pages of its outline, the one with the fewest texts on ties."""
     sign = F.pandas_udf(_outlines_and_texts, "outline long, texts array<long>", F.PandasUDFType.SCALAR)
-    signed = pages.select("host", F.xxhash64("html").alias("page"), sign("html").alias("s")).groupBy("host", "page").agg(F.first("s").alias("s"))
+    signed = pages.select("host", "page", sign("html").alias("s")).groupBy("host", "page").agg(F.first("s").alias("s"))
     signed = cut(signed.select("host", "page", "s.outline", "s.texts"))
     outlines = signed.groupBy("host", "outline").agg(F.count(F.lit(1)).alias("n"))
     hosts = outlines.groupBy("host").agg(F.sum("n").alias("all"), F.max(F.struct("n", "outline")).alias("top"))
@@ -349,8 +341,8 @@ def _choose_references(pages: DataFrame, rules: WrapperRules) -> tuple[DataFrame
     common = texts.groupBy("host", "outline", "text", "n").agg(F.count(F.lit(1)).alias("k")).where((F.col("k") >= rules.min_pages) & (F.col("k") >= rules.constant_share * F.col("n"))).select("host", "outline", "text")
     score = texts.join(common, ["host", "outline", "text"]).groupBy("host", "outline", "page").agg(F.count(F.lit(1)).alias("score"))
     best = own.join(score, ["host", "outline", "page"], "left").groupBy("host", F.col("outline").alias("ref_outline")).agg(F.max_by("page", F.struct(F.coalesce("score", F.lit(0)), -F.size("texts"), "page")).alias("page"))
-    refs = pages.withColumn("page", F.xxhash64("html")).join(best, ["host", "page"]).groupBy("host", "ref_outline").agg(F.min("html").alias("ref"))
-    return outlines.drop("n"), cut(refs)
+    refs = pages.join(best, ["host", "page"]).groupBy("host", "ref_outline").agg(F.min("html").alias("ref"))
+    return cut(signed.join(outlines, ["host", "outline"]).select("host", "page", "ref_outline")), cut(refs)
 
 
 def _page_keys(filled: DataFrame) -> DataFrame:
@@ -371,24 +363,24 @@ def _page_keys(filled: DataFrame) -> DataFrame:
 
 
 def induce_wrappers(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> tuple[DataFrame, DataFrame]:
-    """(host, outline, ref_outline), and (host, ref_outline, ref, constant, varying): a reference, the slots of it that are template, and those that aren't though enough pages fill them.
+    """(host, page, ref_outline) by distinct page, and (host, ref_outline, ref, constant, varying): a reference, the slots of it that are template, and those that aren't though enough pages fill them.
 
-    pages: host, html. Each page is aligned with one reference, never with the other pages; slots are counted
+    pages: host, html, page (its hash). Each page is aligned with one reference, never with the other pages; slots are counted
     by text hash, over distinct pages, near copies as one. Blank pages don't count.
     """
     group = ["host", "ref_outline"]
     pages = pages.where(F.col("html").rlike(r"\S"))
-    outlines, refs = _choose_references(pages, rules)
+    chosen, refs = _choose_references(pages, rules)
     fill = F.pandas_udf(_filled, "array<struct<slot int, text long, size int>>", F.PandasUDFType.SCALAR)
-    aligned = with_outline(pages).join(outlines, ["host", "outline"]).join(refs, group)
-    filled = aligned.select(*group, F.xxhash64("html").alias("page"), fill("html", "ref").alias("slots")).groupBy(*group, "page").agg(F.first("slots").alias("slots"))
+    aligned = pages.join(small(chosen), ["host", "page"]).join(refs, group)
+    filled = aligned.select(*group, "page", fill("html", "ref").alias("slots")).groupBy(*group, "page").agg(F.first("slots").alias("slots"))
     filled = cut(filled.select(*group, "page", F.explode("slots").alias("s")).select(*group, "page", "s.*"))
     keyed = filled.join(_page_keys(filled), [*group, "page"], "left").select(*group, "slot", "text", F.coalesce("key", F.lit(0)).alias("key")).distinct()
     same = keyed.groupBy(*group, "slot", "text").agg(F.count(F.lit(1)).alias("n"))
     slots = same.groupBy(*group, "slot").agg(F.sum("n").alias("pages"), F.max("n").alias("most"))
     same = F.col("most") >= rules.constant_share * F.col("pages")
     known = slots.where(F.col("pages") >= rules.min_pages).groupBy(*group).agg(F.collect_list(F.when(same, F.col("slot"))).alias("constant"), F.collect_list(F.when(~same, F.col("slot"))).alias("varying"))
-    return outlines, cut(refs.join(known, group, "left"))
+    return chosen, cut(refs.join(known, group, "left"))
 
 
 def extract_pages(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> DataFrame:
@@ -396,12 +388,13 @@ def extract_pages(pages: DataFrame, rules: WrapperRules = WrapperRules()) -> Dat
 
     text: the blocks of the article, without the host's template, joined by two line feeds; empty for null or empty html and for pages
     without content. Pages without host, or with a null url, share the host "". Repeated rows are extracted
-    each; other columns aren't read.
+    each, and count once for the template; of slots or references that tie, one is taken by a fixed order. Pages and
+    trees may be of any size and depth. An empty table gives none. Other columns aren't read.
     """
     small_batches(pages.sparkSession)
-    pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"))
-    outlines, wrappers = induce_wrappers(pages.select("host", "html"), rules)
-    joined = with_outline(pages).join(outlines, ["host", "outline"], "left").join(wrappers, ["host", "ref_outline"], "left")
+    pages = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("host"), F.xxhash64("html").alias("page"))
+    chosen, wrappers = induce_wrappers(pages.select("host", "html", "page"), rules)
+    joined = pages.join(small(chosen), ["host", "page"], "left").join(wrappers, ["host", "ref_outline"], "left")
     text = F.pandas_udf(_extracted, "string", F.PandasUDFType.SCALAR)("html", "ref", "constant", "varying")
     out = joined.select("page_id", "url", text.alias("text"))
     return out.withColumn("n_chars", F.char_length("text").cast("long"))
