@@ -1,9 +1,11 @@
 """Suffix-array dedup of strings that also start in an earlier document.
 
 Each window of 50 bytes belongs to its least 24-byte hash, its anchor: equal windows have equal anchors.
-Only anchors of several documents are followed. Runs of windows with one anchor are cut out as pieces,
-equal pieces are kept once with the least document that has them, and where an anchor has several pieces, a
-suffix array of them tells which of their windows are equal.
+Only anchors of several documents are followed. Runs of windows with one anchor are cut out as pieces, and
+equal pieces are kept once with the least document that has them. Where an anchor has several pieces, the
+windows that may be in more than one of them are cut out, and a suffix array of what is left tells which of
+them are equal. Pieces of an anchor that has very many are cut again by longer anchors before, until no group
+is large; the array decides there, too.
 
 The array is built by linear grouping: suffixes start in groups by byte; from the highest group down, each
 suffix's previous suffix of a lower group is moved behind its own group, by how many such suffixes it
@@ -15,19 +17,25 @@ from __future__ import annotations
 
 import hashlib
 from collections import Counter, defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.llm.common import cut, sharing, small_batches
 
-LENGTH, GRAM, MOST_RUN = 50, 24, 256
-#: Bytes of pieces in one block, whose suffixes are sorted together.
-BLOCK_BYTES = 128 << 10
-#: Anchors of more pieces are grouped window by window instead.
+LENGTH, MOST_RUN = 50, 256
+#: Bytes of an anchor, and of those that split groups of more than MOST_PIECES pieces. With the last, a group
+#: holds one window, or windows that repeat it in a row, so it can't be large.
+GRAMS = (24, 37, LENGTH)
 MOST_PIECES = 512
+#: Bytes of pieces in one block, whose suffixes are sorted together.
+BLOCK_BYTES = 512 << 10
+#: Bytes of pieces sent from a Python task at once, but for the pieces of one text.
+BATCH_BYTES = 16 << 20
 
 
 def suffix_array(text: bytes) -> list[int]:
@@ -91,23 +99,30 @@ def suffix_array(text: bytes) -> list[int]:
     return out[1:]
 
 
-def runs_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(first window, number of windows, anchor) of each run of windows with one anchor."""
+def _hashes(data: bytes, width: int) -> np.ndarray:
+    """A hash of each string of width bytes in data."""
+    h, factor = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15
+    count, done, out = max(0, len(data) - width + 1), 0, None
+    bit = 1  # h has the hashes of bit bytes
+    while done < width:
+        if width & bit:
+            part = h[done : done + count] if out is not None else h[:count]
+            out = part if out is None else out * np.uint64(pow(factor, bit, 1 << 64)) + part
+            done += bit
+        if done < width:
+            h = h[:-bit] * np.uint64(pow(factor, bit, 1 << 64)) + h[bit:]
+            bit *= 2
+    out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return out ^ (out >> np.uint64(32))
+
+
+def runs_of(data: bytes, gram: int = GRAMS[0]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first window, number of windows, anchor) of each run of windows with one anchor of gram bytes."""
     n = len(data) - LENGTH + 1
     if n < 1:
         e = np.zeros(0, np.int64)
         return e, e, e
-    h, c = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1), 0x9E3779B97F4A7C15
-    powers, width = {1: h}, 1
-    while width < 16:
-        h = h[:-width] * np.uint64(pow(c, width, 1 << 64)) + h[width:]
-        width *= 2
-        powers[width] = h
-    count = len(data) - GRAM + 1
-    h = powers[16][:count] * np.uint64(pow(c, 8, 1 << 64)) + powers[8][16 : 16 + count]
-    h = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    h ^= h >> np.uint64(32)
-    least, width, span = h, 1, LENGTH - GRAM + 1
+    least, width, span = _hashes(data, gram), 1, LENGTH - gram + 1
     while 2 * width <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -129,41 +144,114 @@ def _anchors(texts: pd.Series) -> pd.Series:
     return pd.Series([np.unique(runs_of(_bytes(t))[2]) for t in texts], dtype=object)
 
 
-def _pieces(texts: pd.Series, wanted: pd.Series) -> pd.Series:
-    out = []
-    for t, w in zip(texts, wanted):
-        data = _bytes(t)
-        first, length, anchor = runs_of(data)
-        keep = np.isin(anchor, w)
-        out.append([{"start": a, "piece": data[a : a + k + LENGTH - 1], "anchor": h} for a, k, h in zip(first[keep].tolist(), length[keep].tolist(), anchor[keep].tolist())])
-    return pd.Series(out, dtype=object)
+def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, start, piece, anchor) of the runs of each text whose anchors are wanted."""
+    for b in batches:
+        lists = b.column("wanted")
+        wanted = np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
+        rows = _Rows(b.column("doc_id"))
+        for i, data in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
+            first, length, anchor = runs_of(data)
+            keep = np.isin(anchor, wanted[i])
+            rows.add(i, data, first[keep], length[keep], anchor[keep])
+            if rows.bytes > BATCH_BYTES:
+                yield rows.take("doc_id")
+        yield rows.take("doc_id")
+
+
+def _cut_again(gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(of, start, piece, anchor) of the runs of each piece by anchors of gram bytes; of is the row of the piece."""
+
+    def cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = _Rows(b.column("of"))
+            for i, data in enumerate(b.column("piece").to_pylist()):
+                rows.add(i, data, *runs_of(data, gram))
+                if rows.bytes > BATCH_BYTES:
+                    yield rows.take("of")
+            yield rows.take("of")
+
+    return cutter
+
+
+class _Rows:
+    """Pieces on their way out of a task, with the key of the row that each is from."""
+
+    def __init__(self, keys: pa.Array) -> None:
+        self.keys = keys
+        self.clear()
+
+    def clear(self) -> None:
+        self.at: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.start, self.anchor, self.piece, self.bytes = list(self.at), list(self.at), [], 0
+
+    def add(self, row: int, data: bytes, first: np.ndarray, length: np.ndarray, anchor: np.ndarray) -> None:
+        self.at.append(np.full(len(first), row))
+        self.start.append(first)
+        self.anchor.append(anchor)
+        self.piece += [data[a : a + k] for a, k in zip(first.tolist(), (length + LENGTH - 1).tolist())]
+        self.bytes += int(length.sum()) + len(first) * (LENGTH - 1)
+
+    def take(self, key: str) -> pa.RecordBatch:
+        columns = [self.keys.take(pa.array(np.concatenate(self.at))), pa.array(np.concatenate(self.start)), pa.array(self.piece, pa.binary()), pa.array(np.concatenate(self.anchor))]
+        self.clear()
+        return pa.RecordBatch.from_arrays(columns, [key, "start", "piece", "anchor"])
 
 
 def _least_documents(block: pd.DataFrame) -> pd.DataFrame:
-    """For each piece of a block (anchor, piece, doc), the least document of each of its windows."""
+    """For each piece of a block (anchor, piece, x, y, doc), the least document of each of its windows.
+
+    A window whose hash is in pieces of one document only has no equal elsewhere. Runs of the others are
+    sorted, equal runs once.
+    """
     text = b"".join(block["piece"])
     sizes = block["piece"].map(len).to_numpy()
     ends = np.cumsum(sizes)
+    starts = ends - sizes
     owner = np.repeat(np.arange(len(block)), sizes)
-    valid = np.arange(len(text)) + LENGTH <= ends[owner]
-    docs, least = block["doc"].to_numpy(), np.zeros(len(text), np.int64)
-    group: list[int] = []
-    last = b""
+    docs = block["doc"].to_numpy()
+    least = docs[owner]
+    windows = np.flatnonzero(np.arange(len(text)) + LENGTH <= ends[owner])
+    h = _hashes(text, LENGTH)[windows]
+    order = np.argsort(h, kind="stable")
+    heads = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    low, high = (f.reduceat(least[windows][order], heads) for f in (np.minimum, np.maximum))
+    maybe = np.zeros(len(text) + 1, bool)
+    maybe[windows[order]] = np.repeat(low < high, np.diff(np.append(heads, len(order))))
+    # The 49 bytes at the end of a piece start no window, so a run stays inside its piece.
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], maybe.astype(np.int8)])))
+    places: dict[bytes, list[int]] = defaultdict(list)
+    for a, z in zip(edges[::2].tolist(), edges[1::2].tolist()):
+        places[text[a : z + LENGTH - 1]].append(a)
+    owners = [int(least[at].min()) for at in places.values()]
+    for (run, at), found in zip(places.items(), _least_of_runs(list(places), owners)):
+        for a in at:
+            least[a : a + len(found)] = found
+    found = [least[a : a + k - LENGTH + 1] for a, k in zip(starts, sizes)]
+    return pd.DataFrame({"anchor": block["anchor"], "x": block["x"], "y": block["y"], "least": found})
 
-    def close() -> None:
-        if group:
-            least[group] = docs[owner[group]].min()
 
+def _least_of_runs(runs: list[bytes], docs: list[int]) -> list[np.ndarray]:
+    """For each run, the least document of each of its windows, by the suffix array of all runs."""
+    text = b"".join(runs)
+    sizes = np.array([len(r) for r in runs], np.int64)
+    ends = np.cumsum(sizes)
+    owner = np.repeat(np.arange(len(runs)), sizes)
+    valid = (np.arange(len(text)) + LENGTH <= ends[owner]).tolist()
+    least = np.array(docs, np.int64)[owner]
+    group: list[int] = []
+    last = b""
     for s in suffix_array(text):
         if valid[s]:
             window = text[s : s + LENGTH]
             if window != last:
-                close()
+                if len(group) > 1:
+                    least[group] = least[group].min()
                 group, last = [], window
             group.append(s)
-    close()
-    starts = ends - sizes
-    return pd.DataFrame({"anchor": block["anchor"], "piece": block["piece"], "least": [least[a : a + k - LENGTH + 1] for a, k in zip(starts, sizes)]})
+    if len(group) > 1:
+        least[group] = least[group].min()
+    return [least[z - k : z - LENGTH + 1] for z, k in zip(ends, sizes)]
 
 
 def _result(texts: pd.Series, hits: pd.Series) -> pd.DataFrame:
@@ -200,36 +288,57 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     anchors = known.select("doc_id", F.explode(F.pandas_udf(_anchors, "array<long>", F.PandasUDFType.SCALAR)("text")).alias("anchor"))
     several = lambda rows: rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     shared = sharing(anchors, "anchor", several)
-    wanted = cut(shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted")))
-    cutter = F.pandas_udf(_pieces, "array<struct<start: long, piece: binary, anchor: long>>", F.PandasUDFType.SCALAR)
-    pieces = known.join(wanted, "doc_id").select("doc_id", F.explode(cutter("text", "wanted")).alias("p")).select("doc_id", "p.*")
-    pieces = cut(pieces.withColumn("pid", F.struct(F.xxhash64("piece").alias("x"), F.xxhash64(F.lit(1), "piece").alias("y"))))
-    distinct = cut(pieces.groupBy("anchor", "piece").agg(F.min("doc_id").alias("doc")))
-    per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("piece")).alias("bytes"))
-    several = per.where("n > 1")
-    total = several.where(F.col("n") <= MOST_PIECES).agg(F.sum("bytes")).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
-    mixed = distinct.join(several.select("anchor", "n"), "anchor")
-    kind = "anchor long, piece binary, least array<long>"
-    sorted_ = mixed.where(F.col("n") <= MOST_PIECES).select("anchor", "piece", "doc", F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")).groupBy("block").applyInPandas(_least_documents, kind)
-    # Anchors with very many pieces: their windows one by one, so that no task gets them all.
-    wide = mixed.where(F.col("n") > MOST_PIECES).select("anchor", "piece", "doc", F.explode(F.sequence(F.lit(1), F.octet_length("piece") - LENGTH + 1)).alias("k"))
-    wide = wide.withColumn("window", F.substring("piece", F.col("k"), F.lit(LENGTH)))
-    least = wide.groupBy("window").agg(F.min("doc").alias("l"))
-    by_window = wide.join(least, "window").groupBy("anchor", "piece").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "l"))), lambda s: s.l).alias("least"))
-    single = distinct.join(several, "anchor", "left_anti").select("anchor", "piece", F.array_repeat("doc", F.octet_length("piece") - LENGTH + 1).alias("least"))
-    pid = F.struct(F.xxhash64("piece").alias("x"), F.xxhash64(F.lit(1), "piece").alias("y"))
-    known_least = cut(sorted_.unionByName(by_window).unionByName(single).where(F.size("least") > 0).select("anchor", pid.alias("pid"), "least"))
-    hit = pieces.drop("piece").join(known_least, ["anchor", "pid"])
+    wanted = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted"))
+    kind = f"doc_id {known.schema['doc_id'].dataType.simpleString()}, start long, piece binary, anchor long"
+    pieces = cut(known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_pieces, kind).select("*", *_pid()))
+    distinct = cut(pieces.groupBy("anchor", "piece").agg(F.min("doc_id").cast("long").alias("doc")).select("*", *_pid()))
+    hit = pieces.select("doc_id", "start", F.octet_length("piece").alias("n"), "anchor", "x", "y").join(_settle(distinct, 0), ["anchor", "x", "y"])
     places = F.transform(F.col("least"), lambda x, k: F.when(x < F.col("doc_id"), k))
     spans = F.transform(F.array_compact(places), lambda k: F.struct((F.col("start") + k).alias("a"), (F.col("start") + k + LENGTH).alias("z")))
-    gone = hit.where("array_min(least) < doc_id").groupBy("doc_id").agg(F.flatten(F.collect_list(_joined(spans))).alias("hits"))
+    one = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("z")))
+    spans = F.when(F.col("least").isNull(), one).otherwise(_joined(spans))
+    gone = hit.where("coalesce(array_min(least), doc) < doc_id").groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("hits"))
     result = F.pandas_udf(_result, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     whole = F.expr("array(named_struct('a', 0L, 'z', CAST(octet_length(text) AS BIGINT)))")
     both = docs.join(gone, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     return both.withColumn("hits", F.when(F.col("copy"), whole).otherwise(F.col("hits"))).select("doc_id", result("text", "hits").alias("r")).select("doc_id", "r.*")
 
 
+def _pid() -> list:
+    """x and y, by which a piece is joined back to its places."""
+    return [F.xxhash64("piece").alias("x"), F.xxhash64(F.lit(1), "piece").alias("y")]
+
+
+def _settle(distinct: DataFrame, level: int) -> DataFrame:
+    """(anchor, x, y, doc, least) of each of the different pieces (anchor, piece, doc, x, y) of an anchor of GRAMS[level] bytes.
+
+    least has the least document of each window; it is null where the anchor has no other piece, and doc is
+    that of all windows.
+    """
+    per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("piece")).alias("bytes"), *[F.min(c).alias(c) for c in ("x", "y", "doc")])
+    per = cut(per)
+    split = F.col("pieces") > (MOST_PIECES if level + 1 < len(GRAMS) else 1 << 62)
+    alone = per.where("pieces = 1").select("anchor", "x", "y", "doc", F.lit(None).cast("array<long>").alias("least"))
+    usual = per.where((F.col("pieces") > 1) & ~split)
+    blocks = max(1, -(-(usual.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
+    block = F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")
+    mixed = distinct.join(usual.select("anchor"), "anchor").select("anchor", "piece", "x", "y", "doc", block)
+    found = mixed.groupBy("block").applyInPandas(_least_documents, "anchor long, x long, y long, least array<long>")
+    large = per.where(split).select("anchor")
+    if not large.isEmpty():
+        of = F.struct("anchor", "x", "y", "doc").alias("of")
+        kind = "of struct<anchor:long,x:long,y:long,doc:long>, start long, piece binary, anchor long"
+        parts = distinct.join(large, "anchor").select(of, "piece").mapInArrow(_cut_again(GRAMS[level + 1]), kind)
+        # Windows stay apart by both anchors, so that a run of a longer one is inside a run of the shorter.
+        parts = cut(parts.withColumn("anchor", F.xxhash64("of.anchor", "anchor")).select("*", *_pid()))
+        inner = _settle(cut(parts.groupBy("anchor", "piece").agg(F.min("of.doc").alias("doc")).select("*", *_pid())), level + 1)
+        each = F.coalesce("least", F.array_repeat("doc", F.col("n") - LENGTH + 1))
+        back = parts.select("of", "start", F.octet_length("piece").alias("n"), "anchor", "x", "y").join(inner, ["anchor", "x", "y"])
+        back = back.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("start", each.alias("least")))).alias("parts"))
+        found = found.unionByName(back.select("of.anchor", "of.x", "of.y", F.flatten(F.col("parts.least")).alias("least")))
+    return cut(alone.unionByName(found.withColumn("doc", F.lit(None).cast("long"))))
+
+
 def _joined(spans):
     """Overlapping neighbours of ascending spans as one."""
     kind = "array<struct<a:bigint,z:bigint>>"
