@@ -26,5 +26,13 @@ def new_path(spark: SparkSession, kind: str) -> str:
 def cut(df: DataFrame) -> DataFrame:
     """df written as Parquet in the shared folder and read back, so that its lineage ends there."""
     path = new_path(df.sparkSession, "cut")
-    df.write.parquet(path)
+    df.write.parquet(path, compression="zstd")
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def drop_cut(df: DataFrame) -> None:
+    """Empty the table that cut has returned as df: nothing may read it from here on."""
+    folder = f"{shared_dir(df.sparkSession)}/cut-"
+    for path in {file.rsplit("/", 1)[0] for file in df.inputFiles()}:
+        if folder.split(":")[-1].lstrip("/") in path:
+            df.sparkSession.createDataFrame([], df.schema).write.mode("overwrite").parquet(path)
