@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.sources.shared import cut
+from pixelframe.sources.shared import cut, drop_cut  # noqa: F401
 
 #: Rows in one Arrow batch to Python. Documents can be long, so the engine's default of 10,000 is too many.
 ARROW_ROWS = 256

@@ -22,10 +22,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, sharing, small_batches
+from pixelframe.llm.common import cut, drop_cut, sharing, small_batches
 
 LENGTH, MOST_RUN = 50, 256
 #: Bytes of an anchor, and of those that split groups of more than MOST_PIECES pieces. With the last, a group
@@ -33,7 +33,7 @@ LENGTH, MOST_RUN = 50, 256
 GRAMS = (24, 37, LENGTH)
 MOST_PIECES = 512
 #: Bytes of pieces in one block, whose suffixes are sorted together.
-BLOCK_BYTES = 512 << 10
+BLOCK_BYTES = 256 << 10
 #: Bytes of pieces sent from a Python task at once, but for the pieces of one text.
 BATCH_BYTES = 16 << 20
 
@@ -54,6 +54,22 @@ def suffix_array(text: bytes) -> list[int]:
     high = n
     while high:
         low = start[order[high - 1]]
+        if high - low == 1:
+            s = order[low]
+            j = s - 1
+            while j >= 0 and start[j] >= low:
+                j = before[j]
+            before[s] = j
+            if j >= 0 and size[start[j]] > 1:
+                g = start[j]
+                size[g] -= 1
+                at, end = place[j], g + size[g]
+                other = order[end]
+                order[at], order[end] = other, j
+                place[other], place[j] = at, end
+                start[j], size[end] = end, 1
+            high = low
+            continue
         chained: Counter = Counter()
         for s in sorted(order[low:high]):
             j = s - 1
@@ -199,7 +215,7 @@ class _Rows:
 
 
 def _least_documents(block: pd.DataFrame) -> pd.DataFrame:
-    """For each piece of a block (anchor, piece, x, y, doc), the least document of each of its windows.
+    """For each piece of a block (anchor, piece, x, doc), the least document of each of its windows.
 
     A window whose hash is in pieces of one document only has no equal elsewhere. Runs of the others are
     sorted, equal runs once.
@@ -228,7 +244,7 @@ def _least_documents(block: pd.DataFrame) -> pd.DataFrame:
         for a in at:
             least[a : a + len(found)] = found
     found = [least[a : a + k - LENGTH + 1] for a, k in zip(starts, sizes)]
-    return pd.DataFrame({"anchor": block["anchor"], "x": block["x"], "y": block["y"], "least": found})
+    return pd.DataFrame({"anchor": block["anchor"], "x": block["x"], "least": found})
 
 
 def _least_of_runs(runs: list[bytes], docs: list[int]) -> list[np.ndarray]:
@@ -290,53 +306,62 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     shared = sharing(anchors, "anchor", several)
     wanted = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted"))
     kind = f"doc_id {known.schema['doc_id'].dataType.simpleString()}, start long, piece binary, anchor long"
-    pieces = cut(known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_pieces, kind).select("*", *_pid()))
-    distinct = cut(pieces.groupBy("anchor", "piece").agg(F.min("doc_id").cast("long").alias("doc")).select("*", *_pid()))
-    hit = pieces.select("doc_id", "start", F.octet_length("piece").alias("n"), "anchor", "x", "y").join(_settle(distinct, 0), ["anchor", "x", "y"])
+    pieces = cut(known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_pieces, kind))
+    distinct = cut(pieces.groupBy("anchor", "piece").agg(F.min("doc_id").cast("long").alias("doc")))
+    settled = _settle(distinct, 0)
+    drop_cut(distinct)
+    hit = pieces.select("doc_id", "start", F.octet_length("piece").alias("n"), "anchor", _pid()).join(settled, ["anchor", "x"])
     places = F.transform(F.col("least"), lambda x, k: F.when(x < F.col("doc_id"), k))
     spans = F.transform(F.array_compact(places), lambda k: F.struct((F.col("start") + k).alias("a"), (F.col("start") + k + LENGTH).alias("z")))
     one = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("z")))
     spans = F.when(F.col("least").isNull(), one).otherwise(_joined(spans))
-    gone = hit.where("coalesce(array_min(least), doc) < doc_id").groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("hits"))
+    gone = cut(hit.where("coalesce(array_min(least), doc) < doc_id").groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("hits")))
+    drop_cut(pieces)
+    drop_cut(settled)
     result = F.pandas_udf(_result, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     whole = F.expr("array(named_struct('a', 0L, 'z', CAST(octet_length(text) AS BIGINT)))")
     both = docs.join(gone, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     return both.withColumn("hits", F.when(F.col("copy"), whole).otherwise(F.col("hits"))).select("doc_id", result("text", "hits").alias("r")).select("doc_id", "r.*")
 
 
-def _pid() -> list:
-    """x and y, by which a piece is joined back to its places."""
-    return [F.xxhash64("piece").alias("x"), F.xxhash64(F.lit(1), "piece").alias("y")]
+def _pid() -> Column:
+    """x, which joins a piece to its places, together with its anchor."""
+    return F.xxhash64("piece").alias("x")
 
 
 def _settle(distinct: DataFrame, level: int) -> DataFrame:
-    """(anchor, x, y, doc, least) of each of the different pieces (anchor, piece, doc, x, y) of an anchor of GRAMS[level] bytes.
+    """(anchor, x, doc, least) of each of the different pieces (anchor, piece, doc) of an anchor of GRAMS[level] bytes.
 
     least has the least document of each window; it is null where the anchor has no other piece, and doc is
     that of all windows.
     """
-    per = distinct.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("piece")).alias("bytes"), *[F.min(c).alias(c) for c in ("x", "y", "doc")])
-    per = cut(per)
+    keyed = distinct.select("*", _pid())
+    per = cut(keyed.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("piece")).alias("bytes"), F.min("x").alias("x"), F.min("doc").alias("doc")))
     split = F.col("pieces") > (MOST_PIECES if level + 1 < len(GRAMS) else 1 << 62)
-    alone = per.where("pieces = 1").select("anchor", "x", "y", "doc", F.lit(None).cast("array<long>").alias("least"))
+    alone = per.where("pieces = 1").select("anchor", "x", "doc", F.lit(None).cast("array<long>").alias("least"))
     usual = per.where((F.col("pieces") > 1) & ~split)
     blocks = max(1, -(-(usual.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")
-    mixed = distinct.join(usual.select("anchor"), "anchor").select("anchor", "piece", "x", "y", "doc", block)
-    found = mixed.groupBy("block").applyInPandas(_least_documents, "anchor long, x long, y long, least array<long>")
-    large = per.where(split).select("anchor")
+    mixed = keyed.join(usual.select("anchor"), "anchor").select("anchor", "piece", "x", "doc", block)
+    found = mixed.groupBy("block").applyInPandas(_least_documents, "anchor long, x long, least array<long>")
+    large, spent = per.where(split).select("anchor"), [per]
     if not large.isEmpty():
-        of = F.struct("anchor", "x", "y", "doc").alias("of")
-        kind = "of struct<anchor:long,x:long,y:long,doc:long>, start long, piece binary, anchor long"
-        parts = distinct.join(large, "anchor").select(of, "piece").mapInArrow(_cut_again(GRAMS[level + 1]), kind)
+        of = F.struct("anchor", "x", "doc").alias("of")
+        kind = "of struct<anchor:long,x:long,doc:long>, start long, piece binary, anchor long"
+        parts = keyed.join(large, "anchor").select(of, "piece").mapInArrow(_cut_again(GRAMS[level + 1]), kind)
         # Windows stay apart by both anchors, so that a run of a longer one is inside a run of the shorter.
-        parts = cut(parts.withColumn("anchor", F.xxhash64("of.anchor", "anchor")).select("*", *_pid()))
-        inner = _settle(cut(parts.groupBy("anchor", "piece").agg(F.min("of.doc").alias("doc")).select("*", *_pid())), level + 1)
+        parts = cut(parts.withColumn("anchor", F.xxhash64("of.anchor", "anchor")))
+        different = cut(parts.groupBy("anchor", "piece").agg(F.min("of.doc").alias("doc")))
+        inner = _settle(different, level + 1)
+        spent += [parts, different, inner]
         each = F.coalesce("least", F.array_repeat("doc", F.col("n") - LENGTH + 1))
-        back = parts.select("of", "start", F.octet_length("piece").alias("n"), "anchor", "x", "y").join(inner, ["anchor", "x", "y"])
+        back = parts.select("of", "start", F.octet_length("piece").alias("n"), "anchor", _pid()).join(inner, ["anchor", "x"])
         back = back.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("start", each.alias("least")))).alias("parts"))
-        found = found.unionByName(back.select("of.anchor", "of.x", "of.y", F.flatten(F.col("parts.least")).alias("least")))
-    return cut(alone.unionByName(found.withColumn("doc", F.lit(None).cast("long"))))
+        found = found.unionByName(back.select("of.anchor", "of.x", F.flatten(F.col("parts.least")).alias("least")))
+    settled = cut(alone.unionByName(found.withColumn("doc", F.lit(None).cast("long"))))
+    for table in spent:
+        drop_cut(table)
+    return settled
 
 
 def _joined(spans):
