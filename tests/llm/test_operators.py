@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import tracemalloc
 
 import pytest
 from pyspark.sql import functions as F
@@ -255,6 +256,48 @@ def test_benchmark(spark, docs, none):
     assert decontaminate.drop_contaminated(docs, bench).columns == docs.columns
 
 
+def test_benchmark_index():
+    """Items that share and repeat windows, of all lengths, in one index and in parts, against a search for each window."""
+    r = random.Random(3)
+    for _ in range(60):
+        names = [f"w{k}" for k in range(r.choice([2, 5, 40]))]
+        items = [(r.randrange(8), " ".join(r.choices(names, k=r.choice([0, 1, 2, 12, 13, 14, 40])))) for _ in range(r.randrange(1, 10))]
+        index = decontaminate.Index(items)
+        for _ in range(4):
+            text = " ".join(r.choice([*names, "zz"]) if r.random() < 0.6 else r.choice(items)[1] for _ in range(r.randrange(30)))
+            words, hit, found = decontaminate.words_of(text), set(), set()
+            for item, t in items:
+                w = decontaminate.words_of(t)
+                n = min(13, len(w))
+                places = [(k, j) for j in range(len(w) - n + 1) for k in range(len(words) - n + 1) if n and words[k : k + n] == w[j : j + n]]
+                hit.update(x for k, _ in places for x in range(k, k + n))
+                found |= {str(item)} if places else set()
+            n, spans, got = index.search(text)
+            assert (n, {x for a, z in zip(spans[::2], spans[1::2]) for x in range(a, z)}, got) == (len(words), hit, sorted(found))
+        for _, t in items:
+            w, parts = decontaminate.words_of(t), [decontaminate.words_of(x) for x in decontaminate.parts_of(t, 30)]
+            assert [w[k : k + 13] for k in range(len(w) - 12)] == [x[k : k + 13] for x in parts for k in range(len(x) - 12)]
+
+
+def test_benchmark_of_many_blocks(spark, docs):
+    long = " ".join(rnd.choice(WORDS) for _ in range(900)) + " " + BASE
+    bench = spark.createDataFrame([("long", long), ("one", " ".join(BASE.split()[:30])), ("long", BASE)], "item_id string, text string")
+    once = rows(decontaminate.find_contamination(docs, bench), "doc_id", "n_words", "n_hit", "n_items", "items_sha256")
+    assert rows(decontaminate.find_contamination(docs, bench, decontaminate.BenchmarkLimits(block_bytes=2000)), "doc_id", "n_words", "n_hit", "n_items", "items_sha256") == once
+    assert max(r[3] for r in once) == 2
+
+
+def test_memory_of_the_benchmark_index():
+    r = random.Random(5)
+    words = ["".join(r.choices("abcdefghij", k=r.randrange(3, 9))) for _ in range(50_000)]
+    items = [(k, " ".join(r.choices(words, k=150))) for k in range(1000)]
+    tracemalloc.start()
+    decontaminate.Index(items)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * sum(len(t) for _, t in items)
+
+
 def test_near_duplicates(docs, none):
     def shingles(t):
         w = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")
@@ -289,6 +332,56 @@ def test_licenses(docs, none):
         assert [f[0] for f in found] == [name]
 
 
+def _longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        row, old = [0], row
+        for k, y in enumerate(b, 1):
+            row.append(old[k - 1] + 1 if x == y else max(old[k], row[-1]))
+    return row[-1]
+
+
+def test_alignment_against_brute_force():
+    r = random.Random(11)
+    for _ in range(400):
+        ys = r.sample(range(40), r.randrange(0, 12))
+        best = [0] * len(ys)
+        for k, y in enumerate(ys):
+            best[k] = 1 + max((best[j] for j in range(k) if ys[j] < y), default=0)
+        got = license_scan.longest_increasing(list(enumerate(ys)))
+        assert len(got) == max(best, default=0) and got == sorted(got) and [y for _, y in got] == sorted(y for _, y in got)
+        a, b = (r.choices("abcdefgh", k=r.randrange(0, 14)) for _ in range(2))
+        pairs = license_scan.patience(a, b)
+        assert all(a[i] == b[j] for i, j in pairs) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+        assert len(pairs) <= _longest_common(a, b)
+        a, b = r.sample(range(30), 12), r.sample(range(30), 12)  # each word once: nothing but anchors, so the alignment is a longest one
+        assert len(license_scan.patience(a, b)) == _longest_common(a, b)
+
+
+def test_licenses_in_changed_notices():
+    """Notices with words changed, dropped or put in are found where the alignment of every stretch of text with every notice says so."""
+    r, rules = random.Random(12), license_scan.LicenseRules()
+    finder = license_scan.LicenseFinder(license_scan.TEMPLATES, rules)
+    seen = [0, 0]
+    for _ in range(150):
+        name = r.choice(["MIT", "CC-BY-4.0", "GPL-3.0", "GPL-3.0-notice", "Apache-2.0"])
+        share, words = r.choice([0, 0.1, 0.2, 0.4]), []
+        for w in license_scan.words_of(license_scan.TEMPLATES[name]):
+            words += [] if r.random() < share / 2 else ["other"] if r.random() < share / 2 else [w]
+        words = r.choices(WORDS, k=30) + words + r.choices(WORDS, k=30)
+        found, want = finder.find(" ".join(words)), set()
+        for other, template in finder.templates:
+            need, most = rules.min_coverage * len(template), int(rules.max_spread * len(template))
+            stretches = (license_scan.patience(template, words[k : k + most]) for k in range(len(words)))
+            want |= {other} if any(len(p) >= need for p in stretches) else set()
+        for other, low, high, matched in found:
+            template = dict(finder.templates)[other]
+            assert rules.min_coverage * len(template) <= matched <= _longest_common(template, words[low:high]) and high - low <= rules.max_spread * len(template)
+        seen[bool(want)] += 1
+        assert bool(found) == bool(want) and {f[0] for f in found} <= want
+    assert min(seen) > 20
+
+
 PAGE = "<html><head><title>T</title><script>var a='</p>'</script></head><body><header>Site</header><nav><a>Home</a></nav>{ad}<article><h1>Head &amp; more</h1><p>One<br>two&nbsp;three<p>Four <b>five</b><div class='comments'>No</div></article><footer>&copy;</footer></body></html>"
 
 
