@@ -4,8 +4,8 @@ Each window of 50 bytes belongs to its least 24-byte hash, its anchor: equal win
 Only anchors of several documents are followed. Runs of windows with one anchor are cut out as pieces, and
 equal pieces are kept once with the least document that has them. Where an anchor has several pieces, the
 windows that may be in more than one of them are cut out, and a suffix array of what is left tells which of
-them are equal. Pieces of an anchor that has very many are cut again by longer anchors before, until no group
-is large; the array decides there, too.
+them are equal. Pieces of an anchor whose pieces are more than a block are cut again by longer anchors before, until
+each group fits; the array decides there, too.
 
 The array is built by linear grouping: suffixes start in groups by byte; from the highest group down, each
 suffix's previous suffix of a lower group is moved behind its own group, by how many such suffixes it
@@ -22,18 +22,19 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.llm.common import cut, drop_cut, sharing, small_batches
 
 LENGTH, MOST_RUN = 50, 256
-#: Bytes of an anchor, and of those that split groups of more than MOST_PIECES pieces. With the last, a group
-#: holds one window, or windows that repeat it in a row, so it can't be large.
+#: Bytes of an anchor, and of those that split groups too large for a block. With the last, a group holds one
+#: window, or windows that repeat it in a row, so it can't be large.
 GRAMS = (24, 37, LENGTH)
-MOST_PIECES = 512
 #: Bytes of pieces in one block, whose suffixes are sorted together.
 BLOCK_BYTES = 256 << 10
+RUNS = "array<struct<a:bigint,z:bigint,doc:bigint>>"
 #: Bytes of pieces sent from a Python task at once, but for the pieces of one text.
 BATCH_BYTES = 16 << 20
 
@@ -214,19 +215,18 @@ class _Rows:
         return pa.RecordBatch.from_arrays(columns, [key, "start", "piece", "anchor"])
 
 
-def _least_documents(block: pd.DataFrame) -> pd.DataFrame:
-    """For each piece of a block (anchor, piece, x, doc), the least document of each of its windows.
+def _least_documents(block: pa.Table) -> pa.Table:
+    """For each piece of a block (anchor, piece, x, doc), the least document of its windows, as runs (a, z, doc) of windows.
 
     A window whose hash is in pieces of one document only has no equal elsewhere. Runs of the others are
     sorted, equal runs once.
     """
-    text = b"".join(block["piece"])
-    sizes = block["piece"].map(len).to_numpy()
+    text = b"".join(block.column("piece").to_pylist())
+    sizes = pc.binary_length(block.column("piece")).to_numpy().astype(np.int64)
     ends = np.cumsum(sizes)
     starts = ends - sizes
-    owner = np.repeat(np.arange(len(block)), sizes)
-    docs = block["doc"].to_numpy()
-    least = docs[owner]
+    owner = np.repeat(np.arange(len(sizes)), sizes)
+    least = block.column("doc").to_numpy()[owner]
     windows = np.flatnonzero(np.arange(len(text)) + LENGTH <= ends[owner])
     h = _hashes(text, LENGTH)[windows]
     order = np.argsort(h, kind="stable")
@@ -243,8 +243,13 @@ def _least_documents(block: pd.DataFrame) -> pd.DataFrame:
     for (run, at), found in zip(places.items(), _least_of_runs(list(places), owners)):
         for a in at:
             least[a : a + len(found)] = found
-    found = [least[a : a + k - LENGTH + 1] for a, k in zip(starts, sizes)]
-    return pd.DataFrame({"anchor": block["anchor"], "x": block["x"], "least": found})
+    value, of = least[windows], owner[windows]
+    first = np.flatnonzero(np.concatenate([[True], (value[1:] != value[:-1]) | (of[1:] != of[:-1])]))
+    last = np.append(first[1:], len(windows)) - 1
+    at = starts[of[first]]
+    runs = pa.StructArray.from_arrays([pa.array(windows[first] - at), pa.array(windows[last] - at + 1), pa.array(value[first])], ["a", "z", "doc"])
+    offsets = np.searchsorted(of[first], np.arange(len(sizes) + 1)).astype(np.int32)
+    return pa.table({"anchor": block.column("anchor"), "x": block.column("x"), "runs": pa.ListArray.from_arrays(pa.array(offsets), runs)})
 
 
 def _least_of_runs(runs: list[bytes], docs: list[int]) -> list[np.ndarray]:
@@ -311,11 +316,12 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     settled = _settle(distinct, 0)
     drop_cut(distinct)
     hit = pieces.select("doc_id", "start", F.octet_length("piece").alias("n"), "anchor", _pid()).join(settled, ["anchor", "x"])
-    places = F.transform(F.col("least"), lambda x, k: F.when(x < F.col("doc_id"), k))
-    spans = F.transform(F.array_compact(places), lambda k: F.struct((F.col("start") + k).alias("a"), (F.col("start") + k + LENGTH).alias("z")))
+    earlier = F.filter("runs", lambda r: r.doc < F.col("doc_id"))
+    spans = F.transform(earlier, lambda r: F.struct((F.col("start") + r.a).alias("a"), (F.col("start") + r.z + LENGTH - 1).alias("z")))
     one = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("z")))
-    spans = F.when(F.col("least").isNull(), one).otherwise(_joined(spans))
-    gone = cut(hit.where("coalesce(array_min(least), doc) < doc_id").groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("hits")))
+    spans = F.when(F.col("runs").isNull(), one).otherwise(spans)
+    gone = hit.where("CASE WHEN runs IS NULL THEN doc < doc_id ELSE exists(runs, r -> r.doc < doc_id) END")
+    gone = cut(gone.groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("hits")))
     drop_cut(pieces)
     drop_cut(settled)
     result = F.pandas_udf(_result, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
@@ -330,21 +336,21 @@ def _pid() -> Column:
 
 
 def _settle(distinct: DataFrame, level: int) -> DataFrame:
-    """(anchor, x, doc, least) of each of the different pieces (anchor, piece, doc) of an anchor of GRAMS[level] bytes.
+    """(anchor, x, doc, runs) of each of the different pieces (anchor, piece, doc) of an anchor of GRAMS[level] bytes.
 
-    least has the least document of each window; it is null where the anchor has no other piece, and doc is
-    that of all windows.
+    runs has the least document of the piece's windows a to z - 1; it is null where the anchor has no other
+    piece, and doc is that of all windows.
     """
     keyed = distinct.select("*", _pid())
     per = cut(keyed.groupBy("anchor").agg(F.count(F.lit(1)).alias("pieces"), F.sum(F.octet_length("piece")).alias("bytes"), F.min("x").alias("x"), F.min("doc").alias("doc")))
-    split = F.col("pieces") > (MOST_PIECES if level + 1 < len(GRAMS) else 1 << 62)
-    alone = per.where("pieces = 1").select("anchor", "x", "doc", F.lit(None).cast("array<long>").alias("least"))
+    split = F.col("bytes") > (BLOCK_BYTES if level + 1 < len(GRAMS) else 1 << 62)
+    alone = per.where("pieces = 1").select("anchor", "x", "doc", F.lit(None).cast(RUNS).alias("runs"))
     usual = per.where((F.col("pieces") > 1) & ~split)
     blocks = max(1, -(-(usual.agg(F.sum("bytes")).first()[0] or 0) // BLOCK_BYTES))
     block = F.pmod(F.xxhash64("anchor"), F.lit(blocks)).alias("block")
     mixed = keyed.join(usual.select("anchor"), "anchor").select("anchor", "piece", "x", "doc", block)
-    found = mixed.groupBy("block").applyInPandas(_least_documents, "anchor long, x long, least array<long>")
-    large, spent = per.where(split).select("anchor"), [per]
+    found = mixed.groupBy("block").applyInArrow(_least_documents, f"anchor long, x long, runs {RUNS}")
+    large, spent = per.where((F.col("pieces") > 1) & split).select("anchor"), [per]
     if not large.isEmpty():
         of = F.struct("anchor", "x", "doc").alias("of")
         kind = "of struct<anchor:long,x:long,doc:long>, start long, piece binary, anchor long"
@@ -354,23 +360,12 @@ def _settle(distinct: DataFrame, level: int) -> DataFrame:
         different = cut(parts.groupBy("anchor", "piece").agg(F.min("of.doc").alias("doc")))
         inner = _settle(different, level + 1)
         spent += [parts, different, inner]
-        each = F.coalesce("least", F.array_repeat("doc", F.col("n") - LENGTH + 1))
         back = parts.select("of", "start", F.octet_length("piece").alias("n"), "anchor", _pid()).join(inner, ["anchor", "x"])
-        back = back.groupBy("of").agg(F.array_sort(F.collect_list(F.struct("start", each.alias("least")))).alias("parts"))
-        found = found.unionByName(back.select("of.anchor", "of.x", F.flatten(F.col("parts.least")).alias("least")))
+        whole = F.array(F.struct(F.lit(0).cast("long").alias("a"), (F.col("n") - LENGTH + 1).cast("long").alias("z"), "doc"))
+        moved = F.transform(F.coalesce("runs", whole), lambda r: F.struct((F.col("start") + r.a).alias("a"), (F.col("start") + r.z).alias("z"), r.doc.alias("doc")))
+        back = back.groupBy("of").agg(F.flatten(F.collect_list(moved)).alias("runs"))
+        found = found.unionByName(back.select("of.anchor", "of.x", "runs"))
     settled = cut(alone.unionByName(found.withColumn("doc", F.lit(None).cast("long"))))
     for table in spent:
         drop_cut(table)
     return settled
-
-
-def _joined(spans):
-    """Overlapping neighbours of ascending spans as one."""
-    kind = "array<struct<a:bigint,z:bigint>>"
-
-    def add(out, s):
-        last = F.element_at(out, -1)
-        grown = F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(last.a.alias("a"), s.z.alias("z"))))
-        return F.when((F.size(out) > 0) & (F.element_at(out, -1).z >= s.a), grown).otherwise(F.concat(out, F.array(s)))
-
-    return F.aggregate(F.slice(spans, 2, F.size(spans)), F.slice(spans, 1, 1).cast(kind), add)

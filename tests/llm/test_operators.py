@@ -190,7 +190,7 @@ def test_repeats(docs, none):
 
 def test_anchors_with_many_pieces(docs, monkeypatch):
     whole = rows(suffix_dedup.find_repeats(docs), "doc_id", "n_removed", "kept_sha256")
-    monkeypatch.setattr(suffix_dedup, "MOST_PIECES", 1)
+    monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 100)
     assert rows(suffix_dedup.find_repeats(docs), "doc_id", "n_removed", "kept_sha256") == whole
 
 
