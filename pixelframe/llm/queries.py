@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from pixelframe.llm import decontaminate, html_extract, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, token_counts
+from pixelframe.llm import decontaminate, html_extract, importance_resampling, license_scan, line_dedup, minhash_dedup, periodic_runs, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, token_counts, url_filter
 from pixelframe.llm.common import table
 
 
@@ -48,6 +48,18 @@ def op10_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.find_near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digest(table(spark, sf_dir, "documents"), prepare=periodic_runs.repeated_from_a_place)
+
+
+def op13_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filter_urls(table(spark, sf_dir, "pages"))
+
+
 OP1_SQL = r"""
 WITH d AS (SELECT doc_id, source, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d WHERE len(w) >= 8)),
@@ -139,5 +151,46 @@ comp AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
 SELECT doc_id, coalesce(n_shingles, 0) AS n_shingles, component_id, doc_id = component_id AS kept FROM d LEFT JOIN n USING (doc_id) JOIN comp USING (doc_id)
 """
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_line_dedup, op4_suffix_dedup, op5_secret_scan, op6_sentencepiece, op7_html_extract, op8_decontaminate, op9_token_counts, op10_minhash_dedup)}
-ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_secret_scan": _op5_sql(), "op8_decontaminate": OP8_SQL, "op10_minhash_dedup": OP10_SQL}
+# The table of checksums is made bit by bit; a checksum goes over the bytes of a word or an id.
+CRC_TABLE = "crc_table AS MATERIALIZED (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab)"
+
+
+def _crc(text: str) -> str:
+    octets = f"list_transform(range(octet_length(encode({text}))), lambda i: CAST('0x' || substr(hex(encode({text})), CAST(2 * i + 1 AS INT), 2) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {octets}), lambda c, x: xor(c >> 8, tab[CAST((xor(c, x) & 255) + 1 AS INT)])), 4294967295)"
+
+
+WORDS11 = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+OP11_SQL = f"""
+WITH {CRC_TABLE}, d AS (SELECT doc_id, unnest({WORDS11}) AS word FROM documents), t AS (SELECT unnest({WORDS11}) AS word FROM benchmark),
+w AS MATERIALIZED (SELECT word, {_crc('word')} % 10000 AS b FROM (SELECT word FROM d UNION SELECT word FROM t), crc_table),
+s AS (SELECT b, count(*) AS n FROM d JOIN w USING (word) GROUP BY b), g AS (SELECT b, count(*) AS n FROM t JOIN w USING (word) GROUP BY b),
+gain AS (SELECT w.b, floor(1000 * ln(CAST(coalesce(g.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM d) + 10000) / (CAST(coalesce(s.n, 0) + 1 AS DOUBLE) * ((SELECT count(*) FROM t) + 10000)))) AS gain FROM (SELECT DISTINCT b FROM w) w LEFT JOIN s USING (b) LEFT JOIN g USING (b)),
+m AS (SELECT doc_id, count(*) AS n, CAST(sum(gain) AS BIGINT) AS weight FROM d JOIN w USING (word) JOIN gain USING (b) GROUP BY doc_id),
+e AS (SELECT documents.doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight, CAST('0x' || substr(sha256('2024:' || documents.doc_id), 1, 8) AS BIGINT) AS h FROM documents LEFT JOIN m USING (doc_id)),
+z AS (SELECT doc_id, n_features, weight, weight + CAST(floor(-1000 * ln(-ln((h + 0.5::DOUBLE) / 4294967296))) AS BIGINT) AS score FROM e),
+r AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank FROM z WHERE n_features >= 20)
+SELECT z.*, CASE WHEN rank <= (SELECT count(*) FROM r) * 10 // 100 THEN rank END AS rank FROM z LEFT JOIN r USING (doc_id)
+"""
+
+# Two words q apart agree over a run; a run of eight such words and more is seen as pairs of equal windows.
+OP12_SQL = f"""
+WITH {CRC_TABLE}, c AS (SELECT doc_id, {_crc('CAST(doc_id AS VARCHAR)')} AS h, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w FROM documents, crc_table),
+k AS (SELECT *, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) ELSE len(w) END AS a FROM c), p AS (SELECT *, 1 + (len(w) - a) // (3 + (h // 10) % 8) AS p FROM k),
+words AS MATERIALIZED (SELECT doc_id, n, i, w[CAST(CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1 AS INT)] AS word FROM (SELECT *, len(w) AS n, unnest(range(len(w))) AS i FROM p)),
+texts AS MATERIALIZED (SELECT doc_id, n, list(word ORDER BY i) AS w FROM words GROUP BY ALL),
+win AS (SELECT doc_id, n, i, array_to_string(w[CAST(i + 1 AS INT) : CAST(i + 8 AS INT)], ' ') AS s FROM (SELECT *, unnest(range(n - 7)) AS i FROM texts WHERE n >= 24)),
+again AS MATERIALIZED (SELECT * FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS k FROM win) WHERE k > 1),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM again x JOIN again y ON x.doc_id = y.doc_id AND x.s = y.s AND y.i > x.i AND 3 * (y.i - x.i) <= x.n),
+isle AS (SELECT doc_id, q, min(i) AS start, max(i) - min(i) + 8 + q AS length FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs) GROUP BY doc_id, q, g),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(q) AS period FROM isle WHERE length >= greatest(24, 3 * q) GROUP BY ALL),
+top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length / period DESC, start, period) AS k FROM runs) WHERE k = 1),
+every AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS s FROM runs GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, start, length, period, 1000 * length // period AS exponent_milli, sha256(coalesce(s, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN top USING (doc_id) LEFT JOIN every USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
+
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_line_dedup, op4_suffix_dedup, op5_secret_scan, op6_sentencepiece, op7_html_extract, op8_decontaminate, op9_token_counts, op10_minhash_dedup, op11_importance_resampling, op12_periodic_runs, op13_url_filter)}
+ORACLE_SQL = {"op1_quality_rules": OP1_SQL, "op3_line_dedup": OP3_SQL, "op4_suffix_dedup": OP4_SQL, "op5_secret_scan": _op5_sql(), "op8_decontaminate": OP8_SQL, "op10_minhash_dedup": OP10_SQL, "op11_importance_resampling": OP11_SQL, "op12_periodic_runs": OP12_SQL}
