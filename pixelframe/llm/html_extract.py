@@ -12,6 +12,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
@@ -22,7 +24,6 @@ from pyspark.sql import functions as F
 from pixelframe.llm.common import cut, small, small_batches
 
 # Tag names of HTML, and words of class, id and role attributes.
-RAW = "script|style|textarea|title|noscript|template|iframe|xmp"
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr #text".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
@@ -35,8 +36,12 @@ REPLIES = frozenset("comment comments commentlist disqus reactions related repli
 #: A class name that begins so tells of the page's state, and marks nothing: has-sidebar, no-comments.
 STATES = frozenset("has had no not with without is hide hides show shows".split())
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<({RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
-MARKED = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+RAW_TAGS = frozenset("script style textarea title noscript template iframe xmp".split())
+#: A tag ends at the first > outside a value in quotes, which begin right after =; quotes elsewhere are part of a name or value.
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)>")
+#: A tag of a page on which a value's quotes don't end, or which ends inside a tag.
+PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+MARKED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
 @dataclass(frozen=True)
@@ -59,52 +64,99 @@ class Node:
         self.tag, self.marks, self.kids, self.text, self.shape, self.height, self.slot = tag, marks, [], text, 0, 0, -1
 
 
+def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
+    """(start, end, "/" of a closing tag, name, attributes) of all markup, in order; the name is empty for comments, and for elements whose content is no markup, with it.
+
+    Each character is read a few times at most, whatever quotes and brackets are left open. A < that begins no tag is text.
+    """
+    at, pattern, last = 0, TAG, page.rfind(">")
+    while 0 <= (low := page.find("<", at)):
+        if page.startswith("<!--", low):
+            end = page.find("-->", low + 2)
+            at = end + 3 if end >= 0 else len(page)
+            yield low, at, "", "", ""
+            continue
+        if low > last:
+            return
+        if page[low + 1] in "!?":
+            at = page.find(">", low) + 1
+            yield low, at, "", "", ""
+            continue
+        m = pattern.match(page, low)
+        if not m and page[low + 1 : low + 3].lstrip("/")[:1].isalpha():
+            pattern = PLAIN_TAG
+            m = pattern.match(page, low)
+        if not m:
+            at = low + 1
+            continue
+        name, at = m[2].lower(), m.end()
+        if name in RAW_TAGS and not m[1]:
+            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            end = page.find(">", close.end()) if close else -1
+            at, name = end + 1 if end >= 0 else len(page), ""
+        yield low, at, m[1], name, m[3]
+
+
 def parse(page: str | None) -> Node:
     """A page as a tree. Tags that are left open end where their parent does, or where HTML implies it."""
     root = Node("#root")
-    stack, at = [root], 0
-    for m in TOKEN.finditer(page or ""):
-        if m.start() > at:
-            _add_text(stack, page[at : m.start()])
-        at = m.end()
-        tag = (m[3] or "").lower()
-        if not tag:
+    stack, at, page, texts = _Stack([root]), 0, page or "", []
+    for start, end, closing, tag, attributes in markup(page):
+        if start > at:
+            texts.append(page[at:start])
+        at = end
+        if not tag:  # comments don't part a text
             continue
-        if m[2]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
+        _add_text(stack, texts)
+        if closing:
+            if stack.open[tag]:
+                stack.cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
             continue
         if tag in CLOSES_P:
             _close(stack, {"p"}, {"table", "td", "th", "li", "div", "article", "section", "main", "body", "button", "blockquote"})
         if tag in SIBLINGS:
             _close(stack, SIBLINGS[tag], HOLDS[tag])
-        node = Node(tag, _marks(m[4]) if m[4] else frozenset())
+        node = Node(tag, _marks(attributes) if attributes else frozenset())
         stack[-1].kids.append(node)
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
+        if tag not in VOID and not re.search(r"(?:^|[\s\"'])/\s*$", attributes[-8:]):
             stack.append(node)
-    if page and at < len(page):
-        _add_text(stack, page[at:])
+            stack.open[tag] += 1
+    texts.append(page[at:])
+    _add_text(stack, texts)
     _shapes(root)
     return root
 
 
+class _Stack(list):
+    """The open elements, and how many there are of each name."""
+
+    def __init__(self, nodes):
+        super().__init__(nodes)
+        self.open = Counter()
+
+    def cut(self, k: int) -> None:
+        self.open.subtract(n.tag for n in self[k:])
+        del self[k:]
+
+
 def _marks(attributes: str) -> frozenset:
     names = [n for x in MARKED.findall(attributes) for n in "".join(x).lower().split()]
     words = [[w for w in re.split(r"[^a-z0-9]+", n) if w] for n in names]
     return MARKS.intersection(w for n in words if n and not (len(n) > 1 and n[0] in STATES) for w in n)
 
 
-def _add_text(stack: list[Node], raw: str) -> None:
-    if raw:
-        stack[-1].kids.append(Node("#text", text=entities.unescape(raw)))
+def _add_text(stack: _Stack, raw: list[str]) -> None:
+    if any(raw):
+        stack[-1].kids.append(Node("#text", text="".join(map(entities.unescape, raw))))
+    raw.clear()
 
 
-def _close(stack: list[Node], tags: set[str], within: set[str]) -> None:
+def _close(stack: _Stack, tags: set[str], within: set[str]) -> None:
+    if not any(stack.open[t] for t in tags):
+        return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in tags:
-            del stack[k:]
+            stack.cut(k)
             return
         if stack[k].tag in within:
             return
@@ -230,18 +282,19 @@ def _homes(page: Node, tag: str, marked: bool) -> tuple[list[Node], set[int]]:
     return [n for n, _ in found], {id(w) for _, around in found for w in around}
 
 
-def _varying_wrappers(scope: list[Node], varying: set[int]) -> set[int]:
-    """The marked nodes in scope that hold more than half of its varying text; those of replies never do."""
-    todo, order, size = [(n, False) for n in scope], [], {}
+def _varying_wrappers(scope: list[Node], varying: set[int], template: set[int]) -> set[int]:
+    """The marked nodes in scope whose varying text is more than half of all that is no template; those of replies never do."""
+    todo, order, size, whole = [(n, False) for n in scope], [], {}, 0
     while todo:
         n, gone = todo.pop()
         gone = gone or n.tag in DROPPED or bool(n.marks & REPLIES)
-        size[id(n)] = len(n.text.strip()) if id(n) in varying and not gone else 0
+        own = 0 if gone or id(n) in template else len(n.text.strip())
+        whole += own
+        size[id(n)] = own if id(n) in varying else 0
         order.append(n)
         todo += [(k, gone) for k in n.kids]
     for n in reversed(order):
         size[id(n)] += sum(size[id(k)] for k in n.kids)
-    whole = sum(size[id(n)] for n in scope)
     return {id(n) for n in order if n.marks and 2 * size[id(n)] > whole}
 
 
@@ -251,7 +304,7 @@ def main_text(page: Node, template: set[int], varying: set[int] = frozenset()) -
         homes, keep = _homes(page, home, marked) if home else ([], set())
         if homes:
             break
-    keep |= _varying_wrappers(homes or [page], varying) if varying else set()
+    keep |= _varying_wrappers(homes or [page], varying, template) if varying else set()
     at = {id(n) for n in homes}
     blocks, line = [], []
 
