@@ -1,14 +1,16 @@
 """Token counts as the tokenizers library gives them.
 
 A huge document is encoded in overlapping chunks with offsets. Two neighbours are spliced at a place in
-their overlap where both have a boundary, after white space, with the same tokens around it; where there
-is none the overlap is widened, at last to both chunks whole. Shorter texts are spliced at every run of
+their overlap where words are sure to part, with the same tokens around it in both; where there
+is none the overlap is widened, at last to both chunks whole. Words are sure to part at ASCII white space and at ASCII digits, each of
+which is a word of its own to this kind of model. A chunk ends where such places are; a run without any is in one chunk whole. Shorter texts are spliced at every run of
 ASCII white space, which this kind of model (white space dropped before words are cut) makes a boundary,
 so each distinct word is encoded once.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from dataclasses import dataclass
 
@@ -21,7 +23,8 @@ from pixelframe.llm.common import small_batches
 
 TOKENIZER = "word_bpe_49k.json"
 CACHED = 500_000
-SPACES = " \t\n\x0b\x0c\r"
+SPACES, DIGITS = " \t\n\x0b\x0c\r", "0123456789"
+PARTING = re.compile(f"[{SPACES}{DIGITS}]")
 
 
 @dataclass(frozen=True)
@@ -40,7 +43,7 @@ class TokenCounter:
         self.tokenizer, self.chunks, self.known = Tokenizer.from_file(path), chunks, {}
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        probe = ["An  odd́\tprobe's", "1é ", "ΣΑΣ x"]
+        probe = ["An  odd́\tprobe's", "1 é ", "ΣΑΣ x", "ΑΣ 1 Σa 2 ́b 1 2"]
         apart = [sum(len(self.tokenizer.encode(w, add_special_tokens=False).ids) for w in p.split()) for p in probe]
         if [len(self.tokenizer.encode(p, add_special_tokens=False).ids) for p in probe] != apart:
             raise ValueError(f"{path}: only tokenizers that drop white space and cut at it are supported")
@@ -50,6 +53,26 @@ class TokenCounter:
         e = self.tokenizer.encode(text[start:end], add_special_tokens=False)
         return [(a + start, b + start, i) for (a, b), i in zip(e.offsets, e.ids)]
 
+    @staticmethod
+    def _parts(text: str, at: int) -> bool:
+        """Whether words are sure to part before this place."""
+        return text[at - 1] in SPACES or text[at - 1] in DIGITS or text[at] in DIGITS
+
+    def _end(self, text: str, end: int) -> int:
+        """Where a chunk ends that has all up to end at least: places where words part are shortly before."""
+        if end >= len(text):
+            return len(text)
+        m = PARTING.search(text, end - self.chunks.overlap)
+        return end if m and m.end() < end else min(len(text), m.end() + self.chunks.size // 2) if m else len(text)
+
+    def _low(self, text: str, left: list, end: int) -> int:
+        """Where an overlap with left begins: as many places where words part are in it as a splice may need."""
+        need, k = 4 * self.chunks.agree, len(left)
+        while k > 1 and need:
+            k -= 1
+            need -= self._parts(text, left[k][0])
+        return 0 if need else min(end - self.chunks.overlap, left[k][0])
+
     def _splice(self, text: str, left: list, right: list, low: int, high: int) -> tuple[int, int] | None:
         """How many tokens of left, and from which of right on, make one encoding; low to high: the overlap."""
         a = next((k for k, t in enumerate(left) if t[0] > low), len(left))
@@ -57,17 +80,17 @@ class TokenCounter:
         n = self.chunks.agree
         for k in range(a + n, len(left) - n + 1):
             j = at.get(left[k])
-            if j is not None and j >= n and left[k - n : k + n] == right[j - n : j + n] and text[left[k][0] - 1] in SPACES:
+            if j is not None and j >= n and left[k - n : k + n] == right[j - n : j + n] and left[k - 1][1] <= left[k][0] and self._parts(text, left[k][0]):
                 return k, j
         return None
 
     def count_chunked(self, text: str) -> int:
         size, total = self.chunks.size, 0
-        begin, end = 0, min(len(text), size)
+        begin, end = 0, self._end(text, size)
         left = self._tokens(text, begin, end)
         while end < len(text):
-            overlap = self.chunks.overlap
-            upto = min(len(text), end + size)
+            overlap = end - self._low(text, left, end)
+            upto = self._end(text, end + size)
             while True:
                 low = max(begin, end - overlap)
                 right = self._tokens(text, low, upto)
