@@ -66,17 +66,19 @@ win AS (SELECT doc_id, i, array_to_string(w[i : i + 7], ' ') AS s FROM (SELECT d
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, s) AS n FROM win) WHERE n > 1),
 covered AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM rep, range(8) t(k) GROUP BY doc_id),
 lines AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d),
-dup AS (SELECT doc_id, sum(n - 1) AS n_dup_lines FROM (SELECT doc_id, l, count(*) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id),
+dup AS (SELECT doc_id, sum(n - 1) AS n_dup_lines, sum(n) AS n_lines FROM (SELECT doc_id, l, count(*) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY ALL) GROUP BY doc_id),
 m AS (SELECT d.doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
-  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words
+  CAST(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(coalesce(n_dup_lines, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
   FROM d LEFT JOIN covered USING (doc_id) LEFT JOIN dup USING (doc_id)),
 b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m),
-h AS (SELECT source, count(*) AS host_docs, count(*) FILTER (base_failed) AS host_failures FROM b WHERE source IS NOT NULL GROUP BY source),
-tot AS (SELECT sum(host_failures) / sum(host_docs) AS mean, var_samp(host_failures / host_docs) AS v FROM h),
-prior AS (SELECT mean, CASE WHEN v > 0 THEN least(1000.0, greatest(1.0, mean * (1 - mean) / v - 1)) ELSE 1000.0 END AS strength FROM tot),
-r AS (SELECT h.*, round((host_failures + mean * strength) / (host_docs + strength), 9) >= 0.5 AS host_rejected FROM h, prior)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, coalesce(host_docs, 0) AS host_docs, coalesce(host_failures, 0) AS host_failures,
-  coalesce(host_rejected, false) AS host_rejected, NOT base_failed AND NOT coalesce(host_rejected, false) AS kept
+f AS (SELECT source, unnest(['any', 'too_short', 'repetitive', 'symbols', 'repeated_lines']) AS rule, unnest([base_failed, n_words < 20, 100 * n_repeat_words > 30 * n_words, 100 * n_symbols > 10 * word_chars, 100 * n_dup_lines > 50 * n_lines]) AS failed, unnest(range(5)) AS k FROM b WHERE source IS NOT NULL),
+h AS (SELECT source, rule, k, count(*) AS n, count(*) FILTER (failed) AS x FROM f GROUP BY ALL),
+tot AS (SELECT rule, sum(x) / sum(n) AS mean, sum(CAST(n AS DOUBLE) * n) AS squares, sum(x * x / n) AS spread, count(*) AS hosts, sum(n) AS docs FROM h GROUP BY rule),
+mom AS (SELECT rule, mean, 1 - squares / docs / docs - (hosts - 1) / docs AS room, CASE WHEN mean > 0 AND mean < 1 THEN (spread / docs - mean * mean) / (mean * (1 - mean)) - (hosts - 1) / docs - sqrt(2 * (hosts - 1)) / docs ELSE 0 END AS between_ FROM tot),
+prior AS (SELECT rule, mean, CASE WHEN between_ > 0 AND room > 0 THEN least(1000.0, greatest(1.0, room / between_ - 1)) ELSE 1000.0 END AS strength FROM mom),
+r AS (SELECT source, max(n) AS host_docs, max(x) FILTER (k = 0) AS host_failures, coalesce(string_agg(rule, ',' ORDER BY k) FILTER (round((x + mean * strength) / (n + strength), 9) >= 0.5), '') AS host_rules FROM h JOIN prior USING (rule) GROUP BY source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed, coalesce(host_docs, 0) AS host_docs, coalesce(host_failures, 0) AS host_failures,
+  coalesce(host_rules, '') AS host_rules, coalesce(host_rules, '') <> '' AS host_rejected, NOT base_failed AND coalesce(host_rules, '') = '' AS kept
 FROM b LEFT JOIN r USING (source)
 """
 
