@@ -26,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, drop_cut, sharing, small_batches
+from pixelframe.llm.common import cut, drop_cut, sharing, small, small_batches
 
 LENGTH, MOST_RUN = 50, 256
 #: Bytes of an anchor, and of those that split groups too large for a block. With the last, a group holds one
@@ -162,18 +162,18 @@ def _anchors(texts: pd.Series) -> pd.Series:
 
 
 def _cut_pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, start, piece, anchor) of the runs of each text whose anchors are wanted."""
+    """(row, start, piece, anchor) of the runs of each text whose anchors are wanted."""
     for b in batches:
         lists = b.column("wanted")
         wanted = np.split(lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))[:-1])
-        rows = _Rows(b.column("doc_id"))
+        rows = _Rows(b.column("row"))
         for i, data in enumerate(b.column("text").cast(pa.binary()).to_pylist()):
             first, length, anchor = runs_of(data)
             keep = np.isin(anchor, wanted[i])
             rows.add(i, data, first[keep], length[keep], anchor[keep])
             if rows.bytes > BATCH_BYTES:
-                yield rows.take("doc_id")
-        yield rows.take("doc_id")
+                yield rows.take("row")
+        yield rows.take("row")
 
 
 def _cut_again(gram: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -294,8 +294,10 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (flat start-end pairs of removed bytes), per row of docs.
 
     A byte goes if a 50-byte string over it also starts in a document with a smaller doc_id. Null counts as
-    the empty text. Rows that repeat a doc_id don't count against each other; a null id has nothing smaller
-    and is smaller than none, so such a row stays whole and takes nothing from others.
+    the empty text. Rows that repeat a doc_id are parts of one document: they don't count against each other,
+    each loses what documents with smaller ids hold, and documents with larger ids lose what any of them
+    holds. A null id has nothing smaller and is smaller than none, so such a row stays whole and takes nothing from others.
+    Texts may be of any length; other columns aren't read; an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -303,30 +305,34 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     texts = docs.where("doc_id IS NOT NULL").select("doc_id", F.sha2("text", 256).alias("sha"), F.octet_length("text").alias("n")).where(F.col("n") >= LENGTH)
     earliest = texts.groupBy("sha").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("sha", "lo")
     copies = cut(texts.join(earliest, "sha").where("doc_id > lo").select("doc_id", "sha").distinct())
-    one_text = texts.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a < b").select("doc_id")
-    copies = cut(copies.join(one_text, "doc_id", "left_anti").select("doc_id"))  # an id with several texts is looked into
+    with_more = cut(texts.groupBy("doc_id").agg(F.min("sha").alias("a"), F.max("sha").alias("b")).where("a < b").select("doc_id"))
+    copies = cut(copies.join(with_more, "doc_id", "left_anti").select("doc_id"))  # an id with several texts is looked into
+    # Where an id has several texts, each is told by its version.
+    docs = docs.join(small(with_more.withColumn("several", F.lit(True))), "doc_id", "left")
+    docs = docs.select("doc_id", "text", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).alias("v"))
     known = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
-    anchors = known.select("doc_id", F.explode(F.pandas_udf(_anchors, "array<long>", F.PandasUDFType.SCALAR)("text")).alias("anchor"))
+    anchors = known.select("doc_id", "v", F.explode(F.pandas_udf(_anchors, "array<long>", F.PandasUDFType.SCALAR)("text")).alias("anchor"))
     several = lambda rows: rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
     shared = sharing(anchors, "anchor", several)
-    wanted = shared.groupBy("doc_id").agg(F.collect_list("anchor").alias("wanted"))
-    kind = f"doc_id {known.schema['doc_id'].dataType.simpleString()}, start long, piece binary, anchor long"
-    pieces = cut(known.join(wanted, "doc_id").select("doc_id", "text", "wanted").mapInArrow(_cut_pieces, kind))
+    wanted = shared.groupBy("doc_id", "v").agg(F.collect_list("anchor").alias("wanted"))
+    kind = f"row struct<doc_id:{known.schema['doc_id'].dataType.simpleString()},v:bigint>, start long, piece binary, anchor long"
+    pieces = known.join(wanted, ["doc_id", "v"]).select(F.struct("doc_id", "v").alias("row"), "text", "wanted").mapInArrow(_cut_pieces, kind)
+    pieces = cut(pieces.select("row.doc_id", "row.v", "start", "piece", "anchor"))
     distinct = cut(pieces.groupBy("anchor", "piece").agg(F.min("doc_id").cast("long").alias("doc")))
     settled = _settle(distinct, 0)
     drop_cut(distinct)
-    hit = pieces.select("doc_id", "start", F.octet_length("piece").alias("n"), "anchor", _pid()).join(settled, ["anchor", "x"])
+    hit = pieces.select("doc_id", "v", "start", F.octet_length("piece").alias("n"), "anchor", _pid()).join(settled, ["anchor", "x"])
     earlier = F.filter("runs", lambda r: r.doc < F.col("doc_id"))
     spans = F.transform(earlier, lambda r: F.struct((F.col("start") + r.a).alias("a"), (F.col("start") + r.z + LENGTH - 1).alias("z")))
     one = F.array(F.struct(F.col("start").alias("a"), (F.col("start") + F.col("n")).alias("z")))
     spans = F.when(F.col("runs").isNull(), one).otherwise(spans)
     gone = hit.where("CASE WHEN runs IS NULL THEN doc < doc_id ELSE exists(runs, r -> r.doc < doc_id) END")
-    gone = cut(gone.groupBy("doc_id").agg(F.flatten(F.collect_list(spans)).alias("hits")))
+    gone = cut(gone.groupBy("doc_id", "v").agg(F.flatten(F.collect_list(spans)).alias("hits")))
     drop_cut(pieces)
     drop_cut(settled)
     result = F.pandas_udf(_result, "n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<long>")
     whole = F.expr("array(named_struct('a', 0L, 'z', CAST(octet_length(text) AS BIGINT)))")
-    both = docs.join(gone, "doc_id", "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
+    both = docs.join(gone, ["doc_id", "v"], "left").join(copies.withColumn("copy", F.lit(True)), "doc_id", "left")
     return both.withColumn("hits", F.when(F.col("copy"), whole).otherwise(F.col("hits"))).select("doc_id", result("text", "hits").alias("r")).select("doc_id", "r.*")
 
 
