@@ -5,7 +5,9 @@ nearly the same place: each line looks up its substrings, for every shorter leng
 of segments by (length, number, text). A banded bit-parallel edit distance verifies what is found.
 
 Any other max_edits + 1 disjoint pieces of a line would do as well as its segments. So lines that meet in a
-segment of very many lines are joined anew, by the rarest short pieces of each line in place of its segments.
+segment of very many lines are joined anew. Each is first held against the earliest line that it equals but for
+max_edits neighbouring characters: one earlier neighbour is all that a line needs. Those that have none so are joined with all
+by the rarest short pieces of each, in place of its segments.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ HOT = 64
 HOT_COPIES = 1e-4
 #: Code points that the verification reads before it looks whether a pair is lost already.
 CHUNK = 32
+#: Lines of up to this length are held against those that differ in neighbouring characters only; longer ones are joined without.
+WINDOWED = 256
 #: Letters by class, for the bound by letter counts.
 CLASSES = ("aiqy", "bjrz", "cks", "dlt", "emu", "fnv", "gow", "hpx")
 WORD = r"[^\x20\x09-\x0D]"
@@ -152,10 +156,20 @@ def _letters_apart(x: Column, y: Column) -> Column:
     return out
 
 
-def _rare_piece_pairs(lines: DataFrame, rules: LineRules) -> DataFrame:
-    """Pairs (a, b) of lines (h, n, line), among them all within max_edits edits, by the rarest pieces of each line.
+def _window_pairs(lines: DataFrame, rules: LineRules) -> DataFrame:
+    """(a, b): for each of lines (h, at, n, line) the earliest line b that it equals but for max_edits neighbouring characters, if there is one before it."""
+    t = rules.max_edits
+    each = lines.where((F.col("n") <= WINDOWED) & F.lit(t > 0)).select("h", "at", "n", "line", F.explode(F.sequence(F.lit(0), F.col("n") - t)).alias("k"))
+    key = F.xxhash64("n", "k", F.substring("line", F.lit(1), F.col("k")), F.substring("line", F.col("k") + (t + 1), F.col("n")))
+    keys = each.select(key.alias("key"), F.struct("at", "h").alias("x"))
+    first = lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("k"), F.min("x").alias("first")).where("k > 1").select("key", "first")
+    return sharing(keys, "key", first).where(F.col("first.at") < F.col("x.at")).groupBy(F.col("x.h").alias("a")).agg(F.min("first").alias("b")).select("a", F.col("b.h").alias("b"))
+
+
+def _rare_piece_pairs(lines: DataFrame, of: DataFrame, rules: LineRules) -> DataFrame:
+    """Pairs (a, b) of lines (h, n, line), among them all within max_edits edits of which one is in of (h), by the rarest pieces of each line.
 
-    Each line has max_edits + 1 disjoint pieces of up to three code points in the index, and looks up all of
+    Each line in of has max_edits + 1 disjoint pieces of up to three code points in the index, and every line looks up all of
     its pieces. So lines that are alike but for changes of their own aren't paired for what all of them share.
     """
     t, span = rules.max_edits, 4 * rules.max_edits + 4
@@ -168,7 +182,7 @@ def _rare_piece_pairs(lines: DataFrame, rules: LineRules) -> DataFrame:
     places = F.sequence(_div(F.greatest(F.lit(0), F.col("at") - t), span), _div(F.col("at") + t, span))
     looked = pieces.select("h", "n", "letters", "at", "piece", F.explode(places).alias("place")).select("h", "n", "letters", "at", F.xxhash64("piece", "place").alias("key"))
     rare = looked.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= HOT)
-    own = pieces.where(F.col("q") == size(F.col("n"))).select("h", "at", F.xxhash64("piece", _div(F.col("at"), span)).alias("key"))
+    own = pieces.join(of, "h", "left_semi").where(F.col("q") == size(F.col("n"))).select("h", "at", F.xxhash64("piece", _div(F.col("at"), span)).alias("key"))
     ranked = own.join(rare, "key").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("k", "at"))).alias("rare"))
 
     def choose(got: Column, at: Column) -> Column:
@@ -177,7 +191,7 @@ def _rare_piece_pairs(lines: DataFrame, rules: LineRules) -> DataFrame:
     # Where the rare pieces don't suffice, others of the line fill up.
     filling = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("q"), F.col("q")), lambda at: at.cast("int"))
     rarest = F.coalesce(F.transform("rare", lambda x: x["at"]), F.array().cast("array<int>"))
-    chosen = chars.withColumn("q", size(F.col("n"))).join(ranked, "h", "left")
+    chosen = chars.join(of, "h", "left_semi").withColumn("q", size(F.col("n"))).join(ranked, "h", "left")
     chosen = chosen.select("h", "n", "letters", "q", "c", F.explode(F.aggregate(F.concat(rarest, filling), F.array().cast("array<int>"), choose)).alias("at"))
     letter = lambda k: F.get("c", F.col("at") + k)
     piece = F.xxhash64("q", letter(0), F.when(F.col("q") > 1, letter(1)), F.when(F.col("q") > 2, letter(2)))
@@ -228,8 +242,13 @@ def find_repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> Data
     texts = texts.select("id", "version", F.explode(let(F.struct("places", F.split("text", "\n", -1).alias("lines")), taken)).alias("x"))
     texts = cut(texts.select("x.h", F.struct("id", "version", "x.pos").alias("at"), F.char_length("x.line").alias("n"), "x.line").dropDuplicates(["h", "at"]))
     if not many.isEmpty():
-        rest = _rare_piece_pairs(texts.join(many, "h", "left_semi").select("h", "n", "line"), rules)
-        pairs = cut(pairs.union(rest).distinct())
+        lines = cut(texts.join(many, "h", "left_semi"))
+        found = cut(_window_pairs(lines, rules))
+        rest = cut(lines.select("h").join(found.select(F.col("a").alias("h")), "h", "left_anti").distinct())
+        pairs = pairs.union(found)
+        if not rest.isEmpty():
+            pairs = pairs.union(_rare_piece_pairs(lines.select("h", "n", "line"), rest, rules))
+        pairs = cut(pairs.distinct())
     ends = lambda a, at, line: texts.select(F.col("h").alias(a), F.col("at").alias(at), F.col("line").alias(line))
     both = pairs.join(ends("a", "xat", "x"), "a").join(ends("b", "yat", "y"), "b")
     near = both.where(edit_distance_at_most(F.col("x"), F.col("y"), rules.max_edits)).select(F.greatest("xat", "yat").alias("at")).distinct()

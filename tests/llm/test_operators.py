@@ -4,6 +4,7 @@ import hashlib
 import os
 import random
 import re
+import time
 import tracemalloc
 
 import pytest
@@ -69,6 +70,22 @@ def test_host_prior_shrinks_small_hosts(spark):
     assert v["bad"].host_rejected and v["tiny"].host_rate < 1 and not v["h0"].host_rejected
 
 
+def test_host_prior_of_hosts_that_are_alike(spark):
+    """Hosts whose rates spread as chance makes them have a strong prior; hosts that differ a weak one."""
+    good = " ".join(WORDS[:30])
+    data = [(k, "x" if k % 3 == 0 else good, "en", f"h{k}", 1) for k in range(2000)] + [(5000 + k, "x" if k < 2 else good, "en", "three", 1) for k in range(3)]
+    v = {r._host: r for r in quality_rules.host_verdicts(quality_rules.measure(spark.createDataFrame(data, SCHEMA).withColumn("_host", F.col("source"))), host="_host").collect()}
+    assert abs(v["three"].host_rate - 1 / 3) < 0.01 and not any(x.host_rejected for x in v.values())
+    r = random.Random(8)
+    for spread in (False, True):
+        hosts = [(40, sum(r.random() < p for _ in range(40))) for p in r.choices([0.05, 0.6] if spread else [0.3], k=300)]
+        strength = quality_rules.prior_strength(300, 12_000, 300 * 1600, sum(k for _, k in hosts), sum(k * k / n for n, k in hosts))
+        assert strength < 10 if spread else strength > 100
+    symbols = [(k, " ".join(WORDS[:30]) + (" ###" * 12 if k % 2 else ""), "en", f"s{k % 2}", 1) for k in range(200)]
+    v = {r._host: r for r in quality_rules.host_verdicts(quality_rules.measure(spark.createDataFrame(symbols, SCHEMA).withColumn("_host", F.col("source"))), host="_host").collect()}
+    assert v["s1"].host_rules == "symbols" and not v["s0"].host_rejected
+
+
 def lev(a, b):
     d = list(range(len(b) + 1))
     for i, x in enumerate(a):
@@ -139,6 +156,16 @@ def test_lines_of_repeated_ids_and_clashing_names(spark):
     assert sorted((r.n_exact, r.n_lines) for r in left) in ([(98, "b")], [(98, "b"), (99, "a")])
 
 
+def test_numbered_lines(spark):
+    """Each but the first is near an earlier one; nothing grows with the number of pairs."""
+    data = [(k, f"This is page number {k:05d} of the archive of our town", "en", "s", 1) for k in range(20_000)]
+    data += [(50_000 + k, f"{w} is page number {k} of the archive of our town", "en", "s", 1) for k, w in enumerate(("Which one", "This, it"))]
+    began = time.time()
+    got = line_dedup.dedup_lines(spark.createDataFrame(data, SCHEMA).repartition(8))
+    assert rows(got.where("n_near = 0"), "doc_id") == [(0,), (50_000,), (50_001,)]
+    assert time.time() - began < 120
+
+
 def test_very_long_lines(spark):
     r = random.Random(9)
     long = "".join(r.choice("abc ") for _ in range(1_500_000))
@@ -188,6 +215,16 @@ def test_repeats(docs, none):
     assert suffix_dedup.find_repeats(none).count() == 0
 
 
+def test_repeats_of_ids_with_several_texts(spark):
+    """Each text of an id loses what smaller ids hold, and nothing else."""
+    r = random.Random(2)
+    word = lambda n: "".join(r.choices("abcdefghij", k=n))
+    p, tail, own, last = word(120), word(80), word(300), word(90)
+    data = [(1, p), (5, p + tail), (5, own), (5, own), (7, own[:100] + last), (7, p[20:90] + tail), (9, last)]
+    got = [(x.doc_id, x.n_bytes, x.n_removed) for x in suffix_dedup.find_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()]
+    assert sorted(got) == sorted([(1, 120, 0), (5, 200, 120), (5, 300, 0), (5, 300, 0), (7, 190, 100), (7, 150, 150), (9, 90, 90)])
+
+
 def test_anchors_with_many_pieces(docs, monkeypatch):
     whole = rows(suffix_dedup.find_repeats(docs), "doc_id", "n_removed", "kept_sha256")
     monkeypatch.setattr(suffix_dedup, "BLOCK_BYTES", 100)
@@ -232,6 +269,24 @@ def test_token_counts(docs, none):
     assert token_counts.count_tokens(none).count() == 0
 
 
+def test_token_counts_without_white_space():
+    from tokenizers import Tokenizer
+
+    r, path = random.Random(4), token_counts.tokenizer_path()
+    whole, counter = Tokenizer.from_file(path), token_counts.TokenCounter(path)
+    han, code = "".join(chr(r.randrange(0x4E00, 0x9FA5)) for _ in range(500_000)), "".join(r.choices("ABCDEFghijklmnop0123456789+/", k=500_000))
+    for text in (han, code, "a" * 300_000, "words and 12 more, 'tis.\n" * 3000 + han[:200_000] + " some words " * 5000 + han[:9], "ΑΣ1Σ " * 40_000, "<|endoftext|>" * 20_000):
+        began = time.time()
+        n = len(whole.encode(text, add_special_tokens=False).ids)
+        once = time.time() - began
+        assert counter.count([text]) == [n]
+        assert time.time() - began - once < 3 * once + 1
+    counter = token_counts.TokenCounter(path, token_counts.Chunks(60, 8, 2))
+    for _ in range(300):
+        text = "".join(r.choice(["ab", "Σ", "'s", "1", " ", "\u0301", "日本", "<|endoftext|>", "é", ".,", "\t"]) for _ in range(300))
+        assert counter.count([text]) == [len(whole.encode(text, add_special_tokens=False).ids)]
+
+
 def _contaminated(text, items):
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
     w, hit, ids = words(text), set(), set()
