@@ -1,7 +1,8 @@
 """Neighbourhood operators on planes (image_id, y, x, v): smoothing, morphology, components, resampling.
 
 A separable filter packs each row of a plane in an array, filters it in place and unpacks it, and then does
-the same with columns: two shuffles, no join.
+the same with columns: two shuffles, no join. Wide filters, morphology and components go tile by tile (operators.tiles): one
+shuffle, in which cells near an edge are sent twice.
 """
 
 from __future__ import annotations
@@ -12,9 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.functions.color import clip
+from pixelframe.operators import tiles
 from pixelframe.sources.shared import cut
 
 CELLS = ("image_id", "y", "x")
+#: Up to this radius a kernel is written out as an expression; wider ones are applied tile by tile.
+WRITTEN_OUT = 12
 
 
 def gaussian_kernel(sigma: float) -> list[float]:
@@ -59,7 +63,10 @@ def gaussian_smooth(plane: DataFrame, sigma: float, by: tuple[str, ...] = ("imag
     """A plane smoothed by a Gaussian, mirrored at its border. sigma <= 0 changes nothing."""
     if sigma <= 0:
         return plane.select(*by, "y", "x", "v")
-    f = _convolved(gaussian_kernel(sigma))
+    weights = gaussian_kernel(sigma)
+    if len(weights) // 2 > WRITTEN_OUT:
+        return tiles.by_tile(plane, len(weights) // 2, tiles.convolved(weights), by).select(*by, "y", "x", "v")
+    f = _convolved(weights)
     return _along(_along(plane, "x", f, by), "y", f, by).select(*by, "y", "x", "v")
 
 
@@ -72,20 +79,19 @@ def ellipse_offsets(radius: int) -> list[tuple[int, int]]:
     return out
 
 
-def _morph(plane: DataFrame, radius: int, pick) -> DataFrame:
-    offsets = F.array(*[F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx")) for dy, dx in ellipse_offsets(radius)])
-    spread = plane.select("image_id", F.col("y").alias("cy"), F.col("x").alias("cx"), "v", F.explode(offsets).alias("o"))
-    reached = spread.groupBy("image_id", (F.col("cy") + F.col("o.dy")).alias("y"), (F.col("cx") + F.col("o.dx")).alias("x")).agg(pick("v").alias("v"), F.bool_or((F.col("o.dy") == 0) & (F.col("o.dx") == 0)).alias("there"))
-    return reached.where("there").select(*CELLS, "v")
-
-
 def dilate(plane: DataFrame, radius: int) -> DataFrame:
-    """The maximum over an ellipse; cells outside the plane don't count. Each value is sent to its neighbours and combined there."""
-    return _morph(plane, radius, F.max) if radius > 0 else plane.select(*CELLS, "v")
+    """The maximum over an ellipse; cells outside the plane don't count."""
+    if radius <= 0:
+        return plane.select(*CELLS, "v")
+    chords = {dy: dx for dy, dx in ellipse_offsets(radius)}  # of each row, the last is the widest
+    return tiles.by_tile(plane, radius, tiles.highest(chords)).select(*CELLS, "v")
 
 
 def erode(plane: DataFrame, radius: int) -> DataFrame:
-    return _morph(plane, radius, F.min) if radius > 0 else plane.select(*CELLS, "v")
+    """The minimum over an ellipse; cells outside the plane don't count."""
+    if radius <= 0:
+        return plane.select(*CELLS, "v")
+    return dilate(plane.select(*CELLS, (-F.col("v")).alias("v")), radius).select(*CELLS, (-F.col("v")).alias("v"))
 
 
 def scaled_radius(value: float, height: int, width: int) -> int:
@@ -159,30 +165,37 @@ def glow(plane: DataFrame, amount: float, sigma: float = 20.0) -> DataFrame:
 def connected_components(cells: DataFrame, diagonal: bool = True) -> DataFrame:
     """image_id, y, x, component of set cells (image_id, y, x): the least (y, x) reachable, as a struct.
 
-    Runs of a row are joined first, by gaps and islands; only runs are linked, and labels spread over the
-    links by rounds with pointer jumping until nothing changes. Every round is cut.
+    Components are found inside each tile first. Only labels of cells at the edges of tiles are linked; they
+    spread over the links by rounds with pointer jumping until nothing changes. Every round is cut.
     """
-    from pyspark.sql.window import Window
-
-    w = Window.partitionBy("image_id", "y").orderBy("x")
-    island = cells.select(*CELLS).distinct().withColumn("g", F.col("x") - F.row_number().over(w))
-    runs = cut(island.groupBy("image_id", "y", "g").agg(F.min("x").alias("x1"), F.max("x").alias("x2")).drop("g").withColumn("id", F.struct("y", F.col("x1").alias("x"))))
-    reach = 1 if diagonal else 0
-    above, below = runs.alias("a"), runs.alias("b")
-    touch = (F.col("a.image_id") == F.col("b.image_id")) & (F.col("b.y") == F.col("a.y") + 1) & (F.col("a.x1") <= F.col("b.x2") + reach) & (F.col("b.x1") <= F.col("a.x2") + reach)
-    links = above.join(below, touch).select(F.col("a.image_id").alias("image_id"), F.col("a.id").alias("a"), F.col("b.id").alias("b"))
+    edge = tiles.EDGE
+    found = tiles.by_tile(cells.select(*CELLS).distinct().withColumn("v", F.lit(0.0)), 0, tiles.labelled(diagonal))
+    place = F.col("v").cast("long")
+    found = cut(found.select(*CELLS, F.struct(F.shiftright(place, 26).cast("int").alias("y"), place.bitwiseAND(F.lit(tiles.WIDE - 1)).cast("int").alias("x")).alias("label")))
+    bottom, right = F.pmod("y", F.lit(edge)) == edge - 1, F.pmod("x", F.lit(edge)) == edge - 1
+    step = lambda dy, dx: F.struct(F.lit(dy).alias("dy"), F.lit(dx).alias("dx"))
+    sides = (-1, 0, 1) if diagonal else (0,)
+    over = F.array_distinct(F.concat(F.when(bottom, F.array(*[step(1, d) for d in sides])).otherwise(F.array().cast("array<struct<dy:int,dx:int>>")), F.when(right, F.array(*[step(d, 1) for d in sides])).otherwise(F.array().cast("array<struct<dy:int,dx:int>>"))))
+    if diagonal:  # down to the left, over a tile's left edge
+        over = F.when(F.pmod("x", F.lit(edge)) == 0, F.array_union(over, F.array(step(1, -1)))).otherwise(over)
+    near = found.where(F.size(over) > 0).select("image_id", F.col("label").alias("a"), "y", "x", F.explode(over).alias("o"))
+    near = near.select("image_id", "a", (F.col("y") + F.col("o.dy")).alias("y"), (F.col("x") + F.col("o.dx")).alias("x"))
+    at_edge = bottom | right | (F.pmod("y", F.lit(edge)) == 0) | (F.pmod("x", F.lit(edge)) == 0)
+    links = near.join(found.where(at_edge), list(CELLS)).where("a <> label").select("image_id", "a", F.col("label").alias("b")).distinct()
     links = cut(links.union(links.select("image_id", F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = runs.select("image_id", "id", F.col("id").alias("label"))
+    if links.isEmpty():
+        return found.withColumnRenamed("label", "component")
+    labels = links.select("image_id", F.col("a").alias("id")).distinct().withColumn("label", F.col("id"))
     while True:
-        near = links.join(labels.select("image_id", F.col("id").alias("b"), "label"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, ["image_id", "id"], "left").select("image_id", "id", F.col("label").alias("old"), F.least("label", F.coalesce("near", "label")).alias("label"))
+        least = links.join(labels.select("image_id", F.col("id").alias("b"), "label"), ["image_id", "b"]).groupBy("image_id", F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        moved = labels.join(least, ["image_id", "id"]).select("image_id", "id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select("image_id", F.col("id").alias("label"), F.col("label").alias("up"))
-        new = cut(step.join(up, ["image_id", "label"]).select("image_id", "id", "old", F.least("label", "up").alias("label")))
+        new = cut(moved.join(up, ["image_id", "label"]).select("image_id", "id", "old", F.least("label", "up").alias("label")))
         labels = new.select("image_id", "id", "label")
         if new.where("label < old").isEmpty():
             break
-    joined = runs.join(labels, ["image_id", "id"])
-    return joined.select("image_id", "y", F.explode(F.sequence("x1", "x2")).alias("x"), F.col("label").alias("component"))
+    whole = labels.select("image_id", F.col("id").alias("label"), F.col("label").alias("component"))
+    return found.join(whole, ["image_id", "label"], "left").select(*CELLS, F.coalesce("component", "label").alias("component"))
 
 
 def component_stats(components: DataFrame, min_area: int = 16, keep_largest: int = 0) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from pixelframe.functions import color
 from pixelframe.functions.color import clip
+from pixelframe.sources.shared import cut
 
 CHANNELS = ("red", "green", "blue", "luma")
 
@@ -50,10 +51,57 @@ def gray_world(pixels: DataFrame) -> DataFrame:
     return means.select("image_id", *[v.alias(f"gain_{c}") for c, v in zip("rgb", color.neutral_gains(F.col("r"), F.col("g"), F.col("b")))])
 
 
+#: Bins of one round of quantiles.
+BINS = 4096
+
+
+def quantiles(values: DataFrame, share: float) -> DataFrame:
+    """(image_id, channel, value): the exact quantile of each channel's values (image_id, channel, v), mixed linearly between its two neighbours in rank.
+
+    Values are counted in BINS bins between 0 and 1, those beyond in the first and last; of the bins that hold the two ranks, the span from their
+    least to their greatest value is cut into bins again, until it is one value. So a group's state is its bins, however many
+    values it has; 8-bit sources take one round. Nulls don't count.
+    """
+    group = ["image_id", "channel"]
+
+    def counted(rows: DataFrame, keys: list[str], low: Column, high: Column, *more: str) -> DataFrame:
+        """By bin, how many values it has, its ends, and how many are in the bins before it."""
+        at = F.floor(clip((F.col("v") - low) / (high - low)) * BINS).cast("int")
+        bins = rows.groupBy(*keys, *more, F.least(at, F.lit(BINS - 1)).alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+        w = Window.partitionBy(*keys)
+        return bins.withColumns({"before": F.sum("n").over(w.orderBy("bin")) - F.col("n"), "total": F.sum("n").over(w)})
+
+    values = values.where("v IS NOT NULL")
+    bins = counted(values, group, F.lit(0.0), F.lit(1.0))
+    place = (F.col("total") - 1) * F.lit(share)
+    first = F.floor(place).cast("long")
+    ranks = F.array(F.struct(first.alias("rank"), (1 - (place - first)).alias("weight")), F.struct((first + 1).alias("rank"), (place - first).alias("weight")))
+    found = bins.withColumn("r", F.explode(ranks)).select(*group, "r.rank", "r.weight", "before", "n", "low", "high").where("rank >= before AND rank < before + n")
+    found = cut(found.select(*group, "weight", F.monotonically_increasing_id().alias("target"), (F.col("rank") - F.col("before")).alias("rank"), "low", "high"))
+    done = []
+    while True:
+        done.append(found.where("low = high").select(*group, "weight", F.col("low").alias("value")))
+        open_ = found.where("low < high")
+        if open_.isEmpty():
+            break
+        inside = values.join(open_.withColumnsRenamed({"low": "from", "high": "to"}), group).where("v BETWEEN from AND to")
+        bins = counted(inside, ["target"], F.col("from"), F.col("to"), *group, "weight", "rank", "from", "to").where("rank >= before AND rank < before + n")
+        found = cut(bins.select(*group, "weight", "target", (F.col("rank") - F.col("before")).alias("rank"), "low", "high"))
+    every = done[0]
+    for x in done[1:]:
+        every = every.union(x)
+    return every.groupBy(*group).agg((F.sum(F.col("weight") * F.col("value")) / F.sum("weight")).alias("value"))
+
+
 def white_patch(pixels: DataFrame, share: float = 0.99, accuracy: int | None = None) -> DataFrame:
     """By image, the gains that bring each channel's percentile of linear light to the highest. accuracy: approximate, for huge images."""
-    at = (lambda c: F.percentile_approx(c, share, accuracy)) if accuracy else (lambda c: F.percentile(c, F.lit(share)))
-    tops = pixels.groupBy("image_id").agg(*[F.greatest(at(color.srgb_to_linear(F.col(c))), F.lit(color.EPS)).alias(c) for c in "rgb"])
+    if accuracy:
+        tops = pixels.groupBy("image_id").agg(*[F.percentile_approx(color.srgb_to_linear(F.col(c)), share, accuracy).alias(c) for c in "rgb"])
+    else:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("channel"), color.srgb_to_linear(F.col(c)).alias("v")) for c in "rgb"])).alias("s")
+        found = quantiles(pixels.select("image_id", each).select("image_id", "s.*"), share)
+        tops = found.groupBy("image_id").agg(*[F.max(F.when(F.col("channel") == c, F.col("value"))).alias(c) for c in "rgb"])
+    tops = tops.select("image_id", *[F.greatest(c, F.lit(color.EPS)).alias(c) for c in "rgb"])
     most = F.greatest("r", "g", "b")
     return tops.select("image_id", *[clip(most / F.col(c), 0.25, 4.0).alias(f"gain_{c}") for c in "rgb"])
 

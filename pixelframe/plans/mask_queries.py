@@ -230,6 +230,38 @@ def erode(spark, sf_dir):
     return rounded(grid.erode(_plane(spark, sf_dir), 1))
 
 
+#: The masks side by side in frames, 25 to a row; runs of masks without a gap make one plane.
+WALL = "wall AS (SELECT image_id // 625 AS image_id, CAST((image_id % 625) // 25 * 8 + y AS INT) AS y, CAST(image_id % 25 * 8 + x AS INT) AS x, v FROM msk)"
+
+
+def _wall(spark, sf_dir):
+    k = F.col("image_id")
+    return _plane(spark, sf_dir).select(F.floor(k / 625).alias("image_id"), (F.floor(k % 625 / 25) * 8 + F.col("y")).cast("int").alias("y"), (k % 25 * 8 + F.col("x")).cast("int").alias("x"), "v")
+
+
+# Each line is mirrored at its own ends: the mirrored places are made first, and then joined by equality.
+def _smooth_wall(src: str, out: str, sigma: float, axis: str) -> str:
+    other, r = "x" if axis == "y" else "y", len(grid.gaussian_kernel(sigma)) // 2
+    weights = ", ".join(map(repr, grid.gaussian_kernel(sigma)))
+    return f"""{out}_l AS (SELECT image_id, {other}, min({axis}) AS low, list(v ORDER BY {axis}) AS vs FROM {src} GROUP BY ALL),
+{out}_p AS (SELECT image_id, {other}, low, len(vs) AS n, list_transform(range(-{r}, len(vs) + {r}), lambda k: vs[CAST(CASE WHEN ((k % (2 * len(vs))) + 2 * len(vs)) % (2 * len(vs)) < len(vs) THEN ((k % (2 * len(vs))) + 2 * len(vs)) % (2 * len(vs)) ELSE 2 * len(vs) - 1 - ((k % (2 * len(vs))) + 2 * len(vs)) % (2 * len(vs)) END + 1 AS INT)]) AS ps FROM {out}_l),
+{out} AS (SELECT image_id, {other}, CAST(low + i AS INT) AS {axis}, list_dot_product(ps[CAST(i + 1 AS INT) : CAST(i + {2 * r + 1} AS INT)], [{weights}]) AS v FROM (SELECT *, unnest(range(n)) AS i FROM {out}_p))"""
+
+
+@query(with_("msk", WALL + ", " + _smooth_wall("wall", "a", 20.0, "x") + ", " + _smooth_wall("a", "b", 20.0, "y") + SHOW + "b"))
+def gaussian_smooth_wide(spark, sf_dir):
+    """Sigma 20, 121 weights, over frames of up to 200 x 200."""
+    return rounded(grid.gaussian_smooth(_wall(spark, sf_dir), 20.0))
+
+
+@query(with_("msk", WALL + f""", ch(dy, h) AS (VALUES {", ".join(f"({dy}, {h})" for dy, h in {dy: dx for dy, dx in grid.ellipse_offsets(20)}.items())}),
+run AS (SELECT image_id, y, x, h, max(v) OVER (PARTITION BY image_id, h, y ORDER BY x RANGE BETWEEN h PRECEDING AND h FOLLOWING) AS m FROM wall, (SELECT DISTINCT h FROM ch))
+SELECT k.image_id, k.y, k.x, round(max(m), 9) AS v FROM wall k, ch JOIN run ON run.image_id = k.image_id AND run.y = k.y + ch.dy AND run.x = k.x AND run.h = ch.h GROUP BY ALL"""))
+def dilate_wide(spark, sf_dir):
+    """Radius 20, 1,257 cells of an ellipse, over frames of up to 200 x 200."""
+    return rounded(grid.dilate(_wall(spark, sf_dir), 20))
+
+
 @query(with_("msk", morph_sql("msk", "a", 1, "max") + ", " + smooth_sql("a", "b", 0.35) + f" SELECT image_id, y, x, round({clip_sql('v * 1.5')}, 9) AS v FROM b"))
 def adjust_mask(spark, sf_dir):
     return rounded(grid.adjust_mask(_plane(spark, sf_dir), 8, 8, strength=150, feather=20, expand=30))
