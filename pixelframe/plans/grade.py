@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import uuid
+from itertools import islice
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +14,7 @@ from pixelframe.functions import color
 from pixelframe.functions.color import clip
 from pixelframe.operators import catalogue, grid, ledger, pixels
 from pixelframe.sources import files
-from pixelframe.sources.shared import cut
+from pixelframe.sources.shared import cut, new_path
 
 PLACE = ["image_id", "y", "x"]
 
@@ -122,37 +123,70 @@ def _read(what, path: str, otherwise: DataFrame) -> DataFrame:
         return otherwise
 
 
-def batch_run(spark: SparkSession, folder: str, out: str, log: str, preset_hash: str, p: dict[str, float], suffix: str = "_enhanced", output_format: str = "jpeg", job_id: str = "") -> DataFrame:
+#: Images that one step of a batch run grades and commits; their paths are all that the driver holds.
+STEP_IMAGES = 2000
+MANIFEST = "batch string, image_id string, run string, bucket int, pixels long, at timestamp"
+
+
+def committed(spark: SparkSession, out: str) -> DataFrame:
+    """(batch, image_id, run, bucket, pixels): the last commit of each image in each batch."""
+    rows = _read(lambda x: spark.read.schema(MANIFEST).parquet(x), f"{out}/manifest", spark.createDataFrame([], MANIFEST))
+    last = rows.groupBy("batch", "image_id").agg(F.max_by(F.struct("run", "bucket", "pixels"), "at").alias("last"))
+    return last.select("batch", "image_id", "last.*")
+
+
+def stored_pixels(spark: SparkSession, out: str) -> DataFrame:
+    """The pixels of a store, with their batch, as the manifest has them: what a run that broke off has left doesn't count, nor what a later run replaced."""
+    pixels = spark.read.parquet(f"{out}/pixels")
+    return pixels.join(committed(spark, out).select("batch", "image_id", "run"), ["batch", "image_id", "run"], "left_semi").drop("run", "bucket")
+
+
+def batch_run(spark: SparkSession, folder: str, out: str, log: str, preset_hash: str, p: dict[str, float], suffix: str = "_enhanced", output_format: str = "jpeg", job_id: str = "", buckets: int = 64) -> DataFrame:
     """Grade a folder's images that haven't succeeded before in this batch, store their pixels, and append a record for each.
 
-    A batch is a preset, suffix and format. Pixels lie under out/pixels/batch=.../image=..., a folder for each
-    image, with the column run; an image that is graded again replaces its folder, so a run that broke off before its records were
-    written is repeated without doubling pixels. An image is skipped if a record says that it succeeded and
-    its folder is still there. One that can't be read becomes a record with an error. Returns the records.
+    A batch is a preset, suffix and format. An image is skipped if a record says that it succeeded and the store has it; only the others are
+    read and decoded. They are graded in steps of STEP_IMAGES: pixels go to out/pixels/batch=.../bucket=..., a
+    fixed number of folders a batch; then out/manifest says which images of this run are whole, and the log gets their records.
+    A run that broke off is taken up where it was: what it hasn't committed doesn't count (see stored_pixels). An image that can't be read
+    becomes a record with an error. Returns the records.
     """
     key = f'{{"format": "{output_format}", "preset_hash": "{preset_hash}", "suffix": "{suffix}"}}'
     batch, run = hashlib.sha256(key.encode()).hexdigest()[:16], uuid.uuid4().hex
-    store, named = f"{out}/pixels", F.substring(F.sha2("image_id", 256), 1, 32).alias("image")
+    store, records = f"{out}/pixels", new_path(spark, "records")
     plan = catalogue.plan_outputs(files.list_images(spark, folder).select("path"), out, suffix, output_format).withColumn("batch_key", F.lit(key))
     plan = plan.select("batch_key", "source_path", "output_path")
     done = _read(lambda x: files.scan_ledger(spark, x), log, spark.createDataFrame([], files.LEDGER))
-    there = _read(lambda x: spark.read.schema("run string, image string").parquet(x).select("image").distinct(), f"{store}/batch={batch}", spark.createDataFrame([], "image string"))
-    images = plan.select("output_path", F.col("source_path").alias("image_id")).select("output_path", named)
-    stored = images.join(there, "image", "left_semi").select(F.col("output_path").alias("path"))
+    # A bucket whose folder is gone has none of its images.
+    there = _read(lambda x: spark.read.parquet(x).select(F.col("bucket").cast("int")).distinct(), f"{store}/batch={batch}", spark.createDataFrame([], "bucket int"))
+    kept = committed(spark, out).where(F.col("batch") == batch).join(there, "bucket", "left_semi")
+    stored = plan.join(kept.select(F.col("image_id").alias("source_path")), "source_path", "left_semi").select(F.col("output_path").alias("path"))
     work = cut(ledger.pending_work(plan, done, stored))
-    todo = work.where("status = 'pending'").select(F.col("source_path").alias("image_id"))
-    graded = grade_global(files.read_pixels(spark, folder).join(todo, "image_id", "left_semi"), p)
-    graded = graded.select("*", F.lit(run).alias("run"), F.lit(batch).alias("batch"), named).repartition("image")
-    graded.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "image").parquet(store)
-    nothing = spark.createDataFrame([], "image_id string")
-    good = _read(lambda x: spark.read.schema("image_id string, run string").parquet(x).where(F.col("run") == run).select("image_id").distinct(), f"{store}/batch={batch}", nothing)
-    judged = work.join(good.select(F.col("image_id").alias("source_path"), F.lit(True).alias("ok")), "source_path", "left")
-    status = F.when(F.col("status") == "skipped", "skipped").when(F.col("ok"), "success").otherwise("error")
-    have = {
-        "batch_key": F.col("batch_key"), "error": F.when(status == "error", "cannot read image"), "job_id": F.lit(job_id), "output_format": F.lit(output_format),
-        "output_path": F.col("output_path"), "preset_hash": F.lit(preset_hash), "reason": F.when(status == "skipped", "already completed"),
-        "source_path": F.col("source_path"), "status": status, "suffix": F.lit(suffix), "ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
-    }
-    records = cut(judged.select(*[have.get(c, F.lit(None).cast("string")).alias(c) for c in files.LEDGER_FIELDS]))
-    files.append_ledger(records, log)
-    return records
+
+    def record(judged: DataFrame) -> None:
+        """judged: batch_key, source_path, output_path, status."""
+        status = F.col("status")
+        have = {
+            "batch_key": F.col("batch_key"), "error": F.when(status == "error", "cannot read image"), "job_id": F.lit(job_id), "output_format": F.lit(output_format),
+            "output_path": F.col("output_path"), "preset_hash": F.lit(preset_hash), "reason": F.when(status == "skipped", "already completed"),
+            "source_path": F.col("source_path"), "status": status, "suffix": F.lit(suffix), "ts": F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
+        }
+        rows = cut(judged.select(*[have.get(c, F.lit(None).cast("string")).alias(c) for c in files.LEDGER_FIELDS]))
+        files.append_ledger(rows, log)
+        rows.write.mode("append").parquet(records)
+
+    record(work.where("status = 'skipped'"))
+    todo = work.where("status = 'pending'").select("batch_key", "source_path", "output_path")
+    paths = todo.toLocalIterator()
+    bucket = F.pmod(F.xxhash64("image_id"), F.lit(buckets)).cast("int")
+    while step := list(islice(paths, STEP_IMAGES)):
+        graded = grade_global(files.read_pixels(spark, [r.source_path for r in step]), p)
+        graded = graded.select("*", F.lit(run).alias("run"), F.lit(batch).alias("batch"), bucket.alias("bucket")).repartition("bucket")
+        graded.write.mode("append").partitionBy("batch", "bucket").parquet(store)
+        planned = spark.createDataFrame(step, todo.schema)
+        mine = _read(lambda x: spark.read.schema("image_id string, run string, bucket int").parquet(x).where(F.col("run") == run), f"{store}/batch={batch}", spark.createDataFrame([], "image_id string, run string, bucket int"))
+        whole = mine.join(planned.select(F.col("source_path").alias("image_id")), "image_id", "left_semi").groupBy("image_id", "bucket").agg(F.count(F.lit(1)).alias("pixels"))
+        whole = cut(whole.select(F.lit(batch).alias("batch"), "image_id", F.lit(run).alias("run"), "bucket", "pixels", F.current_timestamp().alias("at")))
+        whole.write.mode("append").parquet(f"{out}/manifest")
+        good = whole.select(F.col("image_id").alias("source_path"), F.lit("success").alias("ok"))
+        record(planned.join(good, "source_path", "left").withColumn("status", F.coalesce("ok", F.lit("error"))).drop("ok"))
+    return spark.read.schema(files.LEDGER).parquet(records)

@@ -8,7 +8,7 @@ from pixelframe.operators import catalogue, ledger
 from pixelframe.plans.fixtures import fl, jb, lg, with_
 from pixelframe.plans.registry import query
 from pixelframe.sources import files
-from pixelframe.sources.shared import new_path
+from pixelframe.sources.shared import cut, new_path
 from pixelframe.streaming import ledger_stream
 
 EXT = "regexp_matches(lower(path), '\\.(arw|bmp|cr2|dng|jpeg|jpg|nef|png|raw|tif|tiff)$')"
@@ -156,6 +156,35 @@ def stream_job_status(spark, sf_dir):
     return ledger_stream.rollup_of(spark, path)
 
 
+@query(with_("lg jb", ROLLUP + """ SELECT job_id, mode, source_count, coalesce(success, 0) AS success, coalesce(skipped, 0) AS skipped, coalesce(error, 0) AS error, coalesce(latest_error, '') AS latest_error,
+ CASE WHEN records IS NULL THEN 'queued' WHEN error > 0 THEN 'error' WHEN success + skipped >= source_count AND source_count > 0 THEN 'complete' ELSE 'running' END AS status FROM jb LEFT JOIN r USING (job_id)"""))
+def stream_jobs(spark, sf_dir):
+    """Jobs with their status, kept by a stream over the ledger's files that joins them batch by batch."""
+    path = new_path(spark, "ledger")
+    lg(spark, sf_dir).select("seq", F.col("job_id"), "status", "error").repartition(8).write.json(path)
+    return ledger_stream.status_of(spark, path, jb(spark, sf_dir), every=2)
+
+
+NUMBER = "CAST(regexp_extract(path, '_([0-9]+)[.]', 1) AS BIGINT)"
+
+
+@query(with_("fl", PLAN + f""" n AS (SELECT p.*, {NUMBER.replace("path", "source_path")} AS n FROM plan p)
+SELECT 'k' AS batch_key, source_path, output_path, CASE WHEN n % 3 = 0 AND n % 2 = 0 THEN 'skipped' ELSE 'pending' END AS status FROM n"""))
+def stream_new_images(spark, sf_dir):
+    """A folder's listing that arrives in files, held against the ledger: every third image has succeeded, every second output is there."""
+    listing, log, work, records = (new_path(spark, k) for k in ("listing", "ledger", "work", "skipped"))
+    listed = fl(spark, sf_dir)
+    listed.repartition(6).write.json(listing)
+    plan = catalogue.plan_outputs(listed, "/out", "_enhanced", "jpeg").withColumn("n", F.regexp_extract("source_path", r"_([0-9]+)[.]", 1).cast("long"))
+    past = plan.where("n % 3 = 0").select(F.lit("k").alias("batch_key"), "source_path", "output_path", F.lit("success").alias("status"))
+    past.write.json(log)
+    outputs = cut(plan.where("n % 2 = 0").select(F.col("output_path").alias("path")))
+    arrivals = spark.readStream.schema("path string").option("maxFilesPerTrigger", 2).json(listing)
+    planned = lambda batch: catalogue.plan_outputs(batch, "/out", "_enhanced", "jpeg").select(F.lit("k").alias("batch_key"), "source_path", "output_path")
+    ledger_stream.take_arrivals(arrivals, planned, lambda: files.scan_ledger(spark, log), lambda: outputs, work, records, new_path(spark, "stream"))
+    return spark.read.parquet(work).drop("batch")
+
+
 @query(with_("lg", "SELECT DISTINCT batch_key, source_path, output_path FROM lg WHERE status = 'success'"))
 def stream_dedup_success(spark, sf_dir):
     path = new_path(spark, "ledger")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import json
+import re
 import zlib
 
 import numpy as np
@@ -50,9 +51,13 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(is_image(F.col("path"))).orderBy("path")
 
 
-def read_pixels(spark: SparkSession, folder: str) -> DataFrame:
-    """image_id (the path, as list_images has it), y, x, r, g, b in [0, 1] of each pixel; grey is repeated, alpha dropped, unreadable files left out."""
-    images = spark.read.format("image").option("dropInvalid", True).load(folder).select(F.regexp_replace("image.origin", "^(\\w+):///", "$1:/").alias("origin"), "image.height", "image.width", "image.nChannels", "image.data")
+def read_pixels(spark: SparkSession, places: str | list[str]) -> DataFrame:
+    """image_id (the path, as list_images has it), y, x, r, g, b in [0, 1] of each pixel; grey is repeated, alpha dropped, unreadable files left out.
+
+    places: a folder, or paths of files, of which only these are read and decoded.
+    """
+    paths = places if isinstance(places, str) else [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in places]
+    images = spark.read.format("image").option("dropInvalid", True).load(paths).select(F.url_decode(F.replace(F.regexp_replace("image.origin", "^(\\w+):///", "$1:/"), F.lit("+"), F.lit("%2B"))).alias("origin"), "image.height", "image.width", "image.nChannels", "image.data")
 
     def unpack(batches):
         for batch in batches:

@@ -46,13 +46,27 @@ def test_batch_run_skips_what_is_done(spark, folder, tmp_path):
     assert again == {"a.png": "skipped", "b.PNG": "skipped", "broken.png": "error"}
 
 
+def test_batch_run_decodes_pending_images_only(spark, folder, tmp_path, monkeypatch):
+    args = (spark, str(folder), str(tmp_path / "out"), str(tmp_path / "log"), "h", {"exposure": 10})
+    (folder / "broken.png").unlink()
+    asked, read = [], files.read_pixels
+    monkeypatch.setattr(files, "read_pixels", lambda spark, paths: asked.extend(paths) or read(spark, paths))
+    monkeypatch.setattr(grade, "STEP_IMAGES", 1)
+    assert [r.status for r in grade.batch_run(*args).collect()] == ["success"] * 2 and len(asked) == 2
+    assert [r.status for r in grade.batch_run(*args).collect()] == ["skipped"] * 2 and len(asked) == 2
+    png(folder / "c[1].png", [[(9, 9, 9)]])
+    assert sorted(r.status for r in grade.batch_run(*args).collect()) == ["skipped", "skipped", "success"] and len(asked) == 3
+    assert {r.image_id.rsplit("/", 1)[1]: r.n for r in grade.stored_pixels(spark, str(tmp_path / "out")).groupBy("image_id").agg(F.count("r").alias("n")).collect()} == {"a.png": 6, "b.PNG": 1, "c[1].png": 1}
+    assert all("image=" not in str(d) for d in (tmp_path / "out").rglob("*"))
+
+
 def test_batches_are_kept_apart(spark, folder, tmp_path):
     def run(preset, exposure):
         out = grade.batch_run(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "log"), preset, {"exposure": exposure})
         return {r.source_path.rsplit("/", 1)[1]: r.status for r in out.collect()}
 
     def stored():
-        return spark.read.parquet(str(tmp_path / "out" / "pixels"))
+        return grade.stored_pixels(spark, str(tmp_path / "out"))
 
     assert run("h", 10)["a.png"] == "success" == run("g", 20)["a.png"]
     pixels = stored()
@@ -71,7 +85,7 @@ def test_a_run_that_broke_off_is_repeated(spark, folder, tmp_path):
     (tmp_path / "log").rename(tmp_path / "lost")  # as if it had ended before its records were written
     again = {r.source_path.rsplit("/", 1)[1]: r.status for r in grade.batch_run(*args).collect()}
     assert again == {"a.png": "success", "b.PNG": "success", "broken.png": "error"}
-    assert spark.read.parquet(str(tmp_path / "out" / "pixels")).groupBy("image_id", "y", "x").count().where("count > 1").count() == 0
+    assert grade.stored_pixels(spark, str(tmp_path / "out")).groupBy("image_id", "y", "x").count().where("count > 1").count() == 0
 
 
 def test_bell_fills_the_frame(spark):
@@ -83,12 +97,27 @@ def test_bell_fills_the_frame(spark):
 
 
 def test_new_images_come_once(spark, folder, tmp_path):
-    work, state = str(tmp_path / "work"), str(tmp_path / "state")
-    ledger_stream.new_images(spark, str(folder), work, state)
+    work, state, log = (str(tmp_path / k) for k in ("work", "state", "records"))
+    name = lambda p: p.rsplit("/", 1)[1]
+    done = lambda: spark.createDataFrame([("k", r.path, f"out/{name(r.path).split('.')[0]}_enhanced.jpg", "success") for r in files.list_images(spark, str(folder)).collect()], "batch_key string, source_path string, output_path string, status string")
+    outputs = lambda: spark.createDataFrame([("out/a_enhanced.jpg",)], "path string")
+    args = {"batch_key": "k", "done": done, "outputs": outputs}
+    ledger_stream.new_images(spark, str(folder), work, state, log, **args)
     png(folder / "c.png", [[(1, 1, 1)]])
-    ledger_stream.new_images(spark, str(folder), work, state)
-    ledger_stream.new_images(spark, str(folder), work, state)
-    assert sorted(r.path.rsplit("/", 1)[1] for r in spark.read.parquet(work).collect()) == ["a.png", "b.PNG", "broken.png", "c.png"]
+    ledger_stream.new_images(spark, str(folder), work, state, log, **args)
+    ledger_stream.new_images(spark, str(folder), work, state, log, **args)
+    assert sorted((name(r.source_path), r.status) for r in spark.read.parquet(work).collect()) == [("a.png", "skipped"), ("b.PNG", "pending"), ("broken.png", "pending"), ("c.png", "pending")]
+    assert [name(r.source_path) for r in files.scan_ledger(spark, log).collect()] == ["a.png"]
+
+
+def test_job_states_are_replayed_and_compacted(spark, tmp_path):
+    states = ledger_stream.JobStates(spark, str(tmp_path), every=2)
+    rows = lambda *x: spark.createDataFrame(list(x), "job_id long, success long")
+    for k, batch in enumerate([[(1, 1), (2, 1)], [(1, 2)], [(3, 1)], [(1, 3), (3, 2)], [(2, 5)]]):
+        states.upsert(rows(*batch), k)
+        states.upsert(rows(*batch), k)  # a replay
+    assert sorted(tuple(r) for r in states.read().collect()) == [(1, 3), (2, 5), (3, 2)]
+    assert sorted(d.name for d in (tmp_path / "whole").glob("upto=*")) == ["upto=2", "upto=4"]
 
 
 def test_bad_files_are_skipped(spark, tmp_path):
