@@ -282,29 +282,35 @@ def detail_blend(spark, sf_dir):
     return rounded(grid.detail_blend(_plane(spark, sf_dir), 2.0, 0.9, 0.7, 1.4, 0.15))
 
 
-COMP = """st AS (SELECT image_id, y, x FROM {src}), rc AS (SELECT image_id, y, x, y AS ly, x AS lx FROM st UNION SELECT b.image_id, b.y, b.x, rc.ly, rc.lx FROM rc JOIN st b ON b.image_id = rc.image_id AND abs(b.y - rc.y) <= 1 AND abs(b.x - rc.x) <= 1 AND {near}),
-cp AS (SELECT image_id, y, x, min((ly, lx)) AS c FROM rc GROUP BY ALL)"""
+def comp_sql(src: str, near: str, p: str = "") -> str:
+    """Components of the set cells of src: what each cell reaches, and the least of it, as (p)cp."""
+    return f"""{p}st AS (SELECT image_id, y, x FROM {src}), {p}rc AS (SELECT image_id, y, x, y AS ly, x AS lx FROM {p}st UNION SELECT b.image_id, b.y, b.x, rc.ly, rc.lx FROM {p}rc rc JOIN {p}st b ON b.image_id = rc.image_id AND abs(b.y - rc.y) <= 1 AND abs(b.x - rc.x) <= 1 AND {near}),
+{p}cp AS (SELECT image_id, y, x, min((ly, lx)) AS c FROM {p}rc GROUP BY ALL)"""
 
 
-@query(with_("msk", COMP.format(src="msk WHERE v > 0.55", near="true") + " SELECT image_id, y, x, CAST(c[1] AS INT) AS cy, CAST(c[2] AS INT) AS cx FROM cp".replace("c[1]", "struct_extract(c, 1)").replace("c[2]", "struct_extract(c, 2)")))
+@query(with_("msk", comp_sql("msk WHERE v > 0.55", "true") + " SELECT image_id, y, x, CAST(c[1] AS INT) AS cy, CAST(c[2] AS INT) AS cx FROM cp".replace("c[1]", "struct_extract(c, 1)").replace("c[2]", "struct_extract(c, 2)")))
 def connected_components(spark, sf_dir):
     parts = grid.connected_components(_plane(spark, sf_dir).where("v > 0.55"))
     return parts.select("image_id", "y", "x", F.col("component.y").alias("cy"), F.col("component.x").alias("cx"))
 
 
-@query(with_("msk", COMP.format(src="msk WHERE v > 0.55", near="true") + """, ar AS (SELECT image_id, c, count(*) AS area FROM cp GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area >= 3 DESC, area DESC, c DESC) AS k FROM ar)
+@query(with_("msk", comp_sql("msk WHERE v > 0.55", "true") + """, ar AS (SELECT image_id, c, count(*) AS area FROM cp GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area >= 3 DESC, area DESC, c DESC) AS k FROM ar)
 SELECT image_id, CAST(struct_extract(c, 1) AS INT) AS cy, CAST(struct_extract(c, 2) AS INT) AS cx, area, area >= 3 AND k <= 2 AS kept FROM rk"""))
 def component_stats(spark, sf_dir):
     stats = grid.component_stats(grid.connected_components(_plane(spark, sf_dir).where("v > 0.55")), 3, 2)
     return stats.select("image_id", F.col("component.y").alias("cy"), F.col("component.x").alias("cx"), "area", "kept")
 
 
-@query(with_("msk", COMP.format(src="msk WHERE v <= 0.52", near="(b.y = rc.y OR b.x = rc.x)") + """ SELECT k.image_id, k.y, k.x, CASE WHEN k.v > 0.52 OR c IS NULL OR c <> (0, 0) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v FROM msk k LEFT JOIN cp USING (image_id, y, x)"""))
+@query(with_("msk", comp_sql("msk WHERE v <= 0.52", "(b.y = rc.y OR b.x = rc.x)") + """ SELECT k.image_id, k.y, k.x, CASE WHEN k.v > 0.52 OR c IS NULL OR c <> (0, 0) THEN CAST(1 AS DOUBLE) ELSE CAST(0 AS DOUBLE) END AS v FROM msk k LEFT JOIN cp USING (image_id, y, x)"""))
 def fill_holes(spark, sf_dir):
     return grid.fill_holes(_plane(spark, sf_dir).withColumn("v", F.when(F.col("v") > 0.52, 1.0).otherwise(0.0)))
 
 
-@query()
+# Threshold; closing by 1; holes by what (0, 0) reaches over zeros; then the two largest components of 4 cells and more.
+@query(with_("msk", "b0 AS (SELECT image_id, y, x, CASE WHEN v > 0.5 THEN 1.0 ELSE 0.0 END AS v FROM msk), " + morph_sql("b0", "b1", 1, "max") + ", " + morph_sql("b1", "b2", 1, "min") + ", " + comp_sql("b2 WHERE v = 0", "(b.y = rc.y OR b.x = rc.x)", "sea_")
+    + ", b3 AS (SELECT b2.image_id, b2.y, b2.x, CASE WHEN v = 1 OR c IS NULL OR c <> (0, 0) THEN 1.0 ELSE 0.0 END AS v FROM b2 LEFT JOIN sea_cp USING (image_id, y, x)), " + comp_sql("b3 WHERE v = 1", "true", "parts_")
+    + """, ar AS (SELECT image_id, c, count(*) AS area FROM parts_cp GROUP BY ALL), rk AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY area >= 4 DESC, area DESC, c DESC) AS k FROM ar), keep AS (SELECT image_id, y, x FROM parts_cp JOIN rk USING (image_id, c) WHERE area >= 4 AND k <= 2)
+SELECT b3.image_id, b3.y, b3.x, CASE WHEN keep.y IS NULL THEN CAST(0 AS DOUBLE) ELSE CAST(1 AS DOUBLE) END AS v FROM b3 LEFT JOIN keep ON keep.image_id = b3.image_id AND keep.y = b3.y AND keep.x = b3.x"""))
 def open_close(spark, sf_dir):
     return grid.open_close(_plane(spark, sf_dir), min_area=4, keep_largest=2, threshold=0.5)
 
@@ -318,9 +324,10 @@ def proxy_downsample(spark, sf_dir):
     return rounded(grid.downsample(pix, p.sizes(pix), 12))
 
 
-@query(with_("msk", """ax AS (SELECT k, least(greatest((k + 0.5) * 8 / 13 - 0.5, 0), 7) AS p FROM range(13) r(k)), a2 AS (SELECT k, CAST(floor(p) AS INT) AS lo, least(CAST(floor(p) AS INT) + 1, 7) AS hi, p - floor(p) AS t FROM ax)
-SELECT a.image_id, CAST(yy.k AS INT) AS y, CAST(xx.k AS INT) AS x, round((a.v * (1 - xx.t) + b.v * xx.t) * (1 - yy.t) + (c.v * (1 - xx.t) + d.v * xx.t) * yy.t, 9) AS v FROM a2 yy, a2 xx
- JOIN msk a ON a.y = yy.lo AND a.x = xx.lo JOIN msk b ON b.image_id = a.image_id AND b.y = yy.lo AND b.x = xx.hi JOIN msk c ON c.image_id = a.image_id AND c.y = yy.hi AND c.x = xx.lo JOIN msk d ON d.image_id = a.image_id AND d.y = yy.hi AND d.x = xx.hi"""))
+# First along the rows, then along the columns.
+@query(with_("msk", """ax AS (SELECT CAST(k AS INT) AS k, least(greatest((k + 0.5) * 8 / 13 - 0.5, 0), 7) AS p FROM range(13) r(k)), a2 AS (SELECT k, CAST(floor(p) AS INT) AS lo, least(CAST(floor(p) AS INT) + 1, 7) AS hi, p - floor(p) AS t FROM ax),
+w AS (SELECT k, lo AS i, 1 - t AS w FROM a2 UNION ALL SELECT k, hi, t FROM a2), rs AS (SELECT image_id, y, k AS x, sum(v * w) AS v FROM msk JOIN w ON w.i = msk.x GROUP BY ALL)
+SELECT image_id, k AS y, x, round(sum(v * w), 9) AS v FROM rs JOIN w ON w.i = rs.y GROUP BY ALL"""))
 def mask_resize(spark, sf_dir):
     return rounded(grid.mask_resize(_plane(spark, sf_dir), 8, 8, 13, 13))
 

@@ -200,14 +200,14 @@ def _lab(src: str, out: str) -> str:
 def _unlab(src: str, out: str, a: str) -> str:
     back = lambda f: f"CASE WHEN {f} > 0.206893 THEN ({f}) * ({f}) * ({f}) ELSE ({f} - {16 / 116!r}) / 7.787 END"
     dot = lambda row: "(" + " + ".join(f"{m!r} * {v}" for m, v in zip(row, ("xx", "yy", "zz"))) + ")"
-    return f"""{out}_a AS (SELECT {PLACE}, l8 * 100 / 255 AS li, {a} AS aa, bb8 FROM {src}),
+    return f"""{out}_a AS (SELECT {PLACE}, l8, a8, l8 * 100 / 255 AS li, {a} AS aa, bb8 FROM {src}),
 {out}_y AS (SELECT *, CASE WHEN li > 8 THEN pow((li + 16) / 116, 3) ELSE li / 903.3 END AS yy FROM {out}_a),
 {out}_f AS (SELECT *, CASE WHEN li > 8 THEN (li + 16) / 116 ELSE 7.787 * yy + {16 / 116!r} END AS fy FROM {out}_y),
 {out}_x AS (SELECT *, ({back('(fy + (aa - 128) / 500)')}) * {color.WHITE[0]!r} AS xx, ({back('(fy - (bb8 - 128) / 200)')}) * {color.WHITE[2]!r} AS zz FROM {out}_f),
-{out} AS (SELECT {PLACE}, {', '.join(f"round_even({encoded(dot(row))} * 255, 0) / 255 AS {c}" for row, c in zip(color.RGB, 'rgb'))} FROM {out}_x)"""
+{out} AS (SELECT {PLACE}, l8, a8, bb8, {', '.join(f"round_even({encoded(dot(row))} * 255, 0) / 255 AS {c}" for row, c in zip(color.RGB, 'rgb'))} FROM {out}_x)"""
 
 
-@query(with_("px", _lab("px", "lab") + f", {_unlab('lab', 'bk', 'a8')} SELECT lab.image_id, lab.y, lab.x, l8 AS l, a8 AS a, bb8 AS b, round(bk.r, 9) AS back_r, round(bk.g, 9) AS back_g, round(bk.b, 9) AS back_b FROM lab JOIN bk USING (image_id, y, x)"))
+@query(with_("px", _lab("px", "lab") + f", {_unlab('lab', 'bk', 'a8')} SELECT {PLACE}, l8 AS l, a8 AS a, bb8 AS b, round(r, 9) AS back_r, round(g, 9) AS back_g, round(bk.b, 9) AS back_b FROM bk"))
 def rgb_lab8(spark, sf_dir):
     df = px(spark, sf_dir).withColumn("lab", color.rgb_to_lab8(*[color.quantize(F.col(c)) for c in "rgb"]))
     back = color.lab8_to_rgb(F.col("lab.l"), F.col("lab.a"), F.col("lab.b"))
