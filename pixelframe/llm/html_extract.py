@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +27,7 @@ from pixelframe.llm.common import cut, small, small_batches
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr #text".split())
 CLOSES_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+P, HOLDS_P = frozenset(["p"]), frozenset("table td th li div article section main body button blockquote".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "tbody": {"tbody", "thead", "tr", "td", "th"}, "tfoot": {"tbody", "thead", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}, "tbody": {"table"}, "tfoot": {"table"}}
 DROPPED = frozenset("nav aside footer form script style noscript template iframe head title button select textarea input menu dialog svg object canvas audio video".split())
@@ -41,6 +42,9 @@ RAW_TAGS = frozenset("script style textarea title noscript template iframe xmp".
 TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])[^\s>]*+))*+)>")
 #: A tag of a page on which a value's quotes don't end, or which ends inside a tag.
 PLAIN_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
+#: The end of the attributes of a tag that closes itself.
+CLOSED = re.compile(r"(?:^|[\s\"'])/\s*$")
+CLOSING = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW_TAGS}
 MARKED = re.compile(r"(?<![\w-])(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 
@@ -91,7 +95,7 @@ def markup(page: str) -> Iterator[tuple[int, int, str, str, str]]:
             continue
         name, at = m[2].lower(), m.end()
         if name in RAW_TAGS and not m[1]:
-            close = re.compile(rf"</{name}(?=[\s/>])", re.I).search(page, at)
+            close = CLOSING[name].search(page, at)
             end = page.find(">", close.end()) if close else -1
             at, name = end + 1 if end >= 0 else len(page), ""
         yield low, at, m[1], name, m[3]
@@ -101,27 +105,34 @@ def parse(page: str | None) -> Node:
     """A page as a tree. Tags that are left open end where their parent does, or where HTML implies it."""
     root = Node("#root")
     stack, at, page, texts = _Stack([root]), 0, page or "", []
+    open_ = stack.open
     for start, end, closing, tag, attributes in markup(page):
         if start > at:
             texts.append(page[at:start])
         at = end
         if not tag:  # comments don't part a text
             continue
-        _add_text(stack, texts)
+        if texts:
+            _add_text(stack, texts)
         if closing:
-            if stack.open[tag]:
-                stack.cut(next(k for k in range(len(stack) - 1, 0, -1) if stack[k].tag == tag))
+            if open_[tag]:
+                k = len(stack) - 1
+                while stack[k].tag != tag:
+                    k -= 1
+                stack.cut(k)
             continue
         if tag in CLOSES_P:
-            _close(stack, {"p"}, {"table", "td", "th", "li", "div", "article", "section", "main", "body", "button", "blockquote"})
+            if open_["p"]:
+                _close(stack, P, HOLDS_P)
         if tag in SIBLINGS:
             _close(stack, SIBLINGS[tag], HOLDS[tag])
         node = Node(tag, _marks(attributes) if attributes else frozenset())
         stack[-1].kids.append(node)
-        if tag not in VOID and not re.search(r"(?:^|[\s\"'])/\s*$", attributes[-8:]):
+        if tag not in VOID and not ("/" in attributes and CLOSED.search(attributes[-8:])):
             stack.append(node)
-            stack.open[tag] += 1
-    texts.append(page[at:])
+            open_[tag] += 1
+    if at < len(page):
+        texts.append(page[at:])
     _add_text(stack, texts)
     _shapes(root)
     return root
@@ -132,10 +143,11 @@ class _Stack(list):
 
     def __init__(self, nodes):
         super().__init__(nodes)
-        self.open = Counter()
+        self.open = defaultdict(int)
 
     def cut(self, k: int) -> None:
-        self.open.subtract(n.tag for n in self[k:])
+        for n in self[k:]:
+            self.open[n.tag] -= 1
         del self[k:]
 
 
@@ -146,13 +158,16 @@ def _marks(attributes: str) -> frozenset:
 
 
 def _add_text(stack: _Stack, raw: list[str]) -> None:
-    if any(raw):
-        stack[-1].kids.append(Node("#text", text="".join(map(entities.unescape, raw))))
-    raw.clear()
+    if raw:
+        stack[-1].kids.append(Node("#text", text="".join([entities.unescape(t) if "&" in t else t for t in raw])))
+        raw.clear()
 
 
-def _close(stack: _Stack, tags: set[str], within: set[str]) -> None:
-    if not any(stack.open[t] for t in tags):
+def _close(stack: _Stack, tags: frozenset[str], within: frozenset[str]) -> None:
+    for t in tags:
+        if stack.open[t]:
+            break
+    else:
         return
     for k in range(len(stack) - 1, 0, -1):
         if stack[k].tag in tags:
@@ -173,8 +188,12 @@ def _walk(root: Node):
 
 def _shapes(root: Node) -> None:
     for n in reversed(list(_walk(root))):
-        n.shape = hash((n.tag, tuple(k.shape for k in n.kids)))
-        n.height = 1 + max(k.height for k in n.kids) if n.kids else 0
+        kids = n.kids
+        if kids:
+            n.shape = hash((n.tag, tuple([k.shape for k in kids])))
+            n.height = 1 + max([k.height for k in kids])
+        else:
+            n.shape = hash((n.tag, ()))
 
 
 def match_trees(a: Node, b: Node) -> list[tuple[Node, Node]]:
