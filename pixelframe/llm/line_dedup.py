@@ -174,15 +174,16 @@ def _rare_piece_pairs(lines: DataFrame, of: DataFrame, rules: LineRules) -> Data
     """
     t, span = rules.max_edits, 4 * rules.max_edits + 4
     size = lambda n: F.greatest(F.lit(1), F.least(F.lit(3), _div(n, 2 * (t + 1))))  # noqa: E731  choosing t of them leaves room for another
-    chars = lines.select("h", "n", _letters(F.col("line")).alias("letters"), F.split("line", "").alias("c"))
+    lines = lines.join(of.select("h", F.lit(True).alias("own")), "h", "left")
+    chars = lines.select("h", "n", "own", _letters(F.col("line")).alias("letters"), F.split("line", "").alias("c"))
     sizes = F.array_distinct(F.array(*[size(F.col("n") + d) for d in range(-t, t + 1)]))
-    pieces = chars.select("h", "n", "letters", "c", F.explode(sizes).alias("q")).select("h", "n", "letters", "q", F.posexplode(F.arrays_zip("c", F.slice("c", 2, F.size("c")).alias("d"), F.slice("c", 3, F.size("c")).alias("e"))).alias("at", "p"))
+    pieces = chars.select("h", "n", "own", "letters", "c", F.explode(sizes).alias("q")).select("h", "n", "own", "letters", "q", F.posexplode(F.arrays_zip("c", F.slice("c", 2, F.size("c")).alias("d"), F.slice("c", 3, F.size("c")).alias("e"))).alias("at", "p"))
     piece = F.xxhash64("q", "p.c", F.when(F.col("q") > 1, F.col("p.d")), F.when(F.col("q") > 2, F.col("p.e")))
-    pieces = pieces.where(F.col("at") + F.col("q") <= F.col("n")).select("h", "n", "letters", "q", "at", piece.alias("piece"))
+    pieces = pieces.where(F.col("at") + F.col("q") <= F.col("n")).select("h", "n", "own", "letters", "q", "at", piece.alias("piece"))
     places = F.sequence(_div(F.greatest(F.lit(0), F.col("at") - t), span), _div(F.col("at") + t, span))
     looked = pieces.select("h", "n", "letters", "at", "piece", F.explode(places).alias("place")).select("h", "n", "letters", "at", F.xxhash64("piece", "place").alias("key"))
     rare = looked.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") <= HOT)
-    own = pieces.join(of, "h", "left_semi").where(F.col("q") == size(F.col("n"))).select("h", "at", F.xxhash64("piece", _div(F.col("at"), span)).alias("key"))
+    own = pieces.where(F.col("own") & (F.col("q") == size(F.col("n")))).select("h", "at", F.xxhash64("piece", _div(F.col("at"), span)).alias("key"))
     ranked = own.join(rare, "key").groupBy("h").agg(F.array_sort(F.collect_list(F.struct("k", "at"))).alias("rare"))
 
     def choose(got: Column, at: Column) -> Column:
@@ -191,7 +192,7 @@ def _rare_piece_pairs(lines: DataFrame, of: DataFrame, rules: LineRules) -> Data
     # Where the rare pieces don't suffice, others of the line fill up.
     filling = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("q"), F.col("q")), lambda at: at.cast("int"))
     rarest = F.coalesce(F.transform("rare", lambda x: x["at"]), F.array().cast("array<int>"))
-    chosen = chars.join(of, "h", "left_semi").withColumn("q", size(F.col("n"))).join(ranked, "h", "left")
+    chosen = chars.where("own").withColumn("q", size(F.col("n"))).join(ranked, "h", "left")
     chosen = chosen.select("h", "n", "letters", "q", "c", F.explode(F.aggregate(F.concat(rarest, filling), F.array().cast("array<int>"), choose)).alias("at"))
     letter = lambda k: F.get("c", F.col("at") + k)
     piece = F.xxhash64("q", letter(0), F.when(F.col("q") > 1, letter(1)), F.when(F.col("q") > 2, letter(2)))
