@@ -1,4 +1,9 @@
-"""A corpus pipeline over documents: each stage reads what the one before it has written."""
+"""A corpus pipeline over documents: each stage reads what the one before it has written.
+
+Stages keep other columns, whatever their names, and repeated rows together. The first drops null and empty texts, which have no
+words; the later ones let them pass, if they get any. A null doc_id is an id that comes before all others where lines are compared, and
+is kept among near-duplicates only if none of its group has an id. Texts may be of any length; an empty table gives none.
+"""
 
 from __future__ import annotations
 
@@ -8,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.llm import decontaminate, line_dedup, minhash_dedup, quality_rules, sentencepiece_codec
-from pixelframe.llm.common import cut, smallest_labels, table
+from pixelframe.llm.common import cut, smallest_labels, spare_name, table
 
 #: A pair just at 80 % misses all of 36 bands of 6 with a chance of (1 - .8^6)^36, about 1 in 55,000.
 NEAR = (minhash_dedup.NearDup(words=5, similarity_pct=80, bands=36, rows=6), minhash_dedup.NearDup())
@@ -33,8 +38,9 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     found = [minhash_dedup.find_near_duplicates(docs, p) for p in NEAR]
     found = cut(reduce(DataFrame.unionByName, [f.select("doc_id", "component_id", "kept") for f in found]))
     labels = smallest_labels(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a is not null and b is not null"))
-    gone = labels.where("label < id").select(F.col("id").alias("_gone")).union(found.where("doc_id is null and not kept").select("doc_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    name = spare_name(docs, "_gone")
+    gone = labels.where("label < id").select(F.col("id").alias(name)).union(found.where("doc_id is null and not kept").select("doc_id")).distinct()
+    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
