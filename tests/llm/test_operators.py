@@ -504,6 +504,19 @@ def test_pipeline(spark, tmp_path):
     assert all(r.n_ids == len(r.ids) > 0 for r in out.collect())
 
 
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """Extra columns with names that stages use, null ids, and no rows at all."""
+    import corpus_pipeline
+
+    texts = [" ".join(f"{k}-{i}" for i in range(40)) for k in range(3)]
+    data = [(1, texts[0], "s", 7, "r"), (2, texts[0], "s", 8, "r"), (None, texts[1], "s", 9, None), (3, texts[2], None, 10, "r"), (3, texts[2], None, 10, "r"), (4, None, "s", 11, "r")]
+    kind = "doc_id long, text string, source string, _gone long, _rules string"
+    for name, rows_, want in (("some", data, [7, 9, 10, 10]), ("none", [], [])):
+        spark.createDataFrame(rows_, kind).write.parquet(str(tmp_path / name / "documents.parquet"))
+        spark.createDataFrame([(1, "no words of theirs")], "item_id long, text string").write.parquet(str(tmp_path / name / "benchmark.parquet"))
+        assert sorted(r._gone for r in corpus_pipeline.run(spark, str(tmp_path / name)).collect()) == want
+
+
 def test_pipeline_drops_copies_with_a_tail(spark):
     import corpus_pipeline
 
