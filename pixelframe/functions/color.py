@@ -6,6 +6,8 @@ that it is computed once. 8-bit colour spaces follow their defining formulas, ro
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
 from math import inf, log
 
 import numpy as np
@@ -385,27 +387,40 @@ PROFILES = {
 }
 
 
+def profile(layer: str, kind: str) -> tuple[float, float, float]:
+    return PROFILES.get(layer, PROFILES[""])[kind]
+
+
 def effect_mask(v: Column, layer: str, kind: str) -> Column:
     """A mask's confidence curve for a layer's effect, before smoothing."""
-    power, floor, _ = PROFILES.get(layer, PROFILES[""])[kind]
+    power, floor, _ = profile(layer, kind)
     return confidence(v, power, floor)
 
 
-def composite_mask(v: Column, layer: str, mode: str, opacity: float) -> Column:
-    """The mask under which a layer is blended, before smoothing; opacity in [0, 1] acts non-linearly."""
+def composite_kinds(layer: str, mode: str) -> dict[str, float]:
+    """The effect masks that make up a layer's composite mask, and their shares."""
+    if mode == "overlay":
+        return {"detail" if layer in ("face", "skin", "hair") else "strict": 1.0}
+    if mode == "soft_light":
+        return {"detail": 1.0} if layer in ("eyes", "lips") else {"blend": 0.7, "broad": 0.3}
+    return {"blend": 1.0}
+
+
+def composite_of(at: Callable[[str], Column], layer: str, mode: str, opacity: float) -> Column:
+    """The mask under which a layer is blended, of its effect masks by kind; opacity in [0, 1] acts non-linearly."""
     if opacity <= 0:
         return F.lit(0.0)
-    if mode == "overlay":
-        base = effect_mask(v, layer, "detail" if layer in ("face", "skin", "hair") else "strict")
-    elif mode == "soft_light":
-        base = effect_mask(v, layer, "detail") if layer in ("eyes", "lips") else clip(effect_mask(v, layer, "blend") * 0.7 + effect_mask(v, layer, "broad") * 0.3)
-    else:
-        base = effect_mask(v, layer, "blend")
+    base = reduce(lambda a, b: a + b, [at(k) if share == 1 else at(k) * share for k, share in composite_kinds(layer, mode).items()])
     if opacity >= 0.999:
         return clip(base)
     return clip(confidence(base, 1 + (1 - opacity) * 1.6, max(0.0, 0.25 - opacity * 0.20)) * opacity)
 
 
+def composite_mask(v: Column, layer: str, mode: str, opacity: float) -> Column:
+    """composite_of effect masks before smoothing."""
+    return composite_of(lambda kind: effect_mask(v, layer, kind), layer, mode, opacity)
+
+
 def in_ranges(df: DataFrame, ranges: list[tuple[str, dict[str, tuple[float, float]]]]) -> Column:
     """Whether a row's colour lies in one of the ranges: ("hsv" or "ycrcb", {part: (least, most)}). df needs _hsv and _ycrcb columns."""
     hit = F.lit(False)

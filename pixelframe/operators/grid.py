@@ -28,13 +28,23 @@ def gaussian_kernel(sigma: float) -> list[float]:
     return [w / sum(raw) for w in raw]
 
 
+def _lines(table: DataFrame, axis: str, fs: dict, keep: tuple[str, ...], by: tuple[str, ...]) -> DataFrame:
+    """Each line's columns put through their function of fs (of an array ordered by axis); those of keep go along as they are."""
+    other = "y" if axis == "x" else "x"
+    names = [*fs, *keep]
+    lines = table.groupBy(*by, other).agg(F.array_sort(F.collect_list(F.struct(axis, *names))).alias("s"))
+
+    def part(name: str) -> Column:
+        return F.transform("s", lambda c: c[name]).alias(name)
+
+    values = lines.select(*by, other, *[part(c) for c in (axis, *names)])
+    done = values.select(*by, other, F.explode(F.arrays_zip(axis, *[f(F.col(c)).alias(c) for c, f in fs.items()], *keep)).alias("z"))
+    return done.select(*by, other, *[F.col(f"z.{c}").alias(c) for c in (axis, *names)])
+
+
 def _along(plane: DataFrame, axis: str, f, by: tuple[str, ...]) -> DataFrame:
     """f of each line's values (array ordered by axis)."""
-    other = "y" if axis == "x" else "x"
-    lines = plane.groupBy(*by, other).agg(F.array_sort(F.collect_list(F.struct(axis, "v"))).alias("s"))
-    values = lines.select(*by, other, F.transform("s", lambda c: c[axis]).alias("k"), F.transform("s", lambda c: c.v).alias("v"))
-    done = values.select(*by, other, F.explode(F.arrays_zip("k", f(F.col("v")).alias("v"))).alias("z"))
-    return done.select(*by, other, F.col("z.k").alias(axis), F.col("z.v").alias("v"))
+    return _lines(plane, axis, {"v": f}, (), by)
 
 
 def _mirrored(v: Column, at: Column) -> Column:
@@ -70,6 +80,18 @@ def gaussian_smooth(plane: DataFrame, sigma: float, by: tuple[str, ...] = ("imag
     return _along(_along(plane, "x", f, by), "y", f, by).select(*by, "y", "x", "v")
 
 
+def smooth_columns(table: DataFrame, sigmas: dict[str, float], keep: tuple[str, ...] = (), by: tuple[str, ...] = ("image_id",)) -> DataFrame:
+    """Several planes over the same cells, each column smoothed by its own sigma of sigmas; those of keep go along as they are.
+
+    Lines hold all columns: two shuffles, however many there are. For narrow kernels only, which are written out.
+    """
+    weights = {c: gaussian_kernel(sigma) for c, sigma in sigmas.items()}
+    if any(len(w) // 2 > WRITTEN_OUT for w in weights.values()):
+        raise ValueError(f"a kernel reaches further than {WRITTEN_OUT} cells: use gaussian_smooth")
+    fs = {c: _convolved(w) for c, w in weights.items()}
+    return _lines(_lines(table, "x", fs, keep, by), "y", fs, keep, by).select(*by, "y", "x", *sigmas, *keep)
+
+
 def ellipse_offsets(radius: int) -> list[tuple[int, int]]:
     """(dy, dx) of the ellipse inscribed in a square of 2 * radius + 1: in each row, as wide as the half-even rounded chord."""
     out = []

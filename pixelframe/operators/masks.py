@@ -8,12 +8,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from pixelframe.functions import color
 from pixelframe.functions.color import clip
+from pixelframe.operators import grid
 
 # The classes of each region, the zones of a face box (centre and radii in box units), and weights of features.
 REGIONS = {"face": tuple(range(1, 14)), "skin": (1,), "brows": (2, 3), "eyes": (4, 5), "lips": (11, 12, 13), "hair": (17,)}
 ZONES = {"face": (0.5, 0.5, 0.64, 0.74), "skin": (0.5, 0.55, 0.55, 0.62), "eye_band": (0.5, 0.36, 0.52, 0.17), "left_eye": (0.33, 0.36, 0.16, 0.10), "right_eye": (0.67, 0.36, 0.16, 0.10), "lips": (0.5, 0.76, 0.24, 0.12), "hair": (0.5, 0.15, 0.95, 0.65)}
 FEATURES = {"face": 1.0, "skin": 0.9, "hair": 0.95, "eyes": 0.55, "lips": 0.55}
+# The parts of the body below a face's box (centre and radii in box units), and their weights.
+BODY = {"body": (0.5, 2.05, 1.35, 2.75), "shoulders": (0.5, 1.28, 1.55, 0.88), "torso": (0.5, 1.85, 1.18, 1.75)}
+BODY_WEIGHTS = {"body": 0.55, "shoulders": 0.75, "torso": 0.85}
+CELLS = ("image_id", "y", "x")
 
 
 def mask_stats(masks: DataFrame, by: tuple[str, ...] = ("image_id", "layer")) -> DataFrame:
@@ -94,10 +100,27 @@ def face_count(detections: DataFrame) -> DataFrame:
     return detections.groupBy("image_id").agg(F.count(F.lit(1)).alias("faces"))
 
 
+def effect_masks(table: DataFrame, wanted: dict[str, tuple[str, str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
+    """image_id, y, x, the columns of keep, and one column for each of wanted {name: (mask column, layer, kind)}: the mask under the
+    layer's confidence curve of that kind, smoothed by its sigma. table has a row for every cell of its images.
+
+    All of them, of however many layers, are smoothed in one pass.
+    """
+    curves = table.select(*CELLS, *[color.effect_mask(F.col(c), layer, kind).alias(name) for name, (c, layer, kind) in wanted.items()], *keep)
+    smooth = grid.smooth_columns(curves, {name: color.profile(layer, kind)[2] for name, (_, layer, kind) in wanted.items()}, keep)
+    return smooth.select(*CELLS, *[clip(F.col(name)).alias(name) for name in wanted], *keep)
+
+
+def _feature(layer: Column) -> Column:
+    return reduce(lambda a, kv: a.when(layer == kv[0], kv[1]), FEATURES.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
+
+
 def scene_partition(masks: DataFrame, face_counts: DataFrame | None = None) -> DataFrame:
-    """image_id, y, x, subject, background: the weighted maximum of feature masks, less without faces (image_id, faces), and what is left."""
-    weight = reduce(lambda a, kv: a.when(F.col("layer") == kv[0], kv[1]), FEATURES.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
-    top = masks.groupBy("image_id", "y", "x").agg(F.max(clip(F.col("v") * weight)).alias("u"))
+    """image_id, y, x, subject, background: the weighted maximum of feature masks, less without faces (image_id, faces), and what is left.
+
+    See scene_masks for the form that has bodies and smooth edges.
+    """
+    top = masks.groupBy("image_id", "y", "x").agg(F.max(clip(F.col("v") * _feature(F.col("layer")))).alias("u"))
     if face_counts is None:
         subject = F.col("u") * 0.85
     else:
@@ -106,6 +129,51 @@ def scene_partition(masks: DataFrame, face_counts: DataFrame | None = None) -> D
     return top.select("image_id", "y", "x", subject.alias("subject"), (1 - subject).alias("background"))
 
 
+def body_cells(boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, y, x, v: the bodies below faces (image_id, x, y, w, h), where there are any.
+
+    For one face a cell has the sum of the weights of the ellipses that hold it, at most 1; of several faces the highest counts. Each
+    face's cells are made from the bounds of its ellipses and weighed in place: what is shuffled is their maximum.
+    """
+    whole = lambda v: F.bround(v).cast("long")
+    size = lambda v: F.greatest(F.lit(1), whole(v))
+    x, y, w, h = (F.col(c) for c in "xywh")
+    e = boxes.select("image_id", *[F.struct(whole(x + w * a).alias("cx"), whole(y + h * b).alias("cy"), size(w * c).alias("rx"), size(h * d).alias("ry")).alias(n) for n, (a, b, c, d) in BODY.items()])
+    bound = lambda least, f, c, r, sign: f(least, *[F.col(f"{n}.{c}") + F.col(f"{n}.{r}") * sign for n in BODY])
+    first = lambda c, r: F.greatest(F.lit(0), bound(F.lit(1 << 40), F.least, c, r, -1))
+    last = lambda c, r, n: F.least(F.lit(n - 1), bound(F.lit(-1), F.greatest, c, r, 1))
+    e = e.select("*", first("cx", "rx").alias("x1"), first("cy", "ry").alias("y1"), last("cx", "rx", width).alias("x2"), last("cy", "ry", height).alias("y2")).where("x1 <= x2 AND y1 <= y2")
+    e = e.withColumn("y", F.explode(F.sequence("y1", "y2"))).withColumn("x", F.explode(F.sequence("x1", "x2")))
+    off = lambda n, c: (F.col(c) - F.col(f"{n}.c{c}")) / F.col(f"{n}.r{c}")
+    v = reduce(lambda a, b: a + b, [F.when(off(n, "x") * off(n, "x") + off(n, "y") * off(n, "y") <= 1, weight).otherwise(0.0) for n, weight in BODY_WEIGHTS.items()])
+    cells = e.select("image_id", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), clip(v).alias("v")).where("v > 0")
+    return cells.groupBy(*CELLS).agg(F.max("v").alias("v"))
+
+
+def scene_masks(masks: DataFrame, boxes: DataFrame, width: int, height: int) -> DataFrame:
+    """image_id, y, x, subject, background over the whole frame of each image that has feature masks (image_id, layer, y, x, v) or faces
+    (image_id, x, y, w, h): the higher of bodies and weighted features, which count less without faces, smoothed; and what is left, smoothed again.
+
+    Masks without a cell count as 0 there; cells outside the frame and boxes with nulls don't count. Frame, features and bodies meet in one aggregation.
+    """
+    nothing = F.lit(None).cast("double")
+    boxes = boxes.select("image_id", "x", "y", "w", "h").dropna()
+    images = masks.select("image_id", F.lit(0).alias("face")).union(boxes.select("image_id", F.lit(1))).groupBy("image_id").agg(F.max("face").alias("face"))
+    frame = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
+    inside = masks.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
+    parts = [
+        frame.select(*CELLS, "face", F.lit(0.0).alias("u"), F.lit(0.0).alias("body")),
+        inside.select(*CELLS, F.lit(None).cast("int"), clip(F.col("v") * _feature(F.col("layer"))), nothing),
+        body_cells(boxes, width, height).select(*CELLS, F.lit(None).cast("int"), nothing, "v"),
+    ]
+    cells = reduce(DataFrame.union, parts).groupBy(*CELLS).agg(F.max("face").alias("face"), F.max("u").alias("u"), F.max("body").alias("body"))
+    subject = F.greatest("body", F.when(F.col("face") > 0, F.col("u")).otherwise(F.col("u") * 0.85))
+    sigma = max(2.0, width * 0.010)
+    smooth = grid.gaussian_smooth(cells.select(*CELLS, subject.alias("v")), sigma)
+    background = grid.gaussian_smooth(smooth.select(*CELLS, (1 - clip(F.col("v"))).alias("v")), sigma)
+    return background.select(*CELLS, (1 - clip(F.col("v"))).alias("subject"), clip(F.col("v")).alias("background"))
+
+
 def rank_detections(detections: DataFrame, width: int, height: int) -> DataFrame:
     """Boxes in whole pixels inside the frame, with place by area, larger first and then by det_id, from 0."""
     x = clip(F.floor("x").cast("double"), 0.0, width - 1.0)
@@ -155,14 +223,77 @@ def zone_pixels(boxes: DataFrame, width: int, height: int, zones: dict[str, tupl
     return e.where(dx * dx + dy * dy <= 1).select("image_id", "det_id", "zone", "y", "x")
 
 
+def _misfit(box: str = "", landmarks: str = "") -> Column:
+    """How ill a box (x, y, w, h) and the bounds of landmarks (x1, y1, x2, y2) fit: the distance of centres and shares of the differences in size."""
+    x, y, w, h = (F.col(box + c) for c in "xywh")
+    x1, y1, x2, y2 = (F.col(landmarks + c) for c in ("x1", "y1", "x2", "y2"))
+    dx, dy = (x1 + x2) * 0.5 - (x + w * 0.5), (y1 + y2) * 0.5 - (y + h * 0.5)
+    return F.sqrt(dx * dx + dy * dy) + F.abs(x2 - x1 - w) * 0.25 + F.abs(y2 - y1 - h) * 0.20
+
+
+#: Images of up to so many different landmark sets are joined with their boxes; others go through the grid. The results are the same.
+FEW_SETS = 64
+#: Widths of grid cells are 2 to the power of these; the last level is one cell.
+LEVELS = range(0, 21)
+SIDES = ("x1", "y1", "x2", "y2")
+
+
 def nearest_landmarks(boxes: DataFrame, landmarks: DataFrame) -> DataFrame:
-    """For each box (image_id, det_id, x, y, w, h), the landmark set (image_id, set_id, x1, y1, x2, y2) of the image that fits best."""
-    both = boxes.join(landmarks, "image_id")
-    dx = (F.col("x1") + F.col("x2")) * 0.5 - (F.col("x") + F.col("w") * 0.5)
-    dy = (F.col("y1") + F.col("y2")) * 0.5 - (F.col("y") + F.col("h") * 0.5)
-    score = F.sqrt(dx * dx + dy * dy) + F.abs(F.col("x2") - F.col("x1") - F.col("w")) * 0.25 + F.abs(F.col("y2") - F.col("y1") - F.col("h")) * 0.20
-    best = F.min(F.struct(score.alias("score"), "set_id"))
-    return both.groupBy("image_id", "det_id").agg(best.alias("b")).select("image_id", "det_id", "b.set_id", "b.score")
+    """For each box (image_id, det_id, x, y, w, h), the landmark set (image_id, set_id, x1, y1, x2, y2) of the image that fits best: of equal
+    ones the lowest set_id. Boxes and sets with nulls don't count; a box of an image without sets has no row.
+
+    Where an image has many sets, they are found by a grid over the four numbers that a fit is made of (centre and weighted size), none of
+    which can differ by more than the fit. First one set of each cell is held against the boxes in it, on all levels of the grid, and one of each cell
+    around them on three: the best is a bound. Then a box looks in the cells within its bound, at most two along each number, on the level
+    whose cells are twice as wide. So a box isn't compared with all sets, whatever their number, unless its best one is about as far off as all others.
+    """
+    boxes = boxes.select("image_id", "det_id", "x", "y", "w", "h").dropna(subset=["image_id", "x", "y", "w", "h"])
+    sets = landmarks.dropna(subset=["image_id", *SIDES]).groupBy("image_id", *SIDES).agg(F.min("set_id").alias("set_id"))
+    crowds = sets.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW_SETS).select("image_id")
+    few, many = sets.join(crowds, "image_id", "left_anti"), sets.join(crowds, "image_id", "left_semi")
+    best = F.min(F.struct(_misfit().alias("score"), "set_id")).alias("b")
+    out = boxes.join(few, "image_id").groupBy("image_id", "det_id").agg(best).union(_by_grid(boxes.join(crowds, "image_id", "left_semi"), many, best))
+    return out.select("image_id", "det_id", "b.set_id", "b.score")
+
+
+def _by_grid(boxes: DataFrame, sets: DataFrame, best: Column) -> DataFrame:
+    numbers = {"a": (F.col("x") + F.col("w") * 0.5), "b": (F.col("y") + F.col("h") * 0.5), "c": F.col("w") * 0.25, "d": F.col("h") * 0.20}
+    of_sets = {"a": (F.col("x1") + F.col("x2")) * 0.5, "b": (F.col("y1") + F.col("y2")) * 0.5, "c": (F.col("x2") - F.col("x1")) * 0.25, "d": (F.col("y2") - F.col("y1")) * 0.20}
+    top, cell = LEVELS[-1], [f"c{n}" for n in numbers]
+
+    def place(v: Column) -> Column:
+        return F.when(F.col("level") == top, F.lit(0)).otherwise(F.floor(v / F.pow(F.lit(2.0), F.col("level")))).cast("long")
+
+    def places(of: dict[str, Column]) -> list[Column]:
+        return [place(v).alias(f"c{n}") for n, v in of.items()]
+
+    levels = F.explode(F.sequence(F.lit(LEVELS[0]), F.lit(top))).alias("level")
+    first = sets.select("image_id", *SIDES, levels).select("*", *places(of_sets)).groupBy("image_id", "level", *cell).agg(F.min(F.struct(*SIDES)).alias("s"))
+    own = boxes.select("*", levels).select("*", *places(numbers)).join(first, ["image_id", "level", *cell])
+    box = ["image_id", "det_id", "x", "y", "w", "h"]
+    bound = own.groupBy(*box).agg(F.min(_misfit("", "s.")).alias("bound"))
+
+    def level(width: Column) -> Column:
+        return F.least(F.lit(top), F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(width)))).cast("int")
+
+    def around(df: DataFrame, radius: Column) -> DataFrame:
+        """df with a row for each cell, of its level, that holds what fits within radius: at most 16 where cells are twice as wide."""
+        gaps = {}
+        for n, v in numbers.items():
+            df = df.withColumn(f"c{n}", F.explode(F.sequence(place(v - radius), place(v + radius))))
+            low = F.col(f"c{n}") * F.pow(F.lit(2.0), F.col("level"))
+            gaps[n] = F.when(F.col("level") == top, F.lit(0.0)).otherwise(F.greatest(low - v, v - low - F.pow(F.lit(2.0), F.col("level")), F.lit(0.0)))
+        return df.where(F.sqrt(gaps["a"] * gaps["a"] + gaps["b"] * gaps["b"]) + gaps["c"] + gaps["d"] <= radius)
+
+    # The bound is tightened by one set of each cell around the box, of cells a fourth, half and all as wide as the bound.
+    finer = bound.withColumn("share", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0))))).withColumn("level", level(F.col("bound") * F.col("share")))
+    finer = around(finer, F.col("bound") * F.col("share") / 2).join(first, ["image_id", "level", *cell]).select(*box, _misfit("", "s.").alias("bound"))
+    bound = bound.union(finer).groupBy(*box).agg(F.min("bound").alias("bound"))
+    # A little more than the bound, for rounding.
+    bound = bound.withColumn("bound", F.col("bound") * (1 + 1e-9) + 1e-6).withColumn("level", level(F.col("bound") * 2))
+    used = bound.groupBy("image_id").agg(F.collect_set("level").alias("levels"))
+    there = sets.join(used, "image_id").select("image_id", *SIDES, "set_id", F.explode("levels").alias("level")).select("*", *places(of_sets))
+    return around(bound, F.col("bound")).join(there, ["image_id", "level", *cell]).groupBy("image_id", "det_id").agg(best)
 
 
 def mask_blend(original: DataFrame, edited: DataFrame, mask: DataFrame) -> DataFrame:

@@ -20,6 +20,15 @@ WIDE = 1 << 26
 EDGE, TIMES_REACH = 256, 3
 
 
+def _nullable(table: pa.Table) -> pa.Table:
+    """The table with nullable fields throughout, also inside structs, as Spark's schemas in text have them."""
+
+    def kind(t: pa.DataType) -> pa.DataType:
+        return pa.struct([pa.field(f.name, kind(f.type)) for f in t]) if pa.types.is_struct(t) else t
+
+    return table.cast(pa.schema([pa.field(f.name, kind(f.type)) for f in table.schema]))
+
+
 def by_tile(cells: DataFrame, reach: int, f: Tiled, by: tuple[str, ...] = ("image_id",)) -> DataFrame:
     """f of each tile of planes (by, y, x, v), as a plane of the same cells.
 
@@ -40,7 +49,7 @@ def by_tile(cells: DataFrame, reach: int, f: Tiled, by: tuple[str, ...] = ("imag
         y0, x0 = (group.column(c)[0].as_py() * edge for c in ("_ty", "_tx"))
         inside = (y >= y0) & (y < y0 + edge) & (x >= x0) & (x < x0 + edge)
         if not inside.any():
-            return group.select([*by, "y", "x", "v"]).slice(0, 0)
+            return _nullable(group.select([*by, "y", "x", "v"]).slice(0, 0))
         # An array as large as what is there; nothing beyond reach of it is read.
         top, left = int(y[inside].min()), int(x[inside].min())
         height, width = int(y[inside].max()) - top + 1, int(x[inside].max()) - left + 1
@@ -49,7 +58,7 @@ def by_tile(cells: DataFrame, reach: int, f: Tiled, by: tuple[str, ...] = ("imag
         read = (row >= 0) & (row < len(values)) & (column >= 0) & (column < values.shape[1])
         values[row[read], column[read]] = group.column("v").to_numpy()[read]
         out = f(values, reach, (top, left))[y[inside] - top, x[inside] - left]
-        kept = group.filter(pa.array(inside)).select([*by, "y", "x"])
+        kept = _nullable(group.filter(pa.array(inside)).select([*by, "y", "x"]))
         return kept.append_column("v", pa.array(out, pa.float64()))
 
     kinds = {n: t for n, t in sent.dtypes}

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from pixelframe.functions import color
 from pixelframe.functions.color import clip
-from pixelframe.operators import catalogue, grid, ledger, pixels
+from pixelframe.operators import catalogue, grid, ledger, masks, pixels
 from pixelframe.sources import files
 from pixelframe.sources.shared import cut, new_path
 
@@ -58,15 +58,43 @@ def grade_global(df: DataFrame, p: dict[str, float], temp_k: float = 6500, tint:
     return df.select(*PLACE, "r", "g", "b")
 
 
-def edit_layer(df: DataFrame, p: dict[str, float]) -> DataFrame:
-    """A layer's own edits, before its mask: blur, exposure, local contrast, saturation, warmth."""
+# By layer, the sigmas of detail and base and the edge strength of its local contrast; "" for other layers.
+CLARITY = {"": (1.6, 6.0, 2.2), "subjects": (1.6, 6.8, 2.3), "background": (2.0, 10.0, 1.8), "face": (1.5, 7.0, 2.6)}
+
+
+def _kinds(p: dict[str, float]) -> list[str]:
+    """The effect masks that a layer's edits need: to mix it in, and for edits that have a mask of their own."""
+    return ["blend"] + ["broad"] * (p.get("blur", 0) > 0) + ["detail"] * (p.get("dehaze", 0) > 0)
+
+
+def _beside(df: DataFrame, f) -> DataFrame:
+    """df with _new_r, _new_g, _new_b, what f (plane to plane) makes of r, g, b."""
+    return df.join(by_channel(df.select(*PLACE, "r", "g", "b"), f).select(*PLACE, *[F.col(c).alias(f"_new_{c}") for c in "rgb"]), PLACE)
+
+
+def _take(df: DataFrame, new) -> DataFrame:
+    """df with new(channel) as its channels, without what _beside has added."""
+    return df.withColumns({c: new(c) for c in "rgb"}).drop("_new_r", "_new_g", "_new_b")
+
+
+def edit_layer(df: DataFrame, p: dict[str, float], layer: str, at) -> DataFrame:
+    """A layer's own edits, before it is mixed in: blur (under its broad mask), exposure, local contrast, saturation, warmth and dehaze (under
+    its detail mask where it is dark). at(kind) is the column of an effect mask; df's other columns are kept."""
     if p.get("blur", 0) > 0:
-        df = by_channel(df, lambda v: grid.gaussian_smooth(v, 1 + p["blur"] / 100 * 12))
+        m = at("broad")
+        df = _take(_beside(df, lambda v: grid.gaussian_smooth(v, 1 + p["blur"] / 100 * 12)), lambda c: clip(F.col(c) * (1 - m) + F.col(f"_new_{c}") * m))
     if p.get("exposure"):
         df = color.exposure(df, p["exposure"])
     if p.get("clarity"):
-        df = by_channel(df, lambda v: grid.local_contrast(v, p["clarity"]))
-    return color.warmth(color.saturation(df, p.get("saturation", 0)), p.get("warmth", 0))
+        df = _take(_beside(df, lambda v: grid.local_contrast(v, p["clarity"], *CLARITY.get(layer, CLARITY[""]))), lambda c: F.col(f"_new_{c}"))
+    df = color.warmth(color.saturation(df, p.get("saturation", 0)), p.get("warmth", 0))
+    if p.get("dehaze", 0) > 0:
+        dark = grid.gaussian_smooth(df.select(*PLACE, clip(1 - color.luma(F.col("r"), F.col("g"), F.col("b")) * 1.15).alias("v")), 2.2)
+        df = _beside(df, lambda v: grid.gaussian_smooth(v, 7.0)).join(dark.select(*PLACE, F.col("v").alias("_dark")), PLACE)
+        m = clip(F.col("_dark") * at("detail"))
+        clear = lambda c: clip(F.col(c) + (F.col(c) - F.col(f"_new_{c}")) * (p["dehaze"] / 100 * 0.85))
+        df = _take(df, lambda c: clip(F.col(c) * (1 - m) + clear(c) * m)).drop("_dark")
+    return df
 
 
 def _masked(df: DataFrame, mask: DataFrame) -> DataFrame:
@@ -78,36 +106,36 @@ def _before(df: DataFrame) -> DataFrame:
 
 
 def grade_masked(df: DataFrame, mask: DataFrame, layer: str, p: dict[str, float]) -> DataFrame:
-    """A layer's edits mixed in under its effect mask. Without neighbours to read, this is one join and one projection."""
-    weight = color.effect_mask(F.col("_m"), layer, "blend")
-    if p.get("blur") or p.get("clarity"):
-        edited = edit_layer(df.select(*PLACE, "r", "g", "b"), p).select(*PLACE, *[F.col(c).alias(f"_e{c}") for c in "rgb"])
-        both = _masked(df, mask).join(edited, PLACE)
-        return both.select(*PLACE, *[clip(F.col(c) * (1 - weight) + F.col(f"_e{c}") * weight).alias(c) for c in "rgb"])
-    both = edit_layer(_before(_masked(df, mask)), p)
-    return both.select(*PLACE, *[clip(F.col(f"_{c}") * (1 - weight) + F.col(c) * weight).alias(c) for c in "rgb"])
+    """A layer's edits mixed in under its effect mask, the smoothed confidence curve of mask (image_id, y, x, v; 0 where it has no cell).
+
+    The pixels go along when masks are smoothed, so they aren't joined again unless an edit reads neighbours.
+    """
+    df = masks.effect_masks(_masked(df, mask), {f"_{k}": ("_m", layer, k) for k in _kinds(p)}, ("r", "g", "b"))
+    df = edit_layer(_before(df), p, layer, lambda kind: F.col(f"_{kind}"))
+    return df.select(*PLACE, *[clip(F.col(f"_{c}") * (1 - F.col("_blend")) + F.col(c) * F.col("_blend")).alias(c) for c in "rgb"])
 
 
-def layer_stack(df: DataFrame, masks: DataFrame, layers: list[dict]) -> DataFrame:
+def layer_stack(df: DataFrame, planes: DataFrame, layers: list[dict]) -> DataFrame:
     """Layers over each other, in order: each {layer, params, opacity (in [0, 1]), mode}.
 
-    The masks (image_id, layer, y, x, v) become columns first, so that all layers take one join.
+    The masks, planes (image_id, layer, y, x, v), become columns first, so that all layers take one join, and all their effect masks one pass of smoothing.
     """
+    layers = [x for x in layers if x.get("opacity", 1.0) > 0]
+    if not layers:
+        return df.select(*PLACE, "r", "g", "b")
     names = list(dict.fromkeys(x["layer"] for x in layers))
-    wide = masks.where(F.col("layer").isin(names)).groupBy(*PLACE).agg(*[F.max(F.when(F.col("layer") == n, F.col("v"))).alias(f"_m_{n}") for n in names])
-    df = df.select(*PLACE, "r", "g", "b").join(wide, PLACE, "left").fillna(0.0, [f"_m_{n}" for n in names])
+    column = {n: f"_m{k}" for k, n in enumerate(names)}
+    wide = planes.where(F.col("layer").isin(names)).groupBy(*PLACE).agg(*[F.max(F.when(F.col("layer") == n, F.col("v"))).alias(column[n]) for n in names])
+    df = df.select(*PLACE, "r", "g", "b").join(wide, PLACE, "left").fillna(0.0, list(column.values()))
+    kinds = {(x["layer"], k) for x in layers for k in [*_kinds(x["params"]), *color.composite_kinds(x["layer"], x.get("mode", "normal"))]}
+    df = masks.effect_masks(df, {f"{column[n]}_{k}": (column[n], n, k) for n, k in sorted(kinds)}, ("r", "g", "b"))
     for x in layers:
-        if x.get("opacity", 1.0) <= 0:
-            continue
-        m = F.col(f"_m_{x['layer']}")
-        own, full = color.effect_mask(m, x["layer"], "blend"), color.composite_mask(m, x["layer"], x.get("mode", "normal"), x.get("opacity", 1.0))
-        if x["params"].get("blur") or x["params"].get("clarity"):
-            edited = edit_layer(df.select(*PLACE, "r", "g", "b"), x["params"]).select(*PLACE, "r", "g", "b")
-            df = df.withColumnsRenamed({c: f"_{c}" for c in "rgb"}).join(edited, PLACE)
-        else:
-            df = edit_layer(_before(df), x["params"])
+        at = lambda kind, m=column[x["layer"]]: F.col(f"{m}_{kind}")
+        mode = x.get("mode", "normal")
+        own, full = at("blend"), color.composite_of(at, x["layer"], mode, x.get("opacity", 1.0))
+        df = edit_layer(_before(df), x["params"], x["layer"], at)
         df = df.withColumns({c: clip(F.col(f"_{c}") * (1 - own) + F.col(c) * own) for c in "rgb"})
-        df = df.withColumns({c: clip(F.col(f"_{c}") * (1 - full) + color.blend(F.col(f"_{c}"), F.col(c), x.get("mode", "normal")) * full) for c in "rgb"}).drop("_r", "_g", "_b")
+        df = df.withColumns({c: clip(F.col(f"_{c}") * (1 - full) + color.blend(F.col(f"_{c}"), F.col(c), mode) * full) for c in "rgb"}).drop("_r", "_g", "_b")
     return df.select(*PLACE, "r", "g", "b")
 
 

@@ -240,7 +240,8 @@ def _wall(spark, sf_dir):
 
 
 # Each line is mirrored at its own ends: the mirrored places are made first, and then joined by equality.
-def _smooth_wall(src: str, out: str, sigma: float, axis: str) -> str:
+def lines_sql(src: str, out: str, sigma: float, axis: str) -> str:
+    """src smoothed along an axis, each line mirrored at its own ends."""
     other, r = "x" if axis == "y" else "y", len(grid.gaussian_kernel(sigma)) // 2
     weights = ", ".join(map(repr, grid.gaussian_kernel(sigma)))
     return f"""{out}_l AS (SELECT image_id, {other}, min({axis}) AS low, list(v ORDER BY {axis}) AS vs FROM {src} GROUP BY ALL),
@@ -248,7 +249,7 @@ def _smooth_wall(src: str, out: str, sigma: float, axis: str) -> str:
 {out} AS (SELECT image_id, {other}, CAST(low + i AS INT) AS {axis}, list_dot_product(ps[CAST(i + 1 AS INT) : CAST(i + {2 * r + 1} AS INT)], [{weights}]) AS v FROM (SELECT *, unnest(range(n)) AS i FROM {out}_p))"""
 
 
-@query(with_("msk", WALL + ", " + _smooth_wall("wall", "a", 20.0, "x") + ", " + _smooth_wall("a", "b", 20.0, "y") + SHOW + "b"))
+@query(with_("msk", WALL + ", " + lines_sql("wall", "a", 20.0, "x") + ", " + lines_sql("a", "b", 20.0, "y") + SHOW + "b"))
 def gaussian_smooth_wide(spark, sf_dir):
     """Sigma 20, 121 weights, over frames of up to 200 x 200."""
     return rounded(grid.gaussian_smooth(_wall(spark, sf_dir), 20.0))
@@ -337,3 +338,58 @@ m AS (SELECT *, CASE WHEN n = 9 THEN floor(t / 13 + 0.5) ELSE v END AS sm FROM s
 def sharpen(spark, sf_dir):
     levels = _plane(spark, sf_dir).select("image_id", "y", "x", F.floor(F.col("v") * 255).alias("v"))
     return grid.sharpen(levels, 2.5)
+
+
+def even_sql(src: str, out: str, sigma: float) -> str:
+    return lines_sql(src, f"{out}_x", sigma, "x") + ", " + lines_sql(f"{out}_x", out, sigma, "y")
+
+
+KINDS = {"broad": ("pow(v, 0.75)", 1.2), "blend": ("pow(v, 0.95)", 1.0), "detail": (f"pow({clip_sql('(v - 0.06) / 0.94')}, 1.4)", 0.8), "strict": (f"pow({clip_sql('(v - 0.12) / 0.88')}, 1.9)", 0.7)}
+
+
+@query(with_("msk", ", ".join(f"{k}_c AS (SELECT image_id, y, x, {curve} AS v FROM msk), {smooth_sql(f'{k}_c', k, sigma)}" for k, (curve, sigma) in KINDS.items())
+    + " SELECT image_id, y, x, " + ", ".join(f"round({clip_sql(f'{k}.v')}, 9) AS {k}" for k in KINDS) + " FROM broad JOIN blend USING (image_id, y, x) JOIN detail USING (image_id, y, x) JOIN strict USING (image_id, y, x)"))
+def effect_masks(spark, sf_dir):
+    """The four smoothed masks of a layer of persons."""
+    return rounded(m.effect_masks(_plane(spark, sf_dir), {k: ("v", "subjects", k) for k in ("broad", "blend", "detail", "strict")}))
+
+
+CROWD = "cr AS (SELECT image_id // 6000 AS image_id, image_id * 8 + det_id AS det_id, x, y, w, h FROM dt)"
+
+
+def _crowd(spark, sf_dir):
+    """All boxes of 6,000 images in one."""
+    d = dt(spark, sf_dir)
+    return d.select(F.floor(F.col("image_id") / 6000).alias("image_id"), (F.col("image_id") * 8 + F.col("det_id")).alias("det_id"), "x", "y", "w", "h")
+
+
+@query(with_("dt", CROWD + """, l AS (SELECT image_id, det_id AS set_id, x * 0.5 + 31 AS x1, y - 2 AS y1, x * 0.5 + w + 30 AS x2, y + h + 1 AS y2 FROM cr WHERE det_id % 8 < 4),
+s AS (SELECT b.image_id, b.det_id, set_id, sqrt(((x1 + x2) * 0.5 - (x + w * 0.5)) * ((x1 + x2) * 0.5 - (x + w * 0.5)) + ((y1 + y2) * 0.5 - (y + h * 0.5)) * ((y1 + y2) * 0.5 - (y + h * 0.5))) + abs(x2 - x1 - w) * 0.25 + abs(y2 - y1 - h) * 0.20 AS score FROM cr b JOIN l USING (image_id))
+SELECT image_id, det_id, least_set.set_id AS set_id, round(least_set.score, 9) AS score FROM (SELECT image_id, det_id, min({'score': score, 'set_id': set_id}) AS least_set FROM s GROUP BY ALL)"""))
+def nearest_landmarks_crowd(spark, sf_dir):
+    """Thousands of boxes and sets an image: those of the first three boxes of each of its images."""
+    d = _crowd(spark, sf_dir)
+    x, y, w, h = (F.col(c) for c in "xywh")
+    sets = d.where("det_id % 8 < 4").select("image_id", F.col("det_id").alias("set_id"), (x * 0.5 + 31).alias("x1"), (y - 2).alias("y1"), (x * 0.5 + w + 30).alias("x2"), (y + h + 1).alias("y2"))
+    return rounded(m.nearest_landmarks(d, sets))
+
+
+PARTS = (("0.5", "2.05", "1.35", "2.75", 0.55), ("0.5", "1.28", "1.55", "0.88", 0.75), ("0.5", "1.85", "1.18", "1.75", 0.85))
+
+
+def _inside_sql(a: str, b: str, c: str, d: str, weight: float) -> str:
+    off = lambda at, centre, radius: f"pow(({at} - round_even({centre}, 0)) / greatest(1, round_even({radius}, 0)), 2)"
+    return f"CASE WHEN {off('f.x', f'b.x + b.w * {a}', f'b.w * {c}')} + {off('f.y', f'b.y + b.h * {b}', f'b.h * {d}')} <= 1 THEN {weight} ELSE 0 END"
+
+
+@query(with_("dt msk", f"""b AS (SELECT image_id // 120 AS image_id, x / 10 AS x, y / 10 AS y, w / 40 AS w, h / 60 AS h FROM dt WHERE image_id // 120 % 2 = 0),
+ids AS (SELECT image_id, max(face) AS face FROM (SELECT image_id, 0 AS face FROM msk UNION ALL SELECT image_id, 1 FROM b) GROUP BY image_id),
+f AS (SELECT image_id, face, CAST(j AS INT) AS y, CAST(i AS INT) AS x FROM ids, range(12) r(j), range(16) q(i)),
+bd AS (SELECT image_id, f.y, f.x, max(least({' + '.join(_inside_sql(*p) for p in PARTS)}, 1)) AS body FROM f JOIN b USING (image_id) GROUP BY ALL),
+s0 AS (SELECT f.image_id, f.y, f.x, greatest(coalesce(body, 0), coalesce(v, 0) * CASE layer_id WHEN 0 THEN 1.0 WHEN 1 THEN 0.95 ELSE 0.55 END * CASE face WHEN 1 THEN 1.0 ELSE 0.85 END, 0) AS v FROM f LEFT JOIN bd USING (image_id, y, x) LEFT JOIN msk k ON k.image_id = f.image_id AND k.y = f.y AND k.x = f.x),
+{even_sql('s0', 's1', 2.0)}, s2 AS (SELECT image_id, y, x, 1 - v AS v FROM s1), {even_sql('s2', 's3', 2.0)} SELECT image_id, y, x, round(1 - v, 9) AS subject, round(v, 9) AS background FROM s3"""))
+def scene_masks(spark, sf_dir):
+    """Small bodies of the faces of 120 orders in one frame of 12 x 16, every other frame having none, and feature masks in its corner."""
+    d = dt(spark, sf_dir).withColumn("image_id", F.floor(F.col("image_id") / 120)).where("image_id % 2 = 0")
+    boxes = d.select("image_id", *[(F.col(c) / k).alias(c) for c, k in (("x", 10), ("y", 10), ("w", 40), ("h", 60))])
+    return rounded(m.scene_masks(_layered(spark, sf_dir), boxes, 16, 12))
