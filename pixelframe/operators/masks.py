@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from pixelframe.functions import color
 from pixelframe.functions.color import clip
 from pixelframe.operators import grid
+from pixelframe.sources.shared import cut
 
 # The classes of each region, the zones of a face box (centre and radii in box units), and weights of features.
 REGIONS = {"face": tuple(range(1, 14)), "skin": (1,), "brows": (2, 3), "eyes": (4, 5), "lips": (11, 12, 13), "hair": (17,)}
@@ -244,8 +245,9 @@ def nearest_landmarks(boxes: DataFrame, landmarks: DataFrame) -> DataFrame:
 
     Where an image has many sets, they are found by a grid over the four numbers that a fit is made of (centre and weighted size), none of
     which can differ by more than the fit. First one set of each cell is held against the boxes in it, on all levels of the grid, and one of each cell
-    around them on three: the best is a bound. Then a box looks in the cells within its bound, at most two along each number, on the level
-    whose cells are twice as wide. So a box isn't compared with all sets, whatever their number, unless its best one is about as far off as all others.
+    around them on three: the best is a bound. Then a box is held against the sets whose centre is in a cell within its bound, on the level whose
+    cells are a fourth to half as wide (at most 81, less those beyond a circle). So a box isn't compared with all sets, whatever their number,
+    unless its best one is about as far off as all others, or their centres are all in one place.
     """
     boxes = boxes.select("image_id", "det_id", "x", "y", "w", "h").dropna(subset=["image_id", "x", "y", "w", "h"])
     sets = landmarks.dropna(subset=["image_id", *SIDES]).groupBy("image_id", *SIDES).agg(F.min("set_id").alias("set_id"))
@@ -276,10 +278,11 @@ def _by_grid(boxes: DataFrame, sets: DataFrame, best: Column) -> DataFrame:
     def level(width: Column) -> Column:
         return F.least(F.lit(top), F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(width)))).cast("int")
 
-    def around(df: DataFrame, radius: Column) -> DataFrame:
-        """df with a row for each cell, of its level, that holds what fits within radius: at most 16 where cells are twice as wide."""
-        gaps = {}
-        for n, v in numbers.items():
+    def around(df: DataFrame, radius: Column, along: str) -> DataFrame:
+        """df with a row for each cell, of its level and of the numbers along, that may hold what fits within radius."""
+        gaps = dict.fromkeys(numbers, F.lit(0.0))
+        for n in along:
+            v = numbers[n]
             df = df.withColumn(f"c{n}", F.explode(F.sequence(place(v - radius), place(v + radius))))
             low = F.col(f"c{n}") * F.pow(F.lit(2.0), F.col("level"))
             gaps[n] = F.when(F.col("level") == top, F.lit(0.0)).otherwise(F.greatest(low - v, v - low - F.pow(F.lit(2.0), F.col("level")), F.lit(0.0)))
@@ -287,13 +290,15 @@ def _by_grid(boxes: DataFrame, sets: DataFrame, best: Column) -> DataFrame:
 
     # The bound is tightened by one set of each cell around the box, of cells a fourth, half and all as wide as the bound.
     finer = bound.withColumn("share", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0))))).withColumn("level", level(F.col("bound") * F.col("share")))
-    finer = around(finer, F.col("bound") * F.col("share") / 2).join(first, ["image_id", "level", *cell]).select(*box, _misfit("", "s.").alias("bound"))
+    finer = around(finer, F.col("bound") * F.col("share") / 2, "abcd").join(first, ["image_id", "level", *cell]).select(*box, _misfit("", "s.").alias("bound"))
     bound = bound.union(finer).groupBy(*box).agg(F.min("bound").alias("bound"))
     # A little more than the bound, for rounding.
-    bound = bound.withColumn("bound", F.col("bound") * (1 + 1e-9) + 1e-6).withColumn("level", level(F.col("bound") * 2))
+    bound = bound.withColumn("bound", F.col("bound") * (1 + 1e-9) + 1e-6).withColumn("level", level(F.col("bound") / 4))
+    bound = cut(bound)
     used = bound.groupBy("image_id").agg(F.collect_set("level").alias("levels"))
-    there = sets.join(used, "image_id").select("image_id", *SIDES, "set_id", F.explode("levels").alias("level")).select("*", *places(of_sets))
-    return around(bound, F.col("bound")).join(there, ["image_id", "level", *cell]).groupBy("image_id", "det_id").agg(best)
+    there = sets.join(used, "image_id").select("image_id", *SIDES, "set_id", F.explode("levels").alias("level")).select("*", *places(of_sets)[:2])
+    close = around(bound, F.col("bound"), "ab").join(there, ["image_id", "level", "ca", "cb"]).where(_misfit() <= F.col("bound"))
+    return close.groupBy("image_id", "det_id").agg(best)
 
 
 def mask_blend(original: DataFrame, edited: DataFrame, mask: DataFrame) -> DataFrame:
