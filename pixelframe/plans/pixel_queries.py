@@ -473,3 +473,14 @@ def flagship(spark, sf_dir):
     joined = p.clip_fractions(pix).join(p.gray_world(pix), "image_id")
     kelvin, tint_ = color.kelvin_tint_of(F.col("gain_r"), F.col("gain_g"), F.col("gain_b"))
     return joined.withColumn("temp_k", kelvin).withColumn("tint", tint_)
+
+
+@query(with_("px", DIMS + """, f AS (SELECT image_id, CAST(j AS INT) AS y, CAST(i AS INT) AS x FROM (SELECT image_id, height, unnest(range(width)) AS i FROM dims), LATERAL (SELECT unnest(range(height)) AS j))
+SELECT image_id, f.y, f.x, """ + ", ".join(f"round(coalesce(floor({clip_sql(c)} * 255), 0) / 255, 9) AS {c}" for c in "rgb") + " FROM f LEFT JOIN px USING (image_id, y, x)"))
+def image_pixels(spark, sf_dir):
+    """All images written as PNG files in the shared folder, listed, and decoded again."""
+    folder = new_path(spark, "images")
+    written = files.write_png(px(spark, sf_dir), folder)
+    listed = files.list_images(spark, folder).select(F.col("path").alias("image_id"), F.regexp_extract("path", r"([^/]+)\.png$", 1).alias("name"))
+    pixels = files.read_pixels(spark, folder).join(listed, "image_id").join(written.select("name"), "name")
+    return rounded(pixels.select(F.col("name").cast("long").alias("image_id"), "y", "x", "r", "g", "b"))

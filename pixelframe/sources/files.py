@@ -5,15 +5,21 @@ from __future__ import annotations
 import base64
 import json
 import re
+import struct
+import uuid
 import zlib
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from pixelframe.functions.color import quantize
+from pixelframe.sources.shared import cut
+
 # The supported extensions of image files (raw formats, then others), and the fields of ledger and job records.
 IMAGE_EXTENSIONS = ("raw", "dng", "cr2", "nef", "arw", "jpg", "jpeg", "png", "tif", "tiff", "bmp")
 LEDGER_FIELDS = ("batch_key", "error", "job_id", "job_mode", "output_format", "output_path", "preset_hash", "preset_name", "reason", "source_path", "status", "suffix", "ts")
@@ -72,6 +78,44 @@ def read_pixels(spark: SparkSession, places: str | list[str]) -> DataFrame:
     return images.mapInArrow(unpack, "image_id string, y int, x int, r double, g double, b double")
 
 
+def _png(levels: np.ndarray) -> bytes:
+    """A file of 8-bit RGB rows (height, width, 3)."""
+    chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
+    height, width = levels.shape[:2]
+    rows = np.zeros((height, 1 + 3 * width), np.uint8)  # each row begins with its filter: none
+    rows[:, 1:] = levels.reshape(height, -1)
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
+
+
+def write_png(pixels: DataFrame, folder: str, name: Column | None = None) -> DataFrame:
+    """Write the images of pixels (image_id, y, x, r, g, b in [0, 1]) as PNG files of a folder that all executors reach; name is the file's, without its
+    extension (image_id, unless given). Returns name, path, height, width of each.
+
+    Pixels that aren't there, and null channels, are black. An image is encoded in one task, its pixels cut to 8 bits before they are sent there.
+    A file is written whole under a name that isn't an image's and then moved, so a task that is repeated leaves the same file.
+    """
+    uri = re.sub("^file:/+", "file:///", folder)
+    levels = [F.coalesce(quantize(F.col(c)), F.lit(0)).cast("int").alias(c) for c in "rgb"]
+    cells = pixels.select((F.col("image_id") if name is None else name).cast("string").alias("name"), F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), *levels)
+
+    def run(key: tuple, image: pa.Table) -> pa.Table:
+        y, x = (image.column(c).to_numpy() for c in "yx")
+        frame = np.zeros((int(y.max()) + 1, int(x.max()) + 1, 3), np.uint8)
+        for k, c in enumerate("rgb"):
+            frame[y, x, k] = image.column(c).to_numpy()
+        out, base = pafs.FileSystem.from_uri(uri)
+        out.create_dir(base, recursive=True)
+        file = key[0].as_py() + ".png"
+        waiting = f"{base}/.{file}.{uuid.uuid4().hex}"
+        with out.open_output_stream(waiting) as stream:
+            stream.write(_png(frame))
+        out.move(waiting, f"{base}/{file}")
+        return pa.table({"name": [key[0].as_py()], "path": [f"{folder}/{file}"], "height": pa.array([frame.shape[0]], pa.int32()), "width": pa.array([frame.shape[1]], pa.int32())})
+
+    return cut(cells.where("name IS NOT NULL AND y >= 0 AND x >= 0").groupBy("name").applyInArrow(run, "name string, path string, height int, width int"))
+
+
 def scan_presets(spark: SparkSession, folder: str) -> DataFrame:
     """path and preset (PRESET) of each file; one that is no JSON object becomes an empty preset."""
     return presets_of(spark.read.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")).drop("value")

@@ -172,3 +172,20 @@ def test_histogram_counts_every_pixel(spark, folder):
 def test_identities_return_their_input(spark):
     df = spark.range(1)
     assert color.saturation(df, 0) is df and color.apply_gains(df, (1, 1, 1)) is df and color.apply_curve(df, [(0, 0), (1, 1)]) is df
+
+
+def test_written_images_are_read_back(spark, tmp_path):
+    rows = [("a b", 0, 0, 1.0, 0.5, 0.0), ("a b", 1, 2, 0.2, None, 2.0), ("c+1", 0, 0, 0.0, 1.0, 0.0), (None, 0, 0, 1.0, 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "image_id string, y int, x int, r double, g double, b double")
+    for _ in range(2):  # writing again leaves the same files
+        written = files.write_png(df, str(tmp_path / "out"))
+    assert sorted((r.name, r.height, r.width) for r in written.collect()) == [("a b", 2, 3), ("c+1", 1, 1)]
+    assert sorted(f.name for f in (tmp_path / "out").iterdir() if not f.name.startswith(".")) == ["a b.png", "c+1.png"]
+    got = {(r.image_id.rsplit("/", 1)[1], r.y, r.x): tuple(round(v * 255) for v in (r.r, r.g, r.b)) for r in files.read_pixels(spark, str(tmp_path / "out")).collect()}
+    assert len(got) == 7 and got["a b.png", 0, 0] == (255, 127, 0) and got["a b.png", 1, 2] == (51, 0, 255) and got["a b.png", 0, 1] == (0, 0, 0) and got["c+1.png", 0, 0] == (0, 255, 0)
+
+
+def test_wide_filters_of_channels(spark):
+    df = spark.range(900).select(F.concat(F.lit("i"), F.lit("1")).alias("image_id"), (F.col("id") / 30).cast("int").alias("y"), (F.col("id") % 30).cast("int").alias("x"), *[F.lit(0.5).alias(c) for c in "rgb"])
+    out = grade.by_channel(df, lambda v: grid.gaussian_smooth(v, 8.0)).collect()
+    assert len(out) == 900 and all(abs(v - 0.5) < 1e-9 for r in out for v in (r.r, r.g, r.b))

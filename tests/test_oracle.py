@@ -10,7 +10,7 @@ from pixelframe.plans import queries as plans
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 # Those of one module each that are quick; the driver compares all of them.
-SOME = ["histogram", "clip_fractions", "white_patch", "wb_gains", "band_tone", "curve_lut", "saturation", "crop_pixels", "lut3d_trilinear", "pending_work", "job_status", "batch_summary", "preset_params_long", "layer_order", "active_layers", "mask_stats", "class_probs", "rank_detections", "nearest_landmarks", "gaussian_smooth", "dilate", "proxy_downsample", "mask_resize", "grade_masked", "ledger_scan", "job_scan", "lut_catalog", "mask_archive", "apply_presets", "gaussian_weight", "merge_views", "rgb_hsv8", "rgb_lab8", "layer_stack", "label_mask", "grade_global", "gaussian_smooth_wide", "dilate_wide", "connected_components", "open_close", "stream_jobs", "stream_new_images", "tint", "effect_masks", "nearest_landmarks_crowd", "scene_masks", "grade_background"]
+SOME = ["histogram", "clip_fractions", "white_patch", "wb_gains", "band_tone", "curve_lut", "saturation", "crop_pixels", "lut3d_trilinear", "pending_work", "job_status", "batch_summary", "preset_params_long", "layer_order", "active_layers", "mask_stats", "class_probs", "rank_detections", "nearest_landmarks", "gaussian_smooth", "dilate", "proxy_downsample", "mask_resize", "grade_masked", "ledger_scan", "job_scan", "lut_catalog", "mask_archive", "apply_presets", "gaussian_weight", "merge_views", "rgb_hsv8", "rgb_lab8", "layer_stack", "label_mask", "grade_global", "gaussian_smooth_wide", "dilate_wide", "connected_components", "open_close", "stream_jobs", "stream_new_images", "tint", "effect_masks", "nearest_landmarks_crowd", "scene_masks", "grade_background", "image_pixels"]
 
 
 @pytest.fixture(scope="module")
