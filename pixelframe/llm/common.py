@@ -11,8 +11,8 @@ from pixelframe.sources.shared import cut, drop_cut  # noqa: F401
 
 #: Rows in one Arrow batch to Python. Documents can be long, so the engine's default of 10,000 is too many.
 ARROW_ROWS = 256
-#: Rows that may be broadcast.
-BROADCAST_ROWS = 250_000
+#: Rows, and bytes of these rows as text, that may be broadcast.
+BROADCAST_ROWS, BROADCAST_BYTES = 250_000, 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,8 +35,10 @@ def spare_name(df: DataFrame, name: str) -> str:
 
 
 def small(df: DataFrame) -> DataFrame:
-    """df, to be broadcast if it has no more than BROADCAST_ROWS rows; joined by a shuffle otherwise."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    """df, to be broadcast if it has no more than BROADCAST_ROWS rows and BROADCAST_BYTES bytes; joined by a shuffle otherwise."""
+    width = F.octet_length(F.struct("*").cast("string")).cast("long")
+    n, held = df.limit(BROADCAST_ROWS + 1).select(width.alias("width")).agg(F.count(F.lit(1)), F.coalesce(F.sum("width"), F.lit(0))).first()
+    return F.broadcast(df) if n <= BROADCAST_ROWS and held <= BROADCAST_BYTES else df
 
 
 def sharing(rows: DataFrame, key: str, groups: Callable[[DataFrame], DataFrame]) -> DataFrame:

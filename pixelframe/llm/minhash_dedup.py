@@ -20,9 +20,11 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, sharing, small, small_batches, smallest_labels, spare_name
+from pixelframe.llm.common import cut, small, small_batches, smallest_labels, spare_name
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
+#: Nodes of a family that one task holds against the centre; larger families are dealt in parts.
+PART = 4096
 ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 
 
@@ -114,13 +116,19 @@ def _sets(p: NearDup):
     return sets
 
 
+def _meeting(rows: DataFrame, key: str, *about: Column) -> DataFrame:
+    """rows whose key several share, with about, what is to be known of these. Keys are counted before the shuffle and written, so that
+    rows meet a list: a small one is broadcast, and beside a longer one Spark may split the rows of a hot key."""
+    several = cut(rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"), *about).where("_n > 1"))
+    return rows.join(small(several), key)
+
+
 def _families(banded: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(bucket, node) of the buckets with several nodes, and (node, family, score): nodes that meet, directly or by others,
     are one family; score: how often a node meets others."""
-    several = lambda rows: rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("hub")).where("n > 1")
-    members = cut(sharing(banded, "bucket", several))
+    members = cut(_meeting(banded, "bucket", F.min("node").alias("hub")))
     families = smallest_labels(members.select(F.col("hub").alias("a"), F.col("node").alias("b"))).toDF("node", "family")
-    scores = members.groupBy("node").agg(F.sum("n").alias("score"))
+    scores = members.groupBy("node").agg(F.sum("_n").alias("score"))
     return members.select("bucket", "node"), families.join(scores, "node")
 
 
@@ -131,11 +139,15 @@ def _similar(total: Column, apart: Column, p: NearDup) -> Column:
 
 def _compared(active: DataFrame, p: NearDup) -> DataFrame:
     """active (node, family, size, score, shingles) as node, family, size, centre, centre_size, apart, linked: the elements
-    that a node or its family's centre has alone, and whether the two are similar."""
-    centre = active.groupBy("family").agg(F.max(F.struct("score", "node")).alias("top")).select("top.node")
-    centres = active.join(centre, "node").select("family", F.col("node").alias("centre"), F.col("size").alias("centre_size"), F.col("shingles").alias("_c"))
+    that a node or its family's centre has alone, and whether the two are similar. A family of more than PART nodes is dealt in
+    parts, and its centre goes to each."""
+    top = active.groupBy("family").agg(F.max(F.struct("score", "node")).alias("top"), F.ceil(F.count(F.lit(1)) / PART).cast("int").alias("parts"))
+    top = cut(top.select("top.node", "family", "parts"))
+    centres = active.drop("family").join(top, "node").select("family", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("centre"), F.col("size").alias("centre_size"), F.col("shingles").alias("_c"))
     apart = F.concat(F.array_except("shingles", "_c"), F.array_except("_c", "shingles"))
-    out = active.join(centres, "family").select("node", "family", "size", "centre", "centre_size", apart.alias("apart"))
+    parted = active.join(small(top.where("parts > 1").select("family", "parts")), "family", "left")
+    parted = parted.withColumn("part", F.coalesce(F.pmod(F.xxhash64("node"), "parts"), F.lit(0)).cast("int"))
+    out = parted.join(centres, ["family", "part"]).select("node", "family", "size", "centre", "centre_size", apart.alias("apart"))
     return out.withColumn("linked", _similar(F.col("size") + F.col("centre_size"), F.size("apart"), p))
 
 
@@ -154,7 +166,7 @@ def _rarest(nodes: DataFrame, p: NearDup) -> DataFrame:
     least = F.greatest(F.lit(1), F.ceil(F.greatest(least, d - share * size * (1 + 100 / p.similarity_pct)) - 1e-6)).cast("int")
     each = nodes.where(d > 0).select("node", "linked", "size", d.alias("d"), (d - least + 1).alias("first"), F.col("family"), F.explode("apart").alias("element"))
     each = each.select("node", "linked", "size", "d", "first", F.xxhash64("family", "element").alias("key"))
-    shared = sharing(each, "key", lambda rows: rows.groupBy("key").agg(F.count(F.lit(1)).alias("k")).where("k > 1"))
+    shared = _meeting(each, "key").withColumnRenamed("_n", "k")
     ranked = shared.groupBy("node", "linked", "size", "d", "first").agg(F.array_sort(F.collect_list(F.struct("k", "key"))).alias("keys"))
     # Elements of one node alone are the rarest, and come before.
     alone = F.col("d") - F.size("keys")

@@ -10,7 +10,7 @@ import tracemalloc
 import pytest
 from pyspark.sql import functions as F
 
-from pixelframe.llm import decontaminate, html_extract, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, token_counts
+from pixelframe.llm import common, decontaminate, html_extract, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, token_counts
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -528,8 +528,8 @@ def test_pipeline_drops_copies_with_a_tail(spark):
     assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4]
 
 
-def test_large_group_of_near_copies(spark):
-    """Families whose nodes are linked to the centre, to each other, or to none, against all pairs."""
+def test_large_group_of_near_copies(spark, monkeypatch):
+    """Families whose nodes are linked to the centre, to each other, or to none, against all pairs; in one part and in several."""
     r, data = random.Random(11), []
     for base in range(3):
         words = [f"b{base}-{k}" for k in range(40 + 60 * base)]
@@ -550,6 +550,20 @@ def test_large_group_of_near_copies(spark):
         assert len(set(group)) > 30 and max(map(group.count, set(group))) > 20
         got = minhash_dedup.find_near_duplicates(spark.createDataFrame(data, SCHEMA), p)
         assert dict(rows(got, "doc_id", "component_id")) == dict(enumerate(group))
+        monkeypatch.setattr(minhash_dedup, "PART", 16)
+
+
+def test_broadcasts_are_bounded(spark, monkeypatch):
+    def sent(df):
+        joined = spark.range(9).join(common.small(df), "id")
+        return "ResolvedHint (strategy=broadcast)" in joined._jdf.queryExecution().analyzed().toString()
+
+    rows_of = spark.range(50).select("id", F.repeat(F.lit("x"), 1000).alias("text"), F.array(F.lit(1)).alias("list"))
+    assert sent(rows_of) and sent(rows_of.limit(0))
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 40_000)
+    assert not sent(rows_of) and sent(rows_of.where("id < 30"))
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 20)
+    assert not sent(rows_of.where("id < 30"))
 
 
 def test_recall_at_the_threshold(spark):
