@@ -22,16 +22,22 @@ WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 # Public licence notices.
 TEMPLATES = {
+    "AGPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "CC-BY-4.0": "Licensed under CC BY 4.0",
     "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
     "CC-BY-SA-4.0": "Licensed under CC BY-SA 4.0",
     "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
     "GPL-3.0-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-2.1-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
     "MIT": "Released under the MIT License",
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
 }
 
 
@@ -96,7 +102,8 @@ class LicenseFinder:
                 self.holding[x].append(k)
 
     def find(self, text: str | None) -> list[tuple[str, int, int, int]]:
-        """(template, first word, last word + 1, matched words) of each notice, the best templates first where they overlap.
+        """(template, first word, last word + 1, matched words) of each notice; where they overlap, the one with most matched words, then
+        that of the shorter template: a notice isn't taken for a longer one of a like licence.
 
         A template is looked for in the stretches of text around its rarest word there: enough words on
         both sides for the whole template at the allowed spread.
@@ -132,7 +139,8 @@ class LicenseFinder:
                     end = low + matched[-1][1] + 1
                     found.append((name, low + matched[0][1], end, len(matched)))
         out: list[tuple[str, int, int, int]] = []
-        for x in sorted(found, key=lambda x: (-x[3], x[1], x[0])):
+        size = {name: len(w) for name, w in self.templates}
+        for x in sorted(found, key=lambda x: (-x[3], size[x[0]], x[1], x[0])):
             if all(x[2] <= y[1] or x[1] >= y[2] for y in out):
                 out.append(x)
         return sorted(out, key=lambda x: x[1])
@@ -145,7 +153,7 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, rules:
     """doc_id and licenses (template, start and end in words, end exclusive, matched words), per row of docs.
 
     Null and empty texts have none; notices don't overlap, the one with more matched words wins, then the
-    earlier, then the first by name. Repeated rows are scanned each; other columns aren't read. The
+    shorter template, the earlier, the first by name. Repeated rows are scanned each; other columns aren't read. The
     templates are a fixed list, sent with the code.
     """
     small_batches(docs.sparkSession)
