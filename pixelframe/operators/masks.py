@@ -312,11 +312,12 @@ def mask_blend(original: DataFrame, edited: DataFrame, mask: DataFrame) -> DataF
 def merge_views(full: DataFrame, part: DataFrame, offset: tuple[int, int], weights: DataFrame) -> DataFrame:
     """A mask found in a part of the frame, moved by offset (x, y), mixed into the frame's: weights (image_id, y, x, weight) up to 0.9.
 
-    Where the part has no cell the frame's stays; where the frame has none, it is 0.
+    Where the part has no cell the frame's stays; where the frame has none, it is 0. Weights are as many as cells, and often made from a short
+    list of images, by whose size they would be broadcast: they are sorted and merged.
     """
     cells = ["image_id", "y", "x"]
     moved = part.select("image_id", (F.col("y") + offset[1]).alias("y"), (F.col("x") + offset[0]).alias("x"), F.col("v").alias("part"))
-    both = full.select(*cells, F.col("v").alias("full")).join(moved, cells, "full").join(weights, cells, "left")
+    both = full.select(*cells, F.col("v").alias("full")).join(moved, cells, "full").join(weights.hint("merge"), cells, "left")
     f = clip(F.coalesce("full", F.lit(0.0)))
     w = clip(F.coalesce("weight", F.lit(0.0)), 0.0, 0.9)
     return both.select(*cells, F.when(F.col("part").isNull(), f).otherwise(clip(f * (1 - w) + clip(F.col("part")) * w)).alias("v"))

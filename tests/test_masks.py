@@ -100,3 +100,17 @@ def test_background_layer_equals_plain_loops(spark):
         assert (r.r, r.g, r.b) == pytest.approx(tuple(want[r.y, r.x]), abs=1e-9)
     stack = grade.layer_stack(df, m.withColumn("layer", F.lit("background")), [{"layer": "background", "params": {"dehaze": 80}, "opacity": 0.0}])
     assert {(r.y, r.x): r.r for r in stack.collect()} == {(y, x): float(rgb[y, x, 0]) for y in range(height) for x in range(width)}
+
+
+def _plan(df):
+    """The plan as it is before it runs, with all that is small broadcast."""
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_weights_made_from_images_are_not_broadcast(spark):
+    full = spark.createDataFrame([(i, y, x, 0.1 * y) for i in (1, 2) for y in range(4) for x in range(4)], "image_id long, y int, x int, v double")
+    cells = full.select("image_id").distinct().withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(5)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(5))))
+    out = masks.merge_views(full, full.where("y < 3"), (1, 1), cells.withColumn("weight", F.lit(0.5)))
+    assert "Broadcast" not in _plan(out)
+    got = {(r.y, r.x): r.v for r in out.where("image_id = 2").collect()}
+    assert len(got) == 4 * 4 + 3 and got[0, 0] == 0.0 and got[2, 2] == pytest.approx(0.2 * 0.5 + 0.1 * 0.5) and got[3, 4] == pytest.approx(0.2 * 0.5)
