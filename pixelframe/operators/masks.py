@@ -75,26 +75,44 @@ def label_mask(labels: DataFrame, by: tuple[str, ...] = ("image_id",)) -> DataFr
 
 
 def instance_mask(predictions: DataFrame, prototypes: DataFrame, mask_size: tuple[int, int], input_size: tuple[int, int], least: float = 0.20) -> DataFrame:
-    """image_id, y, x, v from predictions (image_id, pred_id, cx, cy, w, h, scores, coeffs) and prototypes (image_id, proto_id, y, x, v).
+    """image_id, y, x, v from predictions (image_id, pred_id, cx, cy, w, h, scores, coeffs) and prototypes (image_id, proto_id, y, x, v, or
+    one row a cell: image_id, y, x, p0, p1, ..., with null for a missing row).
 
     Predictions with a class score above least count, or else the best one. Each one's mask is the sigmoid
-    of its prototypes' sum, inside its box, times its score; cells take the maximum.
+    of its prototypes' sum, inside its box, times its score; cells take the maximum. The predictions that count are packed, a row
+    an image, and hashed; each cell then has its value in place, so neither cells of one row nor pairs of predictions and cells are shuffled.
     """
     mh, mw = mask_size
-    ranked = predictions.withColumn("score", F.array_max("scores"))
-    w = Window.partitionBy("image_id")
-    best = F.row_number().over(w.orderBy(F.desc("score"), "pred_id"))
-    kept = ranked.withColumn("k", best).where((F.col("score") > least) | (F.col("k") == 1)).withColumn("any", F.max("score").over(w)).where((F.col("any") <= least) | (F.col("score") > least))
     sx, sy = mw / max(float(input_size[1]), 1.0), mh / max(float(input_size[0]), 1.0)
     x1 = clip((F.col("cx") - F.col("w") * 0.5) * sx, 0.0, mw - 1.0)
     y1 = clip((F.col("cy") - F.col("h") * 0.5) * sy, 0.0, mh - 1.0)
     x2 = F.least(F.greatest((F.col("cx") + F.col("w") * 0.5) * sx, x1 + 1), F.lit(float(mw)))
     y2 = F.least(F.greatest((F.col("cy") + F.col("h") * 0.5) * sy, y1 + 1), F.lit(float(mh)))
-    kept = kept.select("image_id", "pred_id", "score", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), F.posexplode("coeffs").alias("proto_id", "coeff"))
-    logits = kept.join(prototypes, ["image_id", "proto_id"]).groupBy("image_id", "pred_id", "score", "x1", "y1", "x2", "y2", "y", "x").agg(F.sum(F.col("coeff") * F.col("v")).alias("z"))
-    inside = (F.col("x") >= F.col("x1")) & (F.col("x") < F.col("x2")) & (F.col("y") >= F.col("y1")) & (F.col("y") < F.col("y2"))
-    v = F.when(inside, clip(1 / (1 + F.exp(-F.col("z"))) * clip(F.col("score")))).otherwise(F.lit(0.0))
-    return logits.groupBy("image_id", "y", "x").agg(F.max(v).alias("v"))
+    score = F.array_max("scores")
+    one = F.struct((-score).alias("less"), "pred_id", x1.alias("x1"), y1.alias("y1"), x2.alias("x2"), y2.alias("y2"), "coeffs", F.size("coeffs").alias("n"), clip(score).alias("share"))
+    packed = predictions.groupBy("image_id").agg(F.collect_list(one).alias("all"))
+    over, best = F.filter("all", lambda p: -p.less > least), F.array_min(F.filter("all", lambda p: p.less.isNotNull()))
+    packed = packed.select("image_id", F.when(F.size(over) > 0, over).otherwise(F.array_compact(F.array(best))).alias("kept"))
+    if "proto_id" in prototypes.columns:
+        own = F.struct(F.col("proto_id").alias("i"), F.col("v").alias("v"))
+        cells = prototypes.where("proto_id >= 0").groupBy("image_id", "y", "x").agg(F.collect_list(own).alias("protos")).withColumn("first", F.array_min(F.transform("protos", lambda q: q.i)))
+        logit = lambda p: F.aggregate(F.transform("protos", lambda q: F.get(p.coeffs, q.i) * q.v), F.lit(None).cast("double"), lambda a, t: F.coalesce(a + t, a, t).cast("double"))
+    else:
+        names = sorted((c for c in prototypes.columns if c[0] == "p" and c[1:].isdigit()), key=lambda c: int(c[1:]))
+        first = F.coalesce(*[F.when(F.col(c).isNotNull(), int(c[1:])) for c in names])
+        cells = prototypes.select("image_id", "y", "x", *names, first.alias("first"))
+
+        def logit(p: Column) -> Column:
+            terms = [F.get(p.coeffs, F.lit(int(c[1:]))) * F.col(c) for c in names]
+            return F.when(F.coalesce(*terms).isNotNull(), reduce(lambda a, t: a + t, [F.coalesce(t, F.lit(0.0)) for t in terms]))
+
+    def value(p: Column) -> Column:
+        """The value of a prediction in a cell; null where none of its coefficients has a prototype."""
+        inside = (F.col("x") >= p.x1) & (F.col("x") < p.x2) & (F.col("y") >= p.y1) & (F.col("y") < p.y2)
+        return F.when(p.n > F.col("first"), F.when(inside, clip(1 / (1 + F.exp(-logit(p))) * p.share)).otherwise(F.lit(0.0)))
+
+    v = F.array_max(F.transform("kept", value))
+    return cells.join(packed.hint("shuffle_hash"), "image_id").select("image_id", "y", "x", v.alias("v")).where("v IS NOT NULL")
 
 
 def face_count(detections: DataFrame) -> DataFrame:

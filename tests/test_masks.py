@@ -114,3 +114,30 @@ def test_weights_made_from_images_are_not_broadcast(spark):
     assert "Broadcast" not in _plan(out)
     got = {(r.y, r.x): r.v for r in out.where("image_id = 2").collect()}
     assert len(got) == 4 * 4 + 3 and got[0, 0] == 0.0 and got[2, 2] == pytest.approx(0.2 * 0.5 + 0.1 * 0.5) and got[3, 4] == pytest.approx(0.2 * 0.5)
+
+
+def test_instance_mask_of_rows_and_of_columns_equals_plain_loops(spark):
+    """Both forms of prototypes, with missing rows, images whose best is below the threshold, and without any score."""
+    r = random.Random(7)
+    preds = [(i, k, r.uniform(0, 32), r.uniform(0, 32), r.uniform(0, 20), r.uniform(0, 20), [r.random() * (0.15 if i == 2 else 1.0), 0.1], [r.uniform(-2, 2), r.uniform(-2, 2)][: 1 + k % 2]) for i in (1, 2) for k in range(9)]
+    preds.append((3, 0, 9.0, 9.0, 9.0, 9.0, [None, None], [1.0, 1.0]))
+    cells = {(i, y, x): [None if (y + x + q) % 5 == 0 else r.uniform(-1, 1) for q in (0, 1)] for i in (1, 2, 3) for y in range(8) for x in range(8)}
+    p = spark.createDataFrame(preds, "image_id int, pred_id int, cx double, cy double, w double, h double, scores array<double>, coeffs array<double>")
+    rows = spark.createDataFrame([(i, q, y, x, v) for (i, y, x), vs in cells.items() for q, v in enumerate(vs) if v is not None], "image_id int, proto_id int, y int, x int, v double")
+    columns = spark.createDataFrame([(*k, *vs) for k, vs in cells.items()], "image_id int, y int, x int, p0 double, p1 double")
+    want = {}
+    for i in (1, 2):
+        own = [q for q in preds if q[0] == i]
+        kept = [q for q in own if max(q[6]) > 0.2] or [max(own, key=lambda q: (max(q[6]), -q[1]))]
+        for _, _, cx, cy, w, h, scores, coeffs in kept:
+            x1, y1 = (min(max((c - s * 0.5) * 0.25, 0.0), 7.0) for c, s in ((cx, w), (cy, h)))
+            x2, y2 = (min(max((c + s * 0.5) * 0.25, low + 1), 8.0) for c, s, low in ((cx, w, x1), (cy, h, y1)))
+            for (j, y, x), vs in cells.items():
+                terms = [c * v for c, v in zip(coeffs, vs) if v is not None]
+                if j == i and terms:
+                    v = 1 / (1 + math.exp(-sum(terms))) * max(scores) if x1 <= x < x2 and y1 <= y < y2 else 0.0
+                    want[j, y, x] = max(v, want.get((j, y, x), 0.0))
+    for proto in (rows, columns):
+        out = masks.instance_mask(p, proto, (8, 8), (32, 32))
+        assert "BroadcastHashJoin" not in _plan(out)
+        assert {(q.image_id, q.y, q.x): q.v for q in out.collect()} == pytest.approx(want, abs=1e-12)
