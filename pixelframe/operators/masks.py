@@ -10,8 +10,7 @@ from pyspark.sql.window import Window
 
 from pixelframe.functions import color
 from pixelframe.functions.color import clip
-from pixelframe.operators import grid
-from pixelframe.sources.shared import cut
+from pixelframe.operators import grid, nearest
 
 # The classes of each region, the zones of a face box (centre and radii in box units), and weights of features.
 REGIONS = {"face": tuple(range(1, 14)), "skin": (1,), "brows": (2, 3), "eyes": (4, 5), "lips": (11, 12, 13), "hair": (17,)}
@@ -250,10 +249,8 @@ def _misfit(box: str = "", landmarks: str = "") -> Column:
     return F.sqrt(dx * dx + dy * dy) + F.abs(x2 - x1 - w) * 0.25 + F.abs(y2 - y1 - h) * 0.20
 
 
-#: Images of up to so many different landmark sets are joined with their boxes; others go through the grid. The results are the same.
-FEW_SETS = 64
-#: Widths of grid cells are 2 to the power of these; the last level is one cell.
-LEVELS = range(0, 21)
+#: Images of up to so many different landmark sets are joined with their boxes; others are dealt in parts of up to PART boxes and sets. The results are the same.
+FEW_SETS, PART = 64, 65_536
 SIDES = ("x1", "y1", "x2", "y2")
 
 
@@ -261,62 +258,36 @@ def nearest_landmarks(boxes: DataFrame, landmarks: DataFrame) -> DataFrame:
     """For each box (image_id, det_id, x, y, w, h), the landmark set (image_id, set_id, x1, y1, x2, y2) of the image that fits best: of equal
     ones the lowest set_id. Boxes and sets with nulls don't count; a box of an image without sets has no row.
 
-    Where an image has many sets, they are found by a grid over the four numbers that a fit is made of (centre and weighted size), none of
-    which can differ by more than the fit. First one set of each cell is held against the boxes in it, on all levels of the grid, and one of each cell
-    around them on three: the best is a bound. Then a box is held against the sets whose centre is in a cell within its bound, on the level whose
-    cells are a fourth to half as wide (at most 81, less those beyond a circle). So a box isn't compared with all sets, whatever their number,
-    unless its best one is about as far off as all others, or their centres are all in one place.
+    Where an image has many sets, they and its boxes are dealt in parts, and each part of boxes meets each part of sets in a group of its
+    own, so that a task's memory is bounded. There both are cut into leaves by the four numbers that a fit is made of (centre and weighted
+    size); a leaf that can't hold a better fit is passed over (operators.nearest). What is shuffled is the tables themselves, once for each
+    PART of the other side.
     """
     boxes = boxes.select("image_id", "det_id", "x", "y", "w", "h").dropna(subset=["image_id", "x", "y", "w", "h"])
     sets = landmarks.dropna(subset=["image_id", *SIDES]).groupBy("image_id", *SIDES).agg(F.min("set_id").alias("set_id"))
-    crowds = sets.groupBy("image_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > FEW_SETS).select("image_id")
-    few, many = sets.join(crowds, "image_id", "left_anti"), sets.join(crowds, "image_id", "left_semi")
+    sets = sets.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("image_id")))
+    few, many = sets.where(F.col("n") <= FEW_SETS).drop("n"), sets.where(F.col("n") > FEW_SETS)
     best = F.min(F.struct(_misfit().alias("score"), "set_id")).alias("b")
-    out = boxes.join(few, "image_id").groupBy("image_id", "det_id").agg(best).union(_by_grid(boxes.join(crowds, "image_id", "left_semi"), many, best))
+    out = boxes.join(few, "image_id").groupBy("image_id", "det_id").agg(best).union(_in_parts(boxes, many))
     return out.select("image_id", "det_id", "b.set_id", "b.score")
 
 
-def _by_grid(boxes: DataFrame, sets: DataFrame, best: Column) -> DataFrame:
-    numbers = {"a": (F.col("x") + F.col("w") * 0.5), "b": (F.col("y") + F.col("h") * 0.5), "c": F.col("w") * 0.25, "d": F.col("h") * 0.20}
-    of_sets = {"a": (F.col("x1") + F.col("x2")) * 0.5, "b": (F.col("y1") + F.col("y2")) * 0.5, "c": (F.col("x2") - F.col("x1")) * 0.25, "d": (F.col("y2") - F.col("y1")) * 0.20}
-    top, cell = LEVELS[-1], [f"c{n}" for n in numbers]
-
-    def place(v: Column) -> Column:
-        return F.when(F.col("level") == top, F.lit(0)).otherwise(F.floor(v / F.pow(F.lit(2.0), F.col("level")))).cast("long")
-
-    def places(of: dict[str, Column]) -> list[Column]:
-        return [place(v).alias(f"c{n}") for n, v in of.items()]
-
-    levels = F.explode(F.sequence(F.lit(LEVELS[0]), F.lit(top))).alias("level")
-    first = sets.select("image_id", *SIDES, levels).select("*", *places(of_sets)).groupBy("image_id", "level", *cell).agg(F.min(F.struct(*SIDES)).alias("s"))
-    own = boxes.select("*", levels).select("*", *places(numbers)).join(first, ["image_id", "level", *cell])
-    box = ["image_id", "det_id", "x", "y", "w", "h"]
-    bound = own.groupBy(*box).agg(F.min(_misfit("", "s.")).alias("bound"))
-
-    def level(width: Column) -> Column:
-        return F.least(F.lit(top), F.greatest(F.lit(LEVELS[0]), F.ceil(F.log2(width)))).cast("int")
-
-    def around(df: DataFrame, radius: Column, along: str) -> DataFrame:
-        """df with a row for each cell, of its level and of the numbers along, that may hold what fits within radius."""
-        gaps = dict.fromkeys(numbers, F.lit(0.0))
-        for n in along:
-            v = numbers[n]
-            df = df.withColumn(f"c{n}", F.explode(F.sequence(place(v - radius), place(v + radius))))
-            low = F.col(f"c{n}") * F.pow(F.lit(2.0), F.col("level"))
-            gaps[n] = F.when(F.col("level") == top, F.lit(0.0)).otherwise(F.greatest(low - v, v - low - F.pow(F.lit(2.0), F.col("level")), F.lit(0.0)))
-        return df.where(F.sqrt(gaps["a"] * gaps["a"] + gaps["b"] * gaps["b"]) + gaps["c"] + gaps["d"] <= radius)
-
-    # The bound is tightened by one set of each cell around the box, of cells a fourth, half and all as wide as the bound.
-    finer = bound.withColumn("share", F.explode(F.array(*map(F.lit, (0.25, 0.5, 1.0))))).withColumn("level", level(F.col("bound") * F.col("share")))
-    finer = around(finer, F.col("bound") * F.col("share") / 2, "abcd").join(first, ["image_id", "level", *cell]).select(*box, _misfit("", "s.").alias("bound"))
-    bound = bound.union(finer).groupBy(*box).agg(F.min("bound").alias("bound"))
-    # A little more than the bound, for rounding.
-    bound = bound.withColumn("bound", F.col("bound") * (1 + 1e-9) + 1e-6).withColumn("level", level(F.col("bound") / 4))
-    bound = cut(bound)
-    used = bound.groupBy("image_id").agg(F.collect_set("level").alias("levels"))
-    there = sets.join(used, "image_id").select("image_id", *SIDES, "set_id", F.explode("levels").alias("level")).select("*", *places(of_sets)[:2])
-    close = around(bound, F.col("bound"), "ab").join(there, ["image_id", "level", "ca", "cb"]).where(_misfit() <= F.col("bound"))
-    return close.groupBy("image_id", "det_id").agg(best)
+def _in_parts(boxes: DataFrame, sets: DataFrame) -> DataFrame:
+    """image_id, det_id, b for the images of sets, which have n, how many an image has."""
+    parts = lambda n: F.ceil(n / PART).cast("int")
+    counts = boxes.groupBy("image_id").agg(parts(F.count(F.lit(1))).alias("bs")).join(sets.groupBy("image_id").agg(parts(F.first("n")).alias("ss")), "image_id")
+    both = boxes.join(counts, "image_id").select(*boxes.columns, F.pmod(F.xxhash64("det_id"), "bs").cast("int").alias("bp"), F.explode(F.sequence(F.lit(0), F.col("ss") - 1)).alias("sp"))
+    dealt = sets.join(counts, "image_id").select("image_id", *SIDES, "set_id", F.pmod(F.xxhash64("set_id"), "ss").cast("int").alias("sp"), F.explode(F.sequence(F.lit(0), F.col("bs") - 1)).alias("bp"))
+    kinds = dict(boxes.select("image_id", "det_id").dtypes + sets.select("set_id").dtypes)
+    # Both may come of one table: the names of columns are different on either side.
+    group = ["_image", "bp", "sp"]
+    dealt = _doubles(dealt, SIDES).select(F.col("image_id").alias("_image"), F.col("bp").alias("_bp"), F.col("sp").alias("_sp"), "set_id", *SIDES)
+    found = _doubles(both, "xywh").withColumn("_image", F.col("image_id").alias("_image")).groupBy(*group).cogroup(dealt.groupBy("_image", "_bp", "_sp")).applyInArrow(nearest.of_group, ", ".join(f"`{c}` {k}" for c, k in kinds.items()) + ", score double")
+    return found.groupBy("image_id", "det_id").agg(F.min(F.struct("score", "set_id")).alias("b"))
+
+
+def _doubles(df: DataFrame, columns) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("double") for c in columns})
 
 
 def mask_blend(original: DataFrame, edited: DataFrame, mask: DataFrame) -> DataFrame:

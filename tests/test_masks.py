@@ -141,3 +141,17 @@ def test_instance_mask_of_rows_and_of_columns_equals_plain_loops(spark):
         out = masks.instance_mask(p, proto, (8, 8), (32, 32))
         assert "BroadcastHashJoin" not in _plan(out)
         assert {(q.image_id, q.y, q.x): q.v for q in out.collect()} == pytest.approx(want, abs=1e-12)
+
+
+def test_nearest_landmarks_in_parts_makes_no_rows_for_cells(spark, monkeypatch):
+    """Boxes and sets in several parts, of which each meets each; nothing but the tables is dealt out, and nothing is written before."""
+    monkeypatch.setattr(masks, "PART", 150)
+    monkeypatch.setattr(masks, "cut", None, raising=False)
+    r = random.Random(9)
+    boxes = [("a", k, r.uniform(-90, 90), r.uniform(-90, 90), r.uniform(0, 9), r.uniform(0, 9)) for k in range(400)]
+    sets = [("a", k, x, y, x + 4.0, y + 4.0) for k in range(320) for x, y in [(float(r.randint(-9, 9)), float(r.randint(-9, 9)))]]
+    got = {x.det_id: (x.score, x.set_id) for x in masks.nearest_landmarks(spark.createDataFrame(boxes, BOX), spark.createDataFrame(sets, SET)).collect()}
+    assert len(got) == 400
+    for b in boxes:
+        score, set_id = min((misfit(b, s), s[1]) for s in sets)
+        assert got[b[1]] == (pytest.approx(score, abs=1e-12), set_id)
