@@ -84,3 +84,18 @@ def test_no_planes(spark):
     none = spark.createDataFrame([], "image_id long, y int, x int, v double")
     assert grid.dilate(none, 3).count() == grid.gaussian_smooth(none, 9.0).count() == grid.connected_components(none).count() == 0
     assert grid.gaussian_smooth(none.withColumn("c", F.lit("r")), 9.0, ("image_id", "c")).columns == ["image_id", "c", "y", "x", "v"]
+
+
+def test_small_planes_are_worked_on_together(spark, monkeypatch):
+    """Many planes of few shapes, also with null ids and struct ids, take few calls; rows come in several batches and are cut anywhere."""
+    monkeypatch.setattr(tiles, "ROWS", 300)
+    rows, df = plane(spark, [(3 + k % 2, 5) for k in range(60)])
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(a, reach, _):
+        calls.add(1)
+        return a[:, reach : a.shape[1] - reach, reach : a.shape[2] - reach] + 1
+
+    keyed = df.select(F.struct(F.when(F.col("image_id") > 0, F.col("image_id")).alias("k"), F.lit("c").alias("c")).alias("image_id"), "y", "x", "v")
+    got = {(x.image_id.k or 0, x.y, x.x): x.v for x in tiles.by_tile(keyed, 2, counted).collect()}
+    assert got == {(k, y, x): v + 1 for k, y, x, v in rows} and calls.value < 30
