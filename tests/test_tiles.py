@@ -99,3 +99,17 @@ def test_small_planes_are_worked_on_together(spark, monkeypatch):
     keyed = df.select(F.struct(F.when(F.col("image_id") > 0, F.col("image_id")).alias("k"), F.lit("c").alias("c")).alias("image_id"), "y", "x", "v")
     got = {(x.image_id.k or 0, x.y, x.x): x.v for x in tiles.by_tile(keyed, 2, counted).collect()}
     assert got == {(k, y, x): v + 1 for k, y, x, v in rows} and calls.value < 30
+
+
+def test_lines_are_filtered_in_batches(spark):
+    """Lines of several lengths, with cells that aren't there left out and nulls; no expression that is evaluated value by value."""
+    rows = [(k, 0, x, None if (k, x) == (2, 5) else r.random()) for k, n in enumerate((1, 2, 9, 9, 30)) for x in range(n) if x != 3]
+    df = spark.createDataFrame(rows, "image_id long, y int, x int, v double")
+    out = grid.gaussian_smooth(df, 1.0)
+    assert "pmod" not in out._jdf.queryExecution().executedPlan().toString()
+    got, w = {(x.image_id, x.x): x.v for x in out.collect()}, np.array(grid.gaussian_kernel(1.0))
+    for k in range(5):
+        line = [(x, v) for i, _, x, v in rows if i == k]
+        wide = np.pad(np.array([np.nan if v is None else v for _, v in line]), len(w) // 2, "symmetric")
+        for (x, _), v in zip(line, np.convolve(wide, w, "valid")):
+            assert got[k, x] is None if np.isnan(v) else got[k, x] == pytest.approx(v, abs=1e-12)
