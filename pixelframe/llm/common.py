@@ -54,18 +54,20 @@ def sharing(rows: DataFrame, key: str, groups: Callable[[DataFrame], DataFrame])
 def smallest_labels(edges: DataFrame, ids: str = "long") -> DataFrame:
     """Connected components: (id, label) for each id of edges (a, b), label being the smallest id reachable.
 
-    Each round lets every node take the least label among its neighbours' and then the label of that
-    label (pointer jumping); it ends when nothing changes. Every round is cut, so plans don't grow.
-    Null ids and self-loops are ignored; repeated edges count once.
+    A round joins the smaller neighbours of a node to the least of them, and then every node to the least
+    neighbour of its neighbour (small and large stars). Edges never grow in number, and a node's many ways to
+    one label soon become a single edge; it ends when all that is left are stars. Every round is cut, so plans
+    don't grow. Null ids and self-loops are ignored; repeated edges count once.
     """
-    both = edges.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("x"))
-    both = cut(both.select("x.*").distinct())
-    labels = cut(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.col("a")).alias("label")))
+    stars = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct())
     while True:
-        near = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
-        step = labels.join(near, "id").select("id", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("id").alias("label"), F.col("label").alias("up"))
-        new = cut(step.join(jump, "label", "left").select("id", "old", F.least("label", F.coalesce("up", "label")).alias("label")))
-        if new.where("label < old").isEmpty():
-            return new.select("id", "label")
-        labels = new.select("id", "label")
+        near = stars.join(stars.groupBy("hi").agg(F.min("lo").alias("least")), "hi")
+        near = near.select(F.when(F.col("lo") == F.col("least"), F.col("hi")).otherwise(F.col("lo")).alias("hi"), F.col("least").alias("lo")).distinct()
+        up = near.groupBy(F.col("hi").alias("lo")).agg(F.min("lo").alias("up"))
+        jump = near.join(up, "lo", "left").select("hi", F.coalesce("up", "lo").alias("lo"), F.col("up").isNotNull().alias("moved"))
+        new = cut(jump.groupBy("hi", "lo").agg(F.max("moved").alias("moved")))
+        drop_cut(stars)
+        n, nodes, moved = new.agg(F.count(F.lit(1)), F.count_distinct("hi"), F.max("moved")).first()
+        stars = new.select("hi", "lo")
+        if n == nodes and not moved:
+            return stars.union(stars.select(F.col("lo").alias("hi"), "lo").distinct()).toDF("id", "label")

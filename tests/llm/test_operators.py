@@ -553,6 +553,30 @@ def test_large_group_of_near_copies(spark, monkeypatch):
         monkeypatch.setattr(minhash_dedup, "PART", 16)
 
 
+def test_edges_of_components_shrink(spark, monkeypatch):
+    """Nodes with many ways to one label keep one edge each, and the tables of earlier rounds are emptied."""
+    r, tables = random.Random(17), []
+    monkeypatch.setattr(common, "cut", lambda df, real=common.cut: tables.append(real(df)) or tables[-1])
+    monkeypatch.setattr(common, "drop_cut", lambda df, real=common.drop_cut: (sizes.append(df.count()), real(df)))
+    hubs = {(h, n) for n in range(20, 400) for h in r.sample(range(20), 8)}
+    chain = {(k, k + 1) for k in range(500, 600)} | {(k - 1, k) for k in r.sample(range(700, 900), 150)}
+    loose = {(r.randrange(1000, 1300), r.randrange(1000, 1300)) for _ in range(120)}
+    for edges in (hubs, hubs | chain | loose, set()):
+        group = {x: x for a, b in edges if a != b for x in (a, b)}
+        for a, b in edges:
+            if a != b and group[a] != group[b]:
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {k: new if v == old else v for k, v in group.items()}
+        tables.clear()
+        sizes = []
+        both_ways = [*edges, *[(b, a) for a, b in list(edges)[::3]], (None, 5), (5, None), (7, 7)]
+        got = common.smallest_labels(spark.createDataFrame(both_ways, "a long, b long"))
+        assert dict(rows(got, "id", "label")) == group
+        assert sizes[0] == len({(min(e), max(e)) for e in edges if e[0] != e[1]}) and sizes == sorted(sizes, reverse=True)
+        assert edges != hubs or max(sizes[1:]) <= len(group) + 20
+        assert all(spark.read.schema(t.schema).parquet(t.inputFiles()[0].rsplit("/", 1)[0]).count() == 0 for t in tables[:-1] if t.inputFiles())
+
+
 def test_broadcasts_are_bounded(spark, monkeypatch):
     def sent(df):
         joined = spark.range(9).join(common.small(df), "id")
