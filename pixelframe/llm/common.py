@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pixelframe.sources.shared import cut, drop_cut  # noqa: F401
+from pixelframe.sources.shared import cut, drop_cut, tidy  # noqa: F401
 
 #: Rows in one Arrow batch to Python. Documents can be long, so the engine's default of 10,000 is too many.
 ARROW_ROWS = 256
@@ -51,6 +51,7 @@ def sharing(rows: DataFrame, key: str, groups: Callable[[DataFrame], DataFrame])
     return dealt.join(groups(dealt).hint("shuffle_hash"), key)
 
 
+@tidy
 def smallest_labels(edges: DataFrame, ids: str = "long") -> DataFrame:
     """Connected components: (id, label) for each id of edges (a, b), label being the smallest id reachable.
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pixelframe.functions.color import let
-from pixelframe.llm.common import cut, sharing, small
+from pixelframe.llm.common import cut, sharing, small, tidy
 
 #: A segment of more lines than this is hot. A line has some hundreds of pieces; up to here, comparing all is less work.
 HOT = 64
@@ -215,6 +215,7 @@ def _same_text(x: str, y: str) -> Column:
     return F.col(f"{x}.id").eqNullSafe(F.col(f"{y}.id")) & (F.col(f"{x}.version") == F.col(f"{y}.version"))
 
 
+@tidy
 def find_repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> DataFrame:
     """By text: id, version, first array<int>, near array<int>: the places of its lines that are the first with their
     text, and of those that are but are within max_edits edits of an earlier first line. docs: id, version, text."""
@@ -257,6 +258,7 @@ def find_repeated_lines(docs: DataFrame, rules: LineRules = LineRules()) -> Data
     return every.groupBy("id", "version").agg(F.collect_list(F.when(~F.col("again"), F.col("pos"))).alias("first"), F.collect_list(F.when(F.col("again"), F.col("pos"))).alias("near"))
 
 
+@tidy
 def _judged(docs: DataFrame, rules: LineRules) -> DataFrame:
     """docs as (row, j): all of a row's columns, and text, n_lines, n_exact, n_near after the dedup; j is null for a null text."""
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("version"))

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pixelframe.llm.common import cut, small, small_batches, smallest_labels, spare_name
+from pixelframe.llm.common import cut, small, small_batches, smallest_labels, spare_name, tidy
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Nodes of a family that one task holds against the centre; larger families are dealt in parts.
@@ -189,6 +189,7 @@ def _links(nodes: DataFrame, p: NearDup, last: bool) -> DataFrame:
     return both.where(_similar(F.col("na") + F.col("nb"), apart, p)).select("a", "b")
 
 
+@tidy
 def link_nodes(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
     """(node, label) of the nodes linked to others; label: the least node of the component. nodes: node, at, size, bands.
 
@@ -222,6 +223,7 @@ def link_nodes(docs: DataFrame, nodes: DataFrame, p: NearDup) -> DataFrame:
     return smallest_labels(every).toDF("node", "label")
 
 
+@tidy
 def find_near_duplicates(docs: DataFrame, p: NearDup = NearDup()) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept.
 

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelframe.llm import common, decontaminate, html_extract, license_scan, line_dedup, minhash_dedup, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, token_counts
+from pixelframe.sources import shared
 
 os.environ["TOKENIZERS_PARALLELISM"] = "false"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -577,6 +578,24 @@ def test_edges_of_components_shrink(spark, monkeypatch):
         assert all(spark.read.schema(t.schema).parquet(t.inputFiles()[0].rsplit("/", 1)[0]).count() == 0 for t in tables[:-1] if t.inputFiles())
 
 
+def test_jobs_leave_only_what_their_result_reads(spark, docs, tmp_path, monkeypatch):
+    def rows_left():
+        return {p: n for p in map(str, tmp_path.glob("cut-*")) if (n := spark.read.parquet(p).count())}
+
+    monkeypatch.setattr(shared, "shared_dir", lambda _: str(tmp_path))
+    setting = spark.conf.get(shared.SHUFFLE_CLEANUP, None)
+    edges = [(a, b) for a in range(5) for b in range(40, 60)]
+    labels = common.smallest_labels(spark.createDataFrame(edges, "a long, b long"))
+    assert len(rows_left()) == 1 and labels.where("label = 0").count() == 25 == labels.count()
+    for job in (minhash_dedup.find_near_duplicates, line_dedup.dedup_lines):
+        before = set(rows_left())
+        out = job(docs)
+        read = {f.split(":", 1)[-1].rsplit("/", 1)[0].replace("///", "/") for f in out.inputFiles()}
+        assert set(rows_left()) - before <= read
+        assert out.count() == len(HARD) == len(out.collect()) == len(out.collect())
+    assert spark.conf.get(shared.SHUFFLE_CLEANUP, None) == setting
+
+
 def test_broadcasts_are_bounded(spark, monkeypatch):
     def sent(df):
         joined = spark.range(9).join(common.small(df), "id")
