@@ -36,3 +36,10 @@ def test_entry_has_rows(spark):
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_long_computations_are_dealt_out(spark):
+    """One small file's rows are worked on by many tasks."""
+    from pixelframe.plans import pixel_queries
+
+    assert pixel_queries.wb_invert(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() >= 4
