@@ -33,6 +33,14 @@ def _pixels(spark):
     return spark.range(0, 1200, 1, 4).select((F.col("id") % 3).alias("image_id"), (F.col("id") / 60).cast("int").alias("y"), F.pmod((F.col("id") / 3).cast("int"), F.lit(20)).alias("x"), *[F.when(F.col("id") > 5, F.pmod(F.col("id") * k, F.lit(97)) / 97).alias(c) for k, c in zip((5, 7, 3), "rgb")])
 
 
+def test_chains_of_steps_are_compiled(planned):
+    px = _pixels(planned)
+    graded = grade.grade_global(px, {"exposure": 20, "temperature": 40, "shadows": 10, "vibrance": 30, "saturation": 10, "vignette": 35})
+    assert _largest_method(graded) < 8000
+    mask = px.select("image_id", "y", "x", F.lit(0.5).alias("v"))
+    assert _largest_method(grade.grade_masked(px, mask, "subjects", {"exposure": 30, "saturation": 25, "warmth": -30})) < 8000
+
+
 def test_nine_places_round_as_the_sql_does(spark):
     import duckdb
 
