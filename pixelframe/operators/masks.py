@@ -230,15 +230,30 @@ def ellipses(boxes: DataFrame, zones: dict[str, tuple[float, float, float, float
     return boxes.select("image_id", "det_id", F.explode(F.array(*[one(z, *v) for z, v in zones.items()])).alias("e")).select("image_id", "det_id", "e.*")
 
 
-def zone_pixels(boxes: DataFrame, width: int, height: int, zones: dict[str, tuple[float, float, float, float]] = ZONES) -> DataFrame:
-    """image_id, det_id, zone, y, x inside each zone. The rows and columns are made from each ellipse's own bounds: no join."""
+def zone_chords(boxes: DataFrame, width: int, height: int, zones: dict[str, tuple[float, float, float, float]] = ZONES) -> DataFrame:
+    """image_id, det_id, zone, y, x1, x2: the first and last pixel of each zone in each row where it has any. Rows are made from each ellipse's
+    own bounds, and their ends from its equation: no join, and no row for a pixel.
+
+    A pixel k columns from the centre is inside if (k / rx)^2 + dy^2 <= 1, in doubles. The root says how many k's are, but for its
+    rounding, so its neighbours are tried as well.
+    """
     e = ellipses(boxes, zones)
-    low = lambda c, r: F.greatest(F.lit(0), F.col(c) - F.col(r))
-    high = lambda c, r, n: F.least(F.lit(n - 1), F.col(c) + F.col(r))
-    e = e.where((low("cy", "ry") <= high("cy", "ry", height)) & (low("cx", "rx") <= high("cx", "rx", width)))
-    e = e.withColumn("y", F.explode(F.sequence(low("cy", "ry"), high("cy", "ry", height)))).withColumn("x", F.explode(F.sequence(low("cx", "rx"), high("cx", "rx", width))))
-    dx, dy = (F.col("x") - F.col("cx")) / F.col("rx"), (F.col("y") - F.col("cy")) / F.col("ry")
-    return e.where(dx * dx + dy * dy <= 1).select("image_id", "det_id", "zone", "y", "x")
+    low, high = F.greatest(F.lit(0), F.col("cy") - F.col("ry")), F.least(F.lit(height - 1), F.col("cy") + F.col("ry"))
+    e = e.where(low <= high).withColumn("y", F.explode(F.sequence(low, high)))
+    dy = (F.col("y") - F.col("cy")) / F.col("ry")
+    e = e.select("image_id", "det_id", "zone", "y", "cx", "rx", (dy * dy).alias("d2"))
+    e = e.withColumn("k", F.floor(F.sqrt(1 - F.col("d2")) * F.col("rx")))
+    inside = lambda k: (k / F.col("rx")) * (k / F.col("rx")) + F.col("d2") <= 1
+    k = F.col("k") + F.when(inside(F.col("k") + 1), 1).when(inside(F.col("k")), 0).otherwise(-1)
+    e = e.select("image_id", "det_id", "zone", "y", "cx", k.alias("k"))
+    ends = F.struct(F.greatest(F.lit(0), F.col("cx") - F.col("k")).alias("x1"), F.least(F.lit(width - 1), F.col("cx") + F.col("k")).alias("x2"))
+    # Exploded, so that the filter stays behind the steps before: pushed under them it would be all of them written into one expression.
+    return e.select("image_id", "det_id", "zone", "y", F.explode(F.array(ends)).alias("e")).select("image_id", "det_id", "zone", "y", "e.x1", "e.x2").where("x1 <= x2")
+
+
+def zone_pixels(boxes: DataFrame, width: int, height: int, zones: dict[str, tuple[float, float, float, float]] = ZONES) -> DataFrame:
+    """image_id, det_id, zone, y, x inside each zone. What only counts or sums pixels reads zone_chords."""
+    return zone_chords(boxes, width, height, zones).select("image_id", "det_id", "zone", "y", F.explode(F.sequence("x1", "x2")).alias("x"))
 
 
 def _misfit(box: str = "", landmarks: str = "") -> Column:

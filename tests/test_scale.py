@@ -41,6 +41,21 @@ def test_chains_of_steps_are_compiled(planned):
     assert _largest_method(grade.grade_masked(px, mask, "subjects", {"exposure": 30, "saturation": 25, "warmth": -30})) < 8000
 
 
+def test_zone_chords_hold_the_pixels_of_the_ellipse(planned):
+    boxes = [(1, k, *b) for k, b in enumerate([(3.0, 4.0, 20.0, 30.0), (-40.0, 5.0, 30.0, 12.0), (50.0, -9.0, 51.0, 9.0), (60.0, 60.0, 1.0, 1.0), (-300.0, 10.0, 5.0, 5.0), (10.0, 30.0, 25.0, 25.0)])]
+    boxes = planned.createDataFrame(boxes, BOXES)
+    want = set()
+    for e in masks.ellipses(boxes).collect():
+        want |= {(e.det_id, e.zone, y, x) for y in range(48) for x in range(64) if ((x - e.cx) / e.rx) * ((x - e.cx) / e.rx) + ((y - e.cy) / e.ry) * ((y - e.cy) / e.ry) <= 1}
+    chords = masks.zone_chords(boxes, 64, 48)
+    assert _largest_method(chords) < 8000
+    rows = chords.collect()
+    assert len({(r.det_id, r.zone, r.y) for r in rows}) == len(rows)  # one a row of pixels
+    assert {(r.det_id, r.zone, r.y, x) for r in rows for x in range(r.x1, r.x2 + 1)} == want
+    pixels = [tuple(r) for r in masks.zone_pixels(boxes, 64, 48).select("det_id", "zone", "y", "x").collect()]
+    assert len(pixels) == len(want) and set(pixels) == want
+
+
 def test_nine_places_round_as_the_sql_does(spark):
     import duckdb
 
