@@ -151,12 +151,13 @@ def body_cells(boxes: DataFrame, width: int, height: int) -> DataFrame:
     """image_id, y, x, v: the bodies below faces (image_id, x, y, w, h), where there are any.
 
     For one face a cell has the sum of the weights of the ellipses that hold it, at most 1; of several faces the highest counts. Each
-    face's cells are made from the bounds of its ellipses and weighed in place: what is shuffled is their maximum.
+    face's cells are made from the bounds of its ellipses and weighed in place. Boxes are dealt by image before, so that a task has
+    cells of its own images only, not some of all.
     """
     whole = lambda v: F.bround(v).cast("long")
     size = lambda v: F.greatest(F.lit(1), whole(v))
     x, y, w, h = (F.col(c) for c in "xywh")
-    e = boxes.select("image_id", *[F.struct(whole(x + w * a).alias("cx"), whole(y + h * b).alias("cy"), size(w * c).alias("rx"), size(h * d).alias("ry")).alias(n) for n, (a, b, c, d) in BODY.items()])
+    e = boxes.repartition("image_id").select("image_id", *[F.struct(whole(x + w * a).alias("cx"), whole(y + h * b).alias("cy"), size(w * c).alias("rx"), size(h * d).alias("ry")).alias(n) for n, (a, b, c, d) in BODY.items()])
     bound = lambda least, f, c, r, sign: f(least, *[F.col(f"{n}.{c}") + F.col(f"{n}.{r}") * sign for n in BODY])
     first = lambda c, r: F.greatest(F.lit(0), bound(F.lit(1 << 40), F.least, c, r, -1))
     last = lambda c, r, n: F.least(F.lit(n - 1), bound(F.lit(-1), F.greatest, c, r, 1))
@@ -177,6 +178,8 @@ def scene_masks(masks: DataFrame, boxes: DataFrame, width: int, height: int) ->
     nothing = F.lit(None).cast("double")
     boxes = boxes.select("image_id", "x", "y", "w", "h").dropna()
     images = masks.select("image_id", F.lit(0).alias("face")).union(boxes.select("image_id", F.lit(1))).groupBy("image_id").agg(F.max("face").alias("face"))
+    # A row of an image becomes a frame of cells: as many short rows as one task likes to read would be too many cells for it.
+    images = images.repartition(max(4 * images.sparkSession.sparkContext.defaultParallelism, int(images.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "image_id")
     frame = images.withColumn("y", F.explode(F.sequence(F.lit(0), F.lit(height - 1)))).withColumn("x", F.explode(F.sequence(F.lit(0), F.lit(width - 1))))
     inside = masks.where(F.col("y").between(0, height - 1) & F.col("x").between(0, width - 1))
     parts = [

@@ -65,3 +65,16 @@ def test_nine_places_round_as_the_sql_does(spark):
     halves = [0.5, 1.5, 2.5, -0.5, -1.5, -0.3, 7.49999]
     got = [r.v for r in spark.createDataFrame([(v,) for v in halves], "v double").select(color.half_even(F.col("v")).alias("v")).collect()]
     assert list(map(repr, got)) == ["0.0", "2.0", "2.0", "0.0", "-2.0", "0.0", "7.0"]
+
+
+def test_frames_of_a_scene_are_dealt_to_tasks(planned):
+    """Many images of a row each become many cells: they aren't all in one task, and bodies are made where their image is."""
+    boxes = planned.range(0, 50, 1, 1).select(F.col("id").alias("image_id"), F.lit(3.0).alias("x"), F.lit(2.0).alias("y"), F.lit(2.0).alias("w"), F.lit(2.0).alias("h"))
+    none = planned.createDataFrame([], "image_id long, layer string, y int, x int, v double")
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        masks.body_cells(boxes, 16, 12).explain()
+    assert out.getvalue().count("Exchange") == 1 and "Exchange hashpartitioning(image_id" in out.getvalue()
+    planned.conf.set("spark.sql.adaptive.enabled", "true")
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        masks.scene_masks(none, boxes, 16, 12).explain()
+    assert "REPARTITION_BY_NUM" in out.getvalue()
