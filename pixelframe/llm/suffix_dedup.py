@@ -312,7 +312,9 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     docs = docs.select("doc_id", "text", F.when(F.col("several"), F.xxhash64("text")).otherwise(F.lit(0)).alias("v"))
     known = docs.where("doc_id IS NOT NULL").join(copies, "doc_id", "left_anti")
     anchors = known.select("doc_id", "v", F.explode(F.pandas_udf(_anchors, "array<long>", F.PandasUDFType.SCALAR)("text")).alias("anchor"))
-    several = lambda rows: rows.groupBy("anchor").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("anchor")
+    # The count reads v as well, which is never null: with other columns than the join it would deal all rows once more.
+    ends = [F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("v").alias("v")]
+    several = lambda rows: rows.groupBy("anchor").agg(*ends).where("lo < hi AND v IS NOT NULL").select("anchor")
     shared = sharing(anchors, "anchor", several)
     wanted = shared.groupBy("doc_id", "v").agg(F.collect_list("anchor").alias("wanted"))
     kind = f"row struct<doc_id:{known.schema['doc_id'].dataType.simpleString()},v:bigint>, start long, piece binary, anchor long"
