@@ -7,13 +7,11 @@ is kept among near-duplicates only if none of its group has an id. Texts may be
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pixelframe.llm import decontaminate, line_dedup, minhash_dedup, quality_rules, sentencepiece_codec
-from pixelframe.llm.common import cut, smallest_labels, spare_name, table
+from pixelframe.llm.common import cut, table
 
 #: A pair just at 80 % misses all of 36 bands of 6 with a chance of (1 - .8^6)^36, about 1 in 55,000.
 NEAR = (minhash_dedup.NearDup(words=5, similarity_pct=80, bands=36, rows=6), minhash_dedup.NearDup())
@@ -35,12 +33,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Links are those of five-word shingles from 80 %, which find copies with cut or added passages, and those
     of three-word shingles from 85 %, which bear more scattered edits; a group may have both.
     """
-    found = [minhash_dedup.find_near_duplicates(docs, p) for p in NEAR]
-    found = cut(reduce(DataFrame.unionByName, [f.select("doc_id", "component_id", "kept") for f in found]))
-    labels = smallest_labels(found.select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")).where("a is not null and b is not null"))
-    name = spare_name(docs, "_gone")
-    gone = labels.where("label < id").select(F.col("id").alias(name)).union(found.where("doc_id is null and not kept").select("doc_id")).distinct()
-    return docs.join(gone, F.col("doc_id").eqNullSafe(F.col(name)), "left_anti")
+    return minhash_dedup.keep_one_of_each(docs, *NEAR)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -554,6 +554,41 @@ def test_large_group_of_near_copies(spark, monkeypatch):
         monkeypatch.setattr(minhash_dedup, "PART", 16)
 
 
+def test_kinds_of_links_share_a_pass(spark, monkeypatch):
+    """Components by links of two kinds, against all pairs; components are found once a round and once at the end, not for each kind."""
+    import corpus_pipeline
+
+    r, data = random.Random(19), []
+    for base in range(20):
+        words = [f"c{base}-{k}" for k in range(r.choice([2, 30, 60, 90]))]
+        for _ in range(r.choice([1, 3, 5])):
+            w, how = list(words), r.choice(["copy", "edits", "tail"])
+            for at in r.sample(range(len(w)), min(len(w) - 1, r.choice([1, 2, 3]))) if how == "edits" else []:
+                w[at] = f"m{r.randrange(60)}"
+            tail = len(w) // r.choice([5, 9]) if how == "tail" else 0
+            data.append((len(data), " ".join(w + [f"t{len(data)}-{k}" for k in range(tail)]), "en", "s", 1))
+    group = list(range(len(data)))
+    kinds = 0
+    for p in corpus_pipeline.NEAR:
+        split = [d[1].split() for d in data]
+        sets = [{tuple(w[k : k + p.words]) for k in range(max(1, len(w) - p.words + 1))} for w in split]
+        alone = list(range(len(sets)))
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets[:i]):
+                if 100 * len(a & b) >= p.similarity_pct * len(a | b):
+                    for g in (group, alone):
+                        old, new = max(g[i], g[j]), min(g[i], g[j])
+                        g[:] = [new if x == old else x for x in g]
+        kinds += len(set(alone)) > len(set(group))
+    assert kinds and len(set(group)) < len(data) - 20
+    calls = []
+    for name in ("_families", "smallest_labels"):
+        monkeypatch.setattr(minhash_dedup, name, lambda *a, name=name, real=getattr(minhash_dedup, name): calls.append(name) or real(*a))
+    left = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(data, SCHEMA), "")
+    assert sorted(r.doc_id for r in left.collect()) == sorted(set(group))
+    assert calls.count("smallest_labels") == calls.count("_families") + 1
+
+
 def test_edges_of_components_shrink(spark, monkeypatch):
     """Nodes with many ways to one label keep one edge each, and the tables of earlier rounds are emptied."""
     r, tables = random.Random(17), []
