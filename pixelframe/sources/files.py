@@ -57,25 +57,40 @@ def list_images(spark: SparkSession, folder: str) -> DataFrame:
     return files.where(is_image(F.col("path"))).orderBy("path")
 
 
-def read_pixels(spark: SparkSession, places: str | list[str]) -> DataFrame:
-    """image_id (the path, as list_images has it), y, x, r, g, b in [0, 1] of each pixel; grey is repeated, alpha dropped, unreadable files left out.
+def read_images(spark: SparkSession, places: str | list[str]) -> DataFrame:
+    """image_id (the path, as list_images has it), height, width, nChannels, data of each image, a row each; unreadable files are left out.
 
     places: a folder, or paths of files, of which only these are read and decoded.
     """
     paths = places if isinstance(places, str) else [re.sub(r"([\\\[\]{}*?])", r"\\\1", p) for p in places]
-    images = spark.read.format("image").option("dropInvalid", True).load(paths).select(F.url_decode(F.replace(F.regexp_replace("image.origin", "^(\\w+):///", "$1:/"), F.lit("+"), F.lit("%2B"))).alias("origin"), "image.height", "image.width", "image.nChannels", "image.data")
+    path = F.url_decode(F.replace(F.regexp_replace("image.origin", "^(\\w+):///", "$1:/"), F.lit("+"), F.lit("%2B")))
+    return spark.read.format("image").option("dropInvalid", True).load(paths).select(path.alias("image_id"), "image.height", "image.width", "image.nChannels", "image.data")
+
+
+def read_pixels(spark: SparkSession, places: str | list[str]) -> DataFrame:
+    """image_id (the path, as list_images has it), y, x, r, g, b in [0, 1] of each pixel; grey is repeated, alpha dropped, unreadable files left out.
+
+    places: as for read_images.
+    """
+    return pixels_of(read_images(spark, places))
+
+
+def pixels_of(images: DataFrame) -> DataFrame:
+    """The pixels of images, as read_images has them, as image_id (of its type there), y, x, r, g, b. What is to be joined with images is joined before."""
+    kind = images.schema["image_id"].dataType
 
     def unpack(batches):
         for batch in batches:
             for i in range(batch.num_rows):
-                origin, h, w, n = (batch.column(k)[i].as_py() for k in range(4))
+                h, w, n = (batch.column(k)[i].as_py() for k in range(1, 4))
                 flat = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint8).reshape(h * w, n)
                 for a in range(0, h * w, PIXELS_AT_ONCE):
                     p = flat[a : a + PIXELS_AT_ONCE, [0, 0, 0] if n == 1 else [2, 1, 0]] / 255.0
                     y, x = np.divmod(np.arange(a, a + len(p), dtype=np.int32), np.int32(w))
-                    yield pa.RecordBatch.from_arrays([pa.array([origin] * len(p)), pa.array(y), pa.array(x), *(pa.array(p[:, k]) for k in range(3))], names=["image_id", "y", "x", "r", "g", "b"])
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column(0)[i], len(p)), pa.array(y), pa.array(x), *(pa.array(p[:, k]) for k in range(3))], names=["image_id", "y", "x", "r", "g", "b"])
 
-    return images.mapInArrow(unpack, "image_id string, y int, x int, r double, g double, b double")
+    columns = images.select("image_id", "height", "width", "nChannels", "data")
+    return columns.mapInArrow(unpack, f"image_id {kind.simpleString()}, y int, x int, r double, g double, b double")
 
 
 def _png(levels: np.ndarray) -> bytes:

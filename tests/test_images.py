@@ -189,3 +189,12 @@ def test_wide_filters_of_channels(spark):
     df = spark.range(900).select(F.concat(F.lit("i"), F.lit("1")).alias("image_id"), (F.col("id") / 30).cast("int").alias("y"), (F.col("id") % 30).cast("int").alias("x"), *[F.lit(0.5).alias(c) for c in "rgb"])
     out = grade.by_channel(df, lambda v: grid.gaussian_smooth(v, 8.0)).collect()
     assert len(out) == 900 and all(abs(v - 0.5) < 1e-9 for r in out for v in (r.r, r.g, r.b))
+
+
+def test_images_are_joined_before_their_pixels_are_unpacked(spark):
+    from pixelframe.plans import pixel_queries
+
+    out = pixel_queries.image_pixels(spark, "/root/testdata/sf0.001")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" in plan and "MapInArrow" in plan and plan.rindex("MapInArrow") < plan.index("Join")
+    assert out.schema["image_id"].dataType.simpleString() == "bigint"
