@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from pixelframe.functions import color
 from pixelframe.functions.color import clip
-from pixelframe.operators import grid, nearest
+from pixelframe.operators import grid, nearest, tiles
 
 # The classes of each region, the zones of a face box (centre and radii in box units), and weights of features.
 REGIONS = {"face": tuple(range(1, 14)), "skin": (1,), "brows": (2, 3), "eyes": (4, 5), "lips": (11, 12, 13), "hair": (17,)}
@@ -118,15 +118,28 @@ def face_count(detections: DataFrame) -> DataFrame:
     return detections.groupBy("image_id").agg(F.count(F.lit(1)).alias("faces"))
 
 
+def effect_reach(wanted: dict[str, tuple[str, str, str]]) -> int:
+    """Cells to each side that effect masks read."""
+    return max((grid.reach(color.profile(layer, kind)[2]) for _, layer, kind in wanted.values()), default=0)
+
+
+def effects_dealt(dealt: DataFrame, wanted: dict[str, tuple[str, str, str]]) -> DataFrame:
+    """Rows dealt by tile, with the columns of wanted (see effect_masks). Nothing is shuffled."""
+    curves = dealt.withColumns({name: color.effect_mask(F.col(c), layer, kind) for name, (c, layer, kind) in wanted.items()})
+    smooth = grid.smooth_dealt(curves, {name: (name, color.profile(layer, kind)[2]) for name, (_, layer, kind) in wanted.items()})
+    return smooth.withColumns({name: clip(F.col(name)) for name in wanted})
+
+
 def effect_masks(table: DataFrame, wanted: dict[str, tuple[str, str, str]], keep: tuple[str, ...] = ()) -> DataFrame:
     """image_id, y, x, the columns of keep, and one column for each of wanted {name: (mask column, layer, kind)}: the mask under the
     layer's confidence curve of that kind, smoothed by its sigma. table has a row for every cell of its images.
 
-    All of them, of however many layers, are smoothed in one pass.
+    All of them, of however many layers, are smoothed in one pass, tile by tile.
     """
-    curves = table.select(*CELLS, *[color.effect_mask(F.col(c), layer, kind).alias(name) for name, (c, layer, kind) in wanted.items()], *keep)
-    smooth = grid.smooth_columns(curves, {name: color.profile(layer, kind)[2] for name, (_, layer, kind) in wanted.items()}, keep)
-    return smooth.select(*CELLS, *[clip(F.col(name)).alias(name) for name in wanted], *keep)
+    far = effect_reach(wanted)
+    columns = dict.fromkeys([*(c for c, _, _ in wanted.values()), *keep])
+    dealt = tiles.deal(table.select(*CELLS, *columns), far)
+    return tiles.trim(effects_dealt(dealt, wanted), far).select(*CELLS, *wanted, *keep)
 
 
 def _feature(layer: Column) -> Column:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pixelframe.functions import color
-from pixelframe.operators import masks
+from pixelframe.operators import masks, tiles
 from pixelframe.plans import grade
 
 BOXES = "image_id long, det_id long, x double, y double, w double, h double"
@@ -78,3 +78,21 @@ def test_frames_of_a_scene_are_dealt_to_tasks(planned):
     with contextlib.redirect_stdout(io.StringIO()) as out:
         masks.scene_masks(none, boxes, 16, 12).explain()
     assert "REPARTITION_BY_NUM" in out.getvalue()
+
+
+def test_edits_that_read_neighbours_share_one_deal(planned):
+    """Blur and dehaze read what was dealt for the masks: the shuffles are those of the join with the mask and one by tile, and nothing is computed twice."""
+    px = _pixels(planned)
+    mask = px.select("image_id", "y", "x", F.lit(0.5).alias("v"))
+    with contextlib.redirect_stdout(io.StringIO()) as out:
+        grade.grade_masked(px, mask, "background", {"blur": 20, "exposure": 10, "clarity": 30, "dehaze": 60}).explain()
+    plan = out.getvalue()
+    assert 1 <= plan.count("Exchange") <= 3 and plan.count("Range (") == 2
+
+
+def test_small_pictures_are_sent_once(planned):
+    """What a filter reads beyond a picture's first row and column is no tile to which cells are sent."""
+    dealt = tiles.deal(_pixels(planned), 40)
+    assert dealt.count() == tiles.trim(dealt, 40).count() == 1200
+    moved = tiles.deal(_pixels(planned).withColumn("y", F.col("y") - 300), 40)  # places below 0 have tiles, too
+    assert moved.count() > 1200 and sorted(tiles.trim(moved, 40).select("y", "x", "image_id").collect()) == sorted(_pixels(planned).select(F.col("y") - 300, "x", "image_id").collect())
