@@ -142,6 +142,18 @@ def test_constant_plane_stays(spark):
     assert grid.open_close(_plane(spark, [[0] * 6] * 6)).where("v > 0").count() == 0
 
 
+def test_open_close_takes_off_what_is_thin(spark, tmp_path):
+    """The query closes a gap, and then opens: a cell that stands out goes, though it hangs together with what stays, and so do corners."""
+    from pixelframe.plans import mask_queries
+
+    plane = ["........", "..#.....", "..####..", "..#.###.", "..####..", "..####..", "........", "........"]
+    want = ["........", "........", "...###..", "..#####.", "..####..", "...##...", "........", "........"]
+    masks = [(1, 0, [0.4 if c == "#" else -0.4 for row in plane for c in row])]
+    spark.createDataFrame(masks, "vec_id long, label int, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = {(r.y, r.x): r.v for r in mask_queries.open_close(spark, str(tmp_path)).collect()}
+    assert ["".join(".#"[int(got[y, x])] for x in range(8)) for y in range(8)] == want
+
+
 def test_islands_and_holes(spark):
     ring = [[0, 0, 0, 0, 0], [0, 1, 1, 1, 0], [0, 1, 0, 1, 0], [0, 1, 1, 1, 0], [0, 0, 0, 0, 1]]
     filled = {(r.y, r.x): r.v for r in grid.fill_holes(_plane(spark, ring)).collect()}
